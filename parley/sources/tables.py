@@ -1,0 +1,47 @@
+"""Message tables from columnar files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+DATASETS = 4
+
+
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``conversations`` table as ``messages``, spread over four datasets by conversation."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.format_string("chat-%d", F.pmod("conv_id", F.lit(DATASETS))).alias("dataset_id"),
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+    )
+
+
+def document_chats(spark: SparkSession, sf_dir: str, dataset: str = "lang") -> DataFrame:
+    """Every document as a two-message conversation: its language asks, its text answers.
+
+    ``dataset`` names the column (``lang`` or ``source``) that groups documents into datasets.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def message(role: str, column: str):
+        return F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
+
+    return docs.select(
+        F.concat(F.lit(f"{dataset}-"), dataset).alias("dataset_id"),
+        F.col("doc_id").alias("conv_id"),
+        F.array(message("user", "lang"), message("assistant", "text")).alias("messages"),
+    )
+
+
+def as_json_answers(messages: DataFrame, dataset_id: str = "json") -> DataFrame:
+    """A copy of a message table whose answers are JSON objects, as one dataset."""
+    answer = F.concat(F.lit('{"answer": "'), F.col("text"), F.lit('"}'))
+    return messages.withColumns(
+        {
+            "dataset_id": F.lit(dataset_id),
+            "text": F.when(F.col("role") == "assistant", answer).otherwise(F.col("text")),
+        }
+    )
