@@ -68,13 +68,10 @@ def response_band(stripped_chars: Column) -> Column:
     )
 
 
-def responses_in_band(messages: Column, band: str) -> Column:
-    return F.size(
-        F.filter(
-            of_role(messages, "assistant"),
-            lambda m: response_band(F.length(T.strip(m["content"]))) == band,
-        )
-    )
+def response_bands(answers: Column) -> Column:
+    """The band of every assistant message."""
+    lengths = F.transform(answers, lambda m: F.length(T.strip(m["content"])))
+    return F.transform(lengths, response_band)
 
 
 def prepend_system(messages: Column, prompt: str) -> Column:

@@ -49,7 +49,8 @@ def is_blank(text: Column) -> Column:
 
 
 def has_non_ascii(text: Column) -> Column:
-    return text.rlike(r"[^\x00-\x7F]")
+    """True when some character takes more than one byte in UTF-8."""
+    return F.octet_length(text) > F.length(text)
 
 
 def looks_like_json(text: Column) -> Column:

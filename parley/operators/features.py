@@ -21,7 +21,9 @@ _LANES = ("lane_a", "lane_b", "lane_c")
 def message_facts(messages: DataFrame) -> DataFrame:
     """One narrow row per message. No shuffle; unused columns are pruned away by the optimizer."""
     text, role = F.col("text"), F.col("role")
-    assistant = role == "assistant"
+    # NULL unless an answer; all that follows is NULL with it, and shared parts are computed once.
+    answer = F.when(role == "assistant", text)
+    normal = T.normalised(answer)
     digest = F.sha2(
         F.concat_ws(":", F.col("turn"), role, F.substring(text, 1, PREFIX_CHARS)), 256
     )
@@ -35,10 +37,10 @@ def message_facts(messages: DataFrame) -> DataFrame:
         "role",
         F.length(text).cast("bigint").alias("n_chars"),
         (role.isNull() | ~role.isin(*ROLES) | text.isNull() | T.is_blank(text)).alias("is_bad"),
-        F.when(assistant, F.length(T.strip(text))).alias("response_chars"),
-        F.when(assistant, T.content_hash(T.normalised(text))).alias("response_hash"),
-        F.when(assistant, T.has_non_ascii(T.normalised(text))).alias("non_ascii"),
-        F.when(assistant, T.looks_like_json(text)).alias("json_like"),
+        F.length(T.strip(answer)).alias("response_chars"),
+        T.content_hash(normal).alias("response_hash"),
+        T.has_non_ascii(normal).alias("non_ascii"),
+        T.looks_like_json(answer).alias("json_like"),
         *lanes,
     )
 
@@ -94,23 +96,32 @@ def chat_features(chats: DataFrame) -> DataFrame:
     Here the fingerprint hashes the literal joined text.
     """
     messages = F.col("messages")
-    user, assistant = C.of_role(messages, "user"), C.of_role(messages, "assistant")
+    # Parts used several times are projected first, so they are computed once.
+    parts = chats.select(
+        *CONV_KEY,
+        "messages",
+        C.of_role(messages, "user").alias("user"),
+        C.of_role(messages, "assistant").alias("assistant"),
+    ).withColumn("bands", C.response_bands(F.col("assistant")))
 
     def size(array: Column) -> Column:
         return F.size(array).cast("bigint")
 
-    counted = chats.select(
+    def responses(band: str) -> Column:
+        return size(F.filter("bands", lambda b: b == band))
+
+    counted = parts.select(
         *CONV_KEY,
         size(messages).alias("n_messages"),
-        size(user).alias("n_user"),
-        size(assistant).alias("n_assistant"),
+        size(F.col("user")).alias("n_user"),
+        size(F.col("assistant")).alias("n_assistant"),
         size(C.of_role(messages, "system")).alias("n_system"),
         C.total_chars(messages).alias("n_chars"),
-        C.total_chars(user).alias("user_chars"),
-        C.total_chars(assistant).alias("assistant_chars"),
-        C.responses_in_band(messages, "blank").cast("bigint").alias("blank_responses"),
-        C.responses_in_band(messages, "short").cast("bigint").alias("short_responses"),
-        C.responses_in_band(messages, "very_long").cast("bigint").alias("long_responses"),
+        C.total_chars(F.col("user")).alias("user_chars"),
+        C.total_chars(F.col("assistant")).alias("assistant_chars"),
+        responses("blank").alias("blank_responses"),
+        responses("short").alias("short_responses"),
+        responses("very_long").alias("long_responses"),
         C.fingerprint(messages).alias("fingerprint"),
     )
     return _with_derived(counted)

@@ -74,16 +74,12 @@ def training_time(minutes: Column) -> Column:
     )
 
 
-def training_plans(ranked: DataFrame, selections: DataFrame | None = None) -> DataFrame:
-    """One plan per request.
+def training_plans(ranked: DataFrame) -> DataFrame:
+    """One plan per request, from the ranked models of each.
 
-    ``selections`` (request columns and ``selected_model_id``) overrides the winner. The display name
-    follows the selection only when it is one of the alternatives, as the display always did.
+    A ``selected_model_id`` asked for with the request overrides the winner. The display name follows
+    the selection only when it is one of the alternatives shown.
     """
-    if selections is None:
-        ranked = ranked.withColumn("selected_model_id", F.lit(None).cast("string"))
-    else:
-        ranked = ranked.join(selections.select(*REQUEST, "selected_model_id"), REQUEST, "left")
     rank, selected = F.col("rank"), F.col("selected_model_id")
     chosen_alternative = rank.between(2, 1 + ALTERNATIVES_SHOWN) & (F.col("model_id") == selected)
     plans = ranked.groupBy(*REQUEST).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.features import conversation_features, facts_of_valid, valid_only
 from parley.operators.first import first_rows
 from parley.schema import (
     CLASSIFICATION_MAX_DISTINCT,
@@ -13,7 +14,7 @@ from parley.schema import (
     MULTILINGUAL_SHARE,
     RESPONSE_SAMPLE,
 )
-from parley.session import checkpointed
+from parley.session import written_once
 
 
 def structure_profile(features: DataFrame) -> DataFrame:
@@ -67,7 +68,6 @@ def response_profile(facts: DataFrame, sample: int | None = None) -> DataFrame:
     """
     if sample is None:
         distinct = _distinct_responses(facts).agg(F.bool_or("non_ascii").alias("non_ascii"))
-        sampled = F.lit(True)
     else:
         # Two fixed-width minima find the first appearance: the conversation, then the turn in it.
         first = _distinct_responses(facts).agg(F.min("conv_id").alias("conv_id"))
@@ -86,7 +86,7 @@ def response_profile(facts: DataFrame, sample: int | None = None) -> DataFrame:
     return _response_flags(
         distinct.groupBy("dataset_id").agg(
             F.count(F.lit(1)).alias("distinct_responses"),
-            F.count_if(sampled).alias("_sampled"),
+            F.count(F.lit(1)).alias("_sampled"),
             F.count_if("non_ascii").alias("non_ascii_responses"),
         )
     )
@@ -120,21 +120,23 @@ def json_profile(facts: DataFrame, sample: int = RESPONSE_SAMPLE) -> DataFrame:
     )
 
 
-def dataset_profile(
-    facts: DataFrame, features: DataFrame, sample: int | None = None, reuse: bool = False
-) -> DataFrame:
-    """Profile and characteristics, one row per dataset.
+def dataset_profile(facts: DataFrame, sample: int | None = None, reuse: bool = True) -> DataFrame:
+    """Profile and characteristics of the valid conversations, one row per dataset.
 
-    Three aggregates of the facts are joined at one row per dataset. ``reuse`` writes the facts to the
-    checkpoint folder first, so that the text is read once instead of once per aggregate.
+    Three aggregates over the facts are joined at one row per dataset. With ``reuse`` the facts are
+    written to the shared folder first, so the text is read and hashed once instead of once per
+    aggregate.
     """
     if reuse:
-        facts = checkpointed(facts)
+        facts = written_once(facts, "facts")
+    valid = facts_of_valid(facts)
     joined = (
-        structure_profile(features)
-        .join(response_profile(facts, sample), "dataset_id", "left")
-        .join(json_profile(facts), "dataset_id", "left")
+        structure_profile(valid_only(conversation_features(facts)))
+        .join(response_profile(valid, sample), "dataset_id", "left")
+        .join(json_profile(valid), "dataset_id", "left")
+    )
+    return (
+        joined.fillna(0, ["distinct_responses", "non_ascii_responses"])
+        .fillna(False, ["looks_like_classification", "is_multilingual", "looks_like_json_output"])
+        .drop("sampled_responses", "json_responses")
     )
-    return joined.fillna(0, ["distinct_responses", "non_ascii_responses"]).fillna(
-        False, ["looks_like_classification", "is_multilingual", "looks_like_json_output"]
-    ).drop("sampled_responses", "json_responses")

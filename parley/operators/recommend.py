@@ -1,7 +1,8 @@
 """Rank base models for many datasets at once.
 
 ``requests`` has one row per question asked: ``dataset_id, user_task, target`` and the dataset's
-``num_examples, avg_response_length, is_multilingual, looks_like_json_output, is_multi_turn``.
+``num_examples, avg_response_length, is_multilingual, looks_like_json_output, is_multi_turn``; it may
+name a ``selected_model_id``.
 Every lookup is a broadcast join with a constant table of at most 33 rows, and every window holds
 the five models of one request.
 """
@@ -145,7 +146,10 @@ def score_models(requests: DataFrame) -> DataFrame:
                 for flag in ("is_multilingual", "looks_like_json_output", "is_multi_turn")
             },
         }
-    ).withColumns(
+    )
+    if "selected_model_id" not in asked.columns:
+        asked = asked.withColumn("selected_model_id", F.lit(None).cast("string"))
+    asked = asked.withColumns(
         {
             "pool": F.when(F.col("is_multilingual"), "multilingual")
             .when(target.isin("edge_device", *TARGETS), target)
@@ -298,6 +302,7 @@ def ranked_models(scored: DataFrame) -> DataFrame:
         confidence(F.col("score")).alias("confidence"),
         reasons.alias("reasons"),
         "num_examples",
+        "selected_model_id",
     )
 
 

@@ -19,7 +19,6 @@ from parley.operators import dedup, manifest, profile, quality, recommend, rewri
 from parley.operators.features import (
     chat_features,
     conversation_features,
-    facts_of_valid,
     message_facts,
     role_counts,
     token_budget,
@@ -52,7 +51,8 @@ def all_chats(spark: SparkSession, sf: str) -> DataFrame:
 
 def many_messages(spark: SparkSession, sf: str) -> DataFrame:
     """``all_messages`` plus documents by source: datasets below, at and above the size bounds."""
-    return all_messages(spark, sf).unionByName(explode_messages(document_chats(spark, sf, "source")))
+    docs = explode_messages(document_chats(spark, sf, "lang", "source"))
+    return conversation_messages(spark, sf).unionByName(docs)
 
 
 def _features(messages: DataFrame) -> DataFrame:
@@ -68,15 +68,18 @@ def _stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profile(messages: DataFrame) -> DataFrame:
-    facts = message_facts(messages)
-    return profile.dataset_profile(facts_of_valid(facts), valid_only(conversation_features(facts)))
+    return profile.dataset_profile(message_facts(messages))
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    asked = recommend.recommendation_requests(
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every task and target asked of every dataset."""
+    return recommend.recommendation_requests(
         _profile(many_messages(spark, sf)), ASKED_TASKS, ASKED_TARGETS
     )
-    return recommend.ranked_models(recommend.score_models(asked))
+
+
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return recommend.ranked_models(recommend.score_models(_requests(spark, sf)))
 
 
 # ---- features and statistics --------------------------------------------------------------------
@@ -243,10 +246,7 @@ def positional_sample(spark, sf):
 
 
 def recommend_scores(spark, sf):
-    asked = recommend.recommendation_requests(
-        _profile(many_messages(spark, sf)), ASKED_TASKS, ASKED_TARGETS
-    )
-    return recommend.score_models(asked).select(
+    return recommend.score_models(_requests(spark, sf)).select(
         *recommend.REQUEST,
         "model_key",
         "task_points",
@@ -259,7 +259,7 @@ def recommend_scores(spark, sf):
 
 
 def _without_reasons(models: DataFrame) -> DataFrame:
-    return models.drop("reasons", "num_examples")
+    return models.drop("reasons", "num_examples", "selected_model_id")
 
 
 def recommend_primary(spark, sf):
@@ -297,15 +297,11 @@ def recommend_all_scores(spark, sf):
 
 
 def training_manifest(spark, sf):
-    ranked = _ranked(spark, sf)
-    # Every request on a phone selects one fixed model, as a user may; it is an alternative for some.
+    # Whoever asks for a phone has selected one fixed model, which is an alternative for some.
     picked = F.when(F.col("target") == "mobile_app", recommend.MODELS[0][1])
-    selections = (
-        ranked.where(F.col("rank") == 1)
-        .select(*recommend.REQUEST, picked.alias("selected_model_id"))
-        .where(F.col("selected_model_id").isNotNull())
-    )
-    rows = manifest.training_manifests(manifest.training_plans(ranked, selections))
+    asked = _requests(spark, sf).withColumn("selected_model_id", picked)
+    ranked = recommend.ranked_models(recommend.score_models(asked))
+    rows = manifest.training_manifests(manifest.training_plans(ranked))
     return rows.select(
         *recommend.REQUEST,
         "base_model",

@@ -48,9 +48,12 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder and cut its lineage there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute ``df`` once into a table in the shared folder and read it from there.
+
+    Several readers then share one pass over the source, each with its own column pruning, and a lost
+    executor costs a re-read instead of the whole lineage.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

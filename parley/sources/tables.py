@@ -19,18 +19,20 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_chats(spark: SparkSession, sf_dir: str, dataset: str = "lang") -> DataFrame:
+def document_chats(spark: SparkSession, sf_dir: str, *datasets: str) -> DataFrame:
     """Every document as a two-message conversation: its language asks, its text answers.
 
-    ``dataset`` names the column (``lang`` or ``source``) that groups documents into datasets.
+    Each column named in ``datasets`` (``lang`` unless given, ``source``) groups all documents into
+    datasets once; the table is read once for all of them.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [F.concat(F.lit(f"{by}-"), by) for by in datasets or ("lang",)]
 
     def message(role: str, column: str):
         return F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
 
     return docs.select(
-        F.concat(F.lit(f"{dataset}-"), dataset).alias("dataset_id"),
+        F.explode(F.array(*names)).alias("dataset_id"),
         F.col("doc_id").alias("conv_id"),
         F.array(message("user", "lang"), message("assistant", "text")).alias("messages"),
     )
