@@ -47,16 +47,20 @@ ROLE_RULES = {
 }
 
 
-def strict_variant(line: Column, nonce: str) -> Column:
-    """The line as VARIANT, or NULL unless the whole line is exactly one JSON value.
+def _wrapped(line: Column, nonce: str) -> Column:
+    """The line inside an array before a marker no line can know.
 
-    The parser stops after the first value and ignores what follows. Wrapped in an array before a
-    marker no line can know, trailing text either breaks the array or changes its length.
+    The parser stops after the first value and ignores what follows; wrapped, trailing text either
+    breaks the array or changes its length.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{nonce}"]')))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{nonce}"]')))
+
+
+def _unwrapped(wrapped: Column, nonce: str) -> Column:
+    """The line as VARIANT, or NULL unless the whole line is exactly one JSON value."""
     marker = F.try_variant_get(wrapped, "$[1]", "string")
-    return F.when((F.size(items) == 2) & (marker == nonce), items[0])
+    third = F.try_variant_get(wrapped, "$[2]", "variant")
+    return F.when((marker == nonce) & third.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def _type_name(value: Column) -> Column:
@@ -88,92 +92,119 @@ def _shown(value: Column) -> Column:
     )
 
 
-def _judge(message: Column) -> Column:
-    """``struct(code, detail, role, content)`` of one message held as VARIANT."""
-    fields = F.try_variant_get(message, "$", "map<string,variant>")
-    role, content = _field(message, "role"), _field(message, "content")
-    role_text = F.when(_is_string(role), F.try_variant_get(role, "$", "string"))
-    content_text = F.when(_is_string(content), F.try_variant_get(content, "$", "string"))
-    known = F.coalesce(role_text.isin(*ROLES), F.lit(False))
-    code = (
-        F.when(fields.isNull(), "message_not_object")
-        .when(role.isNull(), "no_role")
-        .when(content.isNull(), "no_content")
-        .when(~known, "role")
-        .when(content_text.isNull(), "content_type")
-        .when(T.is_blank(content_text), "content_empty")
-    )
-    detail = F.when(code == "message_not_object", _type_name(message)).when(
-        code == "role", _shown(role)
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).like("OBJECT%")
+
+
+def _string_of(value: Column) -> Column:
+    """The text of a string value; NULL for every other type, which a plain extraction would convert."""
+    return F.when(_is_string(value), F.try_variant_get(value, "$", "string"))
+
+
+def _members(item: Column) -> Column:
+    return F.struct(
+        item.alias("item"),
+        _field(item, "role").alias("role"),
+        _field(item, "content").alias("content"),
     )
+
+
+def _texts(message: Column) -> Column:
     return F.struct(
-        code.alias("code"),
-        detail.alias("detail"),
-        role_text.alias("role"),
-        content_text.alias("content"),
+        message["item"].alias("item"),
+        message["role"].alias("role"),
+        message["content"].alias("content"),
+        _string_of(message["role"]).alias("role_text"),
+        _string_of(message["content"]).alias("content_text"),
+    )
+
+
+def _message_code(message: Column) -> Column:
+    known = F.coalesce(message["role_text"].isin(*ROLES), F.lit(False))
+    return (
+        F.when(message["role"].isNull() & ~_is_object(message["item"]), "message_not_object")
+        .when(message["role"].isNull(), "no_role")
+        .when(message["content"].isNull(), "no_content")
+        .when(~known, "role")
+        .when(message["content_text"].isNull(), "content_type")
+        .when(T.is_blank(message["content_text"]), "content_empty")
     )
 
 
 def validate_lines(lines: DataFrame) -> DataFrame:
     """Add ``messages, raw, error_code, msg_idx, detail, message`` to a table with ``line, line_no``.
 
-    ``error_code`` is NULL for a valid line. A projection only: nothing is shuffled.
+    ``error_code`` is NULL for a valid line. Projections only: nothing is shuffled. Each step is a
+    projection of its own because its result is used several times by the next.
     """
     nonce = uuid.uuid4().hex
-    entry = F.col("_entry")
-    parsed = lines.withColumn("_entry", strict_variant(F.col("line"), nonce))
-    parsed = parsed.withColumns(
-        {
-            "_is_object": F.try_variant_get(entry, "$", "map<string,variant>").isNotNull(),
-            "_member": _field(entry, "messages"),
-        }
-    ).withColumn("_items", F.try_variant_get("_member", "$", "array<variant>"))
-    parsed = parsed.withColumn("_judged", F.transform("_items", _judge))
-    judged = F.col("_judged")
-    first_bad = F.array_position(
-        F.transform(judged, lambda m: m["code"].isNotNull()), True
-    ).cast("int")
+    entry, member, items, read = (F.col(c) for c in ("_entry", "_member", "_items", "_read"))
+    parsed = (
+        lines.withColumn("_wrapped", _wrapped(F.col("line"), nonce))
+        .withColumn("_entry", _unwrapped(F.col("_wrapped"), nonce))
+        .withColumn("_member", _field(entry, "messages"))
+        .withColumn("_items", F.try_variant_get(member, "$", "array<variant>"))
+        .withColumn("_seen", F.transform(items, _members))
+        .withColumn("_read", F.transform("_seen", _texts))
+        .withColumn("_codes", F.transform(read, _message_code))
+        .withColumn(
+            "_bad",
+            F.array_position(F.transform("_codes", lambda c: c.isNotNull()), True).cast("int"),
+        )
+    )
 
     def has(role: str) -> Column:
-        return F.exists(judged, lambda m: m["role"] == role)
+        return F.exists(read, lambda m: m["role_text"] == role)
 
-    line_code = (
+    in_message = F.col("_bad") > 0
+    code = (
         F.when(entry.isNull(), "invalid_json")
-        .when(~F.col("_is_object"), "not_object")
-        .when(F.col("_member").isNull(), "no_messages")
-        .when(F.col("_items").isNull(), "messages_not_array")
-        .when(F.size("_items") < MIN_MESSAGES, "too_few_messages")
+        .when(member.isNull() & ~_is_object(entry), "not_object")
+        .when(member.isNull(), "no_messages")
+        .when(items.isNull(), "messages_not_array")
+        .when(F.size(items) < MIN_MESSAGES, "too_few_messages")
+        .when(in_message, F.get("_codes", F.col("_bad") - 1))
+        .when(~has("user"), "no_user")
+        .when(~has("assistant"), "no_assistant")
     )
-    role_code = F.when(~has("user"), "no_user").when(~has("assistant"), "no_assistant")
-    parsed = parsed.withColumns({"_line_code": line_code, "_bad": first_bad}).withColumn(
-        "_broken", F.when(F.col("_line_code").isNull() & (F.col("_bad") > 0), F.get(judged, F.col("_bad") - 1))
-    )
-    code = F.coalesce("_line_code", "_broken.code", role_code)
-    parsed = parsed.withColumn("error_code", code).withColumns(
+    parsed = parsed.withColumn("error_code", code)
+    failed = F.col("error_code")
+    broken = F.get(read, F.col("_bad") - 1)
+    parsed = parsed.withColumns(
         {
-            "msg_idx": F.when(F.col("_broken").isNotNull(), F.col("_bad")),
-            "detail": F.when(F.col("error_code") == "not_object", _type_name(entry)).otherwise(
-                F.col("_broken.detail")
-            ),
+            "msg_idx": F.when(failed.isin(*MESSAGE_RULES), F.col("_bad")),
+            "detail": F.when(failed == "not_object", _type_name(entry))
+            .when(failed == "message_not_object", _type_name(broken["item"]))
+            .when(failed == "role", _shown(broken["role"])),
         }
     )
     bodies = F.create_map(
         *[F.lit(x) for rule in {**LINE_RULES, **MESSAGE_RULES, **ROLE_RULES}.items() for x in rule]
     )
-    body = F.replace(
-        bodies[F.col("error_code")], F.lit("%s"), F.coalesce("detail", F.lit(""))
-    )
+    body = F.replace(bodies[failed], F.lit("%s"), F.coalesce("detail", F.lit("")))
     place = F.when(
         F.col("msg_idx").isNotNull(), F.format_string("Line %d, message %d: ", "line_no", "msg_idx")
     ).otherwise(F.format_string("Line %d: ", "line_no"))
-    valid = F.col("error_code").isNull()
     messages = F.transform(
-        judged, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+        read, lambda m: F.struct(m["role_text"].alias("role"), m["content_text"].alias("content"))
     )
     return parsed.withColumns(
         {
-            "messages": F.when(valid, messages),
-            "raw": F.when(valid, entry),
-            "message": F.when(~valid, F.concat(place, body)),
+            "messages": F.when(failed.isNull(), messages),
+            "raw": F.when(failed.isNull(), entry),
+            "message": F.when(failed.isNotNull(), F.concat(place, body)),
         }
-    ).drop("_entry", "_is_object", "_member", "_items", "_judged", "_line_code", "_bad", "_broken")
+    ).drop("_wrapped", "_entry", "_member", "_items", "_seen", "_read", "_codes", "_bad")
+
+
+def lines_where(validated: DataFrame, condition: Column) -> DataFrame:
+    """Filter validated lines by the outcome.
+
+    The optimizer moves a filter below the projections it depends on and so would parse every line a
+    second time there; it does not do so past a random column.
+    """
+    return (
+        validated.withColumn("_here", F.rand())
+        .where(condition & (F.col("_here") >= 0.0))
+        .drop("_here")
+    )

@@ -28,12 +28,8 @@ WHITESPACE = "".join(
         ],
     )
 )
-# The same set as a character-class body for the regex functions.
-WHITESPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-# Every line boundary of a Unicode-aware line split.
-LINE_SEPARATOR = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+# Every line boundary of a Unicode-aware line split, the longest first.
+LINE_SEPARATORS = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 BYTE_ORDER_MARK = "\ufeff"
 
@@ -43,9 +39,29 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE))
+
+
 def is_blank(text: Column) -> Column:
-    """True when nothing is left after :func:`strip`; stops at the first visible character."""
-    return ~text.rlike(f"[^{WHITESPACE_CLASS}]")
+    """True when only whitespace is there; looks no further than the first visible character."""
+    return lstrip(text) == ""
+
+
+def split_lines(text: Column) -> Column:
+    """Lines as an array, split at every Unicode line boundary.
+
+    Byte searches for separators that hardly ever occur are much cheaper than one regular expression.
+    """
+    for separator in LINE_SEPARATORS:
+        text = F.replace(text, F.lit(separator), F.lit("\n"))
+    return F.split(text, "\n")
+
+
+def strip_line(line: Column) -> Column:
+    """:func:`strip` that leaves lines alone which visibly need none: those from brace to brace."""
+    braced = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
+    return F.when(braced, line).otherwise(strip(line))
 
 
 def has_non_ascii(text: Column) -> Column:
@@ -55,7 +71,8 @@ def has_non_ascii(text: Column) -> Column:
 
 def looks_like_json(text: Column) -> Column:
     """True when the first visible character opens an object or an array."""
-    return text.rlike(rf"^[{WHITESPACE_CLASS}]*[\[{{]")
+    visible = lstrip(text)
+    return F.startswith(visible, F.lit("{")) | F.startswith(visible, F.lit("["))
 
 
 def normalised(text: Column) -> Column:

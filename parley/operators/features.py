@@ -37,6 +37,7 @@ def message_facts(messages: DataFrame) -> DataFrame:
         "role",
         F.length(text).cast("bigint").alias("n_chars"),
         (role.isNull() | ~role.isin(*ROLES) | text.isNull() | T.is_blank(text)).alias("is_bad"),
+        answer.isNotNull().alias("is_answer"),
         F.length(T.strip(answer)).alias("response_chars"),
         T.content_hash(normal).alias("response_hash"),
         T.has_non_ascii(normal).alias("non_ascii"),

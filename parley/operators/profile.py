@@ -56,7 +56,7 @@ def structure_profile(features: DataFrame) -> DataFrame:
 
 
 def _distinct_responses(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("response_hash").isNotNull()).groupBy("dataset_id", "response_hash")
+    return facts.where("is_answer").groupBy("dataset_id", "response_hash")
 
 
 def response_profile(facts: DataFrame, sample: int | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def _response_flags(counts: DataFrame) -> DataFrame:
 
 def json_profile(facts: DataFrame, sample: int = RESPONSE_SAMPLE) -> DataFrame:
     """JSON-like share of the first ``sample`` non-blank answers in file order."""
-    answers = facts.where(F.col("response_chars") > 0).select(
+    answers = facts.where(F.col("is_answer") & ~F.col("is_bad")).select(
         "dataset_id", "conv_id", "turn", "json_like"
     )
     head = first_rows(answers, ["dataset_id"], ["conv_id", "turn"], sample)

@@ -6,7 +6,7 @@ distinct answers, plain window functions for ranks, ``printf`` for rounding.
 
 from __future__ import annotations
 
-from parley.functions.text import WHITESPACE, WHITESPACE_CLASS
+from parley.functions.text import WHITESPACE
 from parley.operators.manifest import GATED_PATTERNS
 from parley.operators.recommend import (
     EDGE_POOL,
@@ -231,7 +231,7 @@ bad AS (
   SELECT dataset_id, conv_id, turn, role, CASE
       WHEN role IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'role'
       WHEN text IS NULL THEN 'content_type'
-      WHEN NOT regexp_matches(text, '[^{WHITESPACE_CLASS}]') THEN 'content_empty' END AS error
+      WHEN {_strip('text')} = '' THEN 'content_empty' END AS error
   FROM messages),
 first_bad AS (SELECT * FROM bad WHERE error IS NOT NULL
               QUALIFY row_number() OVER (PARTITION BY dataset_id, conv_id ORDER BY turn) = 1),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.lines import validate_lines
+from parley.functions.lines import lines_where, validate_lines
 from parley.schema import MAX_FILE_BYTES
 
 SUFFIX = ".jsonl"
@@ -104,20 +104,19 @@ def decode(content: Column) -> Column:
     decoded = F.when(F.is_valid_utf8(as_text), as_text).otherwise(
         F.decode(content, "ISO-8859-1")
     )
-    return F.regexp_replace(decoded, f"^{T.BYTE_ORDER_MARK}", "")
+    marked = F.startswith(decoded, F.lit(T.BYTE_ORDER_MARK))
+    return F.when(marked, F.substring(decoded, 2, 2**31 - 1)).otherwise(decoded)
 
 
 def split_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``dataset_id, line_no, line`` (and ``keep``) from a table with ``dataset_id, content``. No shuffle."""
-    whole = files.select("dataset_id", *keep, T.strip(decode(F.col("content"))).alias("whole"))
-    lines = whole.select(
-        "dataset_id", *keep, F.posexplode(F.split("whole", T.LINE_SEPARATOR)).alias("at", "line")
-    )
+    whole = T.lstrip(decode(F.col("content")))
+    lines = files.select("dataset_id", *keep, F.posexplode(T.split_lines(whole)).alias("at", "line"))
     return lines.select(
         "dataset_id",
         *keep,
         (F.col("at") + 1).cast("bigint").alias("line_no"),
-        T.strip(F.col("line")).alias("line"),
+        T.strip_line(F.col("line")).alias("line"),
     ).where(F.col("line") != "")
 
 
@@ -150,7 +149,8 @@ def scan_lines(
 
     A first pass over the files counts the lines of each block, notes whether its bytes are valid
     UTF-8 and where its first non-blank line is. Running sums over the blocks of a dataset turn the
-    position in a block into a line number. Both passes split the files alike.
+    position in a block into a line number. Both passes split the files alike. (The reader itself drops
+    a byte order mark.)
     """
     numbered = _open(spark, path, "text", suffix).select(
         F.col("_metadata.file_path").alias("path"),
@@ -160,12 +160,15 @@ def scan_lines(
     )
     value = F.col("value")
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    plain = F.octet_length(value) == F.length(value)
+    at = F.col("at")
     blocks = numbered.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("at").alias("first_at"),
         F.bool_and(F.is_valid_utf8(value)).alias("valid"),
-        F.min(F.when(~T.is_blank(F.regexp_replace(value, f"^{T.BYTE_ORDER_MARK}", "")), F.col("at"))).alias("seen_utf8"),
-        F.min(F.when(~T.is_blank(latin), F.col("at"))).alias("seen_latin"),
+        F.min(F.when(~T.is_blank(value), at)).alias("seen_utf8"),
+        # For ASCII lines, nearly all, both decodings are the same text.
+        F.min(F.when(~F.when(plain, T.is_blank(value)).otherwise(T.is_blank(latin)), at)).alias("seen_latin"),
     )
     blocks = blocks.withColumn("dataset_id", dataset_of(F.col("path"), by))
     of_file = Window.partitionBy("dataset_id", "path")
@@ -185,14 +188,12 @@ def scan_lines(
         offsets = F.broadcast(offsets)
     line = F.when(F.col("utf8"), value).otherwise(latin)
     position = F.col("offset") + F.col("at") - F.col("first_at")
-    at_start = (F.col("block") == 0) & (F.col("at") == F.col("first_at"))
-    line = F.when(at_start, F.regexp_replace(line, f"^{T.BYTE_ORDER_MARK}", "")).otherwise(line)
     return (
         numbered.join(offsets, ["path", "block"])
         .select(
             "dataset_id",
             (position - F.col("leading") + 1).alias("line_no"),
-            T.strip(line).alias("line"),
+            T.strip_line(line).alias("line"),
         )
         .where(F.col("line") != "")
     )
@@ -200,13 +201,13 @@ def scan_lines(
 
 def chats_of(validated: DataFrame) -> DataFrame:
     """Valid lines as ``chats``; the line number is the conversation id."""
-    return validated.where(F.col("error_code").isNull()).select(
+    return lines_where(validated, F.col("error_code").isNull()).select(
         "dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw"
     )
 
 
 def rejects_of(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col("error_code").isNotNull()).select(
+    return lines_where(validated, F.col("error_code").isNotNull()).select(
         "dataset_id", "line_no", "error_code", "msg_idx", "detail", "message"
     )
 

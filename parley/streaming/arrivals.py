@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.functions import conversation as C
-from parley.functions.lines import validate_lines
+from parley.functions.lines import lines_where, validate_lines
 from parley.schema import MAX_FILE_BYTES
 from parley.sources.jsonl import (
     SUFFIX,
@@ -99,10 +99,8 @@ def chat_stream(
     """Valid conversations of arriving files as a streaming ``chats`` table with ``arrived``."""
     files = _arriving(spark, path, by, max_files).where(_acceptable(max_bytes, suffix))
     lines = split_files(files, keep=("arrived",))
-    return (
-        validate_lines(lines)
-        .where(F.col("error_code").isNull())
-        .select("dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw", "arrived")
+    return lines_where(validate_lines(lines), F.col("error_code").isNull()).select(
+        "dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw", "arrived"
     )
 
 
