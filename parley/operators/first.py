@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import written_once
+
 # Spark prunes ``row_number() <= n`` before the shuffle only up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_BY_SPARK = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -45,9 +47,9 @@ def rows_at_quarters(df: DataFrame, group: str, key: str) -> DataFrame:
         F.min(key).alias("_low"), F.max(key).alias("_high"), F.count(F.lit(1)).alias("_n")
     )
     span = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
-    spans = spans.withColumn(
-        "_width", F.greatest(F.ceil(span / F.col("_n") * ROWS_PER_BUCKET).cast("double"), F.lit(1.0))
-    )
+    width = F.greatest(F.ceil(span / F.col("_n") * ROWS_PER_BUCKET).cast("double"), F.lit(1.0))
+    # One row per group; written, so that the join below does not shuffle the keys when it is small.
+    spans = written_once(spans.withColumn("_width", width), "spans")
     bucket = F.floor((k.cast("double") - F.col("_low").cast("double")) / F.col("_width"))
     bucketed = df.join(spans.select(group, "_low", "_width"), group).select(
         group, key, bucket.alias("_bucket")

@@ -9,6 +9,7 @@ from parley.functions import conversation as C
 from parley.functions import text as T
 from parley.operators.first import first_rows, rows_at_quarters
 from parley.schema import CONV_KEY, PREVIEW_ROWS, SAMPLE_ROWS
+from parley.session import written_once
 
 # A plain template; pass the one of your tokenizer.
 CHAT_TEMPLATE = {
@@ -79,8 +80,10 @@ def context_before_answer(messages: DataFrame) -> DataFrame:
         .groupBy(*CONV_KEY)
         .agg(F.min("turn").alias("_bound"))
     )
+    # An answer never precedes the first one, so answers stay out of the join.
     return (
-        messages.join(bound, CONV_KEY, "left")
+        messages.where(~F.col("role").eqNullSafe("assistant"))
+        .join(bound, CONV_KEY, "left")
         .where(F.col("_bound").isNull() | (F.col("turn") < F.col("_bound")))
         .drop("_bound")
     )
@@ -98,8 +101,11 @@ def sample_page(conversations: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame
 
 
 def preview(rows: DataFrame, conversations: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
-    """All rows of the first ``n`` conversations of each dataset."""
-    return rows.join(sample_page(conversations, n), CONV_KEY)
+    """All rows of the first ``n`` conversations of each dataset.
+
+    The page's keys are written first: when they are few the rows are filtered where they are read.
+    """
+    return rows.join(written_once(sample_page(conversations, n), "page"), CONV_KEY)
 
 
 def page_totals(conversations: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
@@ -137,7 +143,7 @@ def first_system_prompt(messages: DataFrame) -> DataFrame:
     A minimum finds the first conversation; only its rows go on, and only one message per dataset
     is compared by turn.
     """
-    first = messages.groupBy("dataset_id").agg(F.min("conv_id").alias("conv_id"))
+    first = written_once(messages.groupBy("dataset_id").agg(F.min("conv_id").alias("conv_id")), "first")
     opening = (
         messages.join(first, CONV_KEY, "left_semi")
         .groupBy("dataset_id")

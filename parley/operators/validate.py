@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 from parley.operators.first import first_rows
 from parley.schema import CONV_KEY, ERRORS_SHOWN, MIN_EXAMPLES, MIN_MESSAGES, ROLES
+from parley.session import written_once
 
 # Messages of the rules a columnar message can break, after the position prefix.
 _MESSAGE_RULES = {
@@ -108,8 +109,11 @@ def dataset_gate(verdicts: DataFrame, order: str = "conv_id", strict: bool = Tru
 
     ``verdicts`` has one row per conversation or line with ``dataset_id, error_code, message``.
     Strict mode rejects a dataset for any error; otherwise bad rows are set aside and only the number
-    of valid ones counts.
+    of valid ones counts. The verdicts, without any text, are written once for both their uses.
     """
+    verdicts = verdicts.select("dataset_id", order, "error_code", "message")
+    if strict:
+        verdicts = written_once(verdicts, "verdicts")
     counts = verdicts.groupBy("dataset_id").agg(
         F.count_if(F.col("error_code").isNull()).alias("n_valid"),
         F.count_if(F.col("error_code").isNotNull()).alias("n_errors"),
@@ -129,9 +133,13 @@ def dataset_gate(verdicts: DataFrame, order: str = "conv_id", strict: bool = Tru
 
 
 def accepted_rows(rows: DataFrame, gate: DataFrame) -> DataFrame:
-    """Rows of accepted datasets. The gate has one row per dataset; adaptive execution measures it
-    and broadcasts it if small, else splits hot datasets of the sort-merge join."""
-    return rows.join(gate.where("accepted").select("dataset_id"), "dataset_id", "left_semi")
+    """Rows of accepted datasets.
+
+    The gate has one row per dataset. Written first, it is broadcast if small and the rows stay where
+    they are; else adaptive execution splits the hot datasets of a sort-merge join.
+    """
+    accepted = written_once(gate.where("accepted").select("dataset_id"), "accepted")
+    return rows.join(accepted, "dataset_id", "left_semi")
 
 
 def rejected_datasets(rows: DataFrame, gate: DataFrame) -> DataFrame:

@@ -277,6 +277,31 @@ gate AS (
 """
 
 
+# What is wrong with each form of a line; the forms follow each other by document id.
+_LINES = """
+WITH forms(k, error_code, msg_idx, body) AS (VALUES
+  (0, NULL, NULL::INTEGER, NULL),
+  (1, 'invalid_json', NULL, 'Invalid JSON - the line is not one JSON value'),
+  (2, 'invalid_json', NULL, 'Invalid JSON - the line is not one JSON value'),
+  (3, 'not_object', NULL, 'must be a JSON object, got list'),
+  (4, 'not_object', NULL, 'must be a JSON object, got str'),
+  (5, 'not_object', NULL, 'must be a JSON object, got NoneType'),
+  (6, 'no_messages', NULL, 'missing ''messages'' array'),
+  (7, 'messages_not_array', NULL, '''messages'' must be an array'),
+  (8, 'too_few_messages', NULL, 'need at least 2 messages (user + assistant)'),
+  (9, 'message_not_object', 1, 'must be an object, got str'),
+  (10, 'no_role', 2, 'missing ''role'' field'),
+  (11, 'no_content', 2, 'missing ''content'' field'),
+  (12, 'role', 2, 'invalid role ''bot''. Must be: system, user, or assistant'),
+  (13, 'content_type', 1, '''content'' must be a string'),
+  (14, 'content_empty', 2, '''content'' cannot be empty'),
+  (15, 'no_user', NULL, 'conversation must have at least one ''user'' message'),
+  (16, 'no_assistant', NULL, 'conversation must have at least one ''assistant'' message'),
+  (17, NULL, NULL, NULL))
+SELECT 'lang-' || lang AS dataset_id, doc_id AS line_no, error_code, msg_idx,
+  'Line ' || doc_id || coalesce(', message ' || msg_idx, '') || ': ' || body AS message
+FROM documents JOIN forms ON k = doc_id % 18"""
+
 # ---- recommendation -----------------------------------------------------------------------------
 
 
@@ -506,6 +531,7 @@ def all_oracles() -> dict[str, str]:
         "accepted_conversations": f"""{_gate(True)} SELECT v.dataset_id, v.conv_id, v.n_messages FROM verdicts v
             WHERE v.dataset_id IN (SELECT dataset_id FROM gate WHERE error_msg IS NULL)""",
         "rejected_datasets": f"{_gate(True)} SELECT dataset_id FROM gate WHERE error_msg IS NOT NULL",
+        "line_validation": _LINES,
         "preview_rows": f"""WITH messages AS ({_ALL}), p AS (
             SELECT dataset_id, conv_id, row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id) AS row_no
             FROM (SELECT DISTINCT dataset_id, conv_id FROM messages))
@@ -571,6 +597,7 @@ def all_oracles() -> dict[str, str]:
             FROM lines WHERE NOT ({_IS_VALID})""",
         "stream_ingest": f"""{_EXPORTED} SELECT dataset_id, n_messages, n_user, n_assistant, n_system, n_chars, sha256(fp) AS fingerprint
             FROM lines WHERE {_IS_VALID}""",
+        "stream_first_arrivals": f"""{_with(_documents('lang'))} SELECT DISTINCT dataset_id, sha256(fp) AS fingerprint FROM features""",
         "training_export": f"""SELECT dataset_id, 'microsoft/Phi-4-mini-instruct' AS base_model, './data.jsonl' AS data_path,
             './lora_adapter' AS output_dir, 2048 AS max_seq_length, 16 AS r, 'q_proj,k_proj,v_proj,o_proj,fc1,fc2' AS target_modules
             FROM ({_CONVERSATIONS}) GROUP BY dataset_id""",

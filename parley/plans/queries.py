@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import conversation as C
 from parley.functions import text as T
+from parley.functions.lines import validate_lines
 from parley.operators import dedup, manifest, profile, quality, recommend, rewrite, stats, training, validate
 from parley.operators.features import (
     chat_features,
@@ -26,9 +27,14 @@ from parley.operators.features import (
 )
 from parley.operators.shape import explode_messages, nest_messages
 from parley.schema import CONV_KEY, RESPONSE_SAMPLE, TOKEN_BUDGET
-from parley.session import scratch_path
+from parley.session import scratch_path, written_once
 from parley.sources import jsonl, sinks
-from parley.sources.tables import as_json_answers, conversation_messages, document_chats
+from parley.sources.tables import (
+    as_json_answers,
+    conversation_messages,
+    document_chats,
+    document_lines,
+)
 from parley.streaming import arrivals
 
 SYSTEM_PROMPT = "  You are a careful assistant.  "
@@ -208,16 +214,23 @@ def dataset_gate_quarantine(spark, sf):
 
 
 def accepted_conversations(spark, sf):
-    verdicts = validate.validate_messages(many_messages(spark, sf))
+    verdicts = written_once(validate.validate_messages(many_messages(spark, sf)), "verdicts")
     rows = verdicts.select(*CONV_KEY, "n_messages")
     return validate.accepted_rows(rows, validate.dataset_gate(verdicts))
 
 
 def rejected_datasets(spark, sf):
-    verdicts = validate.validate_messages(many_messages(spark, sf))
+    verdicts = written_once(validate.validate_messages(many_messages(spark, sf)), "verdicts")
     return validate.rejected_datasets(verdicts, validate.dataset_gate(verdicts))
 
 
+def line_validation(spark, sf):
+    """Every document as a JSONL line, in turn valid or broken by one of the rules, parsed and judged."""
+    return validate_lines(document_lines(spark, sf)).select(
+        "dataset_id", "line_no", "error_code", "msg_idx", "message"
+    )
+
+
 # ---- rows ---------------------------------------------------------------------------------------
 
 
@@ -389,20 +402,21 @@ def first_system_prompt(spark, sf):
 # ---- files --------------------------------------------------------------------------------------
 
 
-def _written_jsonl(spark: SparkSession, sf: str) -> str:
-    """The conversations as a training set on shared storage; returns its data folder."""
-    chats = nest_messages(conversation_messages(spark, sf))
-    n = stats.ingest_stats(_features(conversation_messages(spark, sf)))
-    plans = n.select(
-        "dataset_id",
-        F.col("total_examples").alias("num_examples"),
-        F.lit(manifest.FALLBACK_MODEL_ID).alias("base_model"),
+def _written_jsonl(spark: SparkSession, chats: DataFrame, features: DataFrame) -> str:
+    """Chats as a training set on shared storage; returns its data folder."""
+    plans = features.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("num_examples")).withColumn(
+        "base_model", F.lit(manifest.FALLBACK_MODEL_ID)
     )
     path = scratch_path(spark, "export")
     sinks.export_training_sets(chats, manifest.training_manifests(plans), path)
     return f"{path}/data"
 
 
+def _conversation_files(spark: SparkSession, sf: str) -> str:
+    messages = conversation_messages(spark, sf)
+    return _written_jsonl(spark, nest_messages(messages), _conversations(messages))
+
+
 def _line_features(chats: DataFrame) -> DataFrame:
     return chat_features(chats).select(
         "dataset_id", "n_messages", "n_user", "n_assistant", "n_system", "n_chars", "fingerprint"
@@ -411,20 +425,20 @@ def _line_features(chats: DataFrame) -> DataFrame:
 
 def jsonl_ingest(spark, sf):
     """Written as JSONL and read back file by file."""
-    chats, _ = jsonl.read_jsonl(spark, _written_jsonl(spark, sf), by="partition", suffix=".txt")
+    chats, _ = jsonl.read_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
     return _line_features(chats)
 
 
 def jsonl_scan(spark, sf):
     """Written as JSONL and read back in splits, with line numbers through all parts."""
-    chats, _ = jsonl.scan_jsonl(spark, _written_jsonl(spark, sf), by="partition", suffix=".txt")
+    chats, _ = jsonl.scan_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
     return chat_features(chats).select(
         "dataset_id", F.col("conv_id").alias("line_no"), "n_messages", "n_chars", "fingerprint"
     )
 
 
 def jsonl_rejects(spark, sf):
-    _, rejects = jsonl.scan_jsonl(spark, _written_jsonl(spark, sf), by="partition", suffix=".txt")
+    _, rejects = jsonl.scan_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
     return rejects.select("dataset_id", "line_no", "error_code", "msg_idx", "message")
 
 
@@ -433,7 +447,7 @@ def stream_ingest(spark, sf):
     out = scratch_path(spark, "arrived")
     query = arrivals.ingest_stream(
         spark,
-        _written_jsonl(spark, sf),
+        _conversation_files(spark, sf),
         out,
         scratch_path(spark, "stream-state"),
         by="partition",
@@ -443,9 +457,28 @@ def stream_ingest(spark, sf):
     return _line_features(spark.read.parquet(f"{out}/chats"))
 
 
+def stream_first_arrivals(spark, sf):
+    """Documents as arriving files; what is left after dropping what arrived before."""
+    chats = document_chats(spark, sf)
+    files = _written_jsonl(spark, chats, chats)
+    out = scratch_path(spark, "first")
+    arriving = arrivals.chat_stream(spark, files, by="partition", suffix=".txt")
+    query = (
+        arrivals.first_arrivals(arriving)
+        .select("dataset_id", "fingerprint")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def training_export(spark, sf):
     """The exported manifest of each dataset, parsed again."""
-    data = _written_jsonl(spark, sf)
+    data = _conversation_files(spark, sf)
     config = spark.read.text(f"{data[: -len('/data')]}/config")
     parsed = F.from_json(
         "value",
@@ -489,6 +522,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_gate_quarantine": dataset_gate_quarantine,
         "accepted_conversations": accepted_conversations,
         "rejected_datasets": rejected_datasets,
+        "line_validation": line_validation,
         "preview_rows": preview_rows,
         "sample_page": sample_page,
         "page_totals": page_totals,
@@ -514,5 +548,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "jsonl_scan": jsonl_scan,
         "jsonl_rejects": jsonl_rejects,
         "stream_ingest": stream_ingest,
+        "stream_first_arrivals": stream_first_arrivals,
         "training_export": training_export,
     }

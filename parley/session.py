@@ -18,9 +18,17 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# For a cluster: start every shuffle wide and let adaptive execution merge what turns out small, so
+# that no partition outgrows an executor's memory on large inputs.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def build_session(master: str | None = None, app: str = "parley", **extra: str) -> SparkSession:
-    """A session with :data:`SETTINGS`; cluster sizing stays with the submitter."""
+    """A session with :data:`SETTINGS`; pass :data:`CLUSTER_SETTINGS` too, or your own, on a cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -52,7 +60,8 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and read it from there.
 
     Several readers then share one pass over the source, each with its own column pruning, and a lost
-    executor costs a re-read instead of the whole lineage.
+    executor costs a re-read instead of the whole lineage. The optimizer also learns the true size: a
+    small table is broadcast, and one above ``spark.sql.autoBroadcastJoinThreshold`` is not.
     """
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)

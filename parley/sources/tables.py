@@ -47,3 +47,43 @@ def as_json_answers(messages: DataFrame, dataset_id: str = "json") -> DataFrame:
             "text": F.when(F.col("role") == "assistant", answer).otherwise(F.col("text")),
         }
     )
+
+
+# Forms of a line, taken in turn by document; ``@`` stands for the text as a JSON string, ``#`` for its
+# length, ``~`` for the bare text.
+LINE_FORMS = [
+    '{"messages": [{"role": "user", "content": "ask"}, {"role": "assistant", "content": @}], "id": #}',
+    "~",
+    '{"messages": [{"role": "user", "content": @}]} tail',
+    "[@]",
+    "@",
+    "null",
+    '{"text": @}',
+    '{"messages": @}',
+    '{"messages": [{"role": "user", "content": @}]}',
+    '{"messages": [@, @]}',
+    '{"messages": [{"role": "user", "content": @}, {"content": @}]}',
+    '{"messages": [{"role": "user", "content": @}, {"role": "assistant", "text": @}]}',
+    '{"messages": [{"role": "user", "content": @}, {"role": "bot", "content": @}]}',
+    '{"messages": [{"role": "user", "content": #}, {"role": "assistant", "content": @}]}',
+    '{"messages": [{"role": "user", "content": @}, {"role": "assistant", "content": " \\u3000"}]}',
+    '{"messages": [{"role": "assistant", "content": @}, {"role": "assistant", "content": "b"}]}',
+    '{"messages": [{"role": "user", "content": @}, {"role": "system", "content": "s"}]}',
+    '{"messages": [{"role": "system", "content": @}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}',
+]
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one line of JSONL in one of :data:`LINE_FORMS`, as ``dataset_id, line_no, line``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    form = F.element_at(
+        F.array(*map(F.lit, LINE_FORMS)), (F.pmod("doc_id", F.lit(len(LINE_FORMS))) + 1).cast("int")
+    )
+    line = F.replace(form, F.lit("#"), F.length("text").cast("string"))
+    line = F.when(form == "~", F.col("text")).otherwise(F.replace(line, F.lit("@"), quoted))
+    return docs.select(
+        F.concat(F.lit("lang-"), "lang").alias("dataset_id"),
+        F.col("doc_id").alias("line_no"),
+        line.alias("line"),
+    )
