@@ -6,6 +6,9 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +37,21 @@ LINE_SEPARATORS = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85",
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def strip(text: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace."""
-    return F.btrim(text, F.lit(WHITESPACE))
-
-
 def lstrip(text: Column) -> Column:
     return F.ltrim(text, F.lit(WHITESPACE))
 
 
+def strip(text: Column) -> Column:
+    """Remove leading and trailing Unicode whitespace.
+
+    Trimming a set of characters on the right indexes the whole text, so it is done only for text
+    that ends in one of them.
+    """
+    ends_blank = reduce(or_, (F.endswith(text, F.lit(c)) for c in WHITESPACE))
+    left = lstrip(text)
+    return F.when(ends_blank, F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
+
+
 def is_blank(text: Column) -> Column:
     """True when only whitespace is there; looks no further than the first visible character."""
     return lstrip(text) == ""
