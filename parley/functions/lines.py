@@ -137,6 +137,8 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     ``error_code`` is NULL for a valid line. Projections only: nothing is shuffled. Each step is a
     projection of its own because its result is used several times by the next.
     """
+    # The last of duplicate keys wins; without this setting such lines would not parse.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     nonce = uuid.uuid4().hex
     entry, member, items, read = (F.col(c) for c in ("_entry", "_member", "_items", "_read"))
     parsed = (

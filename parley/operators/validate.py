@@ -38,7 +38,7 @@ def validate_messages(messages: DataFrame) -> DataFrame:
     """``error_code, msg_idx, message`` per conversation; NULL where it is valid.
 
     The first broken rule names the error: too few messages, then the messages from left to right,
-    then a missing user or assistant. Counts go through a hash aggregate; only broken messages, which
+    then a missing user or assistant. Texts name the conversation id as the line. Counts go through a hash aggregate; only broken messages, which
     are few, carry their role text.
     """
     role = F.col("role")

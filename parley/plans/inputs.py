@@ -1,4 +1,4 @@
-"""Message tables from columnar files."""
+"""The given tables as chat and message tables, and inputs derived from them."""
 
 from __future__ import annotations
 

@@ -26,15 +26,15 @@ from parley.operators.features import (
     valid_only,
 )
 from parley.operators.shape import explode_messages, nest_messages
-from parley.schema import CONV_KEY, RESPONSE_SAMPLE, TOKEN_BUDGET
-from parley.session import scratch_path, written_once
-from parley.sources import jsonl, sinks
-from parley.sources.tables import (
+from parley.plans.inputs import (
     as_json_answers,
     conversation_messages,
     document_chats,
     document_lines,
 )
+from parley.schema import CONV_KEY, RESPONSE_SAMPLE, TOKEN_BUDGET
+from parley.session import scratch_path, written_once
+from parley.sources import jsonl, sinks
 from parley.streaming import arrivals
 
 SYSTEM_PROMPT = "  You are a careful assistant.  "

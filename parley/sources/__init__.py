@@ -1 +1 @@
-"""Readers and writers: JSONL files, message tables, training sets."""
+"""Readers and writers: JSONL files, training sets."""

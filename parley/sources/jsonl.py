@@ -16,7 +16,7 @@ Lines are numbered from the first non-blank line; blank lines are skipped but ke
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,14 +132,25 @@ def read_lines(
     return split_files(files.select(dataset_of(F.col("_metadata.file_path"), by).alias("dataset_id"), "content"))
 
 
-def _block_bound(spark: SparkSession, path: str) -> int:
-    """An upper bound of the blocks a scan of ``path`` is split into, from the file listing."""
-    total, n_files = list_files(spark, path).agg(F.sum("length"), F.count(F.lit(1))).first()
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    open_cost = spark.conf.get("spark.sql.files.openCostInBytes")
-    largest, cost = (int(str(v).rstrip("b")) for v in (size, open_cost))
-    smallest_split = min(largest, max(cost, (total or 0) // spark.sparkContext.defaultParallelism))
-    return n_files + math.ceil((total or 0) / max(1, smallest_split))
+def _bytes_setting(spark: SparkSession, name: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def _block_bound(spark: SparkSession, path: str, suffix: str) -> int:
+    """How many blocks a scan of ``path`` is split into at most, from the file listing."""
+    files = _open(spark, path, "binaryFile", suffix).select("length")
+    total, n_files = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    cores = (
+        spark.conf.get("spark.sql.files.minPartitionNum", None)
+        or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        or spark.sparkContext.defaultParallelism
+    )
+    split = min(
+        _bytes_setting(spark, "spark.sql.files.maxPartitionBytes"),
+        max(_bytes_setting(spark, "spark.sql.files.openCostInBytes"), total // int(cores)),
+    )
+    return n_files + total // max(1, split)
 
 
 def scan_lines(
@@ -184,7 +195,7 @@ def scan_lines(
     offsets = offsets.withColumn(
         "leading", F.min(F.col("offset") + seen - F.col("first_at")).over(of_dataset)
     ).select("dataset_id", "path", "block", "offset", "first_at", "utf8", "leading")
-    if _block_bound(spark, path) <= _BROADCAST_BLOCKS:
+    if _block_bound(spark, path, suffix) <= _BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     line = F.when(F.col("utf8"), value).otherwise(latin)
     position = F.col("offset") + F.col("at") - F.col("first_at")

@@ -158,6 +158,26 @@ def test_splittable_scan_counts_over_blocks_and_parts(spark, tmp_path):
     assert got == expected_lines(data)
 
 
+@pytest.mark.parametrize("size", ["134217728b", "256m", "1g", "3000", "64KB"])
+def test_block_bound_holds(spark, tmp_path, size):
+    for i in range(3):
+        write(tmp_path / f"{i}.jsonl", "\n".join([OK] * 500 * (i + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        text = jsonl._open(spark, str(tmp_path), "text", ".jsonl")
+        blocks = text.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert blocks <= jsonl._block_bound(spark, str(tmp_path), ".jsonl") <= blocks + 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_scan_without_broadcast_gives_the_same(spark, folder, monkeypatch):
+    want = sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect()))
+    monkeypatch.setattr(jsonl, "_BROADCAST_BLOCKS", -1)
+    assert sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect())) == want
+
+
 def test_file_gates(spark, folder):
     _, rejects = jsonl.read_jsonl(spark, str(folder), max_bytes=150)
     got = {r.dataset_id: (r.error_code, r.message) for r in rejects.where("line_no = 0").collect()}

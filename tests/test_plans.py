@@ -10,7 +10,7 @@ from parley.operators.features import conversation_features, message_facts
 from parley.operators.profile import json_profile
 from parley.operators.stats import ingest_stats
 from parley.operators.training import prompt_pairs_of_messages
-from parley.sources.tables import conversation_messages
+from parley.plans.inputs import conversation_messages
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,14 @@ def test_time_estimate(spark, n, model, text):
     row = manifest.training_manifests(plans).first()
     assert row.estimated_time == text
     assert row.training_args.per_device_train_batch_size == 2 and row.training_args.weight_decay == 0.01
+
+
+def test_manifest_keeps_what_a_plan_sets(spark):
+    plans = spark.createDataFrame([("d", 10, "google/gemma-2-2b-it", "out", 512)],
+                                  "dataset_id string, num_examples bigint, base_model string, output_dir string, max_seq_length int")
+    row = manifest.training_manifests(plans).first()
+    assert (row.output_dir, row.max_seq_length, row.data_path) == ("out", 512, "./data.jsonl")
+    config = json.loads(manifest.config_json(manifest.training_manifests(plans.drop("output_dir"))).first().config)
+    assert config["output_dir"] == "./lora_adapter"
+    assert config["lora_config"]["target_modules"][0] == "q_proj"
+    assert config["training_args"]["learning_rate"] == 2e-4 and "fp16" not in config["training_args"]
