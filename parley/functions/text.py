@@ -6,9 +6,6 @@ whole-stage code generation.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +44,9 @@ def strip(text: Column) -> Column:
     Trimming a set of characters on the right indexes the whole text, so it is done only for text
     that ends in one of them.
     """
-    ends_blank = reduce(or_, (F.endswith(text, F.lit(c)) for c in WHITESPACE))
     left = lstrip(text)
+    each = F.split(F.lit(WHITESPACE), "")
+    ends_blank = F.exists(each, lambda c: F.endswith(text, c))
     return F.when(ends_blank, F.rtrim(left, F.lit(WHITESPACE))).otherwise(left)
 
 
