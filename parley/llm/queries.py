@@ -6,24 +6,88 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.llm.bpe import bpe_roundtrip
 from parley.llm.common import table
+from parley.llm.lines import drop_common_lines
+from parley.llm.sharding import Tree, assign
+from parley.llm.tokens import token_counts
+from parley.llm.warc import archive_roundtrip
+
+SHARDS = 24
 
 
 def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = Tree.even(SHARDS)
+    return assign(table(spark, sf_dir, "documents"), tree, tree.grown(SHARDS))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_roundtrip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op5_line_dedup": op5_line_dedup,
+        "op8_sharding": op8_sharding,
+        "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
     }
 
 
+OP5_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+    SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM doc
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line
+), common AS (
+    SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
+    count(*) FILTER (WHERE common.k IS NOT NULL) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (k) GROUP BY rid
+"""
+
+# Base32: every 5 hexadecimal digits are 20 bits, so 4 letters.
+OP9_SQL = r"""
+WITH page AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+    SELECT page_id, strlen(html) AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS f,
+        list_transform(range(8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::BIGINT) AS parts
+    FROM page
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((parts[1 + i // 4] >> (5 * (3 - i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM bits
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL}
