@@ -217,5 +217,9 @@ def bpe_roundtrip(
 
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     source = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, {names[0]} string, {names[1]} string")
+    # Ids travel as text: pandas would turn whole numbers beside a null into floats.
+    kind = source.schema["doc_id"].dataType
+    found = source.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, f"doc_id string, n_tokens bigint, {names[0]} string, {names[1]} string"
+    )
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

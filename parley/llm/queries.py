@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from parley.llm.bpe import bpe_roundtrip
 from parley.llm.common import table
+from parley.llm.html import main_texts
+from parley.llm.leaks import leaks
 from parley.llm.lines import drop_common_lines
+from parley.llm.neighbours import nearest
+from parley.llm.ngrams import near_duplicates
+from parley.llm.quality import quality_scores
 from parley.llm.sharding import Tree, assign
 from parley.llm.tokens import token_counts
 from parley.llm.warc import archive_roundtrip
@@ -26,11 +31,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = Tree.even(SHARDS)
     return assign(table(spark, sf_dir, "documents"), tree, tree.grown(SHARDS))
@@ -47,7 +73,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_nearest": op3_nearest,
+        "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
+        "op6_main_text": op6_main_text,
+        "op7_leaks": op7_leaks,
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,

@@ -61,8 +61,6 @@ def boundaries(text: str, counts: PieceCounts) -> tuple[list[int], list[int], in
 
 
 def short_counts(docs: DataFrame, path: str) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = per_process(("pieces", path), lambda: PieceCounts(path))
         for batch in batches:
@@ -73,7 +71,11 @@ def short_counts(docs: DataFrame, path: str) -> DataFrame:
                 found = [sum(map(counts.__getitem__, pieces)) for pieces in split]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": part["n_bytes"].array, "n_tokens": found})
 
-    return docs.select("doc_id", "text", "n_bytes").mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    # Ids travel as text: pandas would turn whole numbers beside a null into floats.
+    kind = docs.schema["doc_id"].dataType
+    source = docs.select(F.col("doc_id").cast("string"), "text", "n_bytes")
+    found = source.mapInPandas(run, "doc_id string, n_bytes bigint, n_tokens bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def encoded_chunks(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:

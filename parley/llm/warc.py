@@ -97,7 +97,9 @@ def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
     again = written_once(again.select("page_id", "sha", F.col("first").alias("refers_to")).distinct(), "revisits")
     again = again.select(F.col("page_id").alias("id"), F.col("sha").alias("key"), "refers_to")
     same = pages["page_id"].eqNullSafe(again["id"]) & (pages["sha"] == again["key"])
-    return pages.join(again, same, "left").select("page_id", "url", "html", "refers_to")
+    # Ids travel as text: pandas would turn whole numbers beside a null into floats.
+    ids = [F.col(c).cast("string") for c in ("page_id", "refers_to")]
+    return pages.join(again, same, "left").select(ids[0], "url", "html", ids[1])
 
 
 def write_archives(
