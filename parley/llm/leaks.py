@@ -151,7 +151,7 @@ def leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_matched, n_changed``: the items that each row's text contains.
+    """``doc_id, item_id, n_windows, n_matched, n_changed, text_hash``: the items that each row's text contains.
 
     Texts become templates: lower-case words without punctuation at their edges, with ``number``,
     ``unit`` (behind a number) and ``name`` (capitalised inside a sentence) as typed placeholders. An
@@ -196,5 +196,5 @@ def leaks(
     )
     held = written_once(held.where(F.col("n_matched") >= share * F.col("n_windows")), "leaks")
     return rows.select("doc_id", "t1", "t2").join(held, ["t1", "t2"]).select(
-        "doc_id", F.col("item").alias("item_id"), "n_windows", "n_matched", F.col("n_changed").cast("bigint")
+        "doc_id", F.col("item").alias("item_id"), "n_windows", "n_matched", F.col("n_changed").cast("bigint"), F.col("t1").alias("text_hash")
     )

@@ -196,13 +196,15 @@ def group_pairs(docs: DataFrame, known: DataFrame, common: np.ndarray, width: in
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, most: int = 64
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row.
+    """``doc_id, n_shingles, component_id, text_hash, kept`` for every row.
 
     Rows with equal sets are one class, named by a 64-bit hash of the set; classes link when their
     similarity is 0.8 or more, counted on whole sets of 64-bit shingle hashes. ``component_id`` is the
     smallest id that links reach. A null or wordless text has no shingles and links with nothing (its
     component is its own id); a null id takes part and gets its component's smallest id; repeated rows
-    come back as often as they are; columns beside the two named ones are not looked at.
+    come back as often as they are; columns beside the two named ones are not looked at. ``kept`` marks
+    the row of a component that stays when duplicates go (the smallest id; of equal ids the smallest
+    ``text_hash``, the text's xxhash64); rows without shingles are all kept.
 
     1. One pass over the texts: sizes, class names, band hashes, and counts of frequent shingles.
     2. Sets that share a band are compared with the smallest of them: this finds large clusters by
@@ -215,7 +217,7 @@ def near_duplicates(
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("t", F.xxhash64("text"))
     scan = written_once(first_pass(docs, width), "shingle-scan")
-    rows = scan.where("n >= 0").select("doc_id", "n", "s")
+    rows = scan.where("n >= 0").select("doc_id", "t", "n", "s")
     classes = scan.where("n > 0").groupBy("s", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("bands").alias("bands"))
     classes = written_once(classes.select("s", "n", "row.doc_id", "row.t", "bands"), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).first()["k"]
@@ -229,12 +231,17 @@ def near_duplicates(
     rest = verified(group_pairs(docs, known, common, width, most), docs, classes, width)
     found = components(stars.union(rest))
     named = rows.join(found, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
-    named = written_once(named.select("doc_id", "n", "c"), "named")
-    least = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k"))
+    named = written_once(named.select("doc_id", "t", "n", "c"), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    least = named.where("n > 0").groupBy("c").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("k"))
     # Only components of several rows need the join: of one row, the smallest id is its own.
     several = least.where("k > 1").select("c", "least")
-    return named.join(several, "c", "left").select(
+    found = named.join(several, "c", "left")
+    alone = F.col("least").isNull()
+    return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.col("t").alias("text_hash"),
+        (alone | (order == F.col("least"))).alias("kept"),
     )
