@@ -18,7 +18,7 @@ def of_role(messages: Column, role: str) -> Column:
 
 def total_chars(messages: Column) -> Column:
     return F.aggregate(
-        messages, F.lit(0).cast("bigint"), lambda n, m: n + F.length(m["content"])
+        messages, F.lit(0).cast("bigint"), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0))
     )
 
 
@@ -47,7 +47,9 @@ def fingerprint_text(messages: Column) -> Column:
         F.transform(
             messages,
             lambda m: F.concat(
-                m["role"], F.lit(":"), F.substring(m["content"], 1, PREFIX_CHARS)
+                F.coalesce(m["role"], F.lit("")),
+                F.lit(":"),
+                F.coalesce(F.substring(m["content"], 1, PREFIX_CHARS), F.lit("")),
             ),
         ),
         "|",
@@ -58,6 +60,24 @@ def fingerprint(messages: Column) -> Column:
     return F.sha2(fingerprint_text(messages), 256)
 
 
+def content_fingerprint(messages: Column) -> Column:
+    """A hash of every message in full: ``role:length:content`` joined by ``|``, no length for NULL."""
+    whole = F.array_join(
+        F.transform(
+            messages,
+            lambda m: F.concat(
+                F.coalesce(m["role"], F.lit("")),
+                F.lit(":"),
+                F.coalesce(F.length(m["content"]).cast("string"), F.lit("")),
+                F.lit(":"),
+                F.coalesce(m["content"], F.lit("")),
+            ),
+        ),
+        "|",
+    )
+    return F.sha2(whole, 256)
+
+
 def response_band(stripped_chars: Column) -> Column:
     """``blank`` / ``short`` / ``normal`` / ``very_long`` by stripped length."""
     return (

@@ -65,6 +65,14 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def has_boundary(text: Column) -> Column:
+    """True when :func:`split_lines` would split."""
+    found = F.contains(text, F.lit("\n"))
+    for separator in LINE_SEPARATORS[1:]:
+        found = found | F.contains(text, F.lit(separator))
+    return found
+
+
 def strip_line(line: Column) -> Column:
     """:func:`strip` that leaves lines alone which visibly need none: those from brace to brace."""
     braced = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))

@@ -1,4 +1,9 @@
-"""Duplicate conversations: mark them, remove them."""
+"""Duplicate conversations: mark them, remove them.
+
+Conversations are the same if all their messages are, from the first character to the last. The mark of
+the quality score also has a wider sense, the same first 100 characters of every message: that one is
+for counting, and nothing is removed by it.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +13,27 @@ from pyspark.sql import functions as F
 from parley.schema import CONV_KEY
 
 
-def first_copies(features: DataFrame) -> DataFrame:
+def first_copies(features: DataFrame, by: str = "content_fingerprint") -> DataFrame:
     """Key of the first conversation of every fingerprint.
 
     ``min`` combines on the map side, so the copies of one text never meet in one task.
     """
-    return (
-        features.groupBy("dataset_id", "fingerprint")
-        .agg(F.min("conv_id").alias("conv_id"))
-        .select(*CONV_KEY)
-    )
+    return features.groupBy("dataset_id", by).agg(F.min("conv_id").alias("conv_id")).select(*CONV_KEY)
 
 
 def mark_duplicates(features: DataFrame) -> DataFrame:
-    """``is_duplicate`` per conversation. Joined on the unique conversation key, never on the
-    fingerprint, so a fingerprint with many copies causes no skew."""
-    kept = first_copies(features).withColumn("_kept", F.lit(True))
-    return features.join(kept, CONV_KEY, "left").select(
-        *CONV_KEY, F.col("_kept").isNull().alias("is_duplicate")
-    )
+    """``is_duplicate`` (by the first 100 characters of each message) and ``is_copy`` (in full).
+
+    Joined on the unique conversation key, never on a fingerprint, so a fingerprint with many copies
+    causes no skew. ``features`` is read three times: write it first where it is costly.
+    """
+    marked = features.select(*CONV_KEY)
+    for name, by in (("is_duplicate", "fingerprint"), ("is_copy", "content_fingerprint")):
+        kept = first_copies(features, by).withColumn("_kept", F.lit(True))
+        marked = marked.join(kept, CONV_KEY, "left").withColumn(name, F.col("_kept").isNull()).drop("_kept")
+    return marked
 
 
 def drop_duplicates(rows: DataFrame, features: DataFrame) -> DataFrame:
-    """Rows of ``chats`` or ``messages`` whose conversation is the first of its fingerprint."""
+    """Rows of ``chats`` or ``messages`` whose conversation is the first of those equal to it in full."""
     return rows.join(first_copies(features), CONV_KEY, "left_semi")

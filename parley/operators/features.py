@@ -16,6 +16,14 @@ from parley.schema import CONV_KEY, MIN_MESSAGES, PREFIX_CHARS, ROLES
 
 # Hash lanes of a message; 15 hex digits each, so a lane fits a non-negative BIGINT.
 _LANES = ("lane_a", "lane_b", "lane_c")
+_CONTENT_LANES = ("content_a", "content_b", "content_c")
+
+
+def _lanes(digest: Column, names: tuple[str, ...]) -> list[Column]:
+    return [
+        F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(name)
+        for i, name in enumerate(names)
+    ]
 
 
 def message_facts(messages: DataFrame) -> DataFrame:
@@ -24,13 +32,9 @@ def message_facts(messages: DataFrame) -> DataFrame:
     # NULL unless an answer; all that follows is NULL with it, and shared parts are computed once.
     answer = F.when(role == "assistant", text)
     normal = T.normalised(answer)
-    digest = F.sha2(
-        F.concat_ws(":", F.col("turn"), role, F.substring(text, 1, PREFIX_CHARS)), 256
-    )
-    lanes = [
-        F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(name)
-        for i, name in enumerate(_LANES)
-    ]
+    prefix = F.sha2(F.concat_ws(":", F.col("turn"), role, F.substring(text, 1, PREFIX_CHARS)), 256)
+    # The whole text, with NULL told from empty.
+    content = F.sha2(F.concat_ws(":", F.col("turn"), role, F.length(text), text), 256)
     return messages.select(
         *CONV_KEY,
         "turn",
@@ -42,16 +46,19 @@ def message_facts(messages: DataFrame) -> DataFrame:
         T.content_hash(normal).alias("response_hash"),
         T.has_non_ascii(normal).alias("non_ascii"),
         T.looks_like_json(answer).alias("json_like"),
-        *lanes,
+        *_lanes(prefix, _LANES),
+        *_lanes(content, _CONTENT_LANES),
     )
 
 
-def conversation_features(facts: DataFrame) -> DataFrame:
-    """One row per conversation from :func:`message_facts`.
+def conversation_features(facts: DataFrame, *more: Column) -> DataFrame:
+    """One row per conversation from :func:`message_facts`; ``more`` are further aggregates of it.
 
-    A single hash aggregate over fixed-width buffers with map-side combining. The fingerprint is the
+    A single hash aggregate over fixed-width buffers with map-side combining. A fingerprint is the
     XOR of position-tagged message hashes with the message count: it needs neither an ordered list nor
     the text, and equal conversations get equal fingerprints however their rows are spread.
+    ``fingerprint`` looks at the first 100 characters of each message and is for counting alone;
+    ``content_fingerprint`` looks at whole messages and says which conversations are the same.
     """
     role = F.col("role")
     chars = F.col("n_chars")
@@ -77,24 +84,26 @@ def conversation_features(facts: DataFrame) -> DataFrame:
         responses("short").alias("short_responses"),
         responses("very_long").alias("long_responses"),
         F.count_if("is_bad").alias("n_bad"),
-        *[F.bit_xor(lane).alias(lane) for lane in _LANES],
+        *[F.bit_xor(lane).alias(lane) for lane in (*_LANES, *_CONTENT_LANES)],
+        *more,
     )
     return _with_derived(counted).select(
         "*",
         F.concat_ws(":", "n_messages", *_LANES).alias("fingerprint"),
+        F.concat_ws(":", "n_messages", *_CONTENT_LANES).alias("content_fingerprint"),
         (
             (F.col("n_bad") == 0)
             & (F.col("n_messages") >= MIN_MESSAGES)
             & (F.col("n_user") > 0)
             & (F.col("n_assistant") > 0)
         ).alias("is_valid"),
-    ).drop(*_LANES)
+    ).drop(*_LANES, *_CONTENT_LANES)
 
 
 def chat_features(chats: DataFrame) -> DataFrame:
     """The same features from the nested shape, as a projection without any shuffle.
 
-    Here the fingerprint hashes the literal joined text.
+    Here the fingerprints hash literal joined texts.
     """
     messages = F.col("messages")
     # Parts used several times are projected first, so they are computed once.
@@ -124,6 +133,7 @@ def chat_features(chats: DataFrame) -> DataFrame:
         responses("short").alias("short_responses"),
         responses("very_long").alias("long_responses"),
         C.fingerprint(messages).alias("fingerprint"),
+        C.content_fingerprint(messages).alias("content_fingerprint"),
     )
     return _with_derived(counted)
 

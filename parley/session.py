@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,14 +43,16 @@ def build_session(master: str | None = None, app: str = "parley", **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made for a local master, whose tasks see it. On
+    any other master that is an error: each executor would write to a disk of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
     return context.getCheckpointDir()
 
 

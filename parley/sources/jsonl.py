@@ -1,35 +1,31 @@
 """JSONL files as chat tables.
 
-Two scans give the same rows for files whose lines end in newlines:
+Two scans give the same rows; both split at every Unicode line boundary:
 
 ``read_jsonl``
-    one file per row, for files up to a size cap (100 MB unless changed; the size filter is pushed
-    to the reader, larger files are never opened). Splits at every Unicode line boundary.
+    one file per row, so a file must fit one. ``max_bytes`` refuses larger files, with a reject row each
+    (the size filter is pushed to the reader, their content is never opened). No cap is set by default.
 ``scan_jsonl``
-    splittable, for files of any size. Splits at ``\\n``, ``\\r`` and ``\\r\\n``.
+    splittable, for files of any size.
 
-A file is a dataset. ``by`` says what its ``dataset_id`` is: the file's ``name`` (names must then differ),
-its whole ``path``, or the value of a ``dataset_id=`` folder above it (``partition``), as the exporter
-writes them. ``scan_jsonl`` numbers the lines of all parts of a dataset through, in path order.
+A file is a dataset, or a part of one. ``by`` says what its ``dataset_id`` is: the file's ``name``, its
+whole ``path``, or the value of a ``dataset_id=`` folder above it (``partition``), as the exporter
+writes them. Both number the lines of all parts of a dataset through, in path order, so the line number
+is a key within the dataset.
 Lines are numbered from the first non-blank line; blank lines are skipped but keep their number.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.functions.lines import lines_where, validate_lines
-from parley.schema import MAX_FILE_BYTES
+from parley.session import written_once
 
 SUFFIX = ".jsonl"
-# One block of the splittable scan is one row of about 100 bytes in the numbering table, so this many
-# are safe to broadcast; beyond it the join is left to the optimizer.
-_BROADCAST_BLOCKS = 1_000_000
 
 
 def dataset_of(file_path: Column, by: str = "name") -> Column:
@@ -73,7 +69,7 @@ def list_files(spark: SparkSession, path: str, by: str = "name") -> DataFrame:
 
 
 def file_rejects(
-    files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES, suffix: str = SUFFIX
+    files: DataFrame, max_bytes: int | None = None, suffix: str = SUFFIX
 ) -> DataFrame:
     """Files refused as a whole: wrong extension or too large."""
     found = F.lower(F.regexp_extract("file_name", r"^.+(\.[^.]+)$", 1))
@@ -109,7 +105,10 @@ def decode(content: Column) -> Column:
 
 
 def split_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``dataset_id, line_no, line`` (and ``keep``) from a table with ``dataset_id, content``. No shuffle."""
+    """``dataset_id, line_no, line`` (and ``keep``) from a table with ``dataset_id, content``. No shuffle.
+
+    Lines are numbered in each file by itself.
+    """
     whole = T.lstrip(decode(F.col("content")))
     lines = files.select("dataset_id", *keep, F.posexplode(T.split_lines(whole)).alias("at", "line"))
     return lines.select(
@@ -120,58 +119,83 @@ def split_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).where(F.col("line") != "")
 
 
+def _numbered(lines: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
+    """Lines by their number in the dataset; ``offsets`` was written, so Spark knows how small it is."""
+    return (
+        lines.join(offsets, key)
+        .select("dataset_id", (F.col("offset") + F.col("at") - F.col("leading") + 1).alias("line_no"), "line")
+        .where(F.col("line") != "")
+    )
+
+
 def read_lines(
     spark: SparkSession,
     path: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     by: str = "name",
     suffix: str = SUFFIX,
 ) -> DataFrame:
-    """Numbered lines of all files of the suffix up to ``max_bytes``."""
-    files = _open(spark, path, "binaryFile", suffix).where(F.col("length") <= max_bytes)
-    return split_files(files.select(dataset_of(F.col("_metadata.file_path"), by).alias("dataset_id"), "content"))
-
+    """Numbered lines of all files of the suffix, up to ``max_bytes`` where that is given.
 
-def _bytes_setting(spark: SparkSession, name: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
-    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
-
-
-def _block_bound(spark: SparkSession, path: str, suffix: str) -> int:
-    """How many blocks a scan of ``path`` is split into at most, from the file listing."""
-    files = _open(spark, path, "binaryFile", suffix).select("length")
-    total, n_files = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
-    cores = (
-        spark.conf.get("spark.sql.files.minPartitionNum", None)
-        or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
-        or spark.sparkContext.defaultParallelism
-    )
-    split = min(
-        _bytes_setting(spark, "spark.sql.files.maxPartitionBytes"),
-        max(_bytes_setting(spark, "spark.sql.files.openCostInBytes"), total // int(cores)),
-    )
-    return n_files + total // max(1, split)
+    A first pass leaves two numbers per file, its lines and where its first non-blank one is; running
+    sums over a dataset's files then number the lines through.
+    """
+    files = _open(spark, path, "binaryFile", suffix)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+    file_path = F.col("_metadata.file_path")
+    split = T.split_lines(decode(F.col("content")))
+    parts = files.select(file_path.alias("path"), split.alias("lines"))
+    seen = F.array_position(F.transform("lines", lambda x: ~T.is_blank(x)), True) - 1
+    # What follows the last line end of a file is a line only if there is something.
+    n = F.size("lines") - (F.element_at("lines", -1) == "").cast("int")
+    sizes = parts.select("path", n.cast("bigint").alias("n"), F.when(seen >= 0, seen).alias("seen"))
+    sizes = sizes.withColumn("dataset_id", dataset_of(F.col("path"), by))
+    of_dataset = Window.partitionBy("dataset_id")
+    before = of_dataset.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    offsets = offsets.withColumn("leading", F.min(F.col("offset") + F.col("seen")).over(of_dataset))
+    offsets = written_once(offsets.select("dataset_id", "path", "offset", "leading"), "file-lines")
+    lines = parts.select("path", F.posexplode("lines").alias("at", "raw_line"))
+    return _numbered(lines.select("path", "at", T.strip_line(F.col("raw_line")).alias("line")), offsets, ["path"])
 
 
 def scan_lines(
-    spark: SparkSession, path: str, by: str = "name", suffix: str = SUFFIX
+    spark: SparkSession,
+    path: str,
+    by: str = "name",
+    suffix: str = SUFFIX,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Numbered lines of files of any size, read in splits.
 
     A first pass over the files counts the lines of each block, notes whether its bytes are valid
     UTF-8 and where its first non-blank line is. Running sums over the blocks of a dataset turn the
     position in a block into a line number. Both passes split the files alike. (The reader itself drops
-    a byte order mark.)
+    a byte order mark.) The block table, some hundred bytes per block, is written: Spark broadcasts it
+    below its threshold. Its windows hold the blocks of one dataset, about 400,000 rows at 100 TB.
+
+    The reader splits at newlines; other Unicode boundaries are split here, so a line that holds one is
+    several rows before anything is numbered. A file that is not UTF-8 is read as Latin-1, yet where one
+    of its lines happens to be valid UTF-8 beyond ASCII, that line's boundaries are those of UTF-8.
     """
-    numbered = _open(spark, path, "text", suffix).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("at"),
-    )
     value = F.col("value")
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
     plain = F.octet_length(value) == F.length(value)
+    files = _open(spark, path, "text", suffix)
+    if max_bytes is not None:
+        files = files.where(F.col("_metadata.file_size") <= max_bytes)
+    whole = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    # Boundaries are split on the text as it will be read; bytes that are no UTF-8 stay so in the parts.
+    valid = F.is_valid_utf8(value)
+    parts = F.when(valid, T.split_lines(value)).otherwise(
+        F.transform(T.split_lines(latin), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    )
+    some = F.when(T.has_boundary(F.when(valid, value).otherwise(latin)), parts).otherwise(F.array(value))
+    numbered = whole.select("path", "block", F.explode(some).alias("value"))
+    numbered = numbered.select("*", F.monotonically_increasing_id().alias("at"))
     at = F.col("at")
     blocks = numbered.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("n"),
@@ -194,26 +218,21 @@ def scan_lines(
     seen = F.when(F.col("utf8"), F.col("seen_utf8")).otherwise(F.col("seen_latin"))
     offsets = offsets.withColumn(
         "leading", F.min(F.col("offset") + seen - F.col("first_at")).over(of_dataset)
-    ).select("dataset_id", "path", "block", "offset", "first_at", "utf8", "leading")
-    if _block_bound(spark, path, suffix) <= _BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
-    line = F.when(F.col("utf8"), value).otherwise(latin)
-    position = F.col("offset") + F.col("at") - F.col("first_at")
-    return (
-        numbered.join(offsets, ["path", "block"])
-        .select(
-            "dataset_id",
-            (position - F.col("leading") + 1).alias("line_no"),
-            T.strip_line(line).alias("line"),
-        )
-        .where(F.col("line") != "")
+    ).select("dataset_id", "path", "block", (F.col("offset") - F.col("first_at")).alias("offset"), "utf8", "leading")
+    offsets = written_once(offsets, "block-lines")
+    # The text itself is not shuffled as long as the block table is broadcast.
+    joined = numbered.join(offsets, ["path", "block"])
+    line = T.strip_line(F.when(F.col("utf8"), value).otherwise(latin))
+    position = F.col("offset") + at
+    return joined.select("dataset_id", (position - F.col("leading") + 1).alias("line_no"), line.alias("line")).where(
+        F.col("line") != ""
     )
 
 
-def chats_of(validated: DataFrame) -> DataFrame:
+def chats_of(validated: DataFrame, *keep: str) -> DataFrame:
     """Valid lines as ``chats``; the line number is the conversation id."""
     return lines_where(validated, F.col("error_code").isNull()).select(
-        "dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw"
+        "dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw", *keep
     )
 
 
@@ -226,7 +245,7 @@ def rejects_of(validated: DataFrame) -> DataFrame:
 def read_jsonl(
     spark: SparkSession,
     path: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     by: str = "name",
     suffix: str = SUFFIX,
 ) -> tuple[DataFrame, DataFrame]:
@@ -237,9 +256,13 @@ def read_jsonl(
 
 
 def scan_jsonl(
-    spark: SparkSession, path: str, by: str = "name", suffix: str = SUFFIX
+    spark: SparkSession,
+    path: str,
+    by: str = "name",
+    suffix: str = SUFFIX,
+    max_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(chats, rejects)`` of files of any size; see :func:`scan_lines`."""
-    validated = validate_lines(scan_lines(spark, path, by, suffix))
-    refused = file_rejects(list_files(spark, path, by), None, suffix)
+    validated = validate_lines(scan_lines(spark, path, by, suffix, max_bytes))
+    refused = file_rejects(list_files(spark, path, by), max_bytes, suffix)
     return chats_of(validated), rejects_of(validated).unionByName(refused)

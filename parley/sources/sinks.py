@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.manifest import config_json
+from parley.sources.jsonl import dataset_of, scan_jsonl
 
 
 def json_lines(chats: DataFrame) -> DataFrame:
@@ -30,10 +31,24 @@ def write_jsonl(chats: DataFrame, path: str, mode: str = "errorifexists") -> Non
     lines.sortWithinPartitions("dataset_id", "conv_id").select("value").write.mode(mode).text(path)
 
 
+def _data_folders(spark: SparkSession, path: str) -> DataFrame:
+    """``dataset_id, data_path`` of the written sets, from the file listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/data")
+    file_path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(dataset_of(file_path, "path"), "/(data/dataset_id=[^/]*)/[^/]*$", 1)
+    return files.select(
+        dataset_of(file_path, "partition").alias("dataset_id"), F.concat(F.lit("./"), folder).alias("data_path")
+    ).distinct()
+
+
 def export_training_sets(
     chats: DataFrame, manifests: DataFrame, path: str, mode: str = "errorifexists"
 ) -> None:
-    """Write ``data/dataset_id=.../`` with the JSONL parts and ``config/dataset_id=.../`` with the manifest."""
+    """Write ``data/dataset_id=.../`` with the JSONL parts and ``config/dataset_id=.../`` with the manifest.
+
+    A manifest's ``data_path`` is the folder of its parts, relative to ``path``. Parts are named by
+    Spark's text writer; :func:`read_training_sets` reads them back.
+    """
     lines = json_lines(chats).repartitionByRange("dataset_id", "conv_id")
     (
         lines.sortWithinPartitions("dataset_id", "conv_id")
@@ -42,10 +57,23 @@ def export_training_sets(
         .partitionBy("dataset_id")
         .text(f"{path}/data")
     )
+    # A dataset without rows has no folder and keeps the path it was given.
+    folders = _data_folders(chats.sparkSession, path)
+    own = manifests.withColumnRenamed("data_path", "_given").join(folders, "dataset_id", "left")
+    own = own.withColumn("data_path", F.coalesce("data_path", "_given"))
     (
-        config_json(manifests)
+        config_json(own)
         .select("dataset_id", F.col("config").alias("value"))
         .write.mode(mode)
         .partitionBy("dataset_id")
         .text(f"{path}/config")
     )
+
+
+def read_training_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(configs, chats)`` of exported sets: ``dataset_id, config`` and the conversations, numbered through."""
+    files = F.col("_metadata.file_path")
+    configs = spark.read.option("recursiveFileLookup", "true").text(f"{path}/config")
+    configs = configs.select(dataset_of(files, "partition").alias("dataset_id"), F.col("value").alias("config"))
+    chats, _ = scan_jsonl(spark, f"{path}/data", by="partition", suffix=".txt")
+    return configs, chats

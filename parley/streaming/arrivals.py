@@ -1,7 +1,9 @@
 """Structured Streaming over arriving JSONL files.
 
-Each file is validated in the micro-batch in which it arrives, with the rules and line numbers of the
-batch reader. The data has no event time; the file's modification time serves as arrival time.
+Each file is validated in the micro-batch in which it arrives, with the rules of the batch reader. Lines
+are numbered in each file by itself, since the files of a dataset are not all known; so a conversation's
+key is made of its file and line. The data has no event time: a file arrives when its micro-batch
+starts, whatever its modification time says, and nothing is late.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parley.functions import conversation as C
 from parley.functions.lines import lines_where, validate_lines
-from parley.schema import MAX_FILE_BYTES
+from parley.session import written_once
 from parley.sources.jsonl import (
     SUFFIX,
     chats_of,
@@ -30,6 +32,8 @@ def _arriving(spark: SparkSession, path: str, by: str, max_files: int | None) ->
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
+        # The source would pass over files that are a week older than the newest one it has seen.
+        .option("maxFileAge", "36500d")
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -37,14 +41,25 @@ def _arriving(spark: SparkSession, path: str, by: str, max_files: int | None) ->
     return reader.load(path).select(
         dataset_of(file_path, by).alias("dataset_id"),
         dataset_of(file_path).alias("file_name"),
+        file_path.alias("file_path"),
         "length",
-        F.col("modificationTime").alias("arrived"),
+        F.current_timestamp().alias("arrived"),
         "content",
     )
 
 
-def _acceptable(max_bytes: int, suffix: str) -> Column:
-    return (F.col("length") <= max_bytes) & F.endswith(F.lower("file_name"), F.lit(suffix))
+def _acceptable(max_bytes: int | None, suffix: str) -> Column:
+    right = F.endswith(F.lower("file_name"), F.lit(suffix))
+    return right if max_bytes is None else right & (F.col("length") <= max_bytes)
+
+
+def _file_key() -> Column:
+    """A key for a line of any file: 64 bits of its path and number."""
+    return F.xxhash64("file_path", "line_no")
+
+
+def _keyed(chats: DataFrame) -> DataFrame:
+    return chats.withColumn("conv_id", _file_key())
 
 
 def ingest_stream(
@@ -52,7 +67,7 @@ def ingest_stream(
     path: str,
     out: str,
     checkpoint: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     by: str = "name",
     suffix: str = SUFFIX,
     max_files: int | None = None,
@@ -72,13 +87,14 @@ def ingest_stream(
     arriving = files.where(acceptable).unionByName(refused)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validated = validate_lines(split_files(batch.where(F.col("content").isNotNull()))).persist()
+        lines = split_files(batch.where(F.col("content").isNotNull()), keep=("file_path",))
+        # Parsed once for both outputs, in the shared folder: a lost executor loses none of it.
+        validated = written_once(validate_lines(lines), "arrived-lines")
         rejects = rejects_of(validated).unionByName(
             file_rejects(batch.where(F.col("content").isNull()), max_bytes, suffix)
         )
-        chats_of(validated).write.mode("overwrite").parquet(f"{out}/chats/batch_id={batch_id}")
+        _keyed(chats_of(validated, "file_path")).write.mode("overwrite").parquet(f"{out}/chats/batch_id={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
-        validated.unpersist()
 
     return (
         arriving.writeStream.foreachBatch(write)
@@ -91,27 +107,46 @@ def ingest_stream(
 def chat_stream(
     spark: SparkSession,
     path: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     by: str = "name",
     suffix: str = SUFFIX,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Valid conversations of arriving files as a streaming ``chats`` table with ``arrived``."""
+    """Valid conversations of arriving files as a streaming ``chats`` table with ``file_path, arrived``.
+
+    What is left out is in :func:`refused_stream` over the same files.
+    """
     files = _arriving(spark, path, by, max_files).where(_acceptable(max_bytes, suffix))
-    lines = split_files(files, keep=("arrived",))
-    return lines_where(validate_lines(lines), F.col("error_code").isNull()).select(
-        "dataset_id", F.col("line_no").alias("conv_id"), "line_no", "messages", "raw", "arrived"
-    )
+    lines = split_files(files, keep=("file_path", "arrived"))
+    valid = lines_where(validate_lines(lines), F.col("error_code").isNull())
+    return _keyed(valid).select("dataset_id", "conv_id", "line_no", "messages", "raw", "file_path", "arrived")
+
+
+def refused_stream(
+    spark: SparkSession,
+    path: str,
+    max_bytes: int | None = None,
+    by: str = "name",
+    suffix: str = SUFFIX,
+    max_files: int | None = None,
+) -> DataFrame:
+    """What :func:`chat_stream` leaves out: refused files and invalid lines, as a streaming table."""
+    files = _arriving(spark, path, by, max_files)
+    good = _acceptable(max_bytes, suffix)
+    content = F.when(good, F.col("content"))
+    lines = split_files(files.withColumn("content", content).where(F.col("content").isNotNull()))
+    broken = rejects_of(validate_lines(lines))
+    return broken.unionByName(file_rejects(files.where(~good), max_bytes, suffix))
 
 
 def first_arrivals(chats: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop conversations whose fingerprint arrived before, within ``delay``.
+    """Drop conversations that arrived before, the same in full, within ``delay`` of their arrival.
 
-    The state holds one hash per conversation for the time of the watermark. The first to arrive is
-    kept, which need not be the one with the lowest line number.
+    The state holds one hash per conversation for that time; a conversation that comes again later is
+    kept as a new one. The first to arrive is kept, which need not be the one with the lowest line number.
     """
     return (
-        chats.withColumn("fingerprint", C.fingerprint(F.col("messages")))
+        chats.withColumn("content_fingerprint", C.content_fingerprint(F.col("messages")))
         .withWatermark("arrived", delay)
-        .dropDuplicatesWithinWatermark(["dataset_id", "fingerprint"])
+        .dropDuplicatesWithinWatermark(["dataset_id", "content_fingerprint"])
     )

@@ -45,7 +45,7 @@ def test_shapes_are_inverse(chats_of):
 def test_both_shapes_give_the_same_features(chats_of):
     chats = chats_of(random_datasets(2))
     nested = chat_features(chats)
-    columns = [c for c in nested.columns if c != "fingerprint"]
+    columns = [c for c in nested.columns if "fingerprint" not in c]
     spread = explode_messages(chats).repartition(9, "text")
     rows_of = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     exploded = conversation_features(message_facts(spread))
@@ -171,14 +171,39 @@ def test_fingerprint_looks_at_the_first_hundred_characters(chats_of):
     chats = chats_of(data)
     messages = explode_messages(chats).repartition(5)
     for found in (chat_features(chats), conversation_features(message_facts(messages))):
-        marks = {r.conv_id: r.is_duplicate for r in dedup.mark_duplicates(found).collect()}
-        assert marks == {0: False, 1: True, 2: False, 3: False, 4: False}
+        marks = {r.conv_id: (r.is_duplicate, r.is_copy) for r in dedup.mark_duplicates(found).collect()}
+        # Alike in the first hundred characters is counted; only what is the same in full is removed.
+        assert marks == {0: (False, False), 1: (True, False), 2: (False, False), 3: (False, False), 4: (False, False)}
+        assert dedup.drop_duplicates(chats, found).count() == 5
+
+
+def test_null_is_not_empty_and_not_nothing(spark):
+    schema = "dataset_id string, conv_id bigint, messages array<struct<role: string, content: string>>"
+    rows = [("d", k, [("user", "a"), ("assistant", c)][: 2 - (k == 2)]) for k, c in enumerate([None, "", "x"])]
+    chats = spark.createDataFrame(rows, schema)
+    nested = {r.conv_id: r for r in chat_features(chats).collect()}
+    assert [nested[k].n_chars for k in range(3)] == [1, 1, 1]
+    assert len({nested[k].content_fingerprint for k in range(3)}) == 3
+    assert nested[0].fingerprint == nested[1].fingerprint != nested[2].fingerprint
+    flat = conversation_features(message_facts(explode_messages(chats))).collect()
+    assert len({r.content_fingerprint for r in flat}) == 3
+
+
+def test_errors_name_messages_by_place(spark):
+    from parley.operators.validate import validate_messages
+
+    rows = [("d", 1, 10, "user", "a"), ("d", 1, 20, "bot", "b"), ("d", 1, 30, "bot", "c"), ("d", 2, -3, None, "x"), ("d", 2, 7, "user", " ")]
+    found = spark.createDataFrame(rows, "dataset_id string, conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: (r.msg_idx, r.message) for r in validate_messages(found).collect()}
+    assert got[1][0] == 2 and got[1][1].startswith("Line 1, message 2: ")
+    assert got[2][0] == 1
 
 
 def test_removing_duplicates_leaves_none(chats_of):
     chats = chats_of(random_datasets(5))
     kept = dedup.drop_duplicates(chats, chat_features(chats))
-    assert quality.quality_counts(chat_features(kept)).where("duplicates > 0").count() == 0
+    marks = dedup.mark_duplicates(chat_features(kept))
+    assert marks.where("is_copy").count() == 0
     firsts = {(r.dataset_id, r.conv_id) for r in kept.collect()}
     assert ("large", 0) in firsts and ("large", 9) not in firsts
 
@@ -191,7 +216,7 @@ def test_profile_agrees_with_definitions(chats_of):
         for name, conversations in data.items():
             answers = [c for conv in conversations for r, c in conv if r == "assistant"]
             distinct = {a.strip().lower() for a in answers}
-            head = [a.strip() for a in answers if a.strip()][:50]
+            head = [a.strip() for a in answers if a.strip()]
             multi = sum(sum(r != "system" for r, _ in conv) != 2 for conv in conversations)
             r = rows[name]
             assert r.distinct_responses == len(distinct)

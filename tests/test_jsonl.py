@@ -158,24 +158,43 @@ def test_splittable_scan_counts_over_blocks_and_parts(spark, tmp_path):
     assert got == expected_lines(data)
 
 
-@pytest.mark.parametrize("size", ["134217728b", "256m", "1g", "3000", "64KB"])
-def test_block_bound_holds(spark, tmp_path, size):
-    for i in range(3):
-        write(tmp_path / f"{i}.jsonl", "\n".join([OK] * 500 * (i + 1)))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+def test_scan_without_broadcast_gives_the_same(spark, folder):
+    want = sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = jsonl._open(spark, str(tmp_path), "text", ".jsonl")
-        blocks = text.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
-        assert blocks <= jsonl._block_bound(spark, str(tmp_path), ".jsonl") <= blocks + 3
+        assert sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect())) == want
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_scan_without_broadcast_gives_the_same(spark, folder, monkeypatch):
-    want = sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect()))
-    monkeypatch.setattr(jsonl, "_BROADCAST_BLOCKS", -1)
-    assert sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect())) == want
+def test_both_readers_split_at_unicode_boundaries(spark, tmp_path):
+    text = "\n \u2028{a}\x85{b}\u2029\n{c}\x1c{d}\r\n{e}\x0b\x0c{f}"
+    write(tmp_path / "u.jsonl", text)
+    (tmp_path / "latin.jsonl").write_bytes(b"{\xe9}\x85{b}\n{\xff}")
+    want = sorted(map(tuple, jsonl.read_lines(spark, str(tmp_path)).select("dataset_id", "line_no", "line").collect()))
+    got = sorted(map(tuple, jsonl.scan_lines(spark, str(tmp_path)).select("dataset_id", "line_no", "line").collect()))
+    assert got == want
+    assert [r[1:] for r in want if r[0] == "u.jsonl"] == [(1, "{a}"), (2, "{b}"), (4, "{c}"), (5, "{d}"), (6, "{e}"), (8, "{f}")]
+
+
+def test_parts_of_a_dataset_are_numbered_through(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "same.jsonl", "\n".join(["", line(U, A), line(A, U), ""]))
+    read, _ = jsonl.read_jsonl(spark, str(tmp_path))
+    scanned, _ = jsonl.scan_jsonl(spark, str(tmp_path))
+    keys = sorted((r.dataset_id, r.conv_id) for r in read.collect())
+    assert len(set(keys)) == 4 and keys == sorted((r.dataset_id, r.conv_id) for r in scanned.collect())
+
+
+def test_no_cap_unless_asked_and_a_reject_for_each_file(spark, folder):
+    _, rejects = jsonl.read_jsonl(spark, str(folder))
+    assert rejects.where("error_code = 'too_large'").count() == 0
+    for reader in (jsonl.read_jsonl, jsonl.scan_jsonl):
+        chats, rejects = reader(spark, str(folder), max_bytes=0)
+        assert chats.count() == 0
+        assert rejects.where("error_code = 'too_large'").count() > 0
 
 
 def test_file_gates(spark, folder):
@@ -238,4 +257,10 @@ def test_export_reads_back_by_partition(spark, tmp_path):
     again, rejects = jsonl.scan_jsonl(spark, str(tmp_path / "sets/data"), by="partition", suffix=".txt")
     got = {(r.dataset_id, r.line_no, r.id) for r in again.select("dataset_id", "line_no", F.variant_get("raw", "$.id", "int").alias("id")).collect()}
     assert got == {(n, i + 1, i) for n in ("a b+c.jsonl", "d%20=é.jsonl") for i in range(30)}
+    configs, chats = sinks.read_training_sets(spark, str(tmp_path / "sets"))
+    assert chats.count() == 60
+    paths = {r.dataset_id: json.loads(r.config)["data_path"] for r in configs.collect()}
+    assert set(paths) == {"a b+c.jsonl", "d%20=é.jsonl"}
+    for name, path in paths.items():
+        assert spark.read.text(str(tmp_path / "sets" / path)).count() == 30, name
     assert rejects.where("error_code <> 'extension'").count() == 0

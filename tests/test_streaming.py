@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -34,14 +35,41 @@ def test_stream_equals_batch_and_retry_appends_nothing(spark, tmp_path):
     run()
 
     chats, rejects = jsonl.read_jsonl(spark, str(source), max_bytes=5000)
-    key = ("dataset_id", "conv_id", "messages")
-    assert rows_of(spark.read.parquet(str(out / "chats")), *key) == rows_of(chats, *key)
+    key = ("dataset_id", "line_no", "messages")
+    arrived = spark.read.parquet(str(out / "chats"))
+    assert rows_of(arrived, *key) == rows_of(chats, *key)
+    assert arrived.select("dataset_id", "conv_id").distinct().count() == arrived.count()
     key = ("dataset_id", "line_no", "error_code", "message")
     assert rows_of(spark.read.parquet(str(out / "rejects")), *key) == rows_of(rejects, *key)
     codes = {r.error_code for r in rejects.collect()}
     assert codes == {"not_object", "invalid_json", "too_large", "extension"}
 
 
+def test_old_files_are_not_late_and_refused_files_are_told(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def run(stream, name):
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / name))
+        query = query.option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(str(tmp_path / name))
+
+    for k, age in enumerate((0, 0, 10 * 86_400)):
+        path = source / f"f{k}.jsonl"
+        head = "x" * 100
+        path.write_text("\n".join(conversation(head + q) for q in ("same", f"own {k}")))
+        os.utime(path, (path.stat().st_atime, path.stat().st_mtime - age))
+        chats = arrivals.chat_stream(spark, str(source), by="path", max_files=1)
+        chats = arrivals.first_arrivals(chats.withColumn("dataset_id", F.lit("one")))
+        got = run(chats.select(F.substring(F.col("messages")[0]["content"], 101, 9).alias("q")), "first")
+    assert rows_of(got, "q") == [("own 0",), ("own 1",), ("own 2",), ("same",)]
+    (source / "no.csv").write_text("x")
+    (source / "bad.jsonl").write_text("[1]")
+    refused = run(arrivals.refused_stream(spark, str(source), max_files=1), "refused")
+    assert rows_of(refused, "dataset_id", "error_code") == [("bad.jsonl", "not_object"), ("no.csv", "extension")]
+
+
 def test_stream_keeps_first_arrivals(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
