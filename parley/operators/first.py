@@ -11,7 +11,6 @@ from parley.session import written_once
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_BY_SPARK = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 256
-ROWS_PER_BUCKET = 1 << 16
 
 
 def first_rows(
@@ -37,24 +36,15 @@ def first_rows(
 def rows_at_quarters(df: DataFrame, group: str, key: str) -> DataFrame:
     """Rows at 0-based positions ``0, n//4, n//2, 3n//4, n-1`` of each group ordered by a BIGINT key.
 
-    Positions come from counts of key ranges of about 65,536 rows: a running sum over the ranges
-    finds the range that holds each position, and only those ranges are sorted. Small groups repeat
-    a row for several positions. Keys are unique within a group.
+    The keys are written in ranges of (group, key) that Spark cuts by a sample of them, so a range holds
+    about as many rows as any other, however far some keys lie apart. A running sum over the ranges of
+    a group finds the range that holds each position, and only those ranges are sorted. Small groups
+    repeat a row for several positions. Keys are unique within a group.
     """
-    df = df.select(group, key)
-    k = F.col(key)
-    spans = df.groupBy(group).agg(
-        F.min(key).alias("_low"), F.max(key).alias("_high"), F.count(F.lit(1)).alias("_n")
-    )
-    span = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
-    width = F.greatest(F.ceil(span / F.col("_n") * ROWS_PER_BUCKET).cast("double"), F.lit(1.0))
-    # One row per group; written, so that the join below does not shuffle the keys when it is small.
-    spans = written_once(spans.withColumn("_width", width), "spans")
-    bucket = F.floor((k.cast("double") - F.col("_low").cast("double")) / F.col("_width"))
-    bucketed = df.join(spans.select(group, "_low", "_width"), group).select(
-        group, key, bucket.alias("_bucket")
-    )
+    keys = df.select(group, key).repartitionByRange(group, key).withColumn("_bucket", F.spark_partition_id())
+    bucketed = written_once(keys, "keys")
     counts = bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    spans = counts.groupBy(group).agg(F.sum("_rows").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 

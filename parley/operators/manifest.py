@@ -16,13 +16,16 @@ OUTPUT_DIR = "./lora_adapter"
 DATA_PATH = "./data.jsonl"
 MAX_SEQ_LENGTH = 2048
 LORA_R, LORA_ALPHA, LORA_DROPOUT = 16, 16, 0
+# Modules that an adapter trains.
 ATTENTION_MODULES = ["q_proj", "k_proj", "v_proj", "o_proj"]
 PHI_MODULES = [*ATTENTION_MODULES, "fc1", "fc2"]
 OTHER_MODULES = [*ATTENTION_MODULES, "gate_proj", "up_proj", "down_proj"]
+# Name parts of models that ask for consent.
 GATED_PATTERNS = [
     "meta-llama", "llama-2", "llama-3", "llama2", "llama3", "google/gemma", "gemma-2",
     "mistralai/mistral", "mistralai/mixtral", "bigscience/bloom", "tiiuae/falcon",
 ]
+# Minutes per hundred examples and epoch, by model size.
 MINUTES_BY_SIZE = [("2B", 1.0), ("3B", 1.5), ("3.8B", 2.0), ("7B", 4.0), ("8B", 5.0)]
 MINUTES_OTHERWISE = 2.0
 
@@ -80,24 +83,19 @@ def training_plans(ranked: DataFrame) -> DataFrame:
     A ``selected_model_id`` asked for with the request overrides the winner. The display name follows
     the selection only when it is one of the alternatives shown.
     """
-    rank, selected = F.col("rank"), F.col("selected_model_id")
-    chosen_alternative = rank.between(2, 1 + ALTERNATIVES_SHOWN) & (F.col("model_id") == selected)
-    plans = ranked.groupBy(*REQUEST).agg(
-        F.max("num_examples").alias("num_examples"),
-        F.max("selected_model_id").alias("_selected"),
-        F.max(F.when(rank == 1, F.col("model_id"))).alias("_primary_id"),
-        F.max(F.when(rank == 1, F.col("model_name"))).alias("_primary_name"),
-        F.max(F.when(chosen_alternative, F.col("model_name"))).alias("_alternative_name"),
-    )
-    name = F.coalesce("_alternative_name", "_primary_name", F.lit(FALLBACK_MODEL_NAME))
+    selected = F.col("selected_model_id")
+    # The winner's row knows the models shown beside it.
+    plans = ranked.where(F.col("rank") == 1)
+    others = F.slice("shown", 2, ALTERNATIVES_SHOWN)
+    chosen = F.filter(others, lambda m: m["model_id"] == selected)
+    name = F.coalesce(F.get(chosen, 0)["model_name"], "model_name", F.lit(FALLBACK_MODEL_NAME))
     task = F.coalesce("user_task", F.lit(DEFAULT_TASK))
     target = F.coalesce("target", F.lit(DEFAULT_TARGET))
     return plans.select(
         *REQUEST,
+        "request_id",
         "num_examples",
-        F.coalesce(F.nullif("_selected", F.lit("")), "_primary_id", F.lit(FALLBACK_MODEL_ID)).alias(
-            "base_model"
-        ),
+        F.coalesce(F.nullif(selected, F.lit("")), "model_id", F.lit(FALLBACK_MODEL_ID)).alias("base_model"),
         name.alias("model_name"),
         F.format_string(
             "Based on your %s task and %s deployment target, we recommend %s.", task, target, name
@@ -109,7 +107,7 @@ def training_plans(ranked: DataFrame) -> DataFrame:
 def training_manifests(plans: DataFrame) -> DataFrame:
     """Plans completed with every default a training run needs.
 
-    ``plans`` needs ``base_model`` and ``num_examples``; ``output_dir``, ``max_seq_length``,
+    ``plans`` needs ``base_model`` and ``num_examples``; ``data_path``, ``output_dir``, ``max_seq_length``,
     ``lora_config`` and ``training_args`` are kept where present and filled where missing or NULL.
     """
     model = F.col("base_model")
@@ -126,13 +124,13 @@ def training_manifests(plans: DataFrame) -> DataFrame:
     sizes = constant_table(
         plans.sparkSession, ["base_model", "model_size"], [(m[1], m[3]) for m in MODELS]
     )
-    carried = [c for c in [*REQUEST, "model_name", "reasoning"] if c in plans.columns]
+    carried = [c for c in [*REQUEST, "request_id", "model_name", "reasoning"] if c in plans.columns]
     minutes = training_minutes(F.col("num_examples"), F.col("model_size"))
     return plans.join(sizes, "base_model", "left").select(
         *carried,
         "num_examples",
         "base_model",
-        F.lit(DATA_PATH).alias("data_path"),
+        given("data_path", F.lit(DATA_PATH)).alias("data_path"),
         given("output_dir", F.lit(OUTPUT_DIR)).alias("output_dir"),
         given("max_seq_length", F.lit(MAX_SEQ_LENGTH)).alias("max_seq_length"),
         given("lora_config", lora).alias("lora_config"),

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators.features import conversation_features, facts_of_valid, valid_only
+from parley.operators.features import conversation_features, valid_only
 from parley.operators.first import first_rows
 from parley.schema import (
     CLASSIFICATION_MAX_DISTINCT,
+    CONV_KEY,
     JSON_SHARE,
     MULTILINGUAL_SHARE,
-    RESPONSE_SAMPLE,
 )
 from parley.session import written_once
 
@@ -105,12 +105,12 @@ def _response_flags(counts: DataFrame) -> DataFrame:
     )
 
 
-def json_profile(facts: DataFrame, sample: int = RESPONSE_SAMPLE) -> DataFrame:
-    """JSON-like share of the first ``sample`` non-blank answers in file order."""
+def json_profile(facts: DataFrame, sample: int | None = None) -> DataFrame:
+    """JSON-like share of all non-blank answers, or of the first ``sample`` in file order."""
     answers = facts.where(F.col("is_answer") & ~F.col("is_bad")).select(
         "dataset_id", "conv_id", "turn", "json_like"
     )
-    head = first_rows(answers, ["dataset_id"], ["conv_id", "turn"], sample)
+    head = answers if sample is None else first_rows(answers, ["dataset_id"], ["conv_id", "turn"], sample)
     return head.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("sampled_responses"),
         F.count_if("json_like").alias("json_responses"),
@@ -120,20 +120,33 @@ def json_profile(facts: DataFrame, sample: int = RESPONSE_SAMPLE) -> DataFrame:
     )
 
 
+def answered_conversations(facts: DataFrame) -> DataFrame:
+    """Features of the valid conversations, each with the facts of its answers as an array.
+
+    One aggregation by conversation, so the facts are shuffled by it once for all that follows. The
+    array is bounded as a conversation is.
+    """
+    answer = F.when(
+        F.col("is_answer"), F.struct("turn", "response_hash", "non_ascii", "json_like", "is_bad")
+    )
+    return valid_only(conversation_features(facts, F.collect_list(answer).alias("answers")))
+
+
 def dataset_profile(facts: DataFrame, sample: int | None = None, reuse: bool = True) -> DataFrame:
     """Profile and characteristics of the valid conversations, one row per dataset.
 
-    Three aggregates over the facts are joined at one row per dataset. With ``reuse`` the facts are
-    written to the shared folder first, so the text is read and hashed once instead of once per
-    aggregate.
+    Three aggregates over :func:`answered_conversations` are joined at one row per dataset. With
+    ``reuse`` those are written to the shared folder first, so the text is read and hashed once and
+    the facts are shuffled once.
     """
+    conversations = answered_conversations(facts)
     if reuse:
-        facts = written_once(facts, "facts")
-    valid = facts_of_valid(facts)
+        conversations = written_once(conversations, "answered")
+    answers = conversations.select(*CONV_KEY, F.inline("answers")).withColumn("is_answer", F.lit(True))
     joined = (
-        structure_profile(valid_only(conversation_features(facts)))
-        .join(response_profile(valid, sample), "dataset_id", "left")
-        .join(json_profile(valid), "dataset_id", "left")
+        structure_profile(conversations)
+        .join(response_profile(answers, sample), "dataset_id", "left")
+        .join(json_profile(answers, sample), "dataset_id", "left")
     )
     return (
         joined.fillna(0, ["distinct_responses", "non_ascii_responses"])

@@ -2,18 +2,17 @@
 
 ``requests`` has one row per question asked: ``dataset_id, user_task, target`` and the dataset's
 ``num_examples, avg_response_length, is_multilingual, looks_like_json_output, is_multi_turn``; it may
-name a ``selected_model_id``.
-Every lookup is a broadcast join with a constant table of at most 33 rows, and every window holds
-the five models of one request.
+name a ``selected_model_id`` and bring a ``request_id``, else it gets one: equal questions are
+requests of their own.
+The catalogue is one literal array, so scoring and ranking are a projection: no join, window or shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators.constants import constant_table
 
 REQUEST = ["dataset_id", "user_task", "target"]
 
@@ -98,21 +97,30 @@ REASONS_SHOWN = 5
 ALTERNATIVES_SHOWN = 2
 
 
-def _pools(spark) -> DataFrame:
-    rows = [(t, m, None) for t, models in TARGETS.items() for m in models]
-    rows += [("edge_device", m, s) for m, s in EDGE_POOL.items()]
-    rows += [("multilingual", m, s) for m, s in MULTILINGUAL_POOL.items()]
-    return constant_table(spark, ["pool", "model_key", "fixed_score"], rows)
-
-
-def _task_scores(spark) -> DataFrame:
-    rows = [(t, m[0], s) for t, *scores in TASK_SCORES for m, s in zip(MODELS, scores, strict=True)]
-    return constant_table(spark, ["score_task", "model_key", "task_points"], rows)
-
-
-def _tie_order(spark) -> DataFrame:
-    rows = [(t, m, i) for t, models in TIE_ORDER.items() for i, m in enumerate(models)]
-    return constant_table(spark, ["tie_task", "model_key", "priority"], rows)
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])
+
+
+def _catalogue() -> Column:
+    """The models as an array, each with its scores per task, its place in ties and its pools.
+
+    ``pools`` has the targets a model is eligible for; its value is the score of a pool that skips
+    scoring, else -1.
+    """
+    pools = {**{t: dict.fromkeys(models, -1) for t, models in TARGETS.items()}}
+    pools |= {"edge_device": EDGE_POOL, "multilingual": MULTILINGUAL_POOL}
+    models = []
+    for k, model in enumerate(MODELS):
+        key = model[0]
+        models.append(
+            F.struct(
+                *[F.lit(v).alias(c) for c, v in zip(MODEL_COLUMNS, model, strict=True)],
+                _literal_map({t: scores[k] for t, *scores in TASK_SCORES}).alias("task_scores"),
+                _literal_map({t: order.index(key) for t, order in TIE_ORDER.items()}).alias("priorities"),
+                _literal_map({pool: found[key] for pool, found in pools.items() if key in found}).alias("pools"),
+            )
+        )
+    return F.array(*models)
 
 
 def recommendation_requests(
@@ -135,7 +143,6 @@ def recommendation_requests(
 
 def score_models(requests: DataFrame) -> DataFrame:
     """One row per request and eligible model with its points, score and rank."""
-    spark = requests.sparkSession
     n, length = F.col("num_examples"), F.col("avg_response_length")
     task, target = F.col("user_task"), F.col("target")
     asked = requests.withColumns(
@@ -149,6 +156,8 @@ def score_models(requests: DataFrame) -> DataFrame:
     )
     if "selected_model_id" not in asked.columns:
         asked = asked.withColumn("selected_model_id", F.lit(None).cast("string"))
+    if "request_id" not in asked.columns:
+        asked = asked.withColumn("request_id", F.uuid())
     asked = asked.withColumns(
         {
             "pool": F.when(F.col("is_multilingual"), "multilingual")
@@ -158,36 +167,46 @@ def score_models(requests: DataFrame) -> DataFrame:
             "tie_task": F.when(task.isin(*TASKS), task).otherwise("default"),
         }
     )
-    models = constant_table(spark, MODEL_COLUMNS, MODELS)
-    scored = (
-        asked.join(_pools(spark), "pool")
-        .join(models, "model_key")
-        .join(_task_scores(spark), ["score_task", "model_key"])
-        .join(_tie_order(spark), ["tie_task", "model_key"])
-        .withColumns(
-            {
-                "size_points": F.when(n < 500, F.col("small"))
-                .when(n >= 2000, F.col("large"))
-                .otherwise(F.col("medium")),
-                "output_points": F.when(length > 200, F.col("long_output"))
-                .when(F.col("looks_like_json_output"), F.col("json_output"))
-                .otherwise(10),
-                "bonus_points": F.when(F.col("is_multi_turn"), F.col("multi_turn_bonus")).otherwise(0),
-            }
+
+    def scored(model: Column) -> Column:
+        task_points = model["task_scores"][F.col("score_task")]
+        size = F.when(n < 500, model["small"]).when(n >= 2000, model["large"]).otherwise(model["medium"])
+        output = (
+            F.when(length > 200, model["long_output"])
+            .when(F.col("looks_like_json_output"), model["json_output"])
+            .otherwise(10)
         )
-        .withColumn(
-            "score",
-            F.coalesce(
-                F.col("fixed_score"),
-                F.col("task_points") + F.col("size_points") + F.col("output_points") + F.col("bonus_points"),
-            ),
+        bonus = F.when(F.col("is_multi_turn"), model["multi_turn_bonus"]).otherwise(0)
+        fixed = model["pools"][F.col("pool")]
+        score = F.when(fixed >= 0, fixed).otherwise(task_points + size + output + bonus)
+        # The first two fields order the models.
+        return F.struct(
+            (-score).alias("worst"),
+            model["priorities"][F.col("tie_task")].alias("priority"),
+            score.alias("score"),
+            task_points.alias("task_points"),
+            size.alias("size_points"),
+            output.alias("output_points"),
+            bonus.alias("bonus_points"),
+            F.when(fixed >= 0, fixed).alias("fixed_score"),
+            *[model[c].alias(c) for c in MODEL_COLUMNS[:7]],
         )
+
+    eligible = F.filter(_catalogue(), lambda m: F.map_contains_key(m["pools"], F.col("pool")))
+    ranked = asked.withColumn("models", F.array_sort(F.transform(eligible, scored)))
+    first = F.col("models")[0]
+    best = F.struct(*[first[c].alias(c) for c in ("score", "train_minutes", "memory_gb", "context_window")])
+    # What a plan needs of the other models, so that nobody has to gather the rows of a request again.
+    shown = F.transform(
+        F.slice("models", 1, 1 + ALTERNATIVES_SHOWN),
+        lambda m: F.struct(m["model_id"].alias("model_id"), m["model_name"].alias("model_name")),
+    )
+    return (
+        ranked.select("*", best.alias("best"), shown.alias("shown"), F.posexplode("models").alias("at", "m"))
+        .drop("models")
+        .select("*", (F.col("at") + 1).alias("rank"), "m.*")
+        .drop("at", "m", "worst", "priority")
     )
-    by_score = Window.partitionBy(*REQUEST).orderBy(F.desc("score"), "priority")
-    best = F.struct("score", "train_minutes", "memory_gb", "context_window")
-    return scored.withColumns(
-        {"rank": F.row_number().over(by_score), "best": F.first(best).over(by_score)}
-    ).drop("small", "medium", "large", "long_output", "json_output", "multi_turn_bonus", "priority")
 
 
 def confidence(score: Column) -> Column:
@@ -287,14 +306,14 @@ _MODEL_VIEW = ["model_key", "model_id", "model_name", "size", "context_window"]
 
 def ranked_models(scored: DataFrame) -> DataFrame:
     """``scored`` with the reasons of the primary (rank 1) and of the alternatives (ranks 2 and 3)."""
-    task_reasons = constant_table(
-        scored.sparkSession, ["model_key", "user_task", "task_reason"], TASK_REASONS
-    )
-    reasons = F.when(F.col("rank") == 1, primary_reasons(F.col("task_reason"))).when(
+    texts = {f"{model} {task}": text for model, task, text in TASK_REASONS}
+    task_reason = _literal_map(texts)[F.concat_ws(" ", "model_key", "user_task")]
+    reasons = F.when(F.col("rank") == 1, primary_reasons(task_reason)).when(
         F.col("rank") <= 1 + ALTERNATIVES_SHOWN, alternative_reasons()
     )
-    return scored.join(task_reasons, ["model_key", "user_task"], "left").select(
+    return scored.select(
         *REQUEST,
+        "request_id",
         "rank",
         *_MODEL_VIEW,
         context_label(F.col("context_window")).alias("context_window_formatted"),
@@ -303,15 +322,16 @@ def ranked_models(scored: DataFrame) -> DataFrame:
         reasons.alias("reasons"),
         "num_examples",
         "selected_model_id",
+        "shown",
     )
 
 
 def primary_models(ranked: DataFrame) -> DataFrame:
-    return ranked.where(F.col("rank") == 1).drop("rank")
+    return ranked.where(F.col("rank") == 1).drop("rank", "shown")
 
 
 def alternative_models(ranked: DataFrame) -> DataFrame:
-    return ranked.where(F.col("rank").between(2, 1 + ALTERNATIVES_SHOWN)).drop("confidence")
+    return ranked.where(F.col("rank").between(2, 1 + ALTERNATIVES_SHOWN)).drop("confidence", "shown")
 
 
 def recommendations(ranked: DataFrame) -> DataFrame:
@@ -323,10 +343,11 @@ def recommendations(ranked: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", model.alias("model"))))
     scores = F.map_from_entries(F.collect_list(F.struct("model_key", "score")))
     return (
-        ranked.groupBy(*REQUEST)
+        ranked.groupBy(*REQUEST, "request_id")
         .agg(ordered.alias("models"), scores.alias("all_scores"))
         .select(
             *REQUEST,
+            "request_id",
             F.col("models")[0]["model"].alias("primary_recommendation"),
             F.transform(
                 F.slice("models", 2, ALTERNATIVES_SHOWN),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import conversation as C
@@ -50,29 +50,25 @@ def modified_counts(rewritten: DataFrame) -> DataFrame:
 def add_system_prompt_rows(messages: DataFrame, prompt: str) -> DataFrame:
     """The same on ``messages``: a new row at turn 0, the later turns moved by one.
 
-    Which conversations lack a system message is found from the role column alone; the text meets
-    that narrow list in one join on the conversation key.
+    One pass and one shuffle by conversation: the first row of a conversation without a system message
+    brings the new row with it.
     """
     prompt = _checked_prompt(prompt)
-    lacking = (
-        messages.groupBy(*CONV_KEY)
-        .agg(F.bool_or(F.coalesce(F.col("role") == "system", F.lit(False))).alias("has_system"))
-        .where(~F.col("has_system"))
-        .select(*CONV_KEY)
+    conversation = Window.partitionBy(*CONV_KEY)
+    is_system = F.coalesce(F.col("role") == "system", F.lit(False))
+    marked = messages.select(*CONV_KEY, "turn", "role", "text").withColumns(
+        {
+            "_lacks": ~F.max(is_system).over(conversation),
+            "_place": F.row_number().over(conversation.orderBy("turn")),
+        }
     )
-    moved = messages.join(lacking.withColumn("_by", F.lit(1)), CONV_KEY, "left").select(
-        *CONV_KEY,
-        (F.col("turn") + F.coalesce("_by", F.lit(0))).alias("turn"),
-        "role",
-        "text",
+    turn = F.col("turn") + F.col("_lacks").cast("int")
+    own = F.struct(turn.cast("bigint").alias("turn"), "role", "text")
+    new = F.struct(
+        F.lit(0).cast("bigint").alias("turn"), F.lit("system").alias("role"), F.lit(prompt).alias("text")
     )
-    added = lacking.select(
-        *CONV_KEY,
-        F.lit(0).cast("bigint").alias("turn"),
-        F.lit("system").alias("role"),
-        F.lit(prompt).alias("text"),
-    )
-    return moved.unionByName(added)
+    rows = F.when(F.col("_lacks") & (F.col("_place") == 1), F.array(new, own)).otherwise(F.array(own))
+    return marked.select(*CONV_KEY, F.inline(rows))
 
 
 def keep_conversations(rows: DataFrame, keys: DataFrame) -> DataFrame:

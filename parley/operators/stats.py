@@ -26,10 +26,6 @@ PROMPT_TEMPLATES = [
      "You are a creative content writer. Generate engaging, well-structured content that captures attention. Adapt your writing style to match the requested tone and format. Be original and compelling."),
     ("generation", 2, "Technical Writer",
      "You are a technical writer. Create clear, precise, and well-organized content. Use appropriate technical terminology, provide step-by-step instructions when relevant, and ensure accuracy in all details."),
-    ("extraction", 1, "Data Extraction Specialist",
-     "You are a data extraction specialist. Analyze inputs and extract relevant information in a consistent, structured format. Be precise and thorough. If information is missing or unclear, indicate it explicitly."),
-    ("extraction", 2, "Entity Recognition Expert",
-     "You are an entity recognition expert. Identify and extract key entities (people, organizations, locations, dates, etc.) from text. Maintain consistency in entity naming and format your output clearly."),
     ("general", 3, "General Purpose",
      "You are a helpful, accurate, and versatile assistant. Adapt your responses to the user's needs, provide clear explanations, and maintain a professional yet friendly tone."),
 ]

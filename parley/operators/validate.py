@@ -38,8 +38,9 @@ def validate_messages(messages: DataFrame) -> DataFrame:
     """``error_code, msg_idx, message`` per conversation; NULL where it is valid.
 
     The first broken rule names the error: too few messages, then the messages from left to right,
-    then a missing user or assistant. Texts name the conversation id as the line. Counts go through a hash aggregate; only broken messages, which
-    are few, carry their role text.
+    then a missing user or assistant. Texts name the conversation id as the line and the message by its
+    place. Counts go through a hash aggregate; only broken messages, which are few, carry their role
+    text, and places are counted for broken conversations alone.
     """
     role = F.col("role")
     marked = messages.select(*CONV_KEY, "turn", "role", _message_error(role, F.col("text")).alias("error"))
@@ -59,9 +60,21 @@ def validate_messages(messages: DataFrame) -> DataFrame:
         .when(~F.col("has_user"), "no_user")
         .when(~F.col("has_assistant"), "no_assistant")
     )
-    judged = counts.join(first_bad, CONV_KEY, "left").withColumn("error_code", code)
+    broken = first_bad.select(*CONV_KEY, F.col("bad.turn").alias("bad_turn"))
+    before = (
+        marked.select(*CONV_KEY, "turn")
+        .join(broken, CONV_KEY)
+        .where("turn < bad_turn")
+        .groupBy(*CONV_KEY)
+        .agg(F.count(F.lit(1)).alias("before"))
+    )
+    judged = counts.join(first_bad, CONV_KEY, "left").join(before, CONV_KEY, "left")
+    judged = judged.withColumn("error_code", code).withColumn(
+        "place", (F.coalesce("before", F.lit(0)) + 1).cast("bigint")
+    )
     in_message = F.col("error_code").isin(*_MESSAGE_RULES)
-    index = F.when(in_message, F.col("bad.turn") + 1)
+    # Turns may start anywhere and have gaps: a message's number is its place in the conversation.
+    index = F.when(in_message, F.col("place"))
     line = F.col("conv_id")
     per_message = F.col("error_code")
     bodies = F.create_map(

@@ -62,7 +62,8 @@ features AS (
          count(*) FILTER (role = 'assistant' AND length({_strip('text')}) = 0) AS blank_responses,
          count(*) FILTER (role = 'assistant' AND length({_strip('text')}) BETWEEN 1 AND 9) AS short_responses,
          count(*) FILTER (role = 'assistant' AND length({_strip('text')}) > 4000) AS long_responses,
-         string_agg(role || ':' || substring(text, 1, 100), '|' ORDER BY turn) AS fp
+         string_agg(role || ':' || substring(text, 1, 100), '|' ORDER BY turn) AS fp,
+         string_agg(role || ':' || length(text) || ':' || text, '|' ORDER BY turn) AS full_fp
   FROM messages GROUP BY ALL
 ),
 valid AS (
@@ -189,8 +190,7 @@ responses AS (
 json_flags AS (
   SELECT dataset_id, avg(CASE WHEN starts_with(stripped, '{{') OR starts_with(stripped, '[') THEN 1.0 ELSE 0.0 END) > 0.5
            AS looks_like_json_output
-  FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id, turn) AS k
-        FROM answers WHERE stripped <> '') WHERE k <= 50 GROUP BY dataset_id
+  FROM answers WHERE stripped <> '' GROUP BY dataset_id
 ),
 profile AS (
   SELECT s.dataset_id, num_examples, users + assistants + systems AS total_messages,
@@ -464,7 +464,7 @@ _IS_VALID = "n_messages >= 2 AND n_user > 0 AND n_assistant > 0"
 def all_oracles() -> dict[str, str]:
     by_lang_pairs = _pairs(_ALL)
     return {
-        "conv_features": f"""{_with(_ALL)} SELECT * EXCLUDE (fp), sha256(fp) AS fingerprint, n_chars // 4 AS n_tokens,
+        "conv_features": f"""{_with(_ALL)} SELECT * EXCLUDE (fp, full_fp), sha256(fp) AS fingerprint, sha256(full_fp) AS content_fingerprint, n_chars // 4 AS n_tokens,
             n_user = 1 AND n_assistant = 1 AS is_single_turn, n_messages - n_system = 2 AS is_two_message,
             n_system > 0 AS has_system FROM features""",
         "message_flags": f"""SELECT dataset_id, conv_id, turn, sha256({_NORMALISED}) AS response_hash,
@@ -497,14 +497,15 @@ def all_oracles() -> dict[str, str]:
             coalesce(sum(n_chars // 4 - 2048) FILTER (n_chars // 4 > 2048), 0)::BIGINT AS excess_tokens
             FROM features GROUP BY dataset_id""",
         "quality_score": f"{_with(_MANY, _quality('valid').strip())} SELECT * FROM scored",
-        "quality_issues": f"""{_with(_MANY, _quality('features').strip(), _ISSUES.strip())}
+        "quality_issues": f"""{_with(_MANY, _quality('valid').strip(), _ISSUES.strip())}
             SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY o) AS issue_no, code, severity, n, message FROM issues
             UNION ALL SELECT dataset_id, 1, 'ok', 'ok', n_examples, '✅ Data looks good!' FROM scored
             WHERE dataset_id NOT IN (SELECT dataset_id FROM issues)""",
         "duplicate_marks": f"""{_with(_ALL)} SELECT dataset_id, conv_id,
-            row_number() OVER (PARTITION BY dataset_id, fp ORDER BY conv_id) > 1 AS is_duplicate FROM features""",
+            row_number() OVER (PARTITION BY dataset_id, fp ORDER BY conv_id) > 1 AS is_duplicate,
+            row_number() OVER (PARTITION BY dataset_id, full_fp ORDER BY conv_id) > 1 AS is_copy FROM features""",
         "dedup_conversations": f"""{_with(_ALL)}, kept AS (SELECT dataset_id, conv_id FROM features
-            QUALIFY row_number() OVER (PARTITION BY dataset_id, fp ORDER BY conv_id) = 1)
+            QUALIFY row_number() OVER (PARTITION BY dataset_id, full_fp ORDER BY conv_id) = 1)
             SELECT m.* FROM messages m SEMI JOIN kept k ON m.dataset_id = k.dataset_id AND m.conv_id = k.conv_id""",
         "dataset_profile": f"{_with(_MANY + ' UNION ALL ' + _JSON, _PROFILE.strip())} SELECT * FROM profile",
         "distinct_responses": _responses(
@@ -519,6 +520,12 @@ def all_oracles() -> dict[str, str]:
             count(*) FILTER (wide AND pos <= 50) / count(*) FILTER (pos <= 50) > 0.3 AS is_multilingual FROM k GROUP BY dataset_id"""
         ),
         "json_output_flag": f"""SELECT dataset_id, count(*) AS sampled_responses,
+            count(*) FILTER (j) AS json_responses, count(*) FILTER (j) / count(*) > 0.5 AS looks_like_json_output
+            FROM (SELECT dataset_id, starts_with({_strip('text')}, '{{') OR starts_with({_strip('text')}, '[') AS j,
+                  row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id, turn) AS k
+                  FROM ({_ALL} UNION ALL {_JSON}) WHERE role = 'assistant' AND {_strip('text')} <> '')
+            GROUP BY dataset_id""",
+        "json_output_flag_first_50": f"""SELECT dataset_id, count(*) AS sampled_responses,
             count(*) FILTER (j) AS json_responses, count(*) FILTER (j) / count(*) > 0.5 AS looks_like_json_output
             FROM (SELECT dataset_id, starts_with({_strip('text')}, '{{') OR starts_with({_strip('text')}, '[') AS j,
                   row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id, turn) AS k
@@ -585,9 +592,20 @@ def all_oracles() -> dict[str, str]:
         "first_system_prompt": f"""WITH messages AS ({_ALL}), f AS (
             SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id, turn) = 1)
             SELECT dataset_id, CASE WHEN role = 'system' THEN text END AS system_prompt FROM f""",
-        "jsonl_ingest": f"""{_EXPORTED} SELECT dataset_id, n_messages, n_user, n_assistant, n_system, n_chars, sha256(fp) AS fingerprint
-            FROM lines WHERE {_IS_VALID}""",
-        "jsonl_scan": f"""{_EXPORTED} SELECT dataset_id, line_no, n_messages, n_chars, sha256(fp) AS fingerprint
+        "jsonl_ingest": f"""{_EXPORTED} SELECT dataset_id, line_no AS conv_id, n_messages, n_user, n_assistant, n_system, n_chars,
+            sha256(full_fp) AS content_fingerprint FROM lines WHERE {_IS_VALID}""",
+        "ingest_summary": f"""{_EXPORTED} SELECT dataset_id, count(*) FILTER ({_IS_VALID}) AS n_valid,
+            count(*) FILTER (NOT ({_IS_VALID})) AS n_errors,
+            count(*) FILTER ({_IS_VALID}) >= 50 AND count(*) FILTER (NOT ({_IS_VALID})) = 0 AS accepted,
+            count(*) FILTER ({_IS_VALID}) AS total_examples,
+            sum(n_messages) FILTER ({_IS_VALID})::BIGINT AS total_messages FROM lines GROUP BY dataset_id""",
+        "size_gate": f"""SELECT DISTINCT dataset_id, cap, true AS as_told
+            FROM ({_CONVERSATIONS}), (VALUES ('none'), ('one byte')) AS c(cap)""",
+        "file_gate": f"""SELECT DISTINCT dataset_id, 'extension' AS error_code,
+            'Unsupported format: .txt. Please upload a .jsonl file.' AS message, true AS "some", 0::BIGINT AS kept
+            FROM ({_CONVERSATIONS})""",
+        "encoding_fallback": "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_hash FROM documents",
+        "jsonl_scan": f"""{_EXPORTED} SELECT dataset_id, line_no, n_messages, n_chars, sha256(full_fp) AS content_fingerprint
             FROM lines WHERE {_IS_VALID}""",
         "jsonl_rejects": f"""{_EXPORTED} SELECT dataset_id, line_no,
             CASE WHEN n_messages < 2 THEN 'too_few_messages' WHEN n_user = 0 THEN 'no_user' ELSE 'no_assistant' END AS error_code,
@@ -595,10 +613,13 @@ def all_oracles() -> dict[str, str]:
               WHEN n_user = 0 THEN 'conversation must have at least one ''user'' message'
               ELSE 'conversation must have at least one ''assistant'' message' END AS message
             FROM lines WHERE NOT ({_IS_VALID})""",
-        "stream_ingest": f"""{_EXPORTED} SELECT dataset_id, n_messages, n_user, n_assistant, n_system, n_chars, sha256(fp) AS fingerprint
-            FROM lines WHERE {_IS_VALID}""",
-        "stream_first_arrivals": f"""{_with(_documents('lang'))} SELECT DISTINCT dataset_id, sha256(fp) AS fingerprint FROM features""",
-        "training_export": f"""SELECT dataset_id, 'microsoft/Phi-4-mini-instruct' AS base_model, './data.jsonl' AS data_path,
-            './lora_adapter' AS output_dir, 2048 AS max_seq_length, 16 AS r, 'q_proj,k_proj,v_proj,o_proj,fc1,fc2' AS target_modules
+        "stream_ingest": f"""{_EXPORTED} SELECT dataset_id, n_messages, n_user, n_assistant, n_system, n_chars,
+            sha256(full_fp) AS content_fingerprint, true AS own_key FROM lines WHERE {_IS_VALID}""",
+        "stream_first_arrivals": f"""{_with(_documents('lang'))}
+            SELECT DISTINCT dataset_id, sha256(full_fp) AS content_fingerprint FROM features""",
+        "training_export": f"""SELECT dataset_id, 'microsoft/Phi-4-mini-instruct' AS base_model,
+            './data/dataset_id=' || dataset_id AS data_path, './lora_adapter' AS output_dir, 2048 AS max_seq_length, 16 AS r,
+            'q_proj,k_proj,v_proj,o_proj,fc1,fc2' AS target_modules, 3 AS num_train_epochs, 0.0002::DOUBLE AS learning_rate,
+            count(DISTINCT conv_id) AS n_rows
             FROM ({_CONVERSATIONS}) GROUP BY dataset_id""",
     }

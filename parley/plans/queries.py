@@ -25,6 +25,7 @@ from parley.operators.features import (
     token_budget,
     valid_only,
 )
+from parley.operators.ingest import ingest_jsonl
 from parley.operators.shape import explode_messages, nest_messages
 from parley.plans.inputs import (
     as_json_answers,
@@ -148,11 +149,11 @@ def quality_score(spark, sf):
 
 
 def quality_issues(spark, sf):
-    return quality.quality_issues(quality.quality_score(_features(many_messages(spark, sf))))
+    return quality.quality_issues(quality.quality_score(_valid(many_messages(spark, sf))))
 
 
 def duplicate_marks(spark, sf):
-    return dedup.mark_duplicates(_features(all_messages(spark, sf)))
+    return dedup.mark_duplicates(written_once(_features(all_messages(spark, sf)), "features"))
 
 
 def dedup_conversations(spark, sf):
@@ -189,9 +190,17 @@ def multilingual_flag_first_50(spark, sf):
     )
 
 
-def json_output_flag(spark, sf):
+def _with_json_answers(spark: SparkSession, sf: str) -> DataFrame:
     messages = all_messages(spark, sf).unionByName(as_json_answers(conversation_messages(spark, sf)))
-    return profile.json_profile(message_facts(messages))
+    return message_facts(messages)
+
+
+def json_output_flag(spark, sf):
+    return profile.json_profile(_with_json_answers(spark, sf))
+
+
+def json_output_flag_first_50(spark, sf):
+    return profile.json_profile(_with_json_answers(spark, sf), RESPONSE_SAMPLE)
 
 
 # ---- validation ---------------------------------------------------------------------------------
@@ -272,7 +281,7 @@ def recommend_scores(spark, sf):
 
 
 def _without_reasons(models: DataFrame) -> DataFrame:
-    return models.drop("reasons", "num_examples", "selected_model_id")
+    return models.drop("reasons", "num_examples", "selected_model_id", "request_id")
 
 
 def recommend_primary(spark, sf):
@@ -419,21 +428,69 @@ def _conversation_files(spark: SparkSession, sf: str) -> str:
 
 def _line_features(chats: DataFrame) -> DataFrame:
     return chat_features(chats).select(
-        "dataset_id", "n_messages", "n_user", "n_assistant", "n_system", "n_chars", "fingerprint"
+        "dataset_id", "conv_id", "n_messages", "n_user", "n_assistant", "n_system", "n_chars", "content_fingerprint"
     )
 
 
 def jsonl_ingest(spark, sf):
-    """Written as JSONL and read back file by file."""
+    """Written as JSONL and read back file by file, with line numbers through all parts."""
     chats, _ = jsonl.read_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
-    return _line_features(chats)
+    return chat_features(chats).select(
+        "dataset_id", "conv_id", "n_messages", "n_user", "n_assistant", "n_system", "n_chars", "content_fingerprint"
+    )
+
+
+def ingest_summary(spark, sf):
+    """Files ingested in one operation: the verdict and the size of each dataset."""
+    found = ingest_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
+    return found.gate.join(found.stats, "dataset_id", "left").select(
+        "dataset_id", "n_valid", "n_errors", "accepted", "total_examples", "total_messages"
+    )
+
+
+def size_gate(spark, sf):
+    """Files above a cap: one reject row each, and only then."""
+    files = _conversation_files(spark, sf)
+    outcomes = []
+    for cap, max_bytes in (("none", None), ("one byte", 1)):
+        _, rejects = jsonl.read_jsonl(spark, files, max_bytes, by="partition", suffix=".txt")
+        listed = jsonl.list_files(spark, files, by="partition").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("files"))
+        large = rejects.where("error_code = 'too_large'").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("refused"))
+        rows = listed.join(large, "dataset_id", "left").select(
+            "dataset_id",
+            F.lit(cap).alias("cap"),
+            (F.coalesce("refused", F.lit(0)) == F.when(F.lit(max_bytes is None), 0).otherwise(F.col("files"))).alias("as_told"),
+        )
+        outcomes.append(rows)
+    return outcomes[0].unionByName(outcomes[1])
+
+
+def file_gate(spark, sf):
+    """Files of another suffix: a reject row for each dataset's files, and no conversation."""
+    chats, rejects = jsonl.scan_jsonl(spark, _conversation_files(spark, sf), by="partition")
+    kept = chats.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("kept"))
+    refused = rejects.groupBy("dataset_id", "error_code", "message").agg(F.count(F.lit(1)).alias("files"))
+    return refused.join(kept, "dataset_id", "left").select(
+        "dataset_id", "error_code", "message", (F.col("files") > 0).alias("some"), F.coalesce("kept", F.lit(0)).alias("kept")
+    )
+
+
+def encoding_fallback(spark, sf):
+    """Texts of the documents as bytes, in UTF-8 or Latin-1 by turns, decoded again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    latin = (F.pmod("doc_id", F.lit(2)) == 1) & ~F.col("text").rlike("[^\u0000-\u00ff]")
+    content = F.when(latin, F.encode(F.regexp_replace("text", "[^\u0000-\u00ff]", "?"), "ISO-8859-1")).otherwise(
+        F.encode("text", "UTF-8")
+    )
+    decoded = jsonl.decode(content)
+    return docs.select("doc_id", F.length(decoded).cast("bigint").alias("n_chars"), F.sha2(decoded, 256).alias("text_hash"))
 
 
 def jsonl_scan(spark, sf):
     """Written as JSONL and read back in splits, with line numbers through all parts."""
     chats, _ = jsonl.scan_jsonl(spark, _conversation_files(spark, sf), by="partition", suffix=".txt")
     return chat_features(chats).select(
-        "dataset_id", F.col("conv_id").alias("line_no"), "n_messages", "n_chars", "fingerprint"
+        "dataset_id", F.col("conv_id").alias("line_no"), "n_messages", "n_chars", "content_fingerprint"
     )
 
 
@@ -452,9 +509,12 @@ def stream_ingest(spark, sf):
         scratch_path(spark, "stream-state"),
         by="partition",
         suffix=".txt",
+        max_files=2,
     )
     query.awaitTermination()
-    return _line_features(spark.read.parquet(f"{out}/chats"))
+    rows = written_once(_line_features(spark.read.parquet(f"{out}/chats")), "arrived")
+    keys = rows.groupBy(*CONV_KEY).agg((F.count(F.lit(1)) == 1).alias("own_key"))
+    return rows.join(keys, CONV_KEY).drop("conv_id")
 
 
 def stream_first_arrivals(spark, sf):
@@ -462,10 +522,10 @@ def stream_first_arrivals(spark, sf):
     chats = document_chats(spark, sf)
     files = _written_jsonl(spark, chats, chats)
     out = scratch_path(spark, "first")
-    arriving = arrivals.chat_stream(spark, files, by="partition", suffix=".txt")
+    arriving = arrivals.chat_stream(spark, files, by="partition", suffix=".txt", max_files=2)
     query = (
         arrivals.first_arrivals(arriving)
-        .select("dataset_id", "fingerprint")
+        .select("dataset_id", "content_fingerprint")
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", scratch_path(spark, "stream-state"))
@@ -477,15 +537,20 @@ def stream_first_arrivals(spark, sf):
 
 
 def training_export(spark, sf):
-    """The exported manifest of each dataset, parsed again."""
-    data = _conversation_files(spark, sf)
-    config = spark.read.text(f"{data[: -len('/data')]}/config")
+    """The exported manifest of each dataset, parsed again, and the conversations where it says they are."""
+    root = _conversation_files(spark, sf)[: -len("/data")]
+    configs, _ = sinks.read_training_sets(spark, root)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/(data/dataset_id=[^/]*)/[^/]*$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{root}/data")
+    lines = lines.groupBy(F.concat(F.lit("./"), folder).alias("found")).agg(F.count(F.lit(1)).alias("n_rows"))
     parsed = F.from_json(
-        "value",
+        "config",
         "base_model STRING, data_path STRING, output_dir STRING, max_seq_length INT, "
-        "lora_config STRUCT<r: INT, lora_alpha: INT, lora_dropout: INT, target_modules: ARRAY<STRING>>",
+        "lora_config STRUCT<r: INT, lora_alpha: INT, lora_dropout: INT, target_modules: ARRAY<STRING>>, "
+        "training_args STRUCT<num_train_epochs: INT, learning_rate: DOUBLE>",
     )
-    return config.select(F.col("dataset_id").cast("string"), parsed.alias("c")).select(
+    rows = configs.select("dataset_id", parsed.alias("c"))
+    return rows.join(lines, F.col("c.data_path") == F.col("found")).select(
         "dataset_id",
         "c.base_model",
         "c.data_path",
@@ -493,6 +558,9 @@ def training_export(spark, sf):
         "c.max_seq_length",
         "c.lora_config.r",
         F.array_join("c.lora_config.target_modules", ",").alias("target_modules"),
+        "c.training_args.num_train_epochs",
+        "c.training_args.learning_rate",
+        "n_rows",
     )
 
 
@@ -516,6 +584,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "multilingual_flag": multilingual_flag,
         "multilingual_flag_first_50": multilingual_flag_first_50,
         "json_output_flag": json_output_flag,
+        "json_output_flag_first_50": json_output_flag_first_50,
         "column_validation": column_validation,
         "first_errors": first_errors,
         "dataset_gate": dataset_gate,
@@ -545,6 +614,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "containment_accuracy": containment_accuracy,
         "first_system_prompt": first_system_prompt,
         "jsonl_ingest": jsonl_ingest,
+        "ingest_summary": ingest_summary,
+        "size_gate": size_gate,
+        "file_gate": file_gate,
+        "encoding_fallback": encoding_fallback,
         "jsonl_scan": jsonl_scan,
         "jsonl_rejects": jsonl_rejects,
         "stream_ingest": stream_ingest,

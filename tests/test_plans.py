@@ -11,10 +11,13 @@ from parley.operators.profile import json_profile
 from parley.operators.stats import ingest_stats
 from parley.operators.training import prompt_pairs_of_messages
 from parley.plans.inputs import conversation_messages
+from parley.plans.oracle import all_oracles
+from parley.plans.queries import all_queries
+from parley.schema import RESPONSE_SAMPLE
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 def plan_of(df):
@@ -53,7 +56,7 @@ def test_statistics_read_once_and_shuffle_no_text(spark):
 
 
 def test_first_fifty_are_pruned_before_the_shuffle(spark):
-    plan = plan_of(json_profile(message_facts(conversation_messages(spark, SF))))
+    plan = plan_of(json_profile(message_facts(conversation_messages(spark, SF)), RESPONSE_SAMPLE))
     assert plan.count("WindowGroupLimit") == 2
 
 

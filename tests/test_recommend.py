@@ -148,6 +148,19 @@ def test_plan_and_manifest(spark):
     assert got["2"].estimated_time == "~0.5 hours"
 
 
+def test_equal_requests_are_requests_of_their_own(spark):
+    asked = ("a", "qa", "not_sure", 1000, 528, False, False, True)
+    rows = spark.createDataFrame([asked, asked], SCHEMA)
+    picked = F.when(F.monotonically_increasing_id() % 2 == 0, "x/y").otherwise("u/v")
+    ranked = R.ranked_models(R.score_models(rows.coalesce(1).withColumn("selected_model_id", picked)))
+    assert sorted(r["rank"] for r in ranked.collect()) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert R.primary_models(ranked).count() == 2 and R.alternative_models(ranked).count() == 4
+    plans = manifest.training_plans(ranked)
+    assert sorted(r.base_model for r in plans.collect()) == ["u/v", "x/y"]
+    assert R.recommendations(ranked).count() == 2
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("n", "model", "text"),
     [(100, "google/gemma-2-2b-it", "~5 minutes"), (166, "google/gemma-2-2b-it", "~5 minutes"),

@@ -122,9 +122,7 @@ def test_first_rows_split_a_hot_group_above_the_pruned_limit(spark):
     assert got == list(enumerate(keys[:50], 1))
 
 
-def test_rows_at_quarters(spark, monkeypatch):
-    import parley.operators.first as first
-
+def test_rows_at_quarters(spark):
     rng = random.Random(3)
     groups = {f"n{n}": list(range(n)) for n in (1, 2, 3, 4, 5, 8, 51)}
     groups["sparse"] = sorted({rng.randrange(-(2**62), 2**62) for _ in range(333)})
@@ -132,15 +130,25 @@ def test_rows_at_quarters(spark, monkeypatch):
     rows = [(g, k) for g, keys in groups.items() for k in keys]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, k bigint").repartition(5)
-    for width in (first.ROWS_PER_BUCKET, 10, 1):
-        monkeypatch.setattr(first, "ROWS_PER_BUCKET", width)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for n_parts in (parts, "1", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", n_parts)
         got = {}
         for r in rows_at_quarters(df, "g", "k").collect():
             got.setdefault(r.g, {})[r.sample_no] = (r.position, r.k)
         for g, keys in groups.items():
             n = len(keys)
             at = [0, n // 4, n // 2, 3 * n // 4, n - 1]
-            assert got[g] == {i: (p, keys[p]) for i, p in enumerate(at, 1)}, (g, width)
+            assert got[g] == {i: (p, keys[p]) for i, p in enumerate(at, 1)}, (g, n_parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_one_far_key_does_not_fill_a_range(spark):
+    keys = spark.range(300_000).selectExpr("'d' AS g", "id AS k").unionByName(spark.sql("SELECT 'd' AS g, 1000000000000 AS k"))
+    parted = keys.repartitionByRange(4, "g", "k").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in parted.collect()) < 150_000
+    got = {r.sample_no: r.k for r in rows_at_quarters(keys, "g", "k").collect()}
+    assert got == {1: 0, 2: 75_000, 3: 150_000, 4: 225_000, 5: 10**12}
 
 
 def test_containment(spark):
