@@ -51,11 +51,31 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return hashes
     width, total = min(width, n), np.zeros(max(1, n - width + 1), np.uint64)
+    # Word hashes are random already: a sum of odd multiples tells their order.
     for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(hashes[k : n - width + 1 + k] + np.uint64(k + 1))
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - width + 1 + k]
     return mixed(total + np.uint64(width))
 
 
+BITS = 1 << 23
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Which residues modulo ``BITS`` the hashes in a column have, as packed bits: one megabyte always.
+
+    A filter by it lets through all wanted rows and some others; a join that follows drops those.
+    """
+    places = keys.select(F.pmod(column, F.lit(BITS)).cast("int").alias("bit")).distinct()
+    wanted = np.zeros(BITS, bool)
+    wanted[places.toPandas()["bit"].to_numpy(np.int64)] = True
+    return np.packbits(wanted)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """``bits`` unpacked, asked for signed or unsigned 64-bit hashes."""
+    return bits[(hashes.view(np.int64) & (BITS - 1))]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``links``: the smallest node that links reach.
 

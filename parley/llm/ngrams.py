@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import WordHashes, components, per_process, picked, window_hashes
+from parley.llm.common import BITS, WordHashes, bitmap, components, in_bitmap, per_process, picked, window_hashes
 from parley.session import written_once
 
 WIDTH = 5
@@ -83,15 +83,31 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def prefixes(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """``(s, n, ph, prefix)`` per set: rare shingles by hash first, then the ``common`` ones by hash."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def packed(shingles: np.ndarray) -> bytes:
+    """Six bytes of each shingle: enough to count what two sets have in common."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    items = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(items), 8), np.uint8)
+    out[:, :6] = items
+    return out.view(np.uint64).ravel()
+
+
+def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """``(s, n, ph, prefix, items)`` per set: rare shingles by hash first, then the ``common`` ones by hash.
+
+    ``items`` is the whole set of texts in the bitmap ``wanted``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, seen = shared.value, set()
+        common, seen = shared.value[0], set()
+        bits = np.unpackbits(shared.value[1]).astype(bool)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text, chosen in zip(batch["text"], in_bitmap(bits, batch["t"].to_numpy(np.int64))):
                 shingles = shingle_set(text, width)
                 s, n = signature(shingles), len(shingles)
                 if not n or s in seen:
@@ -104,64 +120,92 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
                 often &= at < len(common)
                 first = np.concatenate([shingles[~often], shingles[often]])[: prefix_size(n)]
                 ph = xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63)
-                rows.append((s, n, ph, first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix"])
+                rows.append((s, n, ph, first.view(np.int64), packed(shingles) if chosen else None))
+            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "items"])
+
+    return docs.select("text", "t").mapInPandas(run, "s bigint, n bigint, ph bigint, prefix array<bigint>, items binary")
+
+
+def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
+    """``(s, items)`` of the texts in the bitmap ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            texts = batch["text"][in_bitmap(bits, batch["t"].to_numpy(np.int64))]
+            sets = [shingle_set(t, width) for t in texts]
+            yield pd.DataFrame({"s": [signature(x) for x in sets], "items": [packed(x) for x in sets]})
 
-    return docs.select("text").mapInPandas(run, "s bigint, n bigint, ph bigint, prefix array<bigint>")
+    return docs.select("text", "t").mapInPandas(run, "s bigint, items binary")
 
 
 def near_sizes(a: Column, b: Column) -> Column:
     return (PARTS * F.least(a, b)) >= (SHARE * F.greatest(a, b))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set signatures that link, checked on the whole sets.
+def texts_of(pairs: DataFrame, classes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the texts that stand for the sets in ``pairs``."""
+    needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+    return bitmap(classes.join(needed, "s", "left_semi"), "t")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that link, counted on the whole sets ``(s, items)``."""
 
-    Only the sets that occur in a pair are made again, each from one row with its text.
-    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                sets = [shingle_set(t, width) for t in batch["text"].iloc[at : at + 200]]
-                yield pd.DataFrame({"s": [signature(x) for x in sets], "items": [x.view(np.int64) for x in sets]})
-
-    needed = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-    chosen = classes.join(needed, "s", "left_semi").select(F.col("doc_id").alias("id"), F.col("t").alias("key"))
-    chosen = written_once(chosen, "chosen")
-    same = docs["doc_id"].eqNullSafe(chosen["id"]) & (docs["t"] == chosen["key"])
-    sets = docs.join(chosen, same, "left_semi").select("text").mapInPandas(run, "s bigint, items array<bigint>")
-    sets = written_once(sets, "shingle-sets")
+            good = []
+            for x, y in zip(batch["x"], batch["y"]):
+                n = (len(x) + len(y)) // 6
+                common = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+                good.append(PARTS * common >= SHARE * (n - common))
+            yield batch.loc[good, ["a", "b"]]
+
+    # Copies of a text in several tasks give the same set.
+    sets = sets.groupBy("s").agg(F.first("items").alias("items"))
     left = sets.select(F.col("s").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("s").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = PARTS * common >= SHARE * (F.size("x") + F.size("y") - common)
-    return written_once(both.where(links).select("a", "b").distinct(), "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return written_once(both.mapInPandas(run, "a bigint, b bigint"), "links")
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """Of the sets that share a band, each with the smallest one of them."""
+    """For each set one other: the smallest of all that share a band with it and have a near size.
+
+    This need not find every link, only hold large clusters together cheaply.
+    """
     rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band"))
     centre = rows.groupBy("no", "band").agg(F.min(F.struct("s", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
     pairs = rows.join(centre.where("k > 1"), ["no", "band"]).where(F.col("s") != F.col("c.s"))
     pairs = pairs.where(near_sizes(F.col("n"), F.col("c.n")))
-    return written_once(pairs.select(F.col("c.s").alias("a"), F.col("s").alias("b")).distinct(), "star-pairs")
+    return written_once(pairs.groupBy(F.col("s").alias("b")).agg(F.min("c.s").alias("a")), "star-pairs")
+
+
+def least_common(n1: Column, n2: Column) -> Column:
+    """How many shingles the prefixes of two sets that link share at least.
+
+    Linked sets share ``q = ceil(share * (n1 + n2) / (1 + share))``; so prefixes of ``n - q + k`` shingles
+    share ``k``.
+    """
+    q = F.ceil(SHARE * (n1 + n2) / F.lit(SHARE + PARTS))
+    spare = [q - F.ceil(SHARE * n / F.lit(PARTS)) + 1 for n in (n1, n2)]
+    return F.greatest(F.least(*spare), F.lit(1))
 
 
-def group_pairs(docs: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int) -> DataFrame:
+def group_pairs(docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int) -> DataFrame:
     """Candidate pairs ``(a, b)`` of sets that are not in one component yet.
 
-    Sets with one prefix, size and component are one group. Groups that share a prefix shingle and have
-    near sizes are paired; of a shingle's groups only those outside its largest component are paired
-    with the rest, so a cluster that is already known to hang together costs nothing however large it is.
-    A shingle that more than ``most`` groups hold goes behind the rare ones, and prefixes are made anew.
+    Sets with one prefix, size and component are one group. Groups of near sizes are paired if their
+    prefixes share as many shingles as those of linked sets must; of a shingle's groups only those
+    outside its largest component are paired with the rest, so a cluster that is already known to hang
+    together costs nothing however large it is. A shingle that more than ``8 * most`` groups hold goes
+    behind the rare ones, and prefixes are made anew.
     """
-    spark = docs.sparkSession
     while True:
-        sets = written_once(prefixes(docs, width, common), "prefixes")
         total = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("k")).first()["k"]
         # At most 500,000 shingles more a round.
-        bound = max(most, total // 500_000)
+        bound = max(8 * most, total // 500_000)
         members = sets.select("s", "n", "ph").distinct().join(known, F.col("s") == F.col("node"), "left")
         members = members.select("s", "n", "ph", F.coalesce("component", "s").alias("comp"))
         units = members.groupBy("n", "ph", "comp").agg(F.min("s").alias("g"))
@@ -183,11 +227,18 @@ def group_pairs(docs: DataFrame, known: DataFrame, common: np.ndarray, width: in
         if not len(new):
             break
         common = np.union1d(common, new)
+        nothing = np.packbits(np.zeros(BITS, bool))
+        sets = written_once(prefixes(docs, width, common, nothing), "prefixes")
     largest = posted.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("main"))
     left = posted.join(largest, "token").where("comp <> main")
     left = left.select("token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("comp").alias("c1"), "main")
     pairs = left.join(posted, "token").where("c1 <> comp and (comp = main or g1 < g)")
-    pairs = pairs.where(near_sizes(F.col("n1"), F.col("n"))).select("g1", F.col("g").alias("g2")).distinct()
+    pairs = pairs.where(near_sizes(F.col("n1"), F.col("n")))
+    order = [F.struct("g1", "n1"), F.struct(F.col("g").alias("g1"), F.col("n").alias("n1"))]
+    pairs = pairs.select(F.least(*order).alias("p"), F.greatest(*order).alias("q"))
+    pairs = pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.where(F.col("k") >= least_common(F.col("p.n1"), F.col("q.n1")))
+    pairs = pairs.select(F.col("p.g1").alias("g1"), F.col("q.g1").alias("g2"))
     a = members.select(F.col("g").alias("g1"), F.col("s").alias("a"))
     b = members.select(F.col("g").alias("g2"), F.col("s").alias("b"))
     return written_once(pairs.join(a, "g1").join(b, "g2").select("a", "b").distinct(), "group-pairs")
@@ -226,9 +277,12 @@ def near_duplicates(
     common = np.array(sorted(r["s"] for r in often.select("s").toLocalIterator()), np.int64).view(np.uint64)
     common.sort()
 
-    stars = verified(star_pairs(classes), docs, classes, width)
+    pairs = star_pairs(classes)
+    sets = written_once(prefixes(docs, width, common, texts_of(pairs, classes)), "prefixes")
+    stars = verified(pairs, sets.where("items is not null").select("s", "items"))
     known = written_once(components(stars), "first-components")
-    rest = verified(group_pairs(docs, known, common, width, most), docs, classes, width)
+    pairs = group_pairs(docs, sets, known, common, width, most)
+    rest = verified(pairs, whole_sets(docs, width, texts_of(pairs, classes)))
     found = components(stars.union(rest))
     named = rows.join(found, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
     named = written_once(named.select("doc_id", "t", "n", "c"), "named")
