@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import per_process, picked, window_hashes
+from parley.llm.common import bitmap, in_bitmap, per_process, picked, window_hashes
 from parley.session import written_once
 
 WIDTH, SHORTEST, LEAST_WORDS = 8, 3, 3
-# The windows of the benchmark as a bitmap: a size that does not grow with it.
-BITS = 1 << 23
 UNITS = set(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres "
     "kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne "
@@ -38,32 +37,39 @@ class Pieces(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.kinds, self.hashes, self.spelled, self.ends = [], [], [], []
+        self.spelled: list[str] = []
+        size = 1 << 16
+        self.kinds, self.ends = np.zeros(size, np.uint8), np.zeros(size, bool)
+        self.hashes = np.zeros(size, np.uint64)
 
     def __missing__(self, piece: str) -> int:
-        core = EDGES.sub("", piece)
-        number = NUMERIC.match(core.lstrip("$€£"))
+        end = False
+        if piece.isalpha():
+            core = piece
+        else:
+            core = EDGES.sub("", piece)
+            end = piece[-1] in ".?!:;" or (piece[-1] in "\"')" and piece[-2:-1] in tuple(".?!"))
         low = core.lower()
         if not core:
             kind = NOTHING
-        elif number and (not number[1] or number[1].lower() in UNITS):
-            kind = NUMBER
         elif low in UNITS:
             kind = UNIT
         elif core[0].isupper() and not core.isupper():
             kind = NAME
         else:
-            kind = WORD
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh3_64_intdigest(low))
+            number = None if core.isalpha() else NUMERIC.match(core.lstrip("$€£"))
+            kind = NUMBER if number and (not number[1] or number[1].lower() in UNITS) else WORD
+        value = len(self)
+        if value == len(self.kinds):
+            self.kinds, self.ends, self.hashes = (np.append(x, np.zeros_like(x)) for x in (self.kinds, self.ends, self.hashes))
+        self.kinds[value], self.ends[value], self.hashes[value] = kind, end, xxhash.xxh3_64_intdigest(low)
         self.spelled.append(low)
-        self.ends.append(piece[-1] in ".?!:;" or piece[-1] in "\"')" and piece[-2:-1] in tuple(".?!"))
-        value = self[piece] = len(self)
+        self[piece] = value
         return value
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Token hashes with placeholders in place, which tokens are placeholders, and all spellings.
+def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[str]]:
+    """Token hashes with placeholders in place, which tokens are placeholders, and how to spell them.
 
     A number is one wherever it stands; a unit only behind a number; a capitalised word is a name
     unless a sentence starts with it.
@@ -74,23 +80,20 @@ def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     words = text.split()
     index = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))
     if not len(index):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), []
-    some, inverse = np.unique(index, return_inverse=True)
-    look = lambda values, kind: np.array([values[k] for k in some], kind)[inverse]
-    kinds, ends = look(pieces.kinds, np.uint8), look(pieces.ends, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), index, []
+    kinds = pieces.kinds[index]
     real = kinds != NOTHING
-    first = np.append(True, ends[:-1])[real]
+    first = np.append(True, pieces.ends[index][:-1])[real]
     index, kinds = index[real], kinds[real]
-    hashes = look(pieces.hashes, np.uint64)[real]
     after = np.append(False, kinds[:-1] == NUMBER)
     slot = (kinds == NUMBER) | ((kinds == UNIT) & after) | ((kinds == NAME) & ~first)
-    hashes = np.where(slot, kinds.astype(np.uint64), hashes)
-    return hashes, slot, [pieces.spelled[k] for k in index]
+    hashes = np.where(slot, kinds.astype(np.uint64), pieces.hashes[index])
+    return hashes, slot, index, pieces.spelled
 
 
-def windows(text: str, widths: list[int], whole_if_short: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+def windows(text: str, widths: list[int], whole_if_short: bool) -> Iterator[tuple]:
     """Per width: its windows' positions and hashes, with those of hardly any word left out."""
-    hashes, slot, words = canonical(text)
+    hashes, slot, index, spelled = canonical(text)
     n = len(hashes)
     for width in [min(n, widths[-1])] if whole_if_short else widths:
         if not SHORTEST <= width <= n:
@@ -98,11 +101,13 @@ def windows(text: str, widths: list[int], whole_if_short: bool) -> Iterator[tupl
         plain = np.append(0, np.cumsum(~slot))
         good = np.flatnonzero(plain[width:] - plain[: n - width + 1] >= LEAST_WORDS)
         if len(good):
-            yield width, n - width + 1, good, window_hashes(hashes, width)[good], words, slot
+            values = partial(slots_at, width=width, slot=slot, index=index, spelled=spelled)
+            yield width, good, window_hashes(hashes, width)[good], values
 
 
-def slots_at(at: int, width: int, words: list[str], slot: np.ndarray) -> list[str]:
-    return [words[k] for k in range(at, at + width) if slot[k]]
+def slots_at(at: int, width: int, slot: np.ndarray, index: np.ndarray, spelled: list[str]) -> list[str]:
+    """What stands in the slots of one window."""
+    return [spelled[index[k]] for k in range(at, at + width) if slot[k]]
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -112,9 +117,9 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch["item"], batch["text"]):
-                for size, _, good, hashes, words, slot in windows(text, [width], True):
+                for size, good, hashes, values in windows(text, [width], True):
                     for at, h in zip(good.tolist(), hashes.view(np.int64).tolist()):
-                        rows.append((item, size, h, at, slots_at(at, size, words, slot), len(good)))
+                        rows.append((item, size, h, at, values(at), len(good)))
             yield pd.DataFrame(rows, columns=["item", "width", "h", "at", "values", "n"])
 
     found = items.select(F.col("item").cast("string"), "text").mapInPandas(
@@ -123,19 +128,19 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return found.withColumn("item", F.col("item").cast(items.schema["item"].dataType))
 
 
-def found_windows(docs: DataFrame, wanted: np.ndarray, widths: list[int]) -> DataFrame:
+def found_windows(docs: DataFrame, own: DataFrame, widths: list[int]) -> DataFrame:
     """``(t1, t2, h, pos, slots)``: windows of the texts whose bit is set; the join that follows decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(own, "h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             rows = []
             for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"]):
-                for size, _, good, hashes, words, slot in windows(text, widths, False):
-                    hit = bits[(hashes % np.uint64(BITS)).astype(np.int64)]
+                for _, good, hashes, values in windows(text, widths, False):
+                    hit = in_bitmap(bits, hashes)
                     for pos, h in zip(good[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                        rows.append((t1, t2, h, pos, slots_at(pos, size, words, slot)))
+                        rows.append((t1, t2, h, pos, values(pos)))
             yield pd.DataFrame(rows, columns=["t1", "t2", "h", "pos", "slots"])
 
     return docs.mapInPandas(run, "t1 bigint, t2 bigint, h bigint, pos int, slots array<string>")
@@ -171,11 +176,7 @@ def leaks(
     items = picked(benchmark, item=item_col, text=item_text_col).where("item is not null and text is not null").distinct()
     own = written_once(item_windows(items, width), "item-windows")
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())
-    wanted = np.zeros(BITS, bool)
-    # At most BITS numbers.
-    places = own.select(F.pmod("h", F.lit(BITS)).cast("int").alias("bit")).distinct()
-    wanted[places.toPandas()["bit"].to_numpy(np.int64)] = True
-    hits = found_windows(rows.select("t1", "t2", "text"), wanted, widths or [width])
+    hits = found_windows(rows.select("t1", "t2", "text"), own, widths or [width])
     pairs = hits.join(own, "h").where(F.size("slots") == F.size("values"))
     pairs = pairs.select("t1", "t2", "item", "n", "at", (F.col("pos") - F.col("at")).alias("shift"), "slots", "values").distinct()
     pairs = written_once(pairs, "matched-windows")
