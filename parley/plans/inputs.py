@@ -49,6 +49,19 @@ def as_json_answers(messages: DataFrame, dataset_id: str = "json") -> DataFrame:
     )
 
 
+def broken_messages(messages: DataFrame) -> DataFrame:
+    """The messages with faults by conversation - a wrong role, NULL and blank texts - and gaps between turns."""
+    form = F.pmod("conv_id", F.lit(6))
+    second = F.col("turn") == 1
+    return messages.withColumns(
+        {
+            "role": F.when(second & (form == 0), "bot").when(second & (form == 1), F.lit(None)).otherwise(F.col("role")),
+            "text": F.when(second & (form == 2), F.lit(None)).when(second & (form == 3), " \u3000").otherwise(F.col("text")),
+            "turn": F.col("turn") * 3 + 5,
+        }
+    )
+
+
 # Forms of a line, taken in turn by document; ``@`` stands for the text as a JSON string, ``#`` for its
 # length, ``~`` for the bare text.
 LINE_FORMS = [

@@ -45,6 +45,13 @@ _ALL = f"{_CONVERSATIONS} UNION ALL {_documents('lang')}"
 _MANY = f"{_ALL} UNION ALL {_documents('source')}"
 
 
+# The faults of ``broken_messages``; its gaps between turns change nothing, so they are left out here.
+_BROKEN = f"""SELECT dataset_id, conv_id, turn,
+    CASE WHEN turn = 1 AND conv_id % 6 = 0 THEN 'bot' WHEN turn = 1 AND conv_id % 6 = 1 THEN NULL ELSE role END AS role,
+    CASE WHEN turn = 1 AND conv_id % 6 = 2 THEN NULL WHEN turn = 1 AND conv_id % 6 = 3 THEN ' \u3000' ELSE text END AS text
+    FROM ({_ALL})"""
+
+
 def _strip(x: str) -> str:
     return f"trim({x}, '{WHITESPACE}')"
 
@@ -259,14 +266,14 @@ errors AS (SELECT dataset_id, conv_id, error_code, message,
            FROM verdicts WHERE error_code IS NOT NULL)"""
 
 
-def _gate(strict: bool) -> str:
+def _gate(strict: bool, messages: str = _MANY) -> str:
     summary = (
         "(SELECT dataset_id, 'Validation failed:' || chr(10) || string_agg(message, chr(10) ORDER BY error_no) AS m "
         "FROM errors WHERE error_no <= 5 GROUP BY dataset_id)"
         if strict
         else "(SELECT NULL::VARCHAR AS dataset_id, NULL::VARCHAR AS m)"
     )
-    return f"""{_verdicts(_MANY)},
+    return f"""{_verdicts(messages)},
 gate AS (
   SELECT c.dataset_id, n_valid, n_errors, coalesce(s.m,
       CASE WHEN n_valid = 0 THEN 'File is empty or contains no valid examples.'
@@ -533,6 +540,9 @@ def all_oracles() -> dict[str, str]:
             WHERE k <= 50 GROUP BY dataset_id""",
         "column_validation": f"{_verdicts(_ALL)} SELECT * FROM verdicts",
         "first_errors": f"{_verdicts(_ALL)} SELECT * FROM errors WHERE error_no <= 5",
+        "broken_validation": f"{_verdicts(_BROKEN)} SELECT * FROM verdicts",
+        "broken_first_errors": f"{_verdicts(_BROKEN)} SELECT * FROM errors WHERE error_no <= 5",
+        "broken_gate": f"{_gate(True, _BROKEN)} SELECT dataset_id, n_valid, n_errors, error_msg IS NULL AS accepted, error_msg FROM gate",
         "dataset_gate": f"{_gate(True)} SELECT dataset_id, n_valid, n_errors, error_msg IS NULL AS accepted, error_msg FROM gate",
         "dataset_gate_quarantine": f"{_gate(False)} SELECT dataset_id, n_valid, n_errors, error_msg IS NULL AS accepted, error_msg FROM gate",
         "accepted_conversations": f"""{_gate(True)} SELECT v.dataset_id, v.conv_id, v.n_messages FROM verdicts v

@@ -29,6 +29,7 @@ from parley.operators.ingest import ingest_jsonl
 from parley.operators.shape import explode_messages, nest_messages
 from parley.plans.inputs import (
     as_json_answers,
+    broken_messages,
     conversation_messages,
     document_chats,
     document_lines,
@@ -214,6 +215,19 @@ def first_errors(spark, sf):
     return validate.first_errors(validate.validate_messages(all_messages(spark, sf)))
 
 
+def broken_validation(spark, sf):
+    """Every rule for roles and texts broken somewhere, in conversations whose turns have gaps."""
+    return validate.validate_messages(broken_messages(all_messages(spark, sf)))
+
+
+def broken_first_errors(spark, sf):
+    return validate.first_errors(validate.validate_messages(broken_messages(all_messages(spark, sf))))
+
+
+def broken_gate(spark, sf):
+    return validate.dataset_gate(validate.validate_messages(broken_messages(all_messages(spark, sf))))
+
+
 def dataset_gate(spark, sf):
     return validate.dataset_gate(validate.validate_messages(many_messages(spark, sf)))
 
@@ -587,6 +601,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_output_flag_first_50": json_output_flag_first_50,
         "column_validation": column_validation,
         "first_errors": first_errors,
+        "broken_validation": broken_validation,
+        "broken_first_errors": broken_first_errors,
+        "broken_gate": broken_gate,
         "dataset_gate": dataset_gate,
         "dataset_gate_quarantine": dataset_gate_quarantine,
         "accepted_conversations": accepted_conversations,
