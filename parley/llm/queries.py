@@ -32,7 +32,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,32 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM doc
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY ALL
+), link AS (
+    SELECT x, y FROM pair JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), edge AS (
+    SELECT x, y FROM link UNION SELECT y, x FROM link
+), reach(doc_id, r) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT e.y, reach.r FROM reach JOIN edge e ON e.x = reach.doc_id
+), least AS (
+    SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN least USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH doc AS (
     SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -121,4 +148,4 @@ FROM bits
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL}
