@@ -187,12 +187,17 @@ class TrieEncoder:
 
 
 def bpe_roundtrip(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest: bool = False,
+    most: int = 400_000,
 ) -> DataFrame:
     """Encode and decode every text: ``doc_id, n_tokens, ids, decoded``.
 
     With ``digest`` the SHA-256 of ``ids`` and ``decoded`` come in their place, so that the long
-    strings never leave the Python worker.
+    strings never leave the Python worker. ``most`` bounds what a worker remembers (about 0.7 KB each).
 
     A projection: no shuffle, so a hot key or group of copies costs nothing extra and a lost task is
     simply run again. A null text is an empty one (0 tokens, empty strings); repeated rows give
@@ -203,7 +208,7 @@ def bpe_roundtrip(
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = per_process(("trie", tokenizer_path), lambda: TrieEncoder(tokenizer_path))
+        encoder = per_process(("trie", tokenizer_path, most), lambda: TrieEncoder(tokenizer_path, most))
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
 import numpy as np
@@ -109,11 +110,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def per_process(key: tuple, make):
-    """``make()``, once in the life of a worker process: tasks that follow one another share it.
+    """``make()``, shared by the tasks that a worker process runs one after the other.
 
-    It lives in ``sys`` because functions that travel by value bring new module globals with each task.
+    A process keeps one such thing: the next operator's takes the place of this one's, so the memory of
+    a pipeline is that of its largest stage. It lives in ``sys`` because functions that travel by value
+    bring new module globals with each task.
     """
     kept = sys.__dict__.setdefault("_parley_kept", {})
     if key not in kept:
+        kept.clear()
+        gc.collect()
         kept[key] = make()
     return kept[key]
