@@ -25,7 +25,7 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -30,7 +30,7 @@ EDGES = re.compile(r"\A[\W_]+|[\W_]+\Z")
 class Pieces(dict):
     """For each run without white space a number, under which its kind, hash and spelling are kept."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
         self.empty()

@@ -165,7 +165,7 @@ def quality_scores(
 class WordValues(dict):
     """The sum of a word's feature weights, remembered up to ``most`` words."""
 
-    def __init__(self, weights: np.ndarray, most: int = 500_000):
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
 
