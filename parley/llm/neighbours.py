@@ -38,7 +38,7 @@ def vector_classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def permutations(classes: DataFrame, pivots: np.ndarray, kind: type, lists: int) -> DataFrame:
-    """Add ``data`` (the vector), ``ranks`` (the place of every pivot) and ``near`` (the first pivots)."""
+    """Add ``data`` (the vector) and ``near`` (the first pivots of its permutation)."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,46 +47,46 @@ def permutations(classes: DataFrame, pivots: np.ndarray, kind: type, lists: int)
                 part = batch.iloc[at : at + 1000]
                 vectors = np.array(part["vec"].tolist(), kind)
                 order = np.argsort(-(vectors.astype(float) @ shared.value.T), axis=1, kind="stable")
-                ranks = np.empty(order.shape, np.uint8)
-                np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.uint8)[None, :], 1)
                 yield pd.DataFrame(
                     {
                         "cid": part["cid"].array,
                         "data": [v.tobytes() for v in vectors],
-                        "ranks": [r.tobytes() for r in ranks],
                         "near": list(order[:, :lists].astype(np.int32)),
                     }
                 )
 
-    return classes.select("cid", "vec").mapInPandas(run, "cid string, data binary, ranks binary, near array<int>")
+    return classes.select("cid", "vec").mapInPandas(run, "cid string, data binary, near array<int>")
 
 
-def searched(queries: pd.DataFrame, data: pd.DataFrame, kind: type, posted: int, budget: int, k: int) -> pd.DataFrame:
-    """One list, or a block of it: each query against the vectors posted in it.
+def searched(queries: pd.DataFrame, data: pd.DataFrame, kind: type, k: int, at_once: int = 1_000_000) -> pd.DataFrame:
+    """One list, or a block of it: each query against all vectors posted in it, ``at_once`` pairs at a time.
 
-    A pair that meets in several lists is worked out in the first of them alone. What is left is ranked
-    by footrule distance - the sum over all pivots of how far their places differ - and the ``budget``
-    nearest are scored on the vectors.
+    The ``k + 1`` best of the block are kept, with all that tie. A pair that meets in several lists is
+    among the best of each of them or not wanted at all, so it is returned by the first of them alone.
     """
     pivot = int(data["pivot"].iloc[0])
-    places, vectors = matrix(data["ranks"], np.uint8), matrix(data["data"], kind).astype(float)
-    asked, asking = matrix(queries["ranks"], np.uint8), matrix(queries["data"], kind).astype(float)
-    wide = places.astype(np.int16)
-    earlier = places[:, :pivot] < posted
-    ids, out = data["cid"].to_numpy(), []
-    for row, query, near, cid in zip(asked.astype(np.int16), asking, queries["near"], queries["cid"]):
-        before = [p for p in near if p < pivot]
-        fresh = np.flatnonzero(~earlier[:, before].any(axis=1)) if before else np.arange(len(data))
-        footrule = np.abs(wide[fresh] - row).sum(axis=1, dtype=np.int32)
-        if len(fresh) > budget:
-            # All at the distance of the last one stay: no tie is cut.
-            last = np.partition(footrule, budget - 1)[budget - 1]
-            fresh = fresh[footrule <= last]
-        scores = (vectors[fresh] * query).sum(axis=1)
-        if len(fresh) > k + 1:
-            last = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-            fresh, scores = fresh[scores >= last], scores[scores >= last]
-        out.append(pd.DataFrame({"q": cid, "cid": ids[fresh], "score": scores}))
+    vectors, asking = matrix(data["data"], kind).astype(float), matrix(queries["data"], kind).astype(float)
+    posted, probed = np.array(data["near"].tolist()), np.array(queries["near"].tolist())
+    lengths, asked = np.linalg.norm(vectors, axis=1).max(), np.linalg.norm(asking, axis=1)
+    # Products of matrices round otherwise than sums of a pair: so far may two ways of adding up differ.
+    slack = 4 * vectors.shape[1] * np.finfo(float).eps * lengths * asked
+    ids, cids, out = data["cid"].to_numpy(), queries["cid"].to_numpy(), []
+    step = max(1, at_once // len(data))
+    for at in range(0, len(asking), step):
+        rough = asking[at : at + step] @ vectors.T
+        if len(data) > k + 1:
+            last = np.partition(rough, len(data) - k - 1, axis=1)[:, len(data) - k - 1]
+        else:
+            last = np.full(len(rough), -np.inf)
+        for q, (row, least) in enumerate(zip(rough, last), at):
+            best = np.flatnonzero(~(row < least - 2 * slack[q]))
+            scores = (vectors[best] * asking[q]).sum(axis=1)
+            if len(best) > k + 1:
+                good = ~(scores < np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                best, scores = best[good], scores[good]
+            before = probed[q][probed[q] < pivot]
+            first = ~np.isin(posted[best], before).any(axis=1)
+            out.append(pd.DataFrame({"q": cids[q], "cid": ids[best[first]], "score": scores[first]}))
     return pd.concat(out)
 
 
@@ -99,7 +99,6 @@ def nearest(
     pivots: int | None = None,
     posted: int = 12,
     probed: int = 20,
-    budget: int = 256,
     block: int = 20_000,
     query_block: int = 2_000,
 ) -> DataFrame:
@@ -109,8 +108,8 @@ def nearest(
     root of their number unless given), those with the least hashes: a bound that does not grow with
     the data. Every vector is indexed: its pivots in order of nearness are its permutation, and it is
     posted in the lists of its first ``posted`` pivots. A query looks into the lists of its first
-    ``probed`` pivots, ranks what it finds by footrule distance and scores the ``budget`` nearest of
-    each list block exactly. Lists longer than ``block``, and queries of a list beyond ``query_block``,
+    ``probed`` pivots and scores all that it finds there exactly, however many these are: neither a dense
+    group nor long vectors push a neighbour out. Lists longer than ``block``, and queries of a list beyond ``query_block``,
     are dealt out over several tasks, so a list's length is no limit. With few pivots or long lists
     raise ``pivots`` and lower ``posted``: work per query falls with their quotient.
 
@@ -156,10 +155,10 @@ def nearest(
         return [F.pmod(F.xxhash64("cid", F.lit(salt)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
 
     mine, copies = spread("db", "qb", "d")
-    left = lists(index, posted).join(blocks, "pivot").select("pivot", "cid", "data", "ranks", mine.alias("d"), copies.alias("q"))
+    left = lists(index, posted).join(blocks, "pivot").select("pivot", "cid", "data", F.slice("near", 1, posted).alias("near"), mine.alias("d"), copies.alias("q"))
     mine, copies = spread("qb", "db", "q")
     right = lists(queries, probed).join(blocks, "pivot")
-    right = right.select("pivot", "cid", "data", "ranks", F.slice("near", 1, probed).alias("near"), mine.alias("q"), copies.alias("d"))
+    right = right.select("pivot", "cid", "data", F.slice("near", 1, probed).alias("near"), mine.alias("q"), copies.alias("d"))
 
     # Both sides come from one table: new names of columns tell them apart.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
@@ -167,7 +166,7 @@ def nearest(
     def search(data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asking):
             return pd.DataFrame({"q": [], "cid": [], "score": []})
-        return searched(asking, data, kind, posted, budget, k)
+        return searched(asking, data, kind, k)
 
     key = ["pivot", "d", "q"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "q string, cid string, score double")

@@ -60,3 +60,27 @@ def test_empty_and_few(spark):
     assert nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(few.limit(1), F.col("vec_id") % 20 == 0).count() == 0
     assert {(r.query_id, r.vec_id, r.score) for r in nearest(few, F.col("vec_id") % 20 == 0).collect()} == {(0, 20, 4.0), (20, 0, 4.0)}
+
+
+@pytest.mark.parametrize("kind", ["dense", "lengths"])
+def test_recall_in_a_dense_group_and_with_mixed_lengths(spark, kind):
+    """A third of all rows near one vector, or lengths that differ: no candidate of a list is left out."""
+    draw = np.random.default_rng(5)
+    data = draw.standard_normal((9000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    if kind == "dense":
+        data[::3] = data[0] + 0.05 * draw.standard_normal((3000, 64))
+    else:
+        data *= np.exp(0.5 * draw.standard_normal(9000))[:, None]
+    data = data.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 60 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recalls = []
+    for q in range(0, 9000, 60):
+        scores = data.astype(float) @ data[q].astype(float)
+        scores[q] = -np.inf
+        recalls.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    print(kind, "recall", np.mean(recalls), "worst", min(recalls))
+    assert np.mean(recalls) >= 0.95 and min(recalls) >= 0.6
