@@ -59,3 +59,30 @@ def test_empty(spark):
     docs, items = frame(spark, ["a b c d e f g h"])
     assert leaks(docs.limit(0), items).count() == 0
     assert leaks(docs, items.limit(0)).count() == 0
+
+
+def found(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    return {(r.doc_id, r.item_id) for r in got}
+
+
+def test_edited_and_partial_copies(spark):
+    draw = random.Random(8)
+    items = [" ".join(f"w{draw.randrange(5000)}x" for _ in range(n)) for n in range(30, 101, 5)]
+    texts, wanted = [], set()
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in draw.sample(range(len(words)), len(words) // 10):
+            words[at] = "other"
+        wanted.add((len(texts), k))
+        texts.append("before it " + " ".join(words) + " after")
+    wanted.add((len(texts), 2))
+    texts.append("cut " + " ".join(items[2].split()[10:30]) + " here")
+    # A copy with one of two equal numbers and one name at the start of a sentence changed.
+    items += ["Tom has 3 red apples in the box. Then the old man puts 3 pears on top of it", "Tom sees a dog then Ann runs home now"]
+    n = len(items)
+    wanted |= {(len(texts), n - 2), (len(texts) + 1, n - 1), (len(texts) + 2, n - 1)}
+    texts += ["x. Tom has 3 red apples in the box. Then the old man puts 4 pears on top of it. y"]
+    texts += ["Bob sees a dog then Eve runs home now", "they say Bob sees a dog then Eve runs home now"]
+    assert found(spark, items, texts) == wanted
