@@ -99,8 +99,9 @@ def canonical(texts: list[str]) -> tuple:
 def windows(texts: list[str], widths: list[int]) -> Iterator[tuple]:
     """Per width and reading: the texts, positions and hashes of windows, and what stands in their slots.
 
-    A window is read two ways where they differ: with capitalised words at the start of a sentence as
-    plain words and with them as names, both with ``LEAST_WORDS`` plain words at least.
+    A window is read three ways where they differ: with capitalised words at the start of a sentence as
+    plain words, with them as names - both with ``LEAST_WORDS`` plain words at least - and to the letter
+    but for case, however few plain words it has.
     """
     owner, place, literal, kinds, index, unsure, spelled = canonical(texts)
     n = len(owner)
@@ -110,7 +111,7 @@ def windows(texts: list[str], widths: list[int]) -> Iterator[tuple]:
         return np.append(0, np.cumsum(flags))
 
     slots, all_slots, doubts = before(sure > 0), before(kinds > 0), before(unsure)
-    readings = [(sure, slots, None), (kinds, all_slots, doubts)]
+    readings = [(sure, slots, None), (kinds, all_slots, doubts), (np.zeros_like(kinds), None, slots)]
     for kind, held, wanted in readings:
         total = np.zeros(n, np.uint64)
         hashes = np.where(kind > 0, kind.astype(np.uint64), literal)
@@ -202,7 +203,8 @@ def leaks(
     Texts become templates: lower-case words without punctuation at their edges, with ``number``,
     ``unit`` (behind a number) and ``name`` (capitalised) as typed placeholders; at the start of a
     sentence a capitalised word is tried as a name and as a plain word. Windows of ``piece`` and of
-    ``width`` tokens are looked for, as templates with three plain words at least. An item is contained when the windows found cover more than
+    ``width`` tokens are looked for, as templates with three plain words at least and to the letter but
+    for case without any such bound. An item is contained when the windows found cover more than
     ``share`` of its tokens, ``width`` of them at least, or ``longest`` tokens in one run; an item of
     up to ``width`` tokens is one window and has to be found whole.
 

@@ -86,3 +86,11 @@ def test_edited_and_partial_copies(spark):
     texts += ["x. Tom has 3 red apples in the box. Then the old man puts 4 pears on top of it. y"]
     texts += ["Bob sees a dog then Eve runs home now", "they say Bob sees a dog then Eve runs home now"]
     assert found(spark, items, texts) == wanted
+
+
+def test_exact_copies_of_short_numeric_and_title_case_items(spark):
+    items = ["What is 17 * 23?", "The Battle Of Hastings Took Place In October 1066", "12 14 15 99 1 2 3 4 5 6", "ask Ann Lee and Bob Ray of Rome"]
+    texts = [f"so: {t} And more." for t in items] + [t.upper() for t in items] + [f"a {t.lower()} z" for t in items]
+    wanted = {(k, k % 4) for k in range(12)}
+    others = ["What is 18 * 23?", "12 14 15 98 1 2 3 4", "the battle of bulge took place in may 1944"]
+    assert found(spark, items, texts + others) == wanted
