@@ -2,7 +2,8 @@
 
 The file's own steps are: NFC, white space to a space, lower case, then the pattern below; white space
 is dropped. Text of code points below U+0300 is its own NFC and has no lower-casing by context, so
-Python's functions do the same; any other text goes through the library's normalizer.
+Python's functions do the same, but for two letters whose small ones lie above; any other text goes
+through the library's normalizer.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ ANY_WORD = regex.compile(WORD)
 LOW_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ANY_SPACE = regex.compile(r"\p{White_Space}+")
-FAR = re.compile("[^\x00-˿]")
+# U+023A and U+023E have lower-case letters beyond the classes above.
+FAR = re.compile("[^\x00-\u02ff]|[\u023a\u023e]")
 
 
 def split_at_spaces(text: str) -> list[str]:

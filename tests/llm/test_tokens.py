@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from parley.llm.bpe import TrieEncoder, bpe_roundtrip
 from parley.llm.tokens import token_counts
+from parley.llm.words import Words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["the", "Don't", "é", "Ü", "ΣΣ.", "İ", "1２", "½", "\x1c", "!!'t", "<|endoftext|>", "<|STARTOFTEXT|>", "<|",
@@ -75,3 +76,14 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_counts(empty, PATH).count() == 0
     assert bpe_roundtrip(empty, PATH).count() == 0
+
+
+def test_words_with_any_code_point_below_0300_equal_the_library(library):
+    words = Words(PATH)
+    for c in map(chr, range(0x300)):
+        for text in (c, c + "bc", "ab" + c, f"a{c}b {c}{c}", c + "1"):
+            low = library.normalizer.normalize_str(text)
+            pieces = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(low)]
+            made = [i for w in words(text) for i in library.encode(w, add_special_tokens=False).ids]
+            assert len(words(text)) == len(pieces), (hex(ord(c)), text)
+            assert made == library.encode(text, add_special_tokens=False).ids
