@@ -15,6 +15,7 @@ from parley.llm.leaks import leaks
 from parley.llm.lines import drop_common_lines
 from parley.llm.neighbours import nearest
 from parley.llm.ngrams import near_duplicates
+from parley.llm.periods import periodic_runs
 from parley.llm.quality import quality_scores
 from parley.llm.sharding import Tree, assign
 from parley.llm.tokens import token_counts
@@ -71,6 +72,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
 
+def repeated_from_within(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by the CRC of their id, made periodic from one of their words on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, words))
+    rows = rows.withColumn("n", F.nullif(F.size("w"), F.lit(0))).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rest, period = F.col("n") - F.col("a"), F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)")
+    turns = F.ceil(rest / period).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, period), turns)), 1, rest)
+    made = F.array_join(F.concat(F.slice("w", 1, F.col("a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeated_from_within(table(spark, sf_dir, "documents")), least=6, exponent=4)
+    digests = [F.sha2(name, 256).alias(f"{name}_sha256") for name in ("runs", "collapsed")]
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -83,6 +103,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
