@@ -16,6 +16,7 @@ from parley.llm.lines import drop_common_lines
 from parley.llm.neighbours import nearest
 from parley.llm.ngrams import near_duplicates
 from parley.llm.periods import periodic_runs
+from parley.llm.phrases import collocations
 from parley.llm.quality import quality_scores
 from parley.llm.sharding import Tree, assign
 from parley.llm.tokens import token_counts
@@ -72,6 +73,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), threshold=100, longest=5, top=2000, share=100)
+
+
 def repeated_from_within(docs: DataFrame) -> DataFrame:
     """A tenth of the texts, by the CRC of their id, made periodic from one of their words on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -103,6 +108,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op12_collocations": op12_collocations,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -167,6 +173,39 @@ SELECT page_id, payload_bytes,
 FROM bits
 """
 
+OP12_SQL = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), word AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece
+), total AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM word GROUP BY lang
+), gram AS (
+    SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(w) - m + 2),
+        lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM word
+), freq AS (
+    SELECT lang, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), cand AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE contains(phrase, ' ')
+), cut AS (
+    SELECT *, unnest(range(1, len(w))) AS k FROM cand
+), scored AS (
+    SELECT cut.lang, cut.phrase, cut.f AS a, k, x.f AS l, y.f AS r, n,
+        (1000::HUGEINT * cut.f * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cut JOIN total USING (lang) JOIN freq x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
+    JOIN freq y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), worst AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT DISTINCT lang, f, unnest(flatten(list_transform(range(2, len(w)), lambda m:
+        list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM cand
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM worst WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = worst.lang AND i.phrase = worst.phrase AND 100 * i.f >= 100 * a)
+QUALIFY rank <= 2000
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op12_collocations": OP12_SQL}
