@@ -20,9 +20,18 @@ from parley.llm.phrases import collocations
 from parley.llm.quality import quality_scores
 from parley.llm.sharding import Tree, assign
 from parley.llm.tokens import token_counts
+from parley.llm.urls import labelled_urls, url_verdicts
 from parley.llm.warc import archive_roundtrip
 
 SHARDS = 24
+# Rules of the URL filter, by host and start of the path.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def vocabulary() -> str:
@@ -73,6 +82,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, labelled_urls(spark))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), threshold=100, longest=5, top=2000, share=100)
 
@@ -108,6 +121,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op11_url_filter": op11_url_filter,
         "op12_collocations": op12_collocations,
         "op13_periodic_runs": op13_periodic_runs,
     }
