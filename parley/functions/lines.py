@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.functions.json_errors import json_error
 from parley.schema import MIN_MESSAGES, ROLES
 
 # How the JSON types are called in messages.
@@ -27,12 +28,14 @@ _TYPE_NAMES = [
 ]
 # Error code and message body of every rule, in the order the rules apply.
 LINE_RULES = {
-    "invalid_json": "Invalid JSON - the line is not one JSON value",
+    "invalid_json": "Invalid JSON - %s",
     "not_object": "must be a JSON object, got %s",
     "no_messages": "missing 'messages' array",
     "messages_not_array": "'messages' must be an array",
     "too_few_messages": "need at least 2 messages (user + assistant)",
 }
+# Where only this parser objects: to depth, or to numbers beyond its range.
+NO_VALUE = "the line is not one JSON value"
 MESSAGE_RULES = {
     "message_not_object": "must be an object, got %s",
     "no_role": "missing 'role' field",
@@ -131,11 +134,12 @@ def _message_code(message: Column) -> Column:
     )
 
 
-def validate_lines(lines: DataFrame) -> DataFrame:
-    """Add ``messages, raw, error_code, msg_idx, detail, message`` to a table with ``line, line_no``.
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """Add ``messages, raw, error_code, msg_idx, char_no, detail, body`` to a table with ``line``.
 
-    ``error_code`` is NULL for a valid line. Projections only: nothing is shuffled. Each step is a
-    projection of its own because its result is used several times by the next.
+    ``error_code`` is NULL for a valid line. Of a line that is no JSON, ``detail`` is the parser's reason and
+    ``char_no`` the character, from 0, at which it stops. Projections only: nothing is shuffled. Each step is
+    a projection of its own because its result is used several times by the next.
     """
     # The last of duplicate keys wins; without this setting such lines would not parse.
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -172,10 +176,14 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("error_code", code)
     failed = F.col("error_code")
     broken = F.get(read, F.col("_bad") - 1)
+    # Only for broken lines is the text gone through again, character by character.
+    parsed = parsed.withColumn("_stop", F.when(failed == "invalid_json", json_error(F.col("line"))))
     parsed = parsed.withColumns(
         {
             "msg_idx": F.when(failed.isin(*MESSAGE_RULES), F.col("_bad")),
-            "detail": F.when(failed == "not_object", _type_name(entry))
+            "char_no": F.col("_stop.at"),
+            "detail": F.when(failed == "invalid_json", F.coalesce("_stop.reason", F.lit(NO_VALUE)))
+            .when(failed == "not_object", _type_name(entry))
             .when(failed == "message_not_object", _type_name(broken["item"]))
             .when(failed == "role", _shown(broken["role"])),
         }
@@ -184,9 +192,6 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         *[F.lit(x) for rule in {**LINE_RULES, **MESSAGE_RULES, **ROLE_RULES}.items() for x in rule]
     )
     body = F.replace(bodies[failed], F.lit("%s"), F.coalesce("detail", F.lit("")))
-    place = F.when(
-        F.col("msg_idx").isNotNull(), F.format_string("Line %d, message %d: ", "line_no", "msg_idx")
-    ).otherwise(F.format_string("Line %d: ", "line_no"))
     messages = F.transform(
         read, lambda m: F.struct(m["role_text"].alias("role"), m["content_text"].alias("content"))
     )
@@ -194,9 +199,21 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         {
             "messages": F.when(failed.isNull(), messages),
             "raw": F.when(failed.isNull(), entry),
-            "message": F.when(failed.isNotNull(), F.concat(place, body)),
+            "body": F.when(failed.isNotNull(), body),
         }
-    ).drop("_wrapped", "_entry", "_member", "_items", "_seen", "_read", "_codes", "_bad")
+    ).drop("_wrapped", "_entry", "_member", "_items", "_seen", "_read", "_codes", "_bad", "_stop")
+
+
+def line_message(line_no: Column, msg_idx: Column, body: Column) -> Column:
+    """The text of an error, with the place before it; NULL where there is none."""
+    place = F.when(msg_idx.isNotNull(), F.format_string("Line %d, message %d: ", line_no, msg_idx))
+    return F.concat(place.otherwise(F.format_string("Line %d: ", line_no)), body)
+
+
+def validate_lines(lines: DataFrame) -> DataFrame:
+    """:func:`judge_lines` for a table with ``line_no``: ``message`` names the line and takes the place of ``body``."""
+    message = line_message(F.col("line_no"), F.col("msg_idx"), F.col("body"))
+    return judge_lines(lines).withColumn("message", message).drop("body")
 
 
 def lines_where(validated: DataFrame, condition: Column) -> DataFrame:

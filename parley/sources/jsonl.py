@@ -17,6 +17,8 @@ Lines are numbered from the first non-blank line; blank lines are skipped but ke
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def _suffix_glob(suffix: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
-def _open(spark: SparkSession, path: str, source: str, suffix: str | None = None) -> DataFrame:
+def _open(spark: SparkSession, path: str | list[str], source: str, suffix: str | None = None) -> DataFrame:
     reader = spark.read.format(source).option("recursiveFileLookup", "true")
     if suffix:
         reader = reader.option("pathGlobFilter", _suffix_glob(suffix))
@@ -119,13 +121,33 @@ def split_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).where(F.col("line") != "")
 
 
-def _numbered(lines: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
-    """Lines by their number in the dataset; ``offsets`` was written, so Spark knows how small it is."""
-    return (
-        lines.join(offsets, key)
-        .select("dataset_id", (F.col("offset") + F.col("at") - F.col("leading") + 1).alias("line_no"), "line")
-        .where(F.col("line") != "")
-    )
+def file_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines and line counts of whole files, a table ``path, content``.
+
+    Lines are ``path, at, line``, where ``at`` is the place in the file, from 0, blank lines included.
+    Counts are ``path, n, seen``: the lines of a file, and the place of its first non-blank one.
+    """
+    parts = files.select("path", T.split_lines(decode(F.col("content"))).alias("lines"))
+    seen = F.array_position(F.transform("lines", lambda x: ~T.is_blank(x)), True) - 1
+    # What follows the last line end of a file is a line only if there is something.
+    n = F.size("lines") - (F.element_at("lines", -1) == "").cast("int")
+    counts = parts.select("path", n.cast("bigint").alias("n"), F.when(seen >= 0, seen).alias("seen"))
+    lines = parts.select("path", F.posexplode("lines").alias("at", "raw_line"))
+    lines = lines.select("path", F.col("at").cast("bigint").alias("at"), T.strip_line(F.col("raw_line")).alias("line"))
+    return lines.where(F.col("line") != ""), counts
+
+
+def file_offsets(counts: DataFrame) -> DataFrame:
+    """``dataset_id, path, base``: the number of a line in its dataset is ``base + at``.
+
+    Running sums over the files of a dataset (``dataset_id, path, n, seen``) in path order number its
+    lines through, from the first one that is not blank.
+    """
+    of_dataset = Window.partitionBy("dataset_id")
+    before = of_dataset.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    leading = F.min(F.col("offset") + F.col("seen")).over(of_dataset)
+    return offsets.select("dataset_id", "path", (F.col("offset") - leading + 1).alias("base"))
 
 
 def read_lines(
@@ -143,44 +165,47 @@ def read_lines(
     files = _open(spark, path, "binaryFile", suffix)
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
-    file_path = F.col("_metadata.file_path")
-    split = T.split_lines(decode(F.col("content")))
-    parts = files.select(file_path.alias("path"), split.alias("lines"))
-    seen = F.array_position(F.transform("lines", lambda x: ~T.is_blank(x)), True) - 1
-    # What follows the last line end of a file is a line only if there is something.
-    n = F.size("lines") - (F.element_at("lines", -1) == "").cast("int")
-    sizes = parts.select("path", n.cast("bigint").alias("n"), F.when(seen >= 0, seen).alias("seen"))
-    sizes = sizes.withColumn("dataset_id", dataset_of(F.col("path"), by))
-    of_dataset = Window.partitionBy("dataset_id")
-    before = of_dataset.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    offsets = offsets.withColumn("leading", F.min(F.col("offset") + F.col("seen")).over(of_dataset))
-    offsets = written_once(offsets.select("dataset_id", "path", "offset", "leading"), "file-lines")
-    lines = parts.select("path", F.posexplode("lines").alias("at", "raw_line"))
-    return _numbered(lines.select("path", "at", T.strip_line(F.col("raw_line")).alias("line")), offsets, ["path"])
+    lines, counts = file_lines(files.select(F.col("_metadata.file_path").alias("path"), "content"))
+    counts = counts.withColumn("dataset_id", dataset_of(F.col("path"), by))
+    # Written, so that Spark knows how small it is.
+    offsets = written_once(file_offsets(counts), "file-lines")
+    return lines.join(offsets, "path").select("dataset_id", (F.col("base") + F.col("at")).alias("line_no"), "line")
 
 
-def scan_lines(
-    spark: SparkSession,
-    path: str,
-    by: str = "name",
-    suffix: str = SUFFIX,
-    max_bytes: int | None = None,
-) -> DataFrame:
-    """Numbered lines of files of any size, read in splits.
+class Blocks(NamedTuple):
+    """Files read in splits: written lines, their blocks and their files; see :func:`read_blocks`."""
+
+    lines: DataFrame
+    blocks: DataFrame
+    files: DataFrame
 
-    A first pass over the files counts the lines of each block, notes whether its bytes are valid
-    UTF-8 and where its first non-blank line is. Running sums over the blocks of a dataset turn the
-    position in a block into a line number. Both passes split the files alike. (The reader itself drops
-    a byte order mark.) The block table, some hundred bytes per block, is written: Spark broadcasts it
-    below its threshold. Its windows hold the blocks of one dataset, about 400,000 rows at 100 TB.
+    def placed(self, extra: DataFrame) -> DataFrame:
+        """Non-blank lines by their block; ``extra`` is :attr:`blocks` with more columns, which come too."""
+        value = F.col("value")
+        more = [c for c in extra.columns if c not in self.blocks.columns]
+        joined = self.lines.join(written_once(extra, "block-lines"), ["path", "block"])
+        line = T.strip_line(F.when(F.col("utf8"), value).otherwise(_latin(value)))
+        place = F.col("start") + F.col("mark")
+        return joined.select("path", place.alias("at"), line.alias("line"), *more).where(F.col("line") != "")
+
+
+def _latin(value: Column) -> Column:
+    return F.decode(value.cast("binary"), "ISO-8859-1")
+
+
+def read_blocks(spark: SparkSession, path: str | list[str], suffix: str = SUFFIX, max_bytes: int | None = None) -> Blocks:
+    """Files of any size, read once, in splits, into a written table of lines with their block.
+
+    How the files are split then no longer matters, whatever executors come, go or fail. From that
+    table the lines of each block are counted, and noted is whether its bytes are valid UTF-8 and where its
+    first non-blank line is. Running sums over the blocks of a file turn the place in a block into one in the
+    file: ``start + mark``. (The reader itself drops a byte order mark.)
 
     The reader splits at newlines; other Unicode boundaries are split here, so a line that holds one is
     several rows before anything is numbered. A file that is not UTF-8 is read as Latin-1, yet where one
     of its lines happens to be valid UTF-8 beyond ASCII, that line's boundaries are those of UTF-8.
     """
-    value = F.col("value")
-    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    value, mark = F.col("value"), F.col("mark")
     plain = F.octet_length(value) == F.length(value)
     files = _open(spark, path, "text", suffix)
     if max_bytes is not None:
@@ -191,42 +216,49 @@ def scan_lines(
     # Boundaries are split on the text as it will be read; bytes that are no UTF-8 stay so in the parts.
     valid = F.is_valid_utf8(value)
     parts = F.when(valid, T.split_lines(value)).otherwise(
-        F.transform(T.split_lines(latin), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+        F.transform(T.split_lines(_latin(value)), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
     )
-    some = F.when(T.has_boundary(F.when(valid, value).otherwise(latin)), parts).otherwise(F.array(value))
-    numbered = whole.select("path", "block", F.explode(some).alias("value"))
-    numbered = numbered.select("*", F.monotonically_increasing_id().alias("at"))
-    at = F.col("at")
-    blocks = numbered.groupBy("path", "block").agg(
+    some = F.when(T.has_boundary(F.when(valid, value).otherwise(_latin(value))), parts).otherwise(F.array(value))
+    lines = whole.select("path", "block", F.explode(some).alias("value"))
+    lines = written_once(lines.select("*", F.monotonically_increasing_id().alias("mark")), "read-lines")
+    blocks = lines.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("at").alias("first_at"),
+        F.min("mark").alias("first"),
         F.bool_and(F.is_valid_utf8(value)).alias("valid"),
-        F.min(F.when(~T.is_blank(value), at)).alias("seen_utf8"),
+        F.min(F.when(~T.is_blank(value), mark)).alias("seen_utf8"),
         # For ASCII lines, nearly all, both decodings are the same text.
-        F.min(F.when(~F.when(plain, T.is_blank(value)).otherwise(T.is_blank(latin)), at)).alias("seen_latin"),
+        F.min(F.when(~F.when(plain, T.is_blank(value)).otherwise(T.is_blank(_latin(value))), mark)).alias("seen_latin"),
     )
-    blocks = blocks.withColumn("dataset_id", dataset_of(F.col("path"), by))
-    of_file = Window.partitionBy("dataset_id", "path")
-    of_dataset = Window.partitionBy("dataset_id")
-    before = of_dataset.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumns(
+    of_file = Window.partitionBy("path")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns(
         {
-            "offset": F.coalesce(F.sum("n").over(before), F.lit(0)),
+            "start": F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"),
             "utf8": F.bool_and("valid").over(of_file),
         }
     )
-    seen = F.when(F.col("utf8"), F.col("seen_utf8")).otherwise(F.col("seen_latin"))
-    offsets = offsets.withColumn(
-        "leading", F.min(F.col("offset") + seen - F.col("first_at")).over(of_dataset)
-    ).select("dataset_id", "path", "block", (F.col("offset") - F.col("first_at")).alias("offset"), "utf8", "leading")
-    offsets = written_once(offsets, "block-lines")
-    # The text itself is not shuffled as long as the block table is broadcast.
-    joined = numbered.join(offsets, ["path", "block"])
-    line = T.strip_line(F.when(F.col("utf8"), value).otherwise(latin))
-    position = F.col("offset") + at
-    return joined.select("dataset_id", (position - F.col("leading") + 1).alias("line_no"), line.alias("line")).where(
-        F.col("line") != ""
-    )
+    seen = F.col("start") + F.when(F.col("utf8"), F.col("seen_utf8")).otherwise(F.col("seen_latin"))
+    blocks = written_once(blocks.select("path", "block", "n", "start", "utf8", seen.alias("seen")), "blocks")
+    files = blocks.groupBy("path").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    return Blocks(lines, blocks.select("path", "block", "start", "utf8"), files)
+
+
+def scan_lines(
+    spark: SparkSession,
+    path: str,
+    by: str = "name",
+    suffix: str = SUFFIX,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Numbered lines of files of any size, read once and in splits; see :func:`read_blocks`.
+
+    The block table, some hundred bytes per block, is written: Spark broadcasts it below its threshold,
+    and the text is not shuffled then. Its windows hold the blocks of one file, and the files of one dataset.
+    """
+    read = read_blocks(spark, path, suffix, max_bytes)
+    offsets = file_offsets(read.files.withColumn("dataset_id", dataset_of(F.col("path"), by)))
+    lines = read.placed(read.blocks.join(offsets, "path"))
+    return lines.select("dataset_id", (F.col("base") + F.col("at")).alias("line_no"), "line")
 
 
 def chats_of(validated: DataFrame, *keep: str) -> DataFrame:

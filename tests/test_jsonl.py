@@ -158,6 +158,24 @@ def test_splittable_scan_counts_over_blocks_and_parts(spark, tmp_path):
     assert got == expected_lines(data)
 
 
+def test_lines_stay_when_files_are_split_otherwise_later(spark, tmp_path):
+    """The split layout between the call and the action follows the executors alive."""
+    write(tmp_path / "big.jsonl", "".join(f'{{"n": {k}}}\n' for k in range(40_000)).encode())
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for before, after in ((("2", "64m", "64m"), ("3", "64m", "1")), (("3", "50k", "1"), ("1", "7k", "1"))):
+            for name, value in zip(names, before):
+                spark.conf.set(name, value)
+            lines = jsonl.scan_lines(spark, str(tmp_path))
+            for name, value in zip(names, after):
+                spark.conf.set(name, value)
+            numbers = [(r.line_no, r.line) for r in lines.collect()]
+            assert sorted(numbers) == [(k + 1, f'{{"n": {k}}}') for k in range(40_000)]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_scan_without_broadcast_gives_the_same(spark, folder):
     want = sorted(map(tuple, jsonl.scan_lines(spark, str(folder)).collect()))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
