@@ -83,6 +83,14 @@ LINE_FORMS = [
     '{"messages": [{"role": "assistant", "content": @}, {"role": "assistant", "content": "b"}]}',
     '{"messages": [{"role": "user", "content": @}, {"role": "system", "content": "s"}]}',
     '{"messages": [{"role": "system", "content": @}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}',
+    # Cut, misquoted, and with signs too many or missing.
+    '{"messages": [@, @',
+    '{"messages": [@,]}',
+    "{'messages': @}",
+    '{"messages": @, "x": "cut',
+    '{"messages" @}',
+    '{"messages": @, "n": 01}',
+    '{"messages": @, "x": "\\q"}',
 ]
 
 

@@ -285,11 +285,12 @@ gate AS (
 
 
 # What is wrong with each form of a line; the forms follow each other by document id.
-_LINES = """
+# Broken JSON is found by its form: ``s`` is how long the text is as a JSON string, ``t`` the bare text.
+_LINES = r"""
 WITH forms(k, error_code, msg_idx, body) AS (VALUES
   (0, NULL, NULL::INTEGER, NULL),
-  (1, 'invalid_json', NULL, 'Invalid JSON - the line is not one JSON value'),
-  (2, 'invalid_json', NULL, 'Invalid JSON - the line is not one JSON value'),
+  (1, 'invalid_json', NULL, NULL),
+  (2, 'invalid_json', NULL, 'Extra data'),
   (3, 'not_object', NULL, 'must be a JSON object, got list'),
   (4, 'not_object', NULL, 'must be a JSON object, got str'),
   (5, 'not_object', NULL, 'must be a JSON object, got NoneType'),
@@ -304,10 +305,29 @@ WITH forms(k, error_code, msg_idx, body) AS (VALUES
   (14, 'content_empty', 2, '''content'' cannot be empty'),
   (15, 'no_user', NULL, 'conversation must have at least one ''user'' message'),
   (16, 'no_assistant', NULL, 'conversation must have at least one ''assistant'' message'),
-  (17, NULL, NULL, NULL))
-SELECT 'lang-' || lang AS dataset_id, doc_id AS line_no, error_code, msg_idx,
-  'Line ' || doc_id || coalesce(', message ' || msg_idx, '') || ': ' || body AS message
-FROM documents JOIN forms ON k = doc_id % 18"""
+  (17, NULL, NULL, NULL),
+  (18, 'invalid_json', NULL, 'Expecting '','' delimiter'),
+  (19, 'invalid_json', NULL, 'Expecting value'),
+  (20, 'invalid_json', NULL, 'Expecting property name enclosed in double quotes'),
+  (21, 'invalid_json', NULL, 'Unterminated string starting at'),
+  (22, 'invalid_json', NULL, 'Expecting '':'' delimiter'),
+  (23, 'invalid_json', NULL, 'Expecting '','' delimiter'),
+  (24, 'invalid_json', NULL, 'Invalid \escape')),
+docs AS (
+  SELECT *, length(to_json(text)::VARCHAR) AS s, ltrim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+-- A bare text: a number at its head is a value with something behind it, any other head is none.
+bare AS (SELECT *, regexp_extract(t, '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][-+]?[0-9]+)?') AS number FROM docs),
+judged AS (
+  SELECT *, CASE WHEN k = 1 AND number <> '' THEN 'Extra data' WHEN k = 1 THEN 'Expecting value' ELSE body END AS reason,
+    CASE k WHEN 1 THEN length(text) - length(t) + CASE WHEN number = '' THEN 0 ELSE length(t) - length(
+        ltrim(substr(t, length(number) + 1), chr(32) || chr(9) || chr(10) || chr(13))) END
+      WHEN 2 THEN s + 46 WHEN 18 THEN 2 * s + 16 WHEN 19 THEN s + 15 WHEN 20 THEN 1 WHEN 21 THEN s + 20 WHEN 22 THEN 12
+      WHEN 23 THEN s + 21 WHEN 24 THEN s + 21 END AS char_no
+  FROM bare JOIN forms ON k = doc_id % 25)
+SELECT 'lang-' || lang AS dataset_id, doc_id AS line_no, error_code, msg_idx, char_no::BIGINT AS char_no,
+  'Line ' || doc_id || coalesce(', message ' || msg_idx, '') || ': '
+    || CASE WHEN error_code = 'invalid_json' THEN 'Invalid JSON - ' ELSE '' END || reason AS message
+FROM judged"""
 
 # ---- recommendation -----------------------------------------------------------------------------
 

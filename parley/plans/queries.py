@@ -248,9 +248,12 @@ def rejected_datasets(spark, sf):
 
 
 def line_validation(spark, sf):
-    """Every document as a JSONL line, in turn valid or broken by one of the rules, parsed and judged."""
+    """Every document as a JSONL line, in turn valid or broken by one of the rules, parsed and judged.
+
+    Of broken JSON the message has the parser's reason, and ``char_no`` the place.
+    """
     return validate_lines(document_lines(spark, sf)).select(
-        "dataset_id", "line_no", "error_code", "msg_idx", "message"
+        "dataset_id", "line_no", "error_code", "msg_idx", "char_no", "message"
     )
 
 
