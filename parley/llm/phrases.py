@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WordHashes, mixed, per_process, picked
+from parley.llm.common import WordHashes, per_process, picked
 from parley.session import scratch_path, written_once
 
 # Separators of pieces become one sign, which no word can hold.
@@ -22,6 +22,7 @@ AS_STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", STOP * 9)
 BETWEEN = re.compile(rb"[ \t.]")
 TOGETHER = 4_000_000  # bytes of text whose equal phrases are counted together
 NEVER = 255
+HASH_STEP = np.uint64(0x9E3779B97F4A7C15)
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
 SCANNED = "lang string, phrase string, m tinyint, slot int, start int, f bigint"
 
@@ -44,36 +45,49 @@ def blocks(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def distinct_windows(codes: np.ndarray, starts: np.ndarray, m: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """One start of each different window of ``m`` codes (below ``size``), and how often it occurs. Exact."""
+def distinct_windows(codes: np.ndarray, starts: np.ndarray, m: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each different window of ``m`` codes below ``size``, as its codes in turn, and how often it occurs. Exact.
+
+    Codes are packed into one number as far as they fit; what does not fit goes on from numbered heads.
+    """
     bits = max(1, int(size).bit_length())
-    keys, used = codes[starts], bits
-    for k in range(1, m):
-        if used + bits > 63:
-            # Numbered anew: there are no more different keys than codes fit.
+    known, keys, room, at = None, None, 63, 0
+    while True:
+        taken = min(m - at, room // bits)
+        for k in range(at, at + taken):
+            keys = codes[starts + k] if keys is None else (keys << bits) | codes[starts + k]
+        at += taken
+        if at == m:
+            keys.sort()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            counts, seen = np.diff(np.append(first, len(keys))), keys[first]
+        else:
             seen, keys = np.unique(keys, return_inverse=True)
-            used = max(1, len(seen).bit_length())
-        keys = (keys << bits) | codes[starts + k]
-        used += bits
-    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    return starts[first], counts
+            room = 63 - max(1, len(seen).bit_length())
+        columns = [(seen >> (bits * k)) & ((1 << bits) - 1) for k in range(taken - 1, -1, -1)]
+        if known is not None:
+            heads = seen >> (bits * taken)
+            columns = [column[heads] for column in known] + columns
+        if at == m:
+            return columns, counts
+        known = columns
 
 
 class Scan:
-    """Counts the phrases that are active at one step, text by text."""
+    """Counts the phrases that are active at one step, text by text.
 
-    def __init__(self, step: int, shards: int, longest: int, reached: np.ndarray):
-        self.step, self.shards, self.longest, self.reached = step, shards, longest, reached
+    ``reached`` has a row of slots for each length: the step at which a phrase of the slot has reached the
+    threshold. ``last`` is the last step at which a length had a new one.
+    """
+
+    def __init__(self, step: int, shards: int, reached: np.ndarray, last: list[int]):
+        self.step, self.shards, self.reached, self.last = step, shards, reached, last
+        self.longest, self.since = len(reached) + 1, max(0, step - shards)
+        self.shift = np.uint64(64 - int(reached.shape[1]).bit_length() + 1)
         self.hashes = WordHashes()
 
-    def slots(self, lang: str, words: np.ndarray) -> np.ndarray:
-        """The slots of all windows: row ``m - 1`` has those of ``m`` words."""
-        own = np.uint64(self.hashes[lang.encode()])
-        size, total, rows = len(self.reached), np.zeros(len(words), np.uint64), []
-        for m in range(1, self.longest):
-            total = total[: len(words) - m + 1] * np.uint64(0x9E3779B97F4A7C15) + words[m - 1 :]
-            rows.append((mixed(total + own + np.uint64(m)) & np.uint64(size - 1)).astype(np.int64))
-        return rows
+    def slot(self, lang: str, total: np.ndarray) -> np.ndarray:
+        return ((total + np.uint64(self.hashes[lang.encode()])) >> self.shift).astype(np.int64)
 
     def counted(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -86,36 +100,52 @@ class Scan:
         """Windows that end behind the first ``before`` words, which belong to the last block."""
         vocabulary = Codes()
         codes = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-        known = pa.array(list(vocabulary), pa.binary())
+        listed = list(vocabulary)
+        known, hashes = pa.array(listed, pa.binary()), self.hashes.of(listed)
         stop = codes == vocabulary.get(STOP, -1)
-        word_hashes = self.hashes.of(list(vocabulary))[codes]
-        slots = self.slots(lang, word_hashes)
-        places = np.arange(len(words))
         inside = ~stop
         if self.step < self.shards:
-            own = places[inside & (places >= before)]
-            starts, counts = distinct_windows(codes, own, 1, len(vocabulary))
-            yield self.rows(lang, known, codes, starts, counts, 1, slots[0][starts], np.zeros(len(starts), np.int64))
-            total = pa.array([len(own)], pa.int64())
+            counts = np.bincount(codes[before:], minlength=len(listed))
+            if STOP in vocabulary:
+                counts[vocabulary[STOP]] = 0
+            own = np.flatnonzero(counts)
+            yield self.rows(lang, known, hashes, [own], counts[own], 1)
+            total = pa.array([int(counts.sum())], pa.int64())
             yield self.batch(lang, pa.array([""]), 0, np.zeros(1, np.int64), np.zeros(1, np.int64), total)
+        total, of_word = hashes[codes], None
         for m in range(2, self.longest + 1):
-            if len(words) < m:
+            if len(words) < m or max(self.last[m - 1 :]) < self.since:
                 return
+            if m > 2:
+                of_word = hashes[codes] if of_word is None else of_word
+                total = total[:-1] * HASH_STEP + of_word[m - 2 :]
             inside = inside[:-1] & ~stop[m - 1 :]
-            since = self.reached[slots[m - 2]].astype(np.int64)
-            start = 1 + np.maximum(since[:-1], since[1:])
-            active = inside & (start <= self.step) & (self.step < start + self.shards)
-            chosen = np.flatnonzero(active & (places[: len(active)] + m > before))
-            if not len(chosen):
+            # Without a new phrase one word shorter, within one cycle, no phrase of this length is active.
+            if self.last[m - 1] < self.since:
                 continue
-            starts, counts = distinct_windows(codes, chosen, m, len(vocabulary))
-            # The longest phrases are part of no other: their slot is not asked for.
-            own = slots[m - 1][starts] if m < self.longest else np.zeros(len(starts), np.int64)
-            yield self.rows(lang, known, codes, starts, counts, m, own, start[starts])
-
-    def rows(self, lang, known, codes, starts, counts, m, slot, start) -> pa.RecordBatch:
-        parts = [known.take(pa.array(codes[starts + k])) for k in range(m)]
+            since = self.reached[m - 2][self.slot(lang, total)]
+            latest = np.maximum(since[:-1], since[1:])
+            chosen = np.flatnonzero(inside & (latest >= self.since) & (latest < self.step))
+            chosen = chosen[chosen + m > before]
+            if len(chosen):
+                columns, counts = distinct_windows(codes, chosen, m, len(listed))
+                yield self.rows(lang, known, hashes, columns, counts, m)
+
+    def rows(self, lang, known, hashes, columns, counts, m) -> pa.RecordBatch:
+        def total(part: list[np.ndarray]) -> np.ndarray:
+            out = hashes[part[0]]
+            for column in part[1:]:
+                out = out * HASH_STEP + hashes[column]
+            return self.slot(lang, out)
+
+        parts = [known.take(pa.array(column)) for column in columns]
         phrase = parts[0] if m == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+        # The longest phrases are part of no other: their slot is not asked for.
+        slot = total(columns) if m < self.longest else np.zeros(len(counts), np.int64)
+        start = np.zeros(len(counts), np.int64)
+        if m > 1:
+            reached = self.reached[m - 2]
+            start = 1 + np.maximum(reached[total(columns[:-1])], reached[total(columns[1:])]).astype(np.int64)
         return self.batch(lang, phrase.cast(pa.string()), m, slot, start, pa.array(counts.astype(np.int64)))
 
     def batch(self, lang, phrase, m, slot, start, f) -> pa.RecordBatch:
@@ -131,13 +161,13 @@ class Scan:
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "m", "slot", "start", "f"])
 
 
-def scanned(shard: DataFrame, step: int, shards: int, longest: int, reached: np.ndarray, token: str) -> DataFrame:
+def scanned(shard: DataFrame, step: int, shards: int, reached: np.ndarray, last: list[int], token: str) -> DataFrame:
     """Occurrences in one shard of the phrases that are active at ``step``."""
-    packed, size = zlib.compress(reached.tobytes(), 1), len(reached)
+    packed, shape = zlib.compress(reached.tobytes(), 1), reached.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Scan:
-            return Scan(step, shards, longest, np.frombuffer(zlib.decompress(packed), np.uint8, size))
+            return Scan(step, shards, np.frombuffer(zlib.decompress(packed), np.uint8).reshape(shape), last)
 
         scan = per_process(("phrases", token, step), make)
         waiting: dict[str, list[bytes]] = {}
@@ -148,7 +178,7 @@ def scanned(shard: DataFrame, step: int, shards: int, longest: int, reached: np.
                 text = text.as_py().lower().translate(AS_STOPS)
                 waiting.setdefault(lang, []).append(text)
                 held += len(text)
-                if held >= TOGETHER:
+                if held >= TOGETHER:  # of all languages together
                     for name in list(waiting):
                         yield from scan.counted(name, STOP.join(waiting.pop(name)))
                     held = 0
@@ -169,13 +199,15 @@ def frequent_phrases(texts: DataFrame, threshold: int, longest: int, shards: int
     word, have reached the threshold, and is counted for one full cycle, so its count is exact. Scans end
     when a cycle has passed since the last phrase reached it.
 
-    Which subphrases have reached it, and when, is kept in an array of slots by hash, broadcast with each
-    step. Two phrases in one slot share the earlier step: a phrase may be counted for nothing, but always
-    for one whole cycle. The array has a byte for 64 bytes of text, 64 MB at most; beyond, more
-    phrases share slots and are counted for nothing, and the results are the same.
+    Which subphrases have reached it, and when, is kept in arrays of slots by hash, one for each length,
+    broadcast with each step. Two phrases in one slot share the earlier step: a phrase may be counted for
+    nothing, but always for one whole cycle. The arrays have a byte for 64 bytes of text, 64 MB at most;
+    beyond, more phrases share slots and are counted for nothing, and the results are the same.
     """
     if not 0 < shards * longest < NEVER:
         raise ValueError("too many shards for the steps that a byte tells apart")
+    if longest < 2:
+        raise ValueError("a phrase has two words at least")
     spark, token = texts.sparkSession, uuid.uuid4().hex
     root, seen = scratch_path(spark, "shards"), Observation()
     dealt = texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
@@ -185,11 +217,13 @@ def frequent_phrases(texts: DataFrame, threshold: int, longest: int, shards: int
     size = LEAST_SLOTS
     while size < MOST_SLOTS and size * 64 < (seen.get["bytes"] or 0):
         size *= 2
-    reached = np.full(size, NEVER, np.uint8)
-    state, done, step, last = None, [], 0, 0
+    lengths = 1 << max(1, longest - 1).bit_length()
+    reached = np.full((longest - 1, max(2, size // lengths)), NEVER, np.uint8)
+    # The last step at which phrases of each length had a new one; words are there from the beginning.
+    state, done, step, last = None, [], 0, [-1 - shards] * (longest + 1)
     enough, over = F.col("f") >= threshold, F.col("start") + shards
-    while step < shards or step <= last + shards:
-        found = scanned(table.where(F.col("shard") == step % shards), step, shards, longest, reached, token)
+    while step < shards or step <= max(last) + shards:
+        found = scanned(table.where(F.col("shard") == step % shards), step, shards, reached, last, token)
         both = found.withColumn("new", F.col("f"))
         if state is not None:
             both = both.unionByName(state.withColumn("new", F.lit(0).cast("bigint")))
@@ -199,11 +233,13 @@ def frequent_phrases(texts: DataFrame, threshold: int, longest: int, shards: int
         counts = counts.withColumns({"fresh": fresh, "over": over <= step + 1})
         counts = written_once(counts.where(~F.col("over") | enough | (F.col("m") == 0)).drop("new"), "phrase-counts")
         # At most as many numbers as there are slots.
-        slots = counts.where("fresh").select("slot").distinct().toPandas()["slot"].to_numpy(np.int64)
-        slots = slots[reached[slots] == NEVER]
-        if len(slots):
-            reached[slots] = step
-            last = step
+        slots = counts.where("fresh").select("m", "slot").distinct().toPandas()
+        for m, of_length in slots.groupby("m"):
+            new = of_length["slot"].to_numpy(np.int64)
+            new = new[reached[m - 1][new] == NEVER]
+            if len(new):
+                reached[m - 1][new] = step
+                last[m] = step
         state = counts.where("not over").drop("fresh", "over")
         done.append(counts.where("over").select("lang", "phrase", "m", "f"))
         step += 1
@@ -235,7 +271,7 @@ def collocations(
     longest: int = 5,
     top: int = 2000,
     share: int = 100,
-    shards: int = 4,
+    shards: int = 3,
     lang_col: str = "lang",
     text_col: str = "text",
 ) -> DataFrame:

@@ -74,7 +74,7 @@ def test_phrases_that_reach_the_threshold_last_are_counted_whole(spark, monkeypa
     """Words and phrases below the threshold until their last shard, with slots that everything shares."""
     rows = [("en", "p q r s t")] * 8 + [("en", "p q x"), ("en", "r s t")]
     want, words = plain_counts(rows, 5)
-    for slots in (1 << 20, 4):
+    for slots in (1 << 20, 8):
         monkeypatch.setattr(phrases, "LEAST_SLOTS", slots)
         found = frequent_phrases(table(spark, rows).select("lang", "text"), 8, 5, 4).collect()
         assert {r.phrase: r.f for r in found if r.m} == {p: c for p, c in want["en"].items() if c >= 8}
@@ -89,19 +89,21 @@ def test_blocks_of_a_long_text_lose_no_window(monkeypatch):
     assert b"".join(blocks(text)) == text and len(list(blocks(text))) > 50
     got = Counter()
     # Everything is reached before the first step, so all lengths are active.
-    for batch in Scan(1, 2, 4, np.zeros(1 << 10, np.uint8)).counted("en", text):
+    for batch in Scan(1, 2, np.zeros((3, 1 << 10), np.uint8), [0] * 5).counted("en", text):
         for row in batch.to_pylist():
             if row["m"]:
                 got[row["phrase"]] += row["f"]
     assert got == want["en"]
 
 
-def test_distinct_windows_are_exact_for_many_codes():
+@pytest.mark.parametrize("size,m", [(3, 1), (3, 5), (2**20, 5), (2**31, 5), (2**31, 2)])
+def test_distinct_windows_are_exact_for_many_codes(size, m):
     random.seed(4)
-    codes = np.array([random.choice([0, 1, 2**40, 2**40 + 1]) for _ in range(500)])
-    starts, counts = distinct_windows(codes, np.arange(496), 5, 2**41)
-    want = Counter(tuple(codes[i : i + 5]) for i in range(496))
-    assert {tuple(codes[s : s + 5]): c for s, c in zip(starts.tolist(), counts.tolist())} == want
+    codes = np.array([random.choice([0, 1, size - 2, size - 1]) for _ in range(500)])
+    starts = np.arange(400)
+    columns, counts = distinct_windows(codes, starts, m, size)
+    want = Counter(tuple(codes[i : i + m].tolist()) for i in range(400))
+    assert dict(zip(zip(*[c.tolist() for c in columns]), counts.tolist(), strict=True)) == want
 
 
 def test_score_is_exact_beyond_64_bits(spark):
