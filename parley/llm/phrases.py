@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WordHashes, per_process, picked
+from parley.llm.common import mixed, per_process, picked
 from parley.session import scratch_path, written_once
 
 # Separators of pieces become one sign, which no word can hold.
@@ -22,17 +23,35 @@ AS_STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", STOP * 9)
 BETWEEN = re.compile(rb"[ \t.]")
 TOGETHER = 4_000_000  # bytes of text whose equal phrases are counted together
 NEVER = 255
+BYTE_STEP = np.uint64(0xD6E8FEB86659FD93)
 HASH_STEP = np.uint64(0x9E3779B97F4A7C15)
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
 SCANNED = "lang string, phrase string, m tinyint, slot int, start int, f bigint"
 
 
-class Codes(dict):
-    """A number for each distinct word, in the order of their first use."""
+def split_words(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The words of a text and its stops, as codes, and what each code stands for. Nothing happens word by word."""
+    spaced = text.replace(STOP, b" . ")
+    whole = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(spaced)], np.int32)), pa.py_buffer(spaced))
+    found = pc.ascii_split_whitespace(whole).flatten().dictionary_encode()
+    codes, known = found.indices.to_numpy().astype(np.int64), found.dictionary
+    empty = pc.index(known, "").as_py()
+    return (codes if empty < 0 else codes[codes != empty]), known.cast(pa.binary())
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
+
+def word_hashes(known: pa.Array) -> np.ndarray:
+    """A hash of each word, from sums of its bytes times powers; for slots only, equal ones do no harm."""
+    offsets = np.frombuffer(known.buffers()[1], np.int32)[known.offset : known.offset + len(known) + 1].astype(np.int64)
+    data = np.frombuffer(known.buffers()[2] or b"", np.uint8)[: offsets[-1] if len(offsets) else 0].astype(np.uint64)
+    powers = np.full(len(data) + 1, BYTE_STEP)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[:-1])))
+    # Powers of an odd number have inverses: a word's hash does not depend on where it lies.
+    back = np.full(len(data) + 1, np.uint64(pow(int(BYTE_STEP), -1, 1 << 64)))
+    back[0] = 1
+    back = np.cumprod(back)
+    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]])
 
 
 def blocks(text: bytes) -> Iterator[bytes]:
@@ -84,37 +103,34 @@ class Scan:
         self.step, self.shards, self.reached, self.last = step, shards, reached, last
         self.longest, self.since = len(reached) + 1, max(0, step - shards)
         self.shift = np.uint64(64 - int(reached.shape[1]).bit_length() + 1)
-        self.hashes = WordHashes()
 
     def slot(self, lang: str, total: np.ndarray) -> np.ndarray:
-        return ((total + np.uint64(self.hashes[lang.encode()])) >> self.shift).astype(np.int64)
+        return ((total + np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))) >> self.shift).astype(np.int64)
 
     def counted(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         for block in blocks(text):
-            words = held + block.replace(STOP, b" . ").split()
-            yield from self.of_words(lang, words, len(held))
-            held = words[-(self.longest - 1) :] if self.longest > 1 else []
+            codes, known = split_words(b" ".join([*held, block]))
+            yield from self.of_words(lang, codes, known, len(held))
+            held = known.take(pa.array(codes[1 - self.longest :])).to_pylist()
 
-    def of_words(self, lang: str, words: list[bytes], before: int) -> Iterator[pa.RecordBatch]:
+    def of_words(self, lang: str, codes: np.ndarray, known: pa.Array, before: int) -> Iterator[pa.RecordBatch]:
         """Windows that end behind the first ``before`` words, which belong to the last block."""
-        vocabulary = Codes()
-        codes = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-        listed = list(vocabulary)
-        known, hashes = pa.array(listed, pa.binary()), self.hashes.of(listed)
-        stop = codes == vocabulary.get(STOP, -1)
+        hashes, n = word_hashes(known), len(known)
+        sign = pc.index(known, pa.scalar(STOP, pa.binary())).as_py()
+        stop = codes == sign
         inside = ~stop
         if self.step < self.shards:
-            counts = np.bincount(codes[before:], minlength=len(listed))
-            if STOP in vocabulary:
-                counts[vocabulary[STOP]] = 0
+            counts = np.bincount(codes[before:], minlength=n)
+            if sign >= 0:
+                counts[sign] = 0
             own = np.flatnonzero(counts)
             yield self.rows(lang, known, hashes, [own], counts[own], 1)
             total = pa.array([int(counts.sum())], pa.int64())
             yield self.batch(lang, pa.array([""]), 0, np.zeros(1, np.int64), np.zeros(1, np.int64), total)
         total, of_word = hashes[codes], None
         for m in range(2, self.longest + 1):
-            if len(words) < m or max(self.last[m - 1 :]) < self.since:
+            if len(codes) < m or max(self.last[m - 1 :]) < self.since:
                 return
             if m > 2:
                 of_word = hashes[codes] if of_word is None else of_word
@@ -128,7 +144,7 @@ class Scan:
             chosen = np.flatnonzero(inside & (latest >= self.since) & (latest < self.step))
             chosen = chosen[chosen + m > before]
             if len(chosen):
-                columns, counts = distinct_windows(codes, chosen, m, len(listed))
+                columns, counts = distinct_windows(codes, chosen, m, n)
                 yield self.rows(lang, known, hashes, columns, counts, m)
 
     def rows(self, lang, known, hashes, columns, counts, m) -> pa.RecordBatch:
