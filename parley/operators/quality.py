@@ -20,17 +20,20 @@ _COUNTS = (
 )
 
 
-def quality_counts(features: DataFrame) -> DataFrame:
+def quality_counts(features: DataFrame, overall: bool = False) -> DataFrame:
     """The counts every check rests on.
 
     Distinct fingerprints are counted on (dataset, fingerprint) with map-side combining, so a
-    fingerprint shared by very many copies arrives at its reducer as one row per task.
+    fingerprint shared by very many copies arrives at its reducer as one row per task. ``overall`` adds a
+    row for all datasets together, marked ``is_overall``, where a fingerprint of several datasets is one.
     """
     two = F.col("is_two_message")
     system = F.col("has_system")
+    whole = [(F.grouping("dataset_id") == 1).alias("is_overall")] if overall else []
+    groups = features.rollup("dataset_id") if overall else features.groupBy("dataset_id")
     return (
-        features.groupBy("dataset_id")
-        .agg(
+        groups.agg(
+            *whole,
             F.count(F.lit(1)).alias("n_examples"),
             F.count_distinct("fingerprint").alias("_distinct"),
             F.sum("blank_responses").alias("blank_responses"),
@@ -42,17 +45,20 @@ def quality_counts(features: DataFrame) -> DataFrame:
             F.count_if(~system).alias("without_system"),
         )
         .withColumn("duplicates", F.col("n_examples") - F.col("_distinct"))
-        .select("dataset_id", *_COUNTS)
+        .select("dataset_id", *(["is_overall"] if overall else []), *_COUNTS)
     )
 
 
-def quality_score(features: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+def quality_score(features: DataFrame, datasets: DataFrame | None = None, overall: bool = False) -> DataFrame:
     """Counts and score per dataset.
 
     Penalties are subtracted as doubles in check order, then the score is clamped to [0, 1]. With
-    ``datasets`` (a ``dataset_id`` table) a dataset without conversations gets a row and scores 0.
+    ``datasets`` (a ``dataset_id`` table) a dataset without conversations gets a row and scores 0. With
+    ``overall`` there is a row for all conversations together, marked ``is_overall``.
     """
-    counts = quality_counts(features)
+    if overall and datasets is not None:
+        raise ValueError("a row for all datasets needs no list of datasets")
+    counts = quality_counts(features, overall)
     if datasets is not None:
         counts = datasets.select("dataset_id").join(counts, "dataset_id", "left").fillna(0, list(_COUNTS))
     n = F.col("n_examples")

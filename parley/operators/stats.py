@@ -31,42 +31,59 @@ PROMPT_TEMPLATES = [
 ]
 
 
-def ingest_stats(features: DataFrame) -> DataFrame:
-    """One row of statistics per dataset: one hash aggregate over conversation features."""
-    n = F.col("total_examples")
-    system_messages = F.col("_system")
+# The sums that the statistics of a dataset rest on; they merge by addition.
+SUMS = (
+    "total_examples", "total_messages", "chars", "single", "system", "with_system", "user", "assistant",
+    "user_chars", "assistant_chars",
+)
 
-    def percent(part: Column) -> Column:
-        return T.round_half_even(F.lit(100).cast("double") * part / n)
 
-    sums = features.groupBy("dataset_id").agg(
+def ingest_sums(features: DataFrame) -> DataFrame:
+    """:data:`SUMS` of each dataset: one hash aggregate over conversation features."""
+    return features.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("total_examples"),
         F.sum("n_messages").alias("total_messages"),
-        F.sum("n_chars").alias("_chars"),
-        F.count_if("is_single_turn").alias("_single"),
-        F.sum("n_system").alias("_system"),
-        F.count_if("has_system").alias("_with_system"),
-        F.sum("n_user").alias("_user"),
-        F.sum("n_assistant").alias("_assistant"),
-        F.sum("user_chars").alias("_user_chars"),
-        F.sum("assistant_chars").alias("_assistant_chars"),
+        F.sum("n_chars").alias("chars"),
+        F.count_if("is_single_turn").alias("single"),
+        F.sum("n_system").alias("system"),
+        F.count_if("has_system").alias("with_system"),
+        F.sum("n_user").alias("user"),
+        F.sum("n_assistant").alias("assistant"),
+        F.sum("user_chars").alias("user_chars"),
+        F.sum("assistant_chars").alias("assistant_chars"),
     )
+
+
+def merged_sums(sums: DataFrame, *more: str) -> DataFrame:
+    """Sums of several parts as those of the whole."""
+    return sums.groupBy("dataset_id").agg(*[F.sum(c).alias(c) for c in (*SUMS, *more)])
+
+
+def stats_of_sums(sums: DataFrame, *carried: str) -> DataFrame:
+    """Statistics from :func:`ingest_sums`, a projection."""
+    n = F.col("total_examples")
+    system_messages = F.col("system")
+
+    def percent(part: Column) -> Column:
+        return T.round_half_even(F.lit(100).cast("double") * part / n)
+
     zero = F.lit(0).cast("bigint")
-    tokens = T.floor_div(F.col("_chars"), 4)
-    output = F.coalesce(T.floor_div(F.col("_assistant_chars"), F.col("_assistant")), zero)
+    tokens = T.floor_div(F.col("chars"), 4)
+    output = F.coalesce(T.floor_div(F.col("assistant_chars"), F.col("assistant")), zero)
     return sums.select(
         "dataset_id",
+        *carried,
         "total_examples",
         "total_messages",
         T.round_one_decimal(T.safe_ratio(F.col("total_messages"), n)).alias("avg_messages_per_example"),
         tokens.alias("total_tokens"),
         T.floor_div(tokens, n).alias("avg_tokens_per_example"),
-        percent(F.col("_single")).alias("single_turn_pct"),
-        percent(n - F.col("_single")).alias("multi_turn_pct"),
+        percent(F.col("single")).alias("single_turn_pct"),
+        percent(n - F.col("single")).alias("multi_turn_pct"),
         (system_messages > 0).alias("has_system_prompts"),
         percent(system_messages).alias("system_prompt_pct"),
-        percent(F.col("_with_system")).alias("system_conv_pct"),
-        F.coalesce(T.floor_div(F.col("_user_chars"), F.col("_user")), zero).alias("avg_input_chars"),
+        percent(F.col("with_system")).alias("system_conv_pct"),
+        F.coalesce(T.floor_div(F.col("user_chars"), F.col("user")), zero).alias("avg_input_chars"),
         output.alias("avg_output_chars"),
         F.when((n >= 500) & (output > 50), "excellent")
         .when(n >= 100, "good")
@@ -75,6 +92,22 @@ def ingest_stats(features: DataFrame) -> DataFrame:
     )
 
 
+def ingest_stats(features: DataFrame) -> DataFrame:
+    """One row of statistics per dataset."""
+    return stats_of_sums(ingest_sums(features))
+
+
+def stats_rollup(features: DataFrame) -> DataFrame:
+    """:func:`ingest_stats` of each dataset and, with ``is_overall``, of all of them together.
+
+    Conversations go through one aggregate; the row of the whole adds up the sums of the datasets, so
+    its averages are those of all conversations.
+    """
+    sums = ingest_sums(features).rollup("dataset_id")
+    whole = (F.grouping("dataset_id") == 1).alias("is_overall")
+    return stats_of_sums(sums.agg(whole, *[F.sum(c).alias(c) for c in SUMS]), "is_overall")
+
+
 def warnings(stats: DataFrame) -> Column:
     """The warnings of a statistics row, in order, as an array."""
     n = stats["total_examples"]

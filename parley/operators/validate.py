@@ -131,9 +131,14 @@ def dataset_gate(verdicts: DataFrame, order: str = "conv_id", strict: bool = Tru
         F.count_if(F.col("error_code").isNull()).alias("n_valid"),
         F.count_if(F.col("error_code").isNotNull()).alias("n_errors"),
     )
+    return gate_of(counts, error_summary(verdicts, order) if strict else None)
+
+
+def gate_of(counts: DataFrame, summary: DataFrame | None) -> DataFrame:
+    """The verdict from ``n_valid, n_errors`` of each dataset; with ``summary`` any error there rejects it."""
     n = F.col("n_valid")
-    if strict:
-        counts = counts.join(error_summary(verdicts, order), "dataset_id", "left")
+    if summary is not None:
+        counts = counts.join(summary, "dataset_id", "left")
     else:
         counts = counts.withColumn("error_msg", F.lit(None).cast("string"))
     reason = F.coalesce(

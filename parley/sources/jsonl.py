@@ -63,10 +63,13 @@ def _open(spark: SparkSession, path: str | list[str], source: str, suffix: str |
 
 
 def list_files(spark: SparkSession, path: str, by: str = "name") -> DataFrame:
-    """``dataset_id, file_name, length`` of every file; only the listing is read, no content."""
+    """``dataset_id, file_name, path, length`` of every file; only the listing is read, no content."""
     file_path = F.col("_metadata.file_path")
     return _open(spark, path, "binaryFile").select(
-        dataset_of(file_path, by).alias("dataset_id"), dataset_of(file_path).alias("file_name"), "length"
+        dataset_of(file_path, by).alias("dataset_id"),
+        dataset_of(file_path).alias("file_name"),
+        file_path.alias("path"),
+        "length",
     )
 
 
