@@ -94,13 +94,23 @@ LINE_FORMS = [
 ]
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one line of JSONL in one of :data:`LINE_FORMS`, as ``dataset_id, line_no, line``."""
+# Those without bare text, which stay on one line whatever the text.
+QUOTED_FORMS = [form for form in LINE_FORMS if form != "~"]
+
+
+def document_lines(
+    spark: SparkSession, sf_dir: str, forms: list[str] = LINE_FORMS, broken_every: int = 1
+) -> DataFrame:
+    """Every document as one line of JSONL, as ``dataset_id, line_no, line``.
+
+    The forms follow each other by document id; with ``broken_every`` all but the documents whose id it
+    divides have the first one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
-    form = F.element_at(
-        F.array(*map(F.lit, LINE_FORMS)), (F.pmod("doc_id", F.lit(len(LINE_FORMS))) + 1).cast("int")
-    )
+    turn = F.call_function("div", F.col("doc_id"), F.lit(broken_every))
+    place = F.when(F.pmod("doc_id", F.lit(broken_every)) == 0, F.pmod(turn, F.lit(len(forms)))).otherwise(0)
+    form = F.element_at(F.array(*map(F.lit, forms)), (place + 1).cast("int"))
     line = F.replace(form, F.lit("#"), F.length("text").cast("string"))
     line = F.when(form == "~", F.col("text")).otherwise(F.replace(line, F.lit("@"), quoted))
     return docs.select(

@@ -482,6 +482,28 @@ UNION ALL SELECT dataset_id, conv_id, 0::BIGINT, 'system', '{prompt}' FROM lacki
 
 _SNIP = "CASE WHEN length({c}) > {n} THEN substring({c}, 1, {n}) || '...' ELSE {c} END"
 
+# Lines of the documents, whose forms are known: two forms are valid, of two and of three messages.
+_RUNNING = f"""{_LINES[: _LINES.index("docs AS (")]}
+lines AS (
+  SELECT 'lang-' || lang AS dataset_id, doc_id AS conv_id, text, lang,
+    CASE WHEN doc_id % 40 = 0 THEN [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24][
+      1 + (doc_id // 40) % 24] ELSE 0 END AS k FROM documents),
+numbered AS (
+  SELECT l.*, error_code, msg_idx, body, row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id) AS line_no
+  FROM lines l JOIN forms f USING (k)),
+valid AS (
+  SELECT dataset_id, conv_id, CASE k WHEN 0 THEN 2 ELSE 3 END AS n_messages, 1 AS n_user, 1 AS n_assistant,
+    CASE k WHEN 0 THEN 0 ELSE 1 END AS n_system, length(text) + CASE k WHEN 0 THEN 3 ELSE 2 END AS n_chars,
+    CASE k WHEN 0 THEN 3 ELSE 1 END AS user_chars, CASE k WHEN 0 THEN length(text) ELSE 1 END AS assistant_chars
+  FROM numbered WHERE error_code IS NULL AND NOT (k = 0 AND length({_strip('text')}) = 0))"""
+
+_OVERALL = (
+    _STATS.strip()
+    .replace("stats AS", "whole AS", 1)
+    .replace("SELECT dataset_id, count(*) AS n", "SELECT NULL::VARCHAR AS dataset_id, count(*) AS n")
+    .replace("FROM valid GROUP BY dataset_id", "FROM valid")
+)
+
 _EXPORTED = f"""{_with(_CONVERSATIONS)},
 lines AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY conv_id) AS line_no FROM features)
 """
@@ -648,8 +670,35 @@ def all_oracles() -> dict[str, str]:
         "stream_first_arrivals": f"""{_with(_documents('lang'))}
             SELECT DISTINCT dataset_id, sha256(full_fp) AS content_fingerprint FROM features""",
         "training_export": f"""SELECT dataset_id, 'microsoft/Phi-4-mini-instruct' AS base_model,
-            './data/dataset_id=' || dataset_id AS data_path, './lora_adapter' AS output_dir, 2048 AS max_seq_length, 16 AS r,
+            './file=data.jsonl' AS data_path, './lora_adapter' AS output_dir, 2048 AS max_seq_length, 16 AS r,
             'q_proj,k_proj,v_proj,o_proj,fc1,fc2' AS target_modules, 3 AS num_train_epochs, 0.0002::DOUBLE AS learning_rate,
             count(DISTINCT conv_id) AS n_rows
             FROM ({_CONVERSATIONS}) GROUP BY dataset_id""",
+        "export_commit": f"""SELECT dataset_id, unnest(['data.jsonl', 'config.json']) AS file,
+            unnest([count(DISTINCT conv_id), 1]) AS n_rows, true AS has_text FROM ({_CONVERSATIONS}) GROUP BY dataset_id""",
+        "stream_statistics": f"{_RUNNING}, {_STATS.strip()} SELECT * FROM stats",
+        "stream_gate": f"""{_RUNNING}, errors AS (
+            SELECT dataset_id, 'Line ' || line_no || coalesce(', message ' || msg_idx, '') || ': '
+              || CASE WHEN error_code = 'invalid_json' THEN 'Invalid JSON - ' ELSE '' END || body AS message, line_no
+            FROM numbered WHERE error_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY line_no) <= 5),
+            told AS (SELECT dataset_id, 'Validation failed:' || chr(10) || string_agg(message, chr(10) ORDER BY line_no) AS m
+              FROM errors GROUP BY dataset_id),
+            counts AS (SELECT dataset_id, count(*) FILTER (error_code IS NULL) AS n_valid,
+              count(*) FILTER (error_code IS NOT NULL) AS n_errors FROM numbered GROUP BY dataset_id)
+            SELECT dataset_id, n_valid, n_errors, error_msg IS NULL AS accepted, error_msg FROM (
+              SELECT c.*, coalesce(m, CASE WHEN n_valid = 0 THEN 'File is empty or contains no valid examples.'
+                WHEN n_valid < 50 THEN 'Need at least 50 examples for fine-tuning. Found only ' || n_valid || '.' END) AS error_msg
+              FROM counts c LEFT JOIN told t USING (dataset_id))""",
+        "stream_kept": f"""{_RUNNING} SELECT dataset_id, line_no, n_messages FROM valid JOIN numbered USING (dataset_id, conv_id)
+            QUALIFY row_number() OVER (PARTITION BY dataset_id, n_messages, text ORDER BY line_no) = 1""",
+        "ingest_again": f"""{_RUNNING}, {_STATS.strip()}, counts AS (
+              SELECT dataset_id, count(*) FILTER (error_code IS NULL) AS n_valid,
+                count(*) FILTER (error_code IS NOT NULL) AS n_errors FROM numbered GROUP BY dataset_id)
+            SELECT dataset_id, n_valid, n_errors, n_valid >= 50 AS accepted, total_messages, total_tokens
+            FROM counts LEFT JOIN stats USING (dataset_id)""",
+        "stats_rollup": f"""{_with(_MANY, _STATS.strip(), _OVERALL)} SELECT *, false AS is_overall FROM stats
+            UNION ALL SELECT *, true FROM whole""",
+        "quality_rollup": f"""{_with(_MANY, _quality('valid').strip())}, each AS (SELECT * FROM scored)
+            SELECT *, false AS is_overall FROM each UNION ALL
+            (WITH {_quality("(SELECT * REPLACE (NULL::VARCHAR AS dataset_id) FROM valid)").strip()} SELECT *, true FROM scored)""",
     }

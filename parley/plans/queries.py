@@ -26,8 +26,10 @@ from parley.operators.features import (
     valid_only,
 )
 from parley.operators.ingest import ingest_jsonl
+from parley.operators.running import RunningResults, ingest_new_files
 from parley.operators.shape import explode_messages, nest_messages
 from parley.plans.inputs import (
+    QUOTED_FORMS,
     as_json_answers,
     broken_messages,
     conversation_messages,
@@ -429,13 +431,13 @@ def first_system_prompt(spark, sf):
 
 
 def _written_jsonl(spark: SparkSession, chats: DataFrame, features: DataFrame) -> str:
-    """Chats as a training set on shared storage; returns its data folder."""
+    """Chats as training sets on shared storage; returns the reader's path of their data."""
     plans = features.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("num_examples")).withColumn(
         "base_model", F.lit(manifest.FALLBACK_MODEL_ID)
     )
     path = scratch_path(spark, "export")
     sinks.export_training_sets(chats, manifest.training_manifests(plans), path)
-    return f"{path}/data"
+    return sinks.data_files(path)
 
 
 def _conversation_files(spark: SparkSession, sf: str) -> str:
@@ -553,13 +555,24 @@ def stream_first_arrivals(spark, sf):
     return spark.read.parquet(out)
 
 
+def _conversation_export(spark: SparkSession, sf: str) -> str:
+    """The conversations as one published export beside one that was never finished."""
+    messages = conversation_messages(spark, sf)
+    plans = _conversations(messages).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("num_examples"))
+    plans = plans.withColumn("base_model", F.lit(manifest.FALLBACK_MODEL_ID))
+    path = scratch_path(spark, "export")
+    half = sinks.json_lines(nest_messages(messages)).select("dataset_id", F.lit(sinks.DATA_FILE).alias("file"), "value")
+    half.write.partitionBy("dataset_id", "file").text(f"{path}/sets/export=unfinished")
+    sinks.export_training_sets(nest_messages(messages), manifest.training_manifests(plans), path)
+    return path
+
+
 def training_export(spark, sf):
-    """The exported manifest of each dataset, parsed again, and the conversations where it says they are."""
-    root = _conversation_files(spark, sf)[: -len("/data")]
-    configs, _ = sinks.read_training_sets(spark, root)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "/(data/dataset_id=[^/]*)/[^/]*$", 1)
-    lines = spark.read.option("recursiveFileLookup", "true").text(f"{root}/data")
-    lines = lines.groupBy(F.concat(F.lit("./"), folder).alias("found")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """The exported manifest of each dataset, parsed again, and the conversations beside it."""
+    path = _conversation_export(spark, sf)
+    configs, _ = sinks.read_training_sets(spark, path)
+    data = sinks.published_files(spark, path).where(F.col("file") == sinks.DATA_FILE)
+    lines = data.groupBy("dataset_id").agg(F.sum("n_rows").alias("n_rows"))
     parsed = F.from_json(
         "config",
         "base_model STRING, data_path STRING, output_dir STRING, max_seq_length INT, "
@@ -567,7 +580,7 @@ def training_export(spark, sf):
         "training_args STRUCT<num_train_epochs: INT, learning_rate: DOUBLE>",
     )
     rows = configs.select("dataset_id", parsed.alias("c"))
-    return rows.join(lines, F.col("c.data_path") == F.col("found")).select(
+    return rows.join(lines, "dataset_id").select(
         "dataset_id",
         "c.base_model",
         "c.data_path",
@@ -581,6 +594,68 @@ def training_export(spark, sf):
     )
 
 
+def export_commit(spark, sf):
+    """What an export published of each file, and that it is all there is of it."""
+    files = sinks.published_files(spark, _conversation_export(spark, sf))
+    return files.groupBy("dataset_id", "file").agg(F.sum("n_rows").alias("n_rows"), (F.min("n_bytes") > 0).alias("has_text"))
+
+
+# ---- running results ----------------------------------------------------------------------------
+
+
+def _line_files(spark: SparkSession, sf: str) -> str:
+    """Documents by language as files of lines, most of them valid, some broken by turns."""
+    docs = document_lines(spark, sf, QUOTED_FORMS, broken_every=40)
+    path = scratch_path(spark, "line-files")
+    rows = docs.repartitionByRange(6, "dataset_id", "line_no").sortWithinPartitions("dataset_id", "line_no")
+    rows.select("dataset_id", F.col("line").alias("value")).write.partitionBy("dataset_id").text(path)
+    return path
+
+
+def _running(spark: SparkSession, files: str) -> RunningResults:
+    out = scratch_path(spark, "running")
+    state = scratch_path(spark, "stream-state")
+    query = arrivals.ingest_running(spark, files, out, state, by="partition", suffix=".txt", max_files=4, compact_every=3)
+    query.awaitTermination()
+    return RunningResults(spark, out)
+
+
+def stream_statistics(spark, sf):
+    """Statistics of datasets whose files arrive batch by batch."""
+    return _running(spark, _line_files(spark, sf)).statistics()
+
+
+def stream_gate(spark, sf):
+    """Verdicts on them, with the first errors by line number, whichever file came first."""
+    return _running(spark, _line_files(spark, sf)).gate()
+
+
+def stream_kept(spark, sf):
+    """The first by line number of conversations that are the same, over all batches."""
+    kept = _running(spark, _line_files(spark, sf)).kept()
+    return kept.select("dataset_id", "line_no", F.size("messages").cast("bigint").alias("n_messages"))
+
+
+def ingest_again(spark, sf):
+    """Files taken in twice, the second time only what was added: verdict and size of each dataset."""
+    files = _line_files(spark, sf)
+    out = scratch_path(spark, "running")
+    for part in ("dataset_id=*[aeiou]?", "dataset_id=*"):
+        results = ingest_new_files(spark, f"{files}/{part}", out, by="partition", suffix=".txt")
+    gate = results.gate(strict=False)
+    return gate.join(results.statistics(), "dataset_id", "left").select(
+        "dataset_id", "n_valid", "n_errors", "accepted", "total_messages", "total_tokens"
+    )
+
+
+def stats_rollup(spark, sf):
+    return stats.stats_rollup(_valid(many_messages(spark, sf)))
+
+
+def quality_rollup(spark, sf):
+    return quality.quality_score(_valid(many_messages(spark, sf)), overall=True)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "conv_features": conv_features,
@@ -643,4 +718,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": stream_ingest,
         "stream_first_arrivals": stream_first_arrivals,
         "training_export": training_export,
+        "export_commit": export_commit,
+        "stream_statistics": stream_statistics,
+        "stream_gate": stream_gate,
+        "stream_kept": stream_kept,
+        "ingest_again": ingest_again,
+        "stats_rollup": stats_rollup,
+        "quality_rollup": quality_rollup,
     }

@@ -264,21 +264,76 @@ def test_written_lines_read_back_in_order(spark, tmp_path):
     assert again == [json.loads(text) for text in rows]
 
 
-def test_export_reads_back_by_partition(spark, tmp_path):
+def exported(spark, tmp_path, names=("a b+c.jsonl", "d%20=é.jsonl")):
     from parley.operators.manifest import training_manifests
 
-    for name in ("a b+c.jsonl", "d%20=é.jsonl"):
-        write(tmp_path / name, "\n".join(line(U, A, id=i, file=name) for i in range(30)))
-    chats, _ = jsonl.read_jsonl(spark, str(tmp_path))
+    (tmp_path / "in").mkdir()
+    for name in names:
+        write(tmp_path / "in" / name, "\n".join(line(U, A, id=i, file=name) for i in range(30)))
+    chats, _ = jsonl.read_jsonl(spark, str(tmp_path / "in"))
     plans = chats.groupBy("dataset_id").agg(F.count("*").alias("num_examples")).withColumn("base_model", F.lit("m"))
-    sinks.export_training_sets(chats, training_manifests(plans), str(tmp_path / "sets"))
-    again, rejects = jsonl.scan_jsonl(spark, str(tmp_path / "sets/data"), by="partition", suffix=".txt")
-    got = {(r.dataset_id, r.line_no, r.id) for r in again.select("dataset_id", "line_no", F.variant_get("raw", "$.id", "int").alias("id")).collect()}
-    assert got == {(n, i + 1, i) for n in ("a b+c.jsonl", "d%20=é.jsonl") for i in range(30)}
-    configs, chats = sinks.read_training_sets(spark, str(tmp_path / "sets"))
-    assert chats.count() == 60
-    paths = {r.dataset_id: json.loads(r.config)["data_path"] for r in configs.collect()}
-    assert set(paths) == {"a b+c.jsonl", "d%20=é.jsonl"}
-    for name, path in paths.items():
-        assert spark.read.text(str(tmp_path / "sets" / path)).count() == 30, name
-    assert rejects.where("error_code <> 'extension'").count() == 0
+    return chats, training_manifests(plans)
+
+
+def ids_of(chats):
+    rows = chats.select("dataset_id", "line_no", F.variant_get("raw", "$.id", "int").alias("id")).collect()
+    return {(r.dataset_id, r.line_no, r.id) for r in rows}
+
+
+def test_export_reads_back_by_partition(spark, tmp_path):
+    chats, manifests = exported(spark, tmp_path)
+    root = str(tmp_path / "sets")
+    export = sinks.export_training_sets(chats, manifests, root)
+    names = ("a b+c.jsonl", "d%20=é.jsonl")
+    want = {(n, i + 1, i) for n in names for i in range(30)}
+    again, rejects = jsonl.scan_jsonl(spark, sinks.data_files(root, export), by="partition", suffix=".txt")
+    assert ids_of(again) == want and rejects.count() == 0
+    configs, chats = sinks.read_training_sets(spark, root)
+    assert ids_of(chats) == want
+    assert {r.dataset_id: json.loads(r.config)["data_path"] for r in configs.collect()} == dict.fromkeys(names, "./file=data.jsonl")
+    folders = [f for f in (tmp_path / "sets/sets" / f"export={export}").iterdir() if f.is_dir()]
+    assert len(folders) == 2
+    for folder in folders:
+        assert spark.read.text(str(folder / "file=data.jsonl")).count() == 30
+        assert spark.read.text(str(folder / "file=config.json")).count() == 1
+    listed = sinks.published_files(spark, root)
+    assert listed.where("file = 'data.jsonl'").agg(F.sum("n_rows")).first()[0] == 60
+    told = sinks.published_exports(spark, root).collect()
+    assert [(r.export, r.n_files, r.n_rows) for r in told] == [(export, listed.count(), 62)]
+
+
+def test_a_killed_export_is_invisible_and_altered_files_are_told(spark, tmp_path, monkeypatch):
+    chats, manifests = exported(spark, tmp_path)
+    root = str(tmp_path / "sets")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_training_sets(spark, root)
+    staged = sinks._staged_files
+
+    def killed(*args):
+        raise RuntimeError("killed")
+
+    def killed_export(mode):
+        monkeypatch.setattr(sinks, "_staged_files", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            sinks.export_training_sets(chats, manifests, root, mode)
+        monkeypatch.setattr(sinks, "_staged_files", staged)
+
+    killed_export("errorifexists")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_training_sets(spark, root)
+    first = sinks.export_training_sets(chats, manifests, root)
+    with pytest.raises(ValueError, match="already"):
+        sinks.export_training_sets(chats, manifests, root)
+    one = chats.where("dataset_id like 'a%'")
+    killed_export("overwrite")
+    assert ids_of(sinks.read_training_sets(spark, root)[1]) == ids_of(chats)
+    second = sinks.export_training_sets(one, manifests.where("dataset_id like 'a%'"), root, "overwrite")
+    assert ids_of(sinks.read_training_sets(spark, root)[1]) == ids_of(one)
+    assert ids_of(sinks.read_training_sets(spark, root, first)[1]) == ids_of(chats)
+    parts = sorted((tmp_path / "sets/sets" / f"export={second}").glob("*/file=data.jsonl/part-*"))
+    text = parts[0].read_text()
+    parts[0].write_text(text.replace('"id":1,', '"id":2,', 1))
+    (parts[0].parent / f".{parts[0].name}.crc").unlink()
+    with pytest.raises(ValueError, match="differ"):
+        sinks.read_training_sets(spark, root)
+    assert sinks.read_training_sets(spark, root, verify=False)[1].count() == 30
