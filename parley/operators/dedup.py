@@ -24,14 +24,16 @@ def first_copies(features: DataFrame, by: str = "content_fingerprint") -> DataFr
 def mark_duplicates(features: DataFrame) -> DataFrame:
     """``is_duplicate`` (by the first 100 characters of each message) and ``is_copy`` (in full).
 
-    Joined on the unique conversation key, never on a fingerprint, so a fingerprint with many copies
-    causes no skew. ``features`` is read three times: write it first where it is costly.
+    The firsts of both senses are one table, a row per conversation, joined once, on the unique
+    conversation key and never on a fingerprint: a fingerprint with many copies causes no skew.
+    ``features`` is read three times: write it first where it is costly.
     """
-    marked = features.select(*CONV_KEY)
-    for name, by in (("is_duplicate", "fingerprint"), ("is_copy", "content_fingerprint")):
-        kept = first_copies(features, by).withColumn("_kept", F.lit(True))
-        marked = marked.join(kept, CONV_KEY, "left").withColumn(name, F.col("_kept").isNull()).drop("_kept")
-    return marked
+    senses = {"is_duplicate": "fingerprint", "is_copy": "content_fingerprint"}
+    firsts = [first_copies(features, by).withColumn("_sense", F.lit(name)) for name, by in senses.items()]
+    firsts = firsts[0].unionByName(firsts[1]).groupBy(*CONV_KEY)
+    firsts = firsts.agg(*[F.bool_or(F.col("_sense") == name).alias(f"_{name}") for name in senses])
+    marked = features.select(*CONV_KEY).join(firsts, CONV_KEY, "left")
+    return marked.select(*CONV_KEY, *[(~F.coalesce(f"_{name}", F.lit(False))).alias(name) for name in senses])
 
 
 def drop_duplicates(rows: DataFrame, features: DataFrame) -> DataFrame:

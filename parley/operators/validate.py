@@ -39,36 +39,36 @@ def validate_messages(messages: DataFrame) -> DataFrame:
 
     The first broken rule names the error: too few messages, then the messages from left to right,
     then a missing user or assistant. Texts name the conversation id as the line and the message by its
-    place. Counts go through a hash aggregate; only broken messages, which are few, carry their role
-    text, and places are counted for broken conversations alone.
+    place. One hash aggregate over numbers and flags judges all conversations; it is written, so that Spark
+    knows how few are broken, and only for those the messages are looked at again, for the role and
+    the place of the first broken one.
     """
-    role = F.col("role")
+    role, turn = F.col("role"), F.col("turn")
     marked = messages.select(*CONV_KEY, "turn", "role", _message_error(role, F.col("text")).alias("error"))
     counts = marked.groupBy(*CONV_KEY).agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.bool_or(F.coalesce(role == "user", F.lit(False))).alias("has_user"),
         F.bool_or(F.coalesce(role == "assistant", F.lit(False))).alias("has_assistant"),
+        F.min(F.when(F.col("error").isNotNull(), turn)).alias("bad_turn"),
     )
-    first_bad = (
-        marked.where(F.col("error").isNotNull())
+    counts = written_once(counts, "message-counts")
+    broken = written_once(counts.where("bad_turn is not null").select(*CONV_KEY, "bad_turn"), "broken")
+    details = (
+        marked.join(broken, CONV_KEY)
+        .where("turn <= bad_turn")
         .groupBy(*CONV_KEY)
-        .agg(F.min_by(F.struct("turn", "role", "error"), "turn").alias("bad"))
+        .agg(
+            F.count_if(turn < F.col("bad_turn")).alias("before"),
+            F.min(F.when(turn == F.col("bad_turn"), F.struct("error", "role"))).alias("bad"),
+        )
     )
+    judged = counts.join(details, CONV_KEY, "left")
     code = (
         F.when(F.col("n_messages") < MIN_MESSAGES, "too_few_messages")
         .when(F.col("bad").isNotNull(), F.col("bad.error"))
         .when(~F.col("has_user"), "no_user")
         .when(~F.col("has_assistant"), "no_assistant")
     )
-    broken = first_bad.select(*CONV_KEY, F.col("bad.turn").alias("bad_turn"))
-    before = (
-        marked.select(*CONV_KEY, "turn")
-        .join(broken, CONV_KEY)
-        .where("turn < bad_turn")
-        .groupBy(*CONV_KEY)
-        .agg(F.count(F.lit(1)).alias("before"))
-    )
-    judged = counts.join(first_bad, CONV_KEY, "left").join(before, CONV_KEY, "left")
     judged = judged.withColumn("error_code", code).withColumn(
         "place", (F.coalesce("before", F.lit(0)) + 1).cast("bigint")
     )
