@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+COPIES = 50_000  # digests of whole texts, by a 128-bit hash, that a task remembers
+# What may be tried where no longer token ends: one of two symbols.
+PAIR = (2,)
+
+
 class TrieEncoder:
     """Encodings of many words at once.
 
@@ -29,9 +35,11 @@ class TrieEncoder:
     whose own last token may stand before it. Words are inserted into a trie, states are propagated
     depth first, and a prefix that many words share is worked out once.
 
-    A word's last symbol carries the end-of-word suffix, so words end in leaves of their own. At most
-    ``most`` pieces, words and pair answers are remembered; then the memory starts afresh, which changes
-    no result.
+    The trie is held as its sorted leaves: going through them in order is going through the trie depth
+    first, and what two neighbours share is the path that stays on the stack. A word's last symbol
+    carries the end-of-word suffix, so words end in leaves of their own. Pieces, words and answers about pairs
+    are remembered in two generations of at most ``most``; the older one goes when the younger is
+    full, which changes no result.
     """
 
     def __init__(self, path: str, most: int = 400_000, together: int = 2_000_000):
@@ -42,7 +50,7 @@ class TrieEncoder:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         # Only tokens that merging produces from their own symbols can be last tokens.
         self.size: dict[str, int] = {}
         self.made_of: dict[str, tuple[str, str]] = {}
@@ -53,12 +61,29 @@ class TrieEncoder:
                 self.size[token] = len(parts)
                 if steps:
                     self.made_of[token] = steps[-1]
-        self.longest = max(self.size.values())
+        # How long tokens of three symbols and more are, by the last three, the longest first; apart those that
+        # end words.
+        self.inner, self.final = self.lengths(False), self.lengths(True)
+        # Tokens that end words, by what they are without the suffix.
+        self.whole = {"".join(parts)[: -len(self.suffix)]: t for t in self.size if len((parts := self.split(t))[-1]) > 1}
+        self.id_text = {t: str(i) for t, i in {**self.ids, **self.words.special}.items()}
         self.most = most
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.spelled: dict = {}
-        self.piece_ids: dict[str, str] = {}
-        self.piece_tokens: dict[str, str] = {}
+        # One entry for each token at most.
+        self.left_edges, self.right_edges = {}, {}
+        # Of words and pieces: their ids and their tokens, each joined by a space.
+        self.spelled, self.older_spelled = {}, {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def lengths(self, final: bool) -> dict[str, tuple[int, ...]]:
+        found: dict[str, set[int]] = {}
+        for token, n in self.size.items():
+            parts = self.split(token)
+            ends_word = len(parts[-1]) > 1
+            if n > 2 and ends_word == final:
+                found.setdefault(parts[-3] + parts[-2] + parts[-1][0], set()).add(n)
+        return {end: (*sorted(some, reverse=True), 2) for end, some in found.items()}
 
     def split(self, token: str) -> list[str]:
         if token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -87,7 +112,12 @@ class TrieEncoder:
         if found is None:
             if len(self.pairs) >= self.most:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.stay_apart(self.edge(a, 1), self.edge(b, 0))
+            left, right = self.right_edges.get(a), self.left_edges.get(b)
+            if left is None:
+                left = self.right_edges[a] = self.edge(a, 1)
+            if right is None:
+                right = self.left_edges[b] = self.edge(b, 0)
+            found = self.pairs[a, b] = self.stay_apart(left, right)
         return found
 
     def edge(self, token: str, side: int) -> list[tuple[str, float]]:
@@ -116,52 +146,97 @@ class TrieEncoder:
                 j += 1
 
     def encode_words(self, words: set) -> None:
-        """Put the tokens of ``words`` into ``spelled``."""
-        suffix, size, longest = self.suffix, self.size, self.longest
-        root: dict = {}
+        """Put the ids and tokens of ``words`` into ``spelled``."""
+        size, suffix, id_text, letters = self.size, self.suffix, self.id_text, self.letters
+        pairs, beside, inner, final = self.pairs, self.beside, self.inner, self.final
+        spelled, whole = self.spelled, self.whole
+        leaves, stands_for = [], {}
         for word in words:
             if isinstance(word, tuple):
-                self.spelled[word] = [word[0]]
-                continue
-            node = root
-            symbols = "".join([self.letters[b] for b in word.encode()])
-            for c in symbols[:-1]:
-                node = node.setdefault(c, {})
-            node[symbols[-1] + suffix] = word
-        # Depth first: what stands above a node is its prefix and the last token of every prefix of it.
-        last: list[str] = [""]
-        stack: list = [("", symbol, below, 0) for symbol, below in root.items()]
-        while stack:
-            before, symbol, below, depth = stack.pop()
-            del last[depth + 1 :]
-            prefix, n = before + symbol, depth + 1
-            for back in range(min(n, longest), 0, -1):
-                token = prefix[n - back :]
-                if token in size and (back == n or self.beside(last[n - back], token)):
-                    break
+                spelled[word] = (id_text[word[0]], word[0])
+            elif word.isascii() and word.isprintable():
+                leaves.append(word)  # each byte stands for itself
             else:
-                raise ValueError(f"the vocabulary has no token for {symbol!r}")
-            last.append(token)
-            if isinstance(below, dict):
-                stack += [(prefix, c, child, n) for c, child in below.items()]
+                path = word.encode().decode("latin-1").translate(letters)
+                leaves.append(path)
+                stands_for[path] = word
+        leaves.sort()
+        # The last token of every prefix on the path.
+        last, before = [""], ""
+        for path in leaves:
+            n, length = 0, len(path)
+            shared = min(length, len(last)) - 1
+            while n < shared and path[n] == before[n]:
+                n += 1
+            del last[n + 1 :]
+            for end in range(n + 1, length):
+                for back in inner.get(path[end - 3 : end], PAIR) if end > 2 else PAIR[: end - 1]:
+                    token = path[end - back : end] if back <= end else ""
+                    if token not in size:
+                        continue
+                    if back == end:
+                        break
+                    found = pairs.get((last[end - back], token))
+                    if found or (found is None and beside(last[end - back], token)):
+                        break
+                else:
+                    # Some token is the last one; where no longer one is, it is the symbol alone.
+                    token = path[end - 1]
+                    if token not in size:
+                        raise ValueError(f"the vocabulary has no token for {token!r}")
+                last.append(token)
+            for back in final.get(path[-3:], PAIR) if length > 2 else PAIR[: length - 1]:
+                token = whole.get(path[length - back :] if back <= length else "")
+                if token is None:
+                    continue
+                if back == length:
+                    break
+                found = pairs.get((last[length - back], token))
+                if found or (found is None and beside(last[length - back], token)):
+                    break
             else:
-                tokens = []
+                token = whole.get(path[-1])
+                if token is None:
+                    raise ValueError(f"the vocabulary has no token for {path[-1] + suffix!r}")
+            n = length - size[token]
+            if n:
+                tokens = [token]
                 while n:
-                    tokens.append(last[n])
-                    n -= size[last[n]]
-                self.spelled[below] = tokens[::-1]
+                    token = last[n]
+                    tokens.append(token)
+                    n -= size[token]
+                tokens.reverse()
+                told = (" ".join([id_text[t] for t in tokens]), " ".join(tokens))
+            else:
+                told = (id_text[token], token)
+            spelled[stands_for.get(path, path)] = told
+            before = path
 
     def learn(self, pieces: set[str]) -> None:
         """Add pieces (runs without white space) to the memory, their new words through one trie."""
-        split = {p: self.words(p) for p in pieces}
+        known, older = self.known, self.older
+        for piece in pieces & older.keys():
+            known[piece] = older[piece]
         if len(self.spelled) > self.most:
-            self.spelled.clear()
-        self.encode_words({w for ws in split.values() for w in ws if w not in self.spelled})
-        special = self.words.special
-        for piece, words in split.items():
-            tokens = [t for w in words for t in self.spelled[w]]
-            self.piece_tokens[piece] = " ".join(tokens)
-            self.piece_ids[piece] = " ".join([str(special[t] if t in special else self.ids[t]) for t in tokens])
+            self.older_spelled, self.spelled = self.spelled, {}
+        # Most pieces are one word of plain letters.
+        single, several = {}, {}
+        for piece in pieces - older.keys():
+            if piece.isascii() and piece.isalpha():
+                single[piece] = piece.lower()
+            else:
+                several[piece] = self.words(piece)
+        wanted = set(single.values()).union(*several.values())
+        spelled, older_spelled = self.spelled, self.older_spelled
+        wanted.difference_update(spelled)
+        for word in wanted & older_spelled.keys():
+            spelled[word] = older_spelled[word]
+        self.encode_words(wanted.difference(older_spelled))
+        for piece, word in single.items():
+            known[piece] = spelled[word]
+        for piece, words in several.items():
+            parts = [spelled[w] for w in words]
+            known[piece] = (" ".join([ids for ids, _ in parts]), " ".join([tokens for _, tokens in parts]))
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """For each text its ids joined by a space, their number, and the decoded text."""
@@ -173,16 +248,14 @@ class TrieEncoder:
                 group.append(split_at_spaces(texts[at]))
                 chars += len(texts[at])
                 at += 1
-            everything = set().union(*group)
-            new = everything.difference(self.piece_ids)
-            if len(self.piece_ids) + len(new) > self.most:
-                self.piece_ids.clear()
-                self.piece_tokens.clear()
-                new = everything
-            self.learn(new)
+            if len(self.known) > self.most // 2:
+                self.older, self.known = self.known, {}
+            self.learn(set().union(*group).difference(self.known))
+            known = self.known
             for pieces in group:
-                ids = " ".join(filter(None, map(self.piece_ids.__getitem__, pieces)))
-                decoded = " ".join(filter(None, map(self.piece_tokens.__getitem__, pieces)))
+                found, tokens = zip(*map(known.__getitem__, pieces)) if pieces else ((), ())
+                # A piece may have no token at all.
+                ids, decoded = (" ".join(filter(None, x) if "" in found else x) for x in (found, tokens))
                 yield ids, ids.count(" ") + 1 if ids else 0, decoded
 
 
@@ -209,13 +282,20 @@ def bpe_roundtrip(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = per_process(("trie", tokenizer_path, most), lambda: TrieEncoder(tokenizer_path, most))
+        told: dict[bytes, tuple] = {}
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                rows = encoder.encode_texts(part["text"].tolist())
+                # Copies are encoded once: digests are remembered, long strings for these rows alone.
+                if not digest or len(told) > COPIES:
+                    told.clear()
+                keys = [xxhash.xxh3_128_digest(text.encode()) for text in part["text"]]
+                fresh = {key: text for key, text in zip(keys, part["text"]) if key not in told}
+                rows = encoder.encode_texts(list(fresh.values()))
                 if digest:
                     rows = ((sha(ids), n, sha(decoded)) for ids, n, decoded in rows)
-                ids, n_tokens, decoded = zip(*rows)
+                told.update(zip(fresh, rows, strict=True))
+                ids, n_tokens, decoded = zip(*[told[key] for key in keys])
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"].array, "n_tokens": n_tokens, names[0]: ids, names[1]: decoded}
                 )

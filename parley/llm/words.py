@@ -52,6 +52,12 @@ class Words:
         self.split_special = re.compile(f"({'|'.join(found)})") if found else None
 
     def plain(self, text: str) -> list[str]:
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            head, sign = text[:-1], text[-1:]
+            if head.isalpha() and "!" <= sign <= "~" and not sign.isalnum():
+                return [head.lower(), sign]
         if FAR.search(text):
             return ANY_WORD.findall(self.tokenizer.normalizer.normalize_str(text))
         return LOW_WORD.findall(text.lower())
