@@ -36,7 +36,7 @@ def put(root, name, text):
     file.write_bytes(text if isinstance(text, bytes) else text.encode())
 
 
-FILES = {f"{d}/part-{k:02d}.jsonl": lines_of(100 * i + k) for i, d in enumerate(["one", "two"]) for k in range(5)}
+FILES = {f"{d}/part-{k:02d}.jsonl": lines_of(100 * i + k) for i, d in enumerate(["one", "two"]) for k in range(3)}
 FILES["good/part-0.jsonl"] = "\n".join(conversation(f"g{k % 40}") for k in range(60))
 FILES["latin/part-0.jsonl"] = conversation("x").replace("x", "é").encode("latin-1") + b"\n[2]\n"
 FILES["blank/part-0.jsonl"] = " \n\n"
