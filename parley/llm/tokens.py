@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,49 +16,62 @@ from parley.llm.words import split_at_spaces
 from parley.session import written_once
 
 
+TASK_CHARS = 2_000_000  # of long texts, for one task
+# White space as the vocabulary file sees it: the separators U+001C to U+001F are none.
+SPACE = re.compile(r"[^\S\x1c-\x1f]")
+
+
+def tokenizer_of(path: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class PieceCounts(dict):
     """Tokens of runs without white space, by the tokenizers library, remembered up to ``most`` runs.
 
     The vocabulary file drops white space, and none of its steps looks across it, so a text's tokens are
-    those of its runs in turn. The offsets of each run's encoding are checked: its first token must
-    start where the run starts.
+    those of its runs in turn. Many runs are encoded at a time, each by itself, and its tokens counted.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000, together: int = 2_000):
         super().__init__()
-        self.most = most
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.most, self.together = most, together
+        self.older: dict[str, int] = {}
+        self.tokenizer = tokenizer_of(path)
 
     def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self))
-        if len(self) + len(new) > self.most:
+        if len(self) > self.most:
+            # Two generations: what is still used is carried over.
+            self.older = dict(self)
             self.clear()
-            new = list(pieces)
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            size = len(found)
-            if size and found.token_to_chars(0)[0] != 0:
-                raise ValueError("a token does not start with its run: the vocabulary looks across white space")
-            self[piece] = size
-
-
-def boundaries(text: str, counts: PieceCounts) -> tuple[list[int], list[int], int]:
-    """Offsets of a chunk's runs, the number of tokens before each, and the chunk's tokens.
-
-    Only runs that follow white space in the chunk itself are given: there any encoding of a chunk that
-    holds this white space starts a token, so the boundary is stable.
+        new = pieces.difference(self)
+        for piece in new & self.older.keys():
+            self[piece] = self.older[piece]
+        new = list(new.difference(self.older))
+        for at in range(0, len(new), self.together):
+            some = new[at : at + self.together]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            # Of each token, which run it is of; none for a special token, which may also be a part of one.
+            of = found.word_ids
+            if None in of:
+                self.update((piece, len(self.tokenizer.encode(piece, add_special_tokens=False))) for piece in some)
+            else:
+                self.update(zip(some, np.bincount(np.array(of, np.int64), minlength=len(some)).tolist()))
+
+
+def boundaries(text: str, tokenizer: Tokenizer) -> tuple[list[int], list[int], int]:
+    """Where tokens start behind white space in a chunk, how many tokens are before each, and all its tokens.
+
+    There any encoding of a chunk that holds this white space starts a token: the boundary is stable.
     """
-    pieces = split_at_spaces(text)
-    counts.learn(set(pieces))
-    before = [0, *accumulate(map(counts.__getitem__, pieces))]
-    offsets, at = [], 0
-    for piece in pieces:
-        at = text.index(piece, at)
-        offsets.append(at)
-        at += len(piece)
-    own = 1 if offsets and offsets[0] == 0 else 0
-    return offsets[own:], before[own:-1], before[-1]
+    found = tokenizer.encode(text, add_special_tokens=False)
+    stable = [(start, k) for k, (start, _) in enumerate(found.offsets) if start and SPACE.match(text, start - 1)]
+    # The tokens of one character have the same start: the first of them counts.
+    first = dict(reversed(stable))
+    starts = sorted(first)
+    return starts, [first[s] for s in starts], len(found)
 
 
 def short_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -78,8 +92,11 @@ def short_counts(docs: DataFrame, path: str) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def encoded_chunks(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """A row per chunk of ``docs(fp, text)``: its tokens and its stable boundaries in both overlaps."""
+def encoded_chunks(docs: DataFrame, path: str, chunk: int, overlap: int, tasks: int) -> DataFrame:
+    """A row per chunk of ``docs(fp, text)``: its tokens and its stable boundaries in both overlaps.
+
+    The chunks are dealt over as many ``tasks`` as their text calls for, wherever their document lay.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,19 +108,17 @@ def encoded_chunks(docs: DataFrame, path: str, chunk: int, overlap: int) -> Data
                     at += chunk
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = per_process(("pieces", path), lambda: PieceCounts(path))
+        tokenizer = per_process(("tokenizer", path), lambda: tokenizer_of(path))
         for batch in batches:
             for fp, no, text in zip(batch["fp"], batch["no"], batch["text"]):
-                offsets, before, total = boundaries(text, counts)
+                offsets, before, total = boundaries(text, tokenizer)
                 start = no * chunk
                 head = {start + o: b for o, b in zip(offsets, before) if o < overlap}
                 tail = {start + o: b for o, b in zip(offsets, before) if o >= chunk}
                 yield pd.DataFrame({"fp": [fp], "no": [no], "total": [total], "head": [head], "tail": [tail]})
 
     chunks = docs.mapInPandas(cut, "fp string, no bigint, text string")
-    # One task per chunk of a document, wherever the document lay.
-    chunks = chunks.repartition("fp", "no")
-    # A run longer than the memory of the worker is never cut: a chunk holds at most chunk + overlap.
+    chunks = chunks.repartition(tasks, "fp", "no")
     return chunks.mapInPandas(
         encode, "fp string, no bigint, total bigint, head map<bigint,bigint>, tail map<bigint,bigint>"
     )
@@ -112,9 +127,7 @@ def encoded_chunks(docs: DataFrame, path: str, chunk: int, overlap: int) -> Data
 def spliced(chunks: DataFrame) -> DataFrame:
     """``(fp, n_tokens)``; null where two neighbours have no stable boundary in common."""
     in_order = Window.partitionBy("fp").orderBy("no")
-    # Copies of a document give the same chunks.
-    rows = chunks.groupBy("fp", "no").agg(*[F.first(c).alias(c) for c in ("total", "head", "tail")])
-    rows = rows.withColumn("last_tail", F.lag("tail").over(in_order)).withColumn("next_head", F.lead("head").over(in_order))
+    rows = chunks.withColumn("last_tail", F.lag("tail").over(in_order)).withColumn("next_head", F.lead("head").over(in_order))
     both = lambda a, b: F.array_min(F.array_intersect(F.map_keys(a), F.map_keys(b)))
     rows = rows.withColumn("begin", both("last_tail", "head")).withColumn("end", both("tail", "next_head"))
     begin = F.when(F.col("last_tail").isNull(), F.lit(0)).otherwise(F.col("head")[F.col("begin")])
@@ -137,21 +150,25 @@ def token_counts(
     Texts up to ``chunk`` characters are counted where they are read. Longer ones are cut into
     overlapping chunks that are encoded in tasks of their own; neighbours are joined at a boundary that
     both found after white space inside their overlap. Where there is none, the document is cut anew with
-    four times the overlap, until one chunk holds it. A null text is empty (0 tokens), a null id stays
+    four times the overlap, until one chunk holds it: a text without any white space is encoded in one
+    piece, by a worker that has to hold it. Copies of a long text are encoded once. A null text is empty (0 tokens), a null id stays
     null, repeated rows give repeated rows, columns beside the two named ones are not looked at.
     """
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     short = short_counts(rows.where(F.char_length("text") <= chunk), tokenizer_path)
     long = rows.where(F.char_length("text") > chunk).withColumn("fp", F.sha2("text", 256))
-    todo, found, width = long.select("fp", "text"), None, overlap
+    texts = written_once(long.select("fp", "text").dropDuplicates(["fp"]), "long-texts")
+    todo, found, width = texts, None, overlap
     while True:
-        counted = written_once(spliced(encoded_chunks(todo, tokenizer_path, chunk, width)), "token-counts")
+        chars = todo.agg(F.sum(F.char_length("text"))).first()[0] or 0
+        chunks = encoded_chunks(todo, tokenizer_path, chunk, width, 1 + chars // TASK_CHARS)
+        counted = written_once(spliced(chunks), "token-counts")
         done = counted.where("n_tokens is not null")
         found = done if found is None else found.union(done)
         failed = counted.where("n_tokens is null")
         if failed.isEmpty():
             break
-        todo, width = long.select("fp", "text").join(failed.select("fp"), "fp", "left_semi"), width * 4
+        todo, width = texts.join(failed.select("fp"), "fp", "left_semi"), width * 4
     counts = short.union(long.select("doc_id", "n_bytes", "fp").join(found, "fp").select("doc_id", "n_bytes", "n_tokens"))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
