@@ -25,6 +25,11 @@ def key_hashes(line: Column) -> Column:
     return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
 
 
+def buckets_for(keys: int) -> int:
+    """16 at least, one for every two million keys, and no more than Spark allows."""
+    return min(max(16, -(-keys // 2_000_000)), 100_000)
+
+
 class LineRuns:
     """Sorted runs ``(h1, h2, n)`` of line hashes and the number of documents with each.
 
@@ -114,11 +119,14 @@ def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 1
     keys = lines.select("batch", F.explode(F.array_distinct("hashes")).alias("key")).where("key is not null")
     counts = keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"))
     counts = written_once(counts, "line-counts")
-    runs = LineRuns(spark, min_docs)
-    for batch in range(batches):
-        runs.add(counts.where(F.col("batch") == batch).select(*KEY, "n"))
-    common = runs.common()
-    runs.drop()
+    # As many buckets as the keys call for; all runs of a set have the same.
+    runs = LineRuns(spark, min_docs, buckets_for(counts.count()))
+    try:
+        for batch in range(batches):
+            runs.add(counts.where(F.col("batch") == batch).select(*KEY, "n"))
+        common = runs.common()
+    finally:
+        runs.drop()
 
     # Texts are few against rows where copies abound: positions are worked out once per text.
     places = lines.select("t1", "t2", F.posexplode("hashes").alias("pos", "key")).where("key is not null")

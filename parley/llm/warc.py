@@ -85,6 +85,9 @@ def parsed(record: bytes) -> dict:
     }
 
 
+STRETCH, TASK_BYTES = 8 << 20, 16 << 20
+
+
 def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
     """Add ``refers_to``: the smallest page id of an equal payload, null for that page itself.
 
@@ -165,7 +168,8 @@ def read_records(
     """The records of the given index rows (any selection of them).
 
     Rows are sorted by file and offset; ranges of a file less than ``gap`` bytes apart are read as one,
-    up to ``most`` bytes. Long files are dealt out in stretches of 64 MB.
+    up to ``most`` bytes. Files are dealt out in stretches, over as many tasks as the bytes of the records
+    call for: the index itself is small, and its size says nothing about the work.
     """
     archives = f"{folder}/archives"
 
@@ -199,7 +203,9 @@ def read_records(
                 out["payload"] = None
             yield out
 
-    ranges = index.select("file", "offset", "length").repartition("file", F.expr("offset div 67108864"))
+    total = index.agg(F.sum("length")).first()[0] or 0
+    stretch = F.call_function("div", F.col("offset"), F.lit(STRETCH))
+    ranges = index.select("file", "offset", "length").repartition(1 + total // TASK_BYTES, "file", stretch)
     return ranges.sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
 
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from parley.llm.lines import BLANKS, LineRuns, drop_common_lines
 
 
@@ -44,3 +46,21 @@ def test_runs_are_merged_by_level(spark):
 
 def test_empty_table(spark):
     assert drop_common_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_buckets_follow_the_keys_and_failed_batches_leave_no_table(spark, monkeypatch):
+    from parley.llm import lines
+
+    assert [lines.buckets_for(n) for n in (0, 32_000_000, 32_000_001, 10**12)] == [16, 16, 17, 100_000]
+    before = {t.name for t in spark.catalog.listTables()}
+    add = lines.LineRuns.add
+
+    def failing(self, counts):
+        add(self, counts)
+        if len(self.runs()) > 0:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(lines.LineRuns, "add", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        lines.drop_common_lines(spark.createDataFrame([(1, "a\nb")], "doc_id int, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -57,3 +57,16 @@ def test_selected_records_in_merged_ranges(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     index = write_archives(pages(spark, []), f"{tmp_path}/w")
     assert read_records(index, f"{tmp_path}/w").count() == 0
+
+
+def test_reading_back_takes_as_many_tasks_as_the_bytes_call_for(spark, tmp_path, monkeypatch):
+    from parley.llm import warc
+
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 512), 40) AS html")
+    index = warc.write_archives(pages, str(tmp_path))
+    total = index.agg({"length": "sum"}).first()[0]
+    monkeypatch.setattr(warc, "STRETCH", 2_000)
+    monkeypatch.setattr(warc, "TASK_BYTES", total // 7 + 1)
+    records = warc.read_records(index, str(tmp_path), payloads=False)
+    assert records.rdd.getNumPartitions() == 7
+    assert sorted(r.page_id for r in records.collect()) == list(range(300))
