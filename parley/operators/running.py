@@ -27,7 +27,7 @@ from parley.operators.first import first_rows
 from parley.operators.stats import SUMS, ingest_sums, merged_sums, stats_of_sums
 from parley.operators.validate import error_summary, gate_of
 from parley.schema import ERRORS_SHOWN
-from parley.session import written_once
+from parley.session import scratch_scope, written_once
 from parley.sources.jsonl import SUFFIX, dataset_of, file_offsets, file_rejects, list_files, read_blocks
 
 PLACE = ["path", "at"]
@@ -127,10 +127,13 @@ class RunningResults:
         """Take in a batch: ``lines(dataset_id, path, at, line)`` and ``files(dataset_id, path, n, seen, length)``.
 
         A batch that was committed before is left as it is. The lines are parsed once, into a written
-        table; all partial results come from that.
+        table; all partial results come from that. Scratch tables go when the batch is committed.
         """
-        if batch_id <= self.committed()[0]:
-            return
+        if batch_id > self.committed()[0]:
+            with scratch_scope(self.spark):
+                self._absorb(batch_id, lines, files, refused)
+
+    def _absorb(self, batch_id: int, lines: DataFrame, files: DataFrame, refused: DataFrame | None) -> None:
         judged = written_once(judge_lines(lines).drop("line"), "judged-lines")
         valid = lines_where(judged, F.col("error_code").isNull())
         broken = lines_where(judged, F.col("error_code").isNotNull())

@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,10 @@ CLUSTER_SETTINGS = {
 }
 
 
+# The scratch paths of the innermost scope of this thread; None outside of any.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def build_session(master: str | None = None, app: str = "parley", **extra: str) -> SparkSession:
     """A session with :data:`SETTINGS`; pass :data:`CLUSTER_SETTINGS` too, or your own, on a cluster."""
     builder = SparkSession.builder.appName(app)
@@ -57,8 +64,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A fresh path below :func:`shared_dir`, remembered by the innermost :func:`scratch_scope`."""
+    path = os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the scratch tables that are made inside, once the block is over, whether it failed or not.
+
+    Write what shall outlive the block to a path of your own, inside of it: tables are dropped only after
+    that job has ended, so a task that is tried again still finds what it reads. Scopes nest, and each thread
+    has its own. What a killed driver leaves behind is for the folder's retention rule.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        made = _SCOPE.get()
+        _SCOPE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in made:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def written_once(df: DataFrame, purpose: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.functions import conversation as C
 from parley.functions.lines import lines_where, validate_lines
 from parley.operators.running import RunningResults
-from parley.session import written_once
+from parley.session import scratch_scope, written_once
 from parley.sources.jsonl import (
     SUFFIX,
     chats_of,
@@ -89,6 +89,10 @@ def ingest_stream(
     arriving = files.where(acceptable).unionByName(refused)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):
+            write_tables(batch, batch_id)
+
+    def write_tables(batch: DataFrame, batch_id: int) -> None:
         lines = split_files(batch.where(F.col("content").isNotNull()), keep=("file_path",))
         # Parsed once for both outputs, in the shared folder: a lost executor loses none of it.
         validated = written_once(validate_lines(lines), "arrived-lines")

@@ -88,7 +88,8 @@ def test_stream_equals_one_batch_in_any_order_of_arrival(spark, tmp_path, order)
         assert found(results) == expected(spark, root)
     told = results.summaries()
     last, merged = results.committed()
-    assert told.select("batch_id").distinct().count() == last + 1 > 2 and (merged > 0) == (order == 1)
+    # A batch of refused files alone tells nothing.
+    assert 2 <= told.select("batch_id").distinct().count() <= last + 1 and (merged > 0) == (order == 1)
     good = told.where("dataset_id = 'good'").collect()
     assert [(r.accepted, r.total_examples) for r in good] == [(True, 60)]
     assert [r.error_code for r in results.rejects().where("line_no = 0").collect()] == ["extension"]

@@ -196,3 +196,33 @@ def test_column_validation(spark):
         7: ("no_assistant", None, "Line 7: conversation must have at least one 'assistant' message"),
         8: ("no_user", None, "Line 8: conversation must have at least one 'user' message"),
     }
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    import os
+    import threading
+
+    from parley.session import scratch_scope, shared_dir, written_once
+
+    def there(purpose):
+        return [name for name in os.listdir(shared_dir(spark)) if name.startswith(purpose)]
+
+    df = spark.range(5)
+    with scratch_scope(spark):
+        outer = written_once(df, "outer-one")
+        with scratch_scope(spark):
+            written_once(outer, "inner-one").write.parquet(str(tmp_path / "kept"))
+            assert len(there("inner-one")) == 1
+            # Another thread is in no scope.
+            thread = threading.Thread(target=lambda: written_once(df, "elsewhere"))
+            thread.start()
+            thread.join()
+        assert there("inner-one") == [] and outer.count() == 5
+    assert there("outer-one") == [] and len(there("elsewhere")) == 1
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
+    try:
+        with scratch_scope(spark):
+            written_once(df, "failed-one")
+            raise RuntimeError("lost")
+    except RuntimeError:
+        assert there("failed-one") == []
