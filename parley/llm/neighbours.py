@@ -104,14 +104,14 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows by inner product found for each query.
 
-    ``is_query`` is a condition on ``vec_id``. Pivots are a sample of at most 256 vectors (2.5 times the
-    root of their number unless given), those with the least hashes: a bound that does not grow with
-    the data. Every vector is indexed: its pivots in order of nearness are its permutation, and it is
+    ``is_query`` is a condition on ``vec_id``. Pivots are a sample of the vectors, those with the least
+    hashes: as many as ``pivots`` says, or 2.5 times the root of their number, then at most 256. Every vector is indexed: its pivots in order of nearness are its permutation, and it is
     posted in the lists of its first ``posted`` pivots. A query looks into the lists of its first
     ``probed`` pivots and scores all that it finds there exactly, however many these are: neither a dense
     group nor long vectors push a neighbour out. Lists longer than ``block``, and queries of a list beyond ``query_block``,
     are dealt out over several tasks, so a list's length is no limit. With few pivots or long lists
-    raise ``pivots`` and lower ``posted``: work per query falls with their quotient.
+    raise ``pivots`` and lower ``posted``: work per query falls with their quotient. The order of the pivots
+    decides where a vector is posted and where a query looks; it does not rank what is found there.
 
     Rows whose id or vector is null, whose vector is zero or holds a null or a number that is not
     finite, or has another length than most, take no part. Equal vectors are searched once; equal
@@ -134,8 +134,8 @@ def nearest(
     asked = written_once(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct(), "asked")
     count = classes.count()
     size = pivots or min(256, max(16, math.ceil(2.5 * math.sqrt(count))))
-    # At most 256 vectors come to the driver.
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(min(size, 256)).select("vec").collect()
+    # These vectors come to the driver: 256 at most, or as many as were asked for.
+    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).select("vec").collect()
     centres = np.array([r["vec"] for r in sample], float)
     index = permutations(classes, centres, kind, max(posted, probed))
     index = written_once(index, "permutations")

@@ -84,3 +84,32 @@ def test_recall_in_a_dense_group_and_with_mixed_lengths(spark, kind):
         recalls.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
     print(kind, "recall", np.mean(recalls), "worst", min(recalls))
     assert np.mean(recalls) >= 0.95 and min(recalls) >= 0.6
+
+
+def test_more_pivots_are_taken_as_given_and_lessen_the_work(spark, monkeypatch):
+    from parley.llm import neighbours
+
+    seen, posted = [], []
+    permutations, written = neighbours.permutations, neighbours.written_once
+
+    def noted(classes, pivots, kind, lists):
+        seen.append(len(pivots))
+        return permutations(classes, pivots, kind, lists)
+
+    def kept(df, purpose):
+        out = written(df, purpose)
+        if purpose == "permutations":
+            # Pairs to score: vectors posted in each of the lists that a vector looks into.
+            lists = out.select("cid", F.posexplode("near").alias("at", "p"))
+            sizes = lists.where("at < 3").groupBy("p").count()
+            posted.append(lists.where("at < 5").join(sizes, "p").agg(F.sum("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "permutations", noted)
+    monkeypatch.setattr(neighbours, "written_once", kept)
+    draw = np.random.default_rng(1)
+    rows = [(i, draw.standard_normal(8).astype(np.float32).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for pivots in (40, 600):
+        assert nearest(df, F.col("vec_id") % 50 == 0, k=3, pivots=pivots, posted=3, probed=5).count() == 120
+    assert seen == [40, 600] and posted[1] < posted[0] / 4
