@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from parley.functions import conversation as C
 from parley.functions.lines import judge_lines, line_message, lines_where
-from parley.operators.features import chat_features
+from parley.operators.features import chat_features, message_facts
 from parley.operators.first import first_rows
+from parley.operators.shape import explode_messages
+from parley.operators.sketches import merged_sketches, response_flags, response_sketch
 from parley.operators.stats import SUMS, ingest_sums, merged_sums, stats_of_sums
 from parley.operators.validate import error_summary, gate_of
 from parley.schema import ERRORS_SHOWN
@@ -57,6 +59,7 @@ PARTIALS = {
     "files": Partial("dataset_id STRING, path STRING, n BIGINT, seen BIGINT, length BIGINT", lambda rows: rows),
     "sums": Partial(f"dataset_id STRING, {', '.join(f'{c} BIGINT' for c in (*SUMS, 'n_errors'))}", lambda rows: merged_sums(rows, "n_errors")),
     "errors": Partial(f"dataset_id STRING, path STRING, at BIGINT, {_ERROR}", _first_errors),
+    "responses": Partial("dataset_id STRING, response_hash BINARY, non_ascii BOOLEAN", merged_sketches),
     "firsts": Partial("dataset_id STRING, content_fingerprint STRING, path STRING, at BIGINT", _first_places),
 }
 _TABLES = {
@@ -151,6 +154,7 @@ class RunningResults:
             "files": files,
             "sums": merged_sums(sums.unionByName(errors.withColumns(zeros)), "n_errors"),
             "errors": _first_errors(broken),
+            "responses": response_sketch(message_facts(explode_messages(messages))),
             "firsts": self._earlier_ones(_first_places(marked)),
         }
         for name, rows in parts.items():
@@ -194,6 +198,13 @@ class RunningResults:
         files = self.partial("files", upto, errors.select("dataset_id").distinct())
         return gate_of(counts, error_summary(self._told(errors, file_offsets(files)), "line_no"))
 
+    def response_flags(self) -> DataFrame:
+        """Whether answers look like classes, and like several languages, from sketches of all batches.
+
+        Conversations are read again only of datasets whose sketch leaves it open.
+        """
+        return response_flags(self.partial("responses"), message_facts(explode_messages(self.chats())))
+
     def summary(self, upto: int, only: DataFrame) -> DataFrame:
         """Verdict and statistics, a row per dataset."""
         return self.gate(True, upto, only).join(self.statistics(upto, only), "dataset_id", "left")

@@ -560,6 +560,10 @@ def all_oracles() -> dict[str, str]:
         "distinct_responses": _responses(
             "SELECT dataset_id, count(*) AS distinct_responses, count(*) < 20 AS looks_like_classification FROM k GROUP BY dataset_id"
         ),
+        "sketched_flags": _responses(
+            """SELECT dataset_id, count(*) < 20 AS looks_like_classification,
+            count(*) FILTER (wide) / count(*) > 0.3 AS is_multilingual FROM k GROUP BY dataset_id"""
+        ),
         "multilingual_flag": _responses(
             """SELECT dataset_id, count(*) AS distinct_responses, count(*) FILTER (wide) AS non_ascii_responses,
             count(*) FILTER (wide) / count(*) > 0.3 AS is_multilingual FROM k GROUP BY dataset_id"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parley.functions import conversation as C
 from parley.functions import text as T
 from parley.functions.lines import validate_lines
-from parley.operators import dedup, manifest, profile, quality, recommend, rewrite, stats, training, validate
+from parley.operators import dedup, manifest, profile, quality, recommend, rewrite, sketches, stats, training, validate
 from parley.operators.features import (
     chat_features,
     conversation_features,
@@ -41,6 +41,7 @@ from parley.session import scratch_path, written_once
 from parley.sources import jsonl, sinks
 from parley.streaming import arrivals
 
+SKETCH = 256  # answers in the sketch of a dataset
 SYSTEM_PROMPT = "  You are a careful assistant.  "
 ASKED_TASKS = [*recommend.TASKS, "summarise"]
 ASKED_TARGETS = [*recommend.TARGETS, "edge_device", "toaster"]
@@ -179,6 +180,14 @@ def distinct_responses(spark, sf):
     )
 
 
+def sketched_flags(spark, sf):
+    """The flags from sketches of two parts of each dataset, merged; a sketch that leaves it open counts again."""
+    facts = written_once(message_facts(many_messages(spark, sf)), "facts")
+    parts = [sketches.response_sketch(facts.where(F.pmod("conv_id", F.lit(2)) == k), SKETCH) for k in range(2)]
+    merged = sketches.merged_sketches(parts[0].unionByName(parts[1]), SKETCH)
+    return sketches.response_flags(merged, facts, SKETCH)
+
+
 def multilingual_flag(spark, sf):
     facts = message_facts(many_messages(spark, sf))
     return profile.response_profile(facts).select(
@@ -673,6 +682,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_conversations": dedup_conversations,
         "dataset_profile": dataset_profile,
         "distinct_responses": distinct_responses,
+        "sketched_flags": sketched_flags,
         "multilingual_flag": multilingual_flag,
         "multilingual_flag_first_50": multilingual_flag_first_50,
         "json_output_flag": json_output_flag,

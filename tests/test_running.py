@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.lines import validate_lines
 from parley.operators import dedup, running, stats, validate
-from parley.operators.features import chat_features
+from parley.operators.features import chat_features, message_facts
+from parley.operators.profile import response_profile
 from parley.operators.running import RunningResults, ingest_new_files
+from parley.operators.shape import explode_messages
 from parley.sources import jsonl
 from parley.streaming import arrivals
 
@@ -86,6 +88,8 @@ def test_stream_equals_one_batch_in_any_order_of_arrival(spark, tmp_path, order)
         query.awaitTermination()
         results = RunningResults(spark, out)
         assert found(results) == expected(spark, root)
+    flags = response_profile(message_facts(explode_messages(results.chats())))
+    assert rows_of(results.response_flags()) == rows_of(flags.select("dataset_id", "looks_like_classification", "is_multilingual"))
     told = results.summaries()
     last, merged = results.committed()
     # A batch of refused files alone tells nothing.
