@@ -274,7 +274,7 @@ def bpe_roundtrip(
 
     A projection: no shuffle, so a hot key or group of copies costs nothing extra and a lost task is
     simply run again. A null text is an empty one (0 tokens, empty strings); repeated rows give
-    repeated rows; a null id stays null. The vocabulary file must be on every executor.
+    repeated rows; a null id stays null; an empty table gives no rows. The vocabulary file must be on every executor.
     """
 
     def sha(text: str) -> str:

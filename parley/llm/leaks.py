@@ -214,7 +214,8 @@ def leaks(
     text of like form but without that bond is not. ``n_windows`` and ``n_matched`` count the item's
     windows and those found; ``n_changed`` the item's values that are others in the text.
 
-    Items of less than three tokens match nothing. Null and empty texts contain nothing; a null doc id
+    Items of less than three tokens match nothing, and items without id or text take no part. Null and
+    empty texts contain nothing, an empty table on either side gives no rows; a null doc id
     stays null; repeated rows of documents come back as often, repeated items count once. Copies of a
     text are joined by its hash once and spread to their ids at the end.
     """

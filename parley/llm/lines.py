@@ -99,7 +99,8 @@ def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 1
 
     A row is a document; a line counts once in it. A null text is one empty line, empty lines and lines
     of blanks alone stay. Copies of a text share one list of dropped lines, found by the text's hash, so
-    neither null nor repeated ids matter, and columns of any name pass through untouched in ``row``.
+    neither null nor repeated ids matter, and columns of any name pass through untouched in ``row``. An empty
+    table gives no rows.
 
     Texts are read twice: for 16 bytes per line, which then feed the runs batch by batch, and for the
     result. Counts are partial sums before any shuffle, so a line of a third of all documents is one row

@@ -116,7 +116,7 @@ def nearest(
     Rows whose id or vector is null, whose vector is zero or holds a null or a number that is not
     finite, or has another length than most, take no part. Equal vectors are searched once; equal
     scores go by the smaller id; a row is never its own neighbour; repeated rows count once. Fewer
-    than ``k`` rows are returned only where a query's lists hold fewer.
+    than ``k`` rows are returned only where a query's lists hold fewer; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = picked(vectors, vec_id=id_col, vec=vector_col).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))

@@ -252,7 +252,7 @@ def near_duplicates(
     Rows with equal sets are one class, named by a 64-bit hash of the set; classes link when their
     similarity is 0.8 or more, counted on whole sets of 64-bit shingle hashes. ``component_id`` is the
     smallest id that links reach. A null or wordless text has no shingles and links with nothing (its
-    component is its own id); a null id takes part and gets its component's smallest id; repeated rows
+    component is its own id), an empty table gives no rows; a null id takes part and gets its component's smallest id; repeated rows
     come back as often as they are; columns beside the two named ones are not looked at. ``kept`` marks
     the row of a component that stays when duplicates go (the smallest id; of equal ids the smallest
     ``text_hash``, the text's xxhash64); rows without shingles are all kept.

@@ -134,7 +134,7 @@ def quality_scores(
     5, is not 0), at most ``most`` of them, and sees nothing of them but the text. The score is the
     softmax output for label 1 of the whole text. A null text is an empty one, which has the score of
     the feature that all documents share; a null id is held out; without any usable label every score
-    comes from the untrained start. Other columns pass through in ``row``.
+    comes from the untrained start; an empty table gives no rows. Other columns pass through in ``row``.
     """
     names = docs.columns
     source = docs.toDF(*[f"c{k}" for k in range(len(names))])

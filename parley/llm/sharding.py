@@ -95,7 +95,9 @@ def assign(
     key of its own. ``size`` is the text's UTF-8 bytes (null: none) plus 8. Slots number a shard's rows
     without gaps: rows are ordered inside ``ranges`` hash ranges of the shard, each range starts where
     the counts of the ranges before it end. So no task orders a whole shard; raise ``ranges`` with the
-    rows of a shard. Only ids, sizes and checksums are shuffled, never texts.
+    rows of a shard. Only ids, sizes and checksums are shuffled, never texts. Equal texts of different
+    ids are different keys and may lie in different shards. Texts of any length count in full, repeated rows
+    have slots of their own, an empty table gives no rows.
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
     text = F.coalesce("text", F.lit(""))

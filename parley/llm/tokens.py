@@ -152,7 +152,7 @@ def token_counts(
     both found after white space inside their overlap. Where there is none, the document is cut anew with
     four times the overlap, until one chunk holds it: a text without any white space is encoded in one
     piece, by a worker that has to hold it. Copies of a long text are encoded once. A null text is empty (0 tokens), a null id stays
-    null, repeated rows give repeated rows, columns beside the two named ones are not looked at.
+    null, repeated rows give repeated rows, an empty table gives none, columns beside the two named ones are not looked at.
     """
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("bigint"))

@@ -121,7 +121,8 @@ def write_archives(
     record lies. The index is committed by Spark, so a file of a lost or repeated attempt is in no index
     row and is never read. Among equal payloads of at least ``least_bytes`` the smallest page id is the
     response and the others are revisits; rows that repeat that id are responses too. A null html is an
-    empty payload; a null url has no target header; a null id is larger than every other.
+    empty payload; a null url has no target header; a null id is larger than every other; an empty table
+    leaves an empty index.
     """
     source = picked(pages, page_id=id_col, url=url_col, html=html_col)
     source = source.withColumn("page_id", F.col("page_id").cast("bigint"))
