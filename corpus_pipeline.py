@@ -16,16 +16,16 @@ from parley.llm.lines import drop_common_lines
 from parley.llm.ngrams import near_duplicates
 from parley.llm.quality import quality_scores
 from parley.llm.queries import vocabulary
-from parley.session import written_once
+from parley.session import scratch_path, scratch_scope, written_once
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones; null texts are scored as empty ones, repeated rows alike."""
     return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them share."""
+    """All documents, without the lines that ten or more of them share; of a null text an empty one is left."""
     found = drop_common_lines(docs, min_docs=10).select("row.*", "kept")
     changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
     return found.withColumns(changed).select(*docs.columns)
@@ -42,7 +42,7 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark; null and empty texts contain none, repeated rows go together."""
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
     found = written_once(found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).distinct(), "leaked")
     hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -71,5 +71,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        # What a stage writes on its way goes as soon as its result is there.
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs
