@@ -261,27 +261,46 @@ def ingest_new_files(
     if changed:
         raise ValueError(f"files that were taken in before have changed: {', '.join(r.path for r in changed)}")
     new = written_once(listed.join(known, "path", "left_anti"), "new-files")
-    batch_id = results.committed()[0] + 1
-    refused = file_rejects(new, max_bytes, suffix)
-    good = F.endswith(F.lower("file_name"), F.lit(suffix))
-    good = good if max_bytes is None else good & (F.col("length") <= max_bytes)
-    # The reader takes a list of the new files, of which the driver holds the listing anyway.
-    paths = [_as_path(r.where) for r in new.where(good).select(dataset_of(F.col("path"), "path").alias("where")).collect()]
-    sizes = new.select("dataset_id", "path", "length")
-    if not paths:
-        if not new.isEmpty():
-            nothing = spark.createDataFrame([], "dataset_id STRING, path STRING, at BIGINT, line STRING")
-            none = F.lit(None).cast("bigint")
-            results.absorb(batch_id, nothing, sizes.select("dataset_id", "path", F.lit(0).cast("bigint").alias("n"), none.alias("seen"), "length"), refused)
-        return results
-    read = read_blocks(spark, paths, suffix)
-    lines = read.placed(read.blocks).withColumn("dataset_id", dataset_of(F.col("path"), by))
-    # Refused and empty files have no lines; they count as taken in all the same.
-    files = sizes.join(read.files, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    results.absorb(batch_id, lines, files, refused)
+    if not new.isEmpty():
+        absorb_files(results, results.committed()[0] + 1, new, by, suffix, max_bytes)
     return results
 
 
+def absorb_files(
+    results: RunningResults,
+    batch_id: int,
+    new: DataFrame,
+    by: str = "name",
+    suffix: str = SUFFIX,
+    max_bytes: int | None = None,
+) -> None:
+    """Take in the listed files ``new(dataset_id, path, file_name, length)``, of any size, as one batch.
+
+    They are read in splits, so no task holds a file. A batch that was committed before is left as it is.
+    """
+    if batch_id <= results.committed()[0]:
+        return
+    spark = results.spark
+    with scratch_scope(spark):
+        new = written_once(new, "batch-files")
+        refused = file_rejects(new, max_bytes, suffix)
+        good = F.endswith(F.lower("file_name"), F.lit(suffix))
+        good = good if max_bytes is None else good & (F.col("length") <= max_bytes)
+        # The reader takes a list of the new files, of which the driver holds the listing anyway.
+        paths = [_as_path(r.where) for r in new.where(good).select(dataset_of(F.col("path"), "path").alias("where")).collect()]
+        sizes = new.select("dataset_id", "path", "length")
+        if paths:
+            read = read_blocks(spark, paths, suffix)
+            lines = read.placed(read.blocks).withColumn("dataset_id", dataset_of(F.col("path"), by))
+            # Refused and empty files have no lines; they count as taken in all the same.
+            files = sizes.join(read.files, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        else:
+            lines = spark.createDataFrame([], "dataset_id STRING, path STRING, at BIGINT, line STRING")
+            none = F.lit(None).cast("bigint")
+            files = sizes.select("dataset_id", "path", F.lit(0).cast("bigint").alias("n"), none.alias("seen"), "length")
+        results.absorb(batch_id, lines, files, refused)
+
+
 def _as_path(name: str) -> str:
     """A file name as a reader's path, in which some characters stand for others."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)

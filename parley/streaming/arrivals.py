@@ -14,13 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parley.functions import conversation as C
 from parley.functions.lines import lines_where, validate_lines
-from parley.operators.running import RunningResults
+from parley.operators.running import RunningResults, absorb_files
 from parley.session import scratch_scope, written_once
 from parley.sources.jsonl import (
     SUFFIX,
     chats_of,
     dataset_of,
-    file_lines,
     file_rejects,
     rejects_of,
     split_files,
@@ -128,23 +127,15 @@ def ingest_running(
     it, verdicts with the first errors, statistics, and the conversations left without copies are those of
     one batch over all files so far, whatever the order in which they came. What was told with each batch
     is in its ``summaries``. A batch that is tried again overwrites what it left; one that was committed is
-    not taken in twice. A file must fit a row; the content of refused files is not read.
+    not taken in twice. The stream carries the listing alone: each batch reads its files in splits, so they
+    may be of any size, and the content of refused files is not read.
     """
     results = RunningResults(spark, out, compact_every)
-    files = _arriving(spark, path, by, max_files)
-    acceptable = _acceptable(max_bytes, suffix)
-    refused = files.where(~acceptable).withColumn("content", F.lit(None).cast("binary"))
-    arriving = files.where(acceptable).unionByName(refused)
+    arriving = _arriving(spark, path, by, max_files).drop("content")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        listed = batch.select("dataset_id", F.col("file_path").alias("path"), "file_name", "length", "content")
-        read = listed.where(F.col("content").isNotNull())
-        lines, counts = file_lines(read.select("path", "content"))
-        lines = lines.withColumn("dataset_id", dataset_of(F.col("path"), by))
-        counts = listed.select("dataset_id", "path", "length").join(counts, "path", "left")
-        counts = counts.withColumn("n", F.coalesce("n", F.lit(0)))
-        told = file_rejects(listed.where(F.col("content").isNull()), max_bytes, suffix)
-        results.absorb(batch_id, lines, counts, told)
+        listed = batch.select("dataset_id", F.col("file_path").alias("path"), "file_name", "length")
+        absorb_files(results, batch_id, listed, by, suffix, max_bytes)
 
     return (
         arriving.writeStream.foreachBatch(write)

@@ -177,3 +177,17 @@ def test_rollups_have_the_row_of_the_whole(spark, chats_of):
     # One text is in all three datasets: copies of it count across them.
     assert (scored[None].duplicates, scored["a"].duplicates, scored["b"].duplicates) == (3, 1, 0)
     assert scored[None].is_overall and scored[None].n_examples == 6
+
+
+def test_a_stream_reads_files_in_splits(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    put(root, "one/part-0.jsonl", "\n".join(conversation(f"q{k:06d}") for k in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        arrivals.ingest_running(spark, str(root), out, str(tmp_path / "state"), by="partition").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    read = spark.read.parquet(f"{out}/chats").groupBy(F.input_file_name()).count().collect()
+    # One file of 400 KB: no task may have had all of it.
+    assert sum(r["count"] for r in read) == 4000 and max(r["count"] for r in read) < 2000
+    assert RunningResults(spark, out).kept().count() == 4000
