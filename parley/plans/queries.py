@@ -612,42 +612,56 @@ def export_commit(spark, sf):
 # ---- running results ----------------------------------------------------------------------------
 
 
-def _line_files(spark: SparkSession, sf: str) -> str:
+# At least so many ranges of lines, and so many more that a range holds about so many bytes of text.
+_RANGES, _RANGE_BYTES = 6, 32 << 20
+
+
+def _ranges(spark: SparkSession, sf: str) -> int:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(_RANGES, -(-total // _RANGE_BYTES))
+
+
+def _line_files(spark: SparkSession, sf: str, ranges: int) -> str:
     """Documents by language as files of lines, most of them valid, some broken by turns."""
     docs = document_lines(spark, sf, QUOTED_FORMS, broken_every=40)
     path = scratch_path(spark, "line-files")
-    rows = docs.repartitionByRange(6, "dataset_id", "line_no").sortWithinPartitions("dataset_id", "line_no")
+    rows = docs.repartitionByRange(ranges, "dataset_id", "line_no").sortWithinPartitions("dataset_id", "line_no")
     rows.select("dataset_id", F.col("line").alias("value")).write.partitionBy("dataset_id").text(path)
     return path
 
 
-def _running(spark: SparkSession, files: str) -> RunningResults:
+def _running(spark: SparkSession, sf: str) -> RunningResults:
+    ranges = _ranges(spark, sf)
+    files = _line_files(spark, sf, ranges)
     out = scratch_path(spark, "running")
     state = scratch_path(spark, "stream-state")
-    query = arrivals.ingest_running(spark, files, out, state, by="partition", suffix=".txt", max_files=4, compact_every=3)
+    # Four files a batch for the least number of ranges; more ranges make larger batches, not more of them.
+    most = 4 * ranges // _RANGES
+    query = arrivals.ingest_running(spark, files, out, state, by="partition", suffix=".txt", max_files=most, compact_every=3)
     query.awaitTermination()
     return RunningResults(spark, out)
 
 
 def stream_statistics(spark, sf):
     """Statistics of datasets whose files arrive batch by batch."""
-    return _running(spark, _line_files(spark, sf)).statistics()
+    return _running(spark, sf).statistics()
 
 
 def stream_gate(spark, sf):
     """Verdicts on them, with the first errors by line number, whichever file came first."""
-    return _running(spark, _line_files(spark, sf)).gate()
+    return _running(spark, sf).gate()
 
 
 def stream_kept(spark, sf):
     """The first by line number of conversations that are the same, over all batches."""
-    kept = _running(spark, _line_files(spark, sf)).kept()
+    kept = _running(spark, sf).kept()
     return kept.select("dataset_id", "line_no", F.size("messages").cast("bigint").alias("n_messages"))
 
 
 def ingest_again(spark, sf):
     """Files taken in twice, the second time only what was added: verdict and size of each dataset."""
-    files = _line_files(spark, sf)
+    files = _line_files(spark, sf, _ranges(spark, sf))
     out = scratch_path(spark, "running")
     for part in ("dataset_id=*[aeiou]?", "dataset_id=*"):
         results = ingest_new_files(spark, f"{files}/{part}", out, by="partition", suffix=".txt")

@@ -191,3 +191,15 @@ def test_a_stream_reads_files_in_splits(spark, tmp_path):
     # One file of 400 KB: no task may have had all of it.
     assert sum(r["count"] for r in read) == 4000 and max(r["count"] for r in read) < 2000
     assert RunningResults(spark, out).kept().count() == 4000
+
+
+def test_line_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from parley.plans import queries
+
+    rows = [(k, "x" * 100, "en") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries._ranges(spark, str(tmp_path)) == 6
+    monkeypatch.setattr(queries, "_RANGE_BYTES", 2000)
+    path = queries._line_files(spark, str(tmp_path), queries._ranges(spark, str(tmp_path)))
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path")).count().collect()
+    assert sum(r["count"] for r in files) == 400 and max(r["count"] for r in files) < 50
