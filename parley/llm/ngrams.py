@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import BITS, WordHashes, bitmap, components, in_bitmap, per_process, picked, window_hashes
@@ -17,6 +17,8 @@ WIDTH = 5
 # Two documents link when PARTS * common >= SHARE * union.
 SHARE, PARTS = 80, 100
 BANDS, ROWS = 8, 3
+# Of more candidate pairs than groups, first so many of each group are verified; this at most so often.
+EACH, ROUNDS = 8, 2
 # Shingles of about so many in one worker are counted together.
 BLOCK = 3_000_000
 
@@ -175,7 +177,8 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
     This need not find every link, only hold large clusters together cheaply.
     """
-    rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band"))
+    # Dealt out once for both sides of the join.
+    rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band")).repartition("no", "band")
     centre = rows.groupBy("no", "band").agg(F.min(F.struct("s", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
     pairs = rows.join(centre.where("k > 1"), ["no", "band"]).where(F.col("s") != F.col("c.s"))
     pairs = pairs.where(near_sizes(F.col("n"), F.col("c.n")))
@@ -193,8 +196,13 @@ def least_common(n1: Column, n2: Column) -> Column:
     return F.greatest(F.least(*spare), F.lit(1))
 
 
-def group_pairs(docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of sets that are not in one component yet.
+def group_pairs(
+    docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int
+) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """Candidate pairs ``(g1, g2)`` of groups of sets that are not in one component yet.
+
+    Beside them come the ``members`` of the groups, ``g, s``, and the ``sets`` and ``common`` shingles as they
+    are now. A group is named by the least of its sets.
 
     Sets with one prefix, size and component are one group. Groups of near sizes are paired if their
     prefixes share as many shingles as those of linked sets must; of a shingle's groups only those
@@ -239,9 +247,45 @@ def group_pairs(docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.n
     pairs = pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("k"))
     pairs = pairs.where(F.col("k") >= least_common(F.col("p.n1"), F.col("q.n1")))
     pairs = pairs.select(F.col("p.g1").alias("g1"), F.col("q.g1").alias("g2"))
+    return written_once(pairs, "group-pairs"), members, sets, common
+
+
+def few_of_each(pairs: DataFrame, turn: int) -> DataFrame:
+    """:data:`EACH` pairs ``(a, b)`` of each group, drawn by a hash, others each ``turn``.
+
+    The least sets stand for their groups. A cluster of many candidates hangs together by few of them.
+    """
+    drawn = F.xxhash64("g1", "g2", F.lit(turn)).alias("drawn")
+    ends = pairs.select("g1", "g2", drawn, F.explode(F.array("g1", "g2")).alias("end"))
+    order = Window.partitionBy("end").orderBy("drawn")
+    chosen = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= EACH)
+    return written_once(chosen.select(F.col("g1").alias("a"), F.col("g2").alias("b")).distinct(), "few-pairs")
+
+
+def all_of_each(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Every pair ``(a, b)`` of members of two groups."""
     a = members.select(F.col("g").alias("g1"), F.col("s").alias("a"))
     b = members.select(F.col("g").alias("g2"), F.col("s").alias("b"))
-    return written_once(pairs.join(a, "g1").join(b, "g2").select("a", "b").distinct(), "group-pairs")
+    return written_once(pairs.join(a, "g1").join(b, "g2").select("a", "b").distinct(), "set-pairs")
+
+
+def prefix_links(
+    docs: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, common: np.ndarray, width: int, most: int
+) -> DataFrame:
+    """``links`` and as many more as name all components.
+
+    Where candidates outnumber the groups, near copies come in clusters that the stars have missed. Then a
+    few candidates of each group are verified first, and candidates are made anew without those that hang
+    together now; the last round verifies all that are left, so no component is missed.
+    """
+    for turn in range(ROUNDS + 1):
+        known = written_once(components(links), "first-components")
+        pairs, members, sets, common = group_pairs(docs, sets, known, common, width, most)
+        last = turn == ROUNDS or pairs.count() <= members.count()
+        found = all_of_each(pairs, members) if last else few_of_each(pairs, turn)
+        links = links.union(verified(found, whole_sets(docs, width, texts_of(found, classes))))
+        if last:
+            return links
 
 
 def near_duplicates(
@@ -262,7 +306,8 @@ def near_duplicates(
        stars instead of by all pairs. Their links give first components.
     3. The grouped prefix join finds every pair that links and is not in one component yet (see
        :func:`group_pairs`). No partner is dropped: a prefix holds more shingles than two linked sets
-       can both miss.
+       can both miss. Clusters of very many candidates are joined by a few of them first (see
+       :func:`prefix_links`).
     4. Components of all links.
     """
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
@@ -280,10 +325,7 @@ def near_duplicates(
     pairs = star_pairs(classes)
     sets = written_once(prefixes(docs, width, common, texts_of(pairs, classes)), "prefixes")
     stars = verified(pairs, sets.where("items is not null").select("s", "items"))
-    known = written_once(components(stars), "first-components")
-    pairs = group_pairs(docs, sets, known, common, width, most)
-    rest = verified(pairs, whole_sets(docs, width, texts_of(pairs, classes)))
-    found = components(stars.union(rest))
+    found = components(prefix_links(docs, classes, sets, stars, common, width, most))
     named = rows.join(found, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
     named = written_once(named.select("doc_id", "t", "n", "c"), "named")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
