@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -280,31 +280,32 @@ def bpe_roundtrip(
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("trie", tokenizer_path, most), lambda: TrieEncoder(tokenizer_path, most))
         told: dict[bytes, tuple] = {}
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            # Of a batch in Arrow, so many texts at a time become Python strings.
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = part.column(1).to_pylist()
                 # Copies are encoded once: digests are remembered, long strings for these rows alone.
                 if not digest or len(told) > COPIES:
                     told.clear()
-                keys = [xxhash.xxh3_128_digest(text.encode()) for text in part["text"]]
-                fresh = {key: text for key, text in zip(keys, part["text"]) if key not in told}
+                keys = [xxhash.xxh3_128_digest(text.encode()) for text in texts]
+                fresh = {key: text for key, text in zip(keys, texts) if key not in told}
                 rows = encoder.encode_texts(list(fresh.values()))
                 if digest:
                     rows = ((sha(ids), n, sha(decoded)) for ids, n, decoded in rows)
                 told.update(zip(fresh, rows, strict=True))
                 ids, n_tokens, decoded = zip(*[told[key] for key in keys])
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].array, "n_tokens": n_tokens, names[0]: ids, names[1]: decoded}
-                )
+                columns = [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *names])
 
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     source = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    # Ids travel as text: pandas would turn whole numbers beside a null into floats.
+    # Ids travel as text, whatever their type.
     kind = source.schema["doc_id"].dataType
-    found = source.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+    found = source.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(
         run, f"doc_id string, n_tokens bigint, {names[0]} string, {names[1]} string"
     )
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))

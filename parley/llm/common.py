@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 
@@ -120,5 +121,9 @@ def per_process(key: tuple, make):
     if key not in kept:
         kept.clear()
         gc.collect()
+        # What the former operator freed goes back to the system, where the C library can do that.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         kept[key] = make()
     return kept[key]
