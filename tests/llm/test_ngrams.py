@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from parley.llm import ngrams
 from parley.llm.common import components
 from parley.llm.ngrams import near_duplicates
 
@@ -70,3 +71,22 @@ def test_components_of_long_chains(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_candidates_of_a_cluster_do_not_grow_with_its_square(spark, monkeypatch):
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    base = draw.choices(words, k=60)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 150):
+        copy = list(base)
+        copy[draw.randrange(60)] = draw.choice(words)
+        rows.append((k, " ".join(copy)))
+    asked = []
+    verified = ngrams.verified
+    monkeypatch.setattr(ngrams, "verified", lambda pairs, sets: asked.append(pairs.count()) or verified(pairs, sets))
+    # Stars that find nothing: all is left to the prefix join.
+    monkeypatch.setattr(ngrams, "star_pairs", lambda classes: classes.selectExpr("s AS a", "s AS b").limit(0))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    assert len(asked) > 2 and sum(asked) < 20 * len(rows)
