@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import per_process, picked
@@ -138,9 +140,14 @@ def page_tree(source: str) -> Node:
 # Elements that come several times in one container.
 SEVERAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", "figure"}
 
-# A wrapper is a nested list of parts: [signature, optional, repeated, parts, text, weight]. A text part has
-# the signature "#text"; its text is given while all pages agree on it and null once it is a slot.
-SIG, OPTIONAL, REPEATED, PARTS, TEXT, WEIGHT = range(6)
+# A wrapper is a nested list of parts: [signature, optional, repeated, parts, text, weight, pages]. A text part
+# has the signature "#text"; its text is given while all pages agree on it and null once it is a slot. At least
+# so many pages have a part.
+SIG, OPTIONAL, REPEATED, PARTS, TEXT, WEIGHT, PAGES = range(7)
+# So many wrappers are aligned in one group; shapes of about so many characters are held by a task at once.
+TOGETHER, HELD = 32, 20_000_000
+# In wrappers of more parts, those that fewer than one page in RARE has are put together, by their weight alone.
+PARTS_MOST, RARE, REST = 20_000, 1000, "#rest"
 
 
 def flat(node: Node) -> Iterator[Node | str]:
@@ -164,11 +171,16 @@ def wrapper_of(node: Node, depth: int = 1) -> list:
     parts = []
     for kid in node.kids if depth < DEEPEST else flat(node):
         if isinstance(kid, Node):
-            below = [kid.sig, False, False, [], None, 0]
+            below = [kid.sig, False, False, [], None, 0, 1]
             parts.append(wrapper_of(kid, depth + 1) if depth < DEEPEST else below)
         elif kid.strip():
-            parts.append(["#text", False, False, [], " ".join(kid.split()), len(kid)])
-    return [node.sig, False, False, collapsed(parts), None, sum(p[WEIGHT] for p in parts)]
+            parts.append(["#text", False, False, [], " ".join(kid.split()), len(kid), 1])
+    return [node.sig, False, False, collapsed(parts), None, sum(p[WEIGHT] for p in parts), 1]
+
+
+def group_of(run: list[list]) -> list:
+    name = "#group " + " ".join(p[SIG] for p in run)
+    return [name, False, False, run, None, sum(p[WEIGHT] for p in run), max(p[PAGES] for p in run)]
 
 
 def collapsed(parts: list[list]) -> list[list]:
@@ -183,16 +195,12 @@ def collapsed(parts: list[list]) -> list[list]:
         while at < len(parts):
             run = parts[at : at + size]
             name = [p[SIG] for p in run]
-            group = run[0] if size == 1 else ["#group " + " ".join(name), False, False, run, None, sum(p[WEIGHT] for p in run)]
+            group = run[0] if size == 1 else group_of(run)
             nxt, times = at + size, 1
             while len(run) == size and [p[SIG] for p in parts[nxt : nxt + size]] == name and (size == 1 or name[0] != name[-1]):
-                more = parts[nxt : nxt + size]
-                if size == 1:
-                    more = more[0]
-                else:
-                    more = [group[SIG], False, False, more, None, sum(p[WEIGHT] for p in more)]
+                more = parts[nxt] if size == 1 else group_of(parts[nxt : nxt + size])
                 weight = group[WEIGHT] + more[WEIGHT]
-                group = merged(group, more)
+                group = merged(group, more, max)
                 group[REPEATED], group[WEIGHT] = True, weight
                 nxt, times = nxt + size, times + 1
             if times > 1:
@@ -205,28 +213,41 @@ def collapsed(parts: list[list]) -> list[list]:
     return parts
 
 
-def merged(a: list, b: list) -> list:
-    """Two wrappers of one signature as one: differing texts become slots, parts of one side optional."""
+def added(a: int, b: int) -> int:
+    return a + b
+
+
+def merged(a: list, b: list, pages: Callable[[int, int], int] = added) -> list:
+    """Two wrappers of one signature as one: differing texts become slots, parts of one side optional.
+
+    ``pages`` adds the pages of both sides, or takes the ``max`` where both may come from the same pages.
+    """
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    parts = aligned(a[PARTS], b[PARTS])
-    return [a[SIG], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], parts, text, max(a[WEIGHT], b[WEIGHT])]
+    parts, held = aligned(a[PARTS], b[PARTS], pages), pages(a[PAGES], b[PAGES])
+    # Rests are of different parts.
+    weight = a[WEIGHT] + b[WEIGHT] if a[SIG] == REST else max(a[WEIGHT], b[WEIGHT])
+    return [a[SIG], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], parts, text, weight, held]
 
 
-def aligned(a: list[list], b: list[list]) -> list[list]:
+def aligned(a: list[list], b: list[list], pages: Callable[[int, int], int] = added) -> list[list]:
     """The longest common run of signatures is merged part by part; what lies between is optional."""
     n, m = len(a), len(b)
     if n * m > 1_000_000:
-        return aligned_near(a, b)
-    if n == m and all(x[SIG] == y[SIG] for x, y in zip(a, b)):
-        return [merged(x, y) for x, y in zip(a, b)]
+        return aligned_near(a, b, pages)
+    names, others = [p[SIG] for p in a], [p[SIG] for p in b]
+    if names == others:
+        return [merged(x, y, pages) for x, y in zip(a, b)]
+    first = next((k for k, (x, y) in enumerate(zip(names, others)) if x != y), min(n, m))
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][SIG] == b[j][SIG] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    for i in range(n - 1, first - 1, -1):
+        below, row, name = best[i + 1], best[i], names[i]
+        for j in range(m - 1, first - 1, -1):
+            x, y = below[j], row[j + 1]
+            row[j] = below[j + 1] + 1 if name == others[j] else x if x >= y else y
+    out, i, j = [merged(x, y, pages) for x, y in zip(a[:first], b[:first])], first, first
     while i < n or j < m:
         if i < n and j < m and a[i][SIG] == b[j][SIG]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([a[i][SIG], True, *a[i][2:]])
@@ -237,7 +258,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     return collapsed(out)
 
 
-def aligned_near(a: list[list], b: list[list], reach: int = 50) -> list[list]:
+def aligned_near(a: list[list], b: list[list], pages: Callable[[int, int], int] = added, reach: int = 50) -> list[list]:
     """Alignment of very long parts: each part of ``a`` takes the next of its signature within reach."""
     out, j = [], 0
     for part in a:
@@ -246,11 +267,33 @@ def aligned_near(a: list[list], b: list[list], reach: int = 50) -> list[list]:
             out.append([part[SIG], True, *part[2:]])
             continue
         out += [[p[SIG], True, *p[2:]] for p in b[j:k]]
-        out.append(merged(part, b[k]))
+        out.append(merged(part, b[k], pages))
         j = k + 1
     return out + [[p[SIG], True, *p[2:]] for p in b[j:]]
 
 
+def shape(part: list) -> str:
+    """The signatures of a wrapper. Wrappers of one shape are merged part by part, in any order alike."""
+    return f"{part[SIG]}({''.join(map(shape, part[PARTS]))})" if part[PARTS] else f"{part[SIG]};"
+
+
+def n_parts(part: list) -> int:
+    return 1 + sum(map(n_parts, part[PARTS]))
+
+
+def without_rare(part: list, least: int) -> list:
+    """A wrapper whose optional parts that fewer than ``least`` pages have are one ``#rest`` of their weight."""
+    kept, weight = [], 0
+    for below in part[PARTS]:
+        if below[SIG] == REST or below[OPTIONAL] and below[PAGES] < least:
+            weight += slot_weight(below) or below[WEIGHT]
+        else:
+            kept.append(without_rare(below, least))
+    if weight:
+        kept.append([REST, True, False, [], None, weight, 0])
+    return [*part[:PARTS], kept, *part[TEXT:]]
+
+
 def inferred(pages: list[str]) -> list:
     """Align the token streams of pages one after the other into a single wrapper."""
     wrapper = None
@@ -274,6 +317,8 @@ def expression(part: list) -> str:
 def slot_weight(part: list) -> int:
     if part[SIG] == "#text":
         return part[WEIGHT] if part[TEXT] is None else 0
+    if part[SIG] == REST:
+        return part[WEIGHT]
     return sum(map(slot_weight, part[PARTS])) * (3 if part[REPEATED] else 1)
 
 
@@ -281,7 +326,7 @@ def main_path(wrapper: list) -> list[str]:
     """Where a wrapper without a marked article has its text: down while one part holds most of the slots.
 
     The way ends at the container of what may come several times: paragraphs, headings, items and cells are
-    never gone into, even where the sample has one of them.
+    never gone into, even where every page has one of them.
     """
     path, part = [], wrapper
     while True:
@@ -291,19 +336,19 @@ def main_path(wrapper: list) -> list[str]:
         if not inner or max(weights) < 0.6 * max(1, sum(weights)) or inner[weights.index(max(weights))][REPEATED]:
             return path
         part = inner[weights.index(max(weights))]
-        if part[SIG].split(".")[0] in SEVERAL:
+        if part[SIG] == REST or part[SIG].split(".")[0] in SEVERAL:
             return path
         path.append(part[SIG])
 
 
-def fixed_texts(wrapper: list) -> set[tuple[str, str, str]]:
-    """Texts that every page of a host has in the same place: ``(parent, element, text)``, by signatures."""
+def fixed_texts(wrapper: list, least: int) -> set[tuple[str, str, str]]:
+    """Texts of places that ``least`` pages have, with one text in all of them: ``(parent, element, text)``, by signatures."""
     found: set[tuple[str, str, str]] = set()
     stack = [(wrapper, "", "")]
     while stack:
         part, parent, element = stack.pop()
         if part[SIG] == "#text":
-            if part[TEXT] is not None:
+            if part[TEXT] is not None and part[PAGES] >= least:
                 found.add((parent, element, part[TEXT]))
         else:
             inside = (parent, element) if part[SIG].startswith("#group") else (element, part[SIG])
@@ -380,7 +425,7 @@ def regions(node: Node, marked: bool, path: list[str]) -> list[Node]:
         for sig in path:
             node = next((k for k in node.kids if isinstance(k, Node) and k.sig == sig), None)
             if node is None:
-                # The page is built otherwise than the host's sample.
+                # The page is built otherwise than most of its host.
                 return [whole]
         return [node]
     found, guessed, left, stack = [], [], node.clean, [(node, False)]
@@ -397,17 +442,27 @@ def regions(node: Node, marked: bool, path: list[str]) -> list[Node]:
 
 
 class Wrapper:
-    """What a host's wrapper says about a page of it."""
+    """What a host's wrapper says about a page of it: the path to its text and what all pages have at one place."""
 
     def __init__(self, wrapper: list, pages: int):
         self.path = main_path(wrapper)
-        # One or two pages prove nothing about what all pages have.
-        self.fixed = fixed_texts(wrapper) if pages >= 3 else set()
+        # One or two pages prove nothing about what all pages have; a page of another layout refutes nothing.
+        self.fixed = fixed_texts(wrapper, max(3, (pages + 1) // 2))
+
+    @classmethod
+    def read(cls, rule: str) -> Wrapper:
+        found = cls.__new__(cls)
+        found.path, fixed = json.loads(rule)
+        found.fixed = set(map(tuple, fixed))
+        return found
+
+    def written(self) -> str:
+        return json.dumps([self.path, sorted(self.fixed)])
 
     def main_text(self, source: str) -> str:
         """The regions without the texts that the wrapper has at their place, unless those are too much of it.
 
-        Inside a marked article they are a small part: where a third or more would go, the sample are
+        Inside a marked article they are a small part: where a third or more would go, the pages are
         copies of one article and everything stays. Elsewhere everything stays if nothing else would be left.
         """
         tree = page_tree(source)
@@ -428,38 +483,92 @@ class Wrapper:
         return joined(pieces)
 
 
-def host_samples(pages: DataFrame, most: int) -> DataFrame:
-    """``most`` different pages of each host, those with the least hashes; only keys are ranked."""
-    keys = pages.groupBy("host", "h").agg(F.min("page_id").alias("id"))
-    order = Window.partitionBy("host").orderBy("h")
-    chosen = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    chosen = written_once(chosen.select("id", F.col("h").alias("g")), "host-samples")
-    same = pages["page_id"].eqNullSafe(chosen["id"]) & (pages["h"] == chosen["g"])
-    return pages.join(chosen, same, "left_semi").select("host", "h", "html")
+def different(pages: DataFrame) -> DataFrame:
+    """``host, html`` of every different page of each host, once; only pages that have copies are shuffled."""
+    copied = pages.groupBy("host", "h").count().where("count > 1").select("host", "h")
+    copied = written_once(copied, "copied-pages")
+    if copied.isEmpty():
+        return pages.select("host", "html")
+    once = pages.join(copied, ["host", "h"], "left_semi").select("host", "h", "html").dropDuplicates(["host", "h"])
+    return pages.join(copied, ["host", "h"], "left_anti").select("host", "html").union(once.select("host", "html"))
+
+
+def shape_wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, key, pages, wrapper)``: what each task's pages of one shape say, by the hash of the shape."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+        for batch in batches:
+            for host, source in zip(batch["host"], batch["html"]):
+                found = wrapper_of(page_tree(source))
+                key = (host, xxhash.xxh3_64_intdigest(shape(found)) - (1 << 63))
+                if key in held:
+                    held[key] = merged(held[key], found)
+                else:
+                    held[key] = found
+                    size += len(source)
+                if size > HELD:
+                    yield rows(held)
+                    held, size = {}, 0
+        yield rows(held)
+
+    def rows(held: dict[tuple[str, int], list]) -> pd.DataFrame:
+        found = [(host, key, wrapper[PAGES], json.dumps(wrapper)) for (host, key), wrapper in held.items()]
+        return pd.DataFrame(found, columns=["host", "key", "pages", "wrapper"])
 
+    return pages.select("host", "html").mapInPandas(run, "host string, key bigint, pages bigint, wrapper string")
 
-def host_wrappers(pages: DataFrame, most: int = 8) -> DataFrame:
-    """``(host, pages, wrapper, expression)``: wrappers as JSON, inferred from ``most`` pages of a host."""
 
-    def infer(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("h").sort_values("h")
-        wrapper = inferred(group["html"].tolist())
-        row = [group["host"].iloc[0], len(group), json.dumps(wrapper), expression(wrapper)]
-        return pd.DataFrame([row], columns=["host", "pages", "wrapper", "expression"])
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, pages, wrapper, expression, rule)``: wrappers as JSON, inferred from all different pages of a host.
+
+    Pages of one shape become one wrapper, in any order. Those of a host are aligned in the order of their hashes,
+    about :data:`TOGETHER` at a time, then their results, until one is left: however many pages a host has, no
+    task aligns all of them.
+    """
+    parts = written_once(shape_wrappers(different(pages)), "shape-wrappers")
+    # So often the wrappers of a host are dealt into groups before the last group of all.
+    levels = parts.groupBy("host").agg(F.count_distinct("key").alias("n"))
+    levels = levels.select("host", F.greatest(F.ceil(F.log(float(TOGETHER), "n") - 1e-9) - 1, F.lit(0)).cast("int").alias("level"))
+    levels = written_once(levels, "levels")
+    found = parts.join(levels, "host")
+
+    def align(group: pd.DataFrame) -> pd.DataFrame:
+        host, level, to = group[["host", "level", "to"]].iloc[0]
+        wrapper, size = None, 0
+        for _, alike in group.sort_values("key").groupby("key"):
+            same = functools.reduce(merged, map(json.loads, alike["wrapper"]))
+            wrapper = same if wrapper is None else merged(wrapper, same)
+            size += n_parts(same)
+            if size > PARTS_MOST and (size := n_parts(wrapper)) > PARTS_MOST:
+                wrapper = without_rare(wrapper, -(-wrapper[PAGES] // RARE))
+                size = n_parts(wrapper)
+        return pd.DataFrame({"host": [host], "level": [level], "key": [to], "pages": [wrapper[PAGES]], "wrapper": [json.dumps(wrapper)]})
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wrappers = list(map(json.loads, batch["wrapper"]))
+            batch["expression"] = list(map(expression, wrappers))
+            batch["rule"] = [Wrapper(w, n).written() for w, n in zip(wrappers, batch["pages"])]
+            yield batch
 
-    sample = host_samples(pages, most)
-    return sample.groupBy("host").applyInPandas(infer, "host string, pages int, wrapper string, expression string")
+    for turn in range(levels.agg(F.coalesce(F.max("level"), F.lit(0)).alias("k")).first()["k"], -1, -1):
+        groups = F.pow(F.lit(TOGETHER), F.least("level", F.lit(turn))).cast("bigint")
+        found = found.withColumn("to", F.pmod("key", groups)).groupBy("host", "to")
+        found = found.applyInPandas(align, "host string, level int, key bigint, pages bigint, wrapper string")
+    kind = "host string, pages bigint, wrapper string, expression string, rule string"
+    return found.select("host", "pages", "wrapper").mapInPandas(rule, kind)
 
 
-def main_texts(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 8
-) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every page.
 
-    Each host's wrapper is inferred from at most ``most`` different pages of it (a documented bound) and
-    applied to all its pages. The text is that of the outermost articles, or of the part of the wrapper
-    that holds most slot text (of the whole page where it has no such part), without the texts that all of
-    the sample have at the same place, inside articles too; below it, zones of menus, headers, footers, sidebars, notices, adverts,
+    Each host's wrapper is inferred from all its different pages and applied to them. The text is that of
+    the outermost articles, or of the part of the wrapper that holds most slot text (of the whole page where
+    it has no such part), without the texts of places that at least half of a host's pages have (three at
+    least) and that are one text in all of them, inside articles too; below it, zones of menus, headers,
+    footers, sidebars, notices, adverts,
     forms, scripts, styles and comments are left out - by a word of their class or id only where they hold
     no more text than is left. A null or empty page has an empty text, pages
     without a readable host share a wrapper, repeated rows give repeated rows, an empty table gives none.
@@ -467,22 +576,22 @@ def main_texts(
     rows = picked(pages, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.coalesce("html", F.lit("")))
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     rows = rows.withColumns({"host": F.lower(host), "h": F.xxhash64("html")})
-    wrappers = written_once(host_wrappers(rows, most).select(F.col("host").alias("site"), "pages", "wrapper"), "wrappers")
+    wrappers = written_once(host_wrappers(rows).select(F.col("host").alias("site"), "rule"), "wrappers")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = per_process(("wrappers",), dict)
         for batch in batches:
             texts = []
-            for source, wrapper, pages in zip(batch["html"], batch["wrapper"], batch["pages"]):
-                if wrapper not in known:
+            for source, rule in zip(batch["html"], batch["rule"]):
+                if rule not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = Wrapper(json.loads(wrapper), int(pages))
-                texts.append(known[wrapper].main_text(source))
+                    known[rule] = Wrapper.read(rule)
+                texts.append(known[rule].main_text(source))
             sizes = list(map(len, texts))
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"].array, "text": texts, "n_chars": sizes})
 
     both = rows.join(wrappers, rows["host"] == wrappers["site"])
-    both = both.select(F.col("page_id").cast("string"), "url", "html", "wrapper", "pages")
+    both = both.select(F.col("page_id").cast("string"), "url", "html", "rule")
     found = both.mapInPandas(extract, "page_id string, url string, text string, n_chars bigint")
     return found.withColumn("page_id", F.col("page_id").cast(rows.schema["page_id"].dataType))

@@ -1,4 +1,7 @@
-from parley.llm.html import Wrapper, expression, inferred, main_texts, page_tree
+import json
+
+from parley.llm import html
+from parley.llm.html import Wrapper, expression, host_wrappers, inferred, main_texts, page_tree
 
 MENU = "<nav><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul></nav>"
 FOOT = "<footer>&copy; me &middot; all</footer></body></html>"
@@ -139,3 +142,69 @@ def test_simple_pages_equal_a_plain_extractor(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in main_texts(df).collect()}
     assert got == {k: plain_blocks(html) for k, _, html in rows}
+
+
+def article(k, head="The same heading", more=""):
+    text = " ".join(f"w{k}x{i}" for i in range(12))
+    return f"<body><article><h2>{head}</h2><p>{text}</p>{more}</article></body>", f"{text}"
+
+
+def test_all_pages_of_a_host_say_what_is_fixed(spark):
+    rows = [(k, "https://a.b/x", article(k)[0]) for k in range(60)]
+    rows += [(100 + k, "https://c.d/x", article(k)[0]) for k in range(60)]
+    # One page of many refutes that the heading is one of all pages.
+    rows += [(200, "https://c.d/x", article(200, "Another heading")[0])]
+    # What a few pages have, alike or not, is theirs.
+    rows += [(300 + k, "https://e.f/x", article(k, more="<ul><li>Only here</li></ul>" if k < 4 else "")[0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(df).collect()}
+    assert [got[k] for k in range(60)] == [article(k)[1] for k in range(60)]
+    assert [got[100 + k] for k in range(60)] == [f"The same heading\n{article(k)[1]}" for k in range(60)]
+    assert got[200] == f"Another heading\n{article(200)[1]}"
+    assert [got[300 + k] for k in range(60)] == [article(k)[1] + ("\nOnly here" if k < 4 else "") for k in range(60)]
+
+
+def test_wrappers_count_every_page_once_however_rows_are_dealt(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(html, "TOGETHER", 2)
+    monkeypatch.setattr(html, "HELD", 2000)
+    draw = random.Random(7)
+    parts = ["<p>a {}</p>", "<ul><li>b</li></ul>", "<table><tr><td>{}</td></tr></table>", "<h3>c</h3>", "<pre>{}</pre>"]
+    pages = [article(k, more="".join(draw.choice(parts).format(k) for _ in range(draw.randint(0, 5))))[0] for k in range(50)]
+    rows = [(f"h{k % 2}", k // 4, p) for k, p in enumerate(pages)]
+    rows += [*rows[:9], *rows[:3], ("h3", 1, "")]
+    seen = []
+    for n in (1, 7):
+        draw.shuffle(rows)
+        df = spark.createDataFrame(rows, "host string, page_id bigint, html string").repartition(n)
+        found = host_wrappers(df.selectExpr("*", "xxhash64(html) AS h")).collect()
+        assert {r.host: r.pages for r in found} == {"h0": 25, "h1": 25, "h3": 1}
+        seen.append({r.host: (r.wrapper, r.rule) for r in found})
+    assert seen[0] == seen[1]
+    assert "<h2>'The same heading'</>" in next(r.expression for r in found if r.host == "h0")
+
+
+def test_rare_parts_of_a_large_wrapper_go_alone(spark, monkeypatch):
+    monkeypatch.setattr(html, "PARTS_MOST", 30)
+    monkeypatch.setattr(html, "RARE", 4)
+    rows = [("h", k, article(k, more=f"<div class='c{k}'>x</div>")[0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "host string, page_id bigint, html string").selectExpr("*", "xxhash64(html) AS h")
+    (found,) = host_wrappers(df).collect()
+    assert found.pages == 40 and html.n_parts(json.loads(found.wrapper)) <= 40
+    assert Wrapper.read(found.rule).main_text(rows[0][2]) == article(0)[1] + "\nx"
+
+
+def test_rare_parts_count_for_the_path(spark, monkeypatch):
+    monkeypatch.setattr(html, "PARTS_MOST", 20)
+    monkeypatch.setattr(html, "RARE", 4)
+    side = "<div class='more'><ul>{}</ul></div>"
+
+    def page(k):
+        text = "\n".join(f"Text {k} {j}" for j in range(4))
+        body = "".join(f"<p>{t}</p>" for t in text.split("\n"))
+        return f"<body><div class='all'><div class='post-{k}'>{body}</div>{side.format(f'<li>{k}</li><li>{k}</li>')}</div></body>", text
+
+    df = spark.createDataFrame([(k, "https://a.b/x", page(k)[0]) for k in range(40)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(df).collect()}
+    assert all(got[k] == f"{page(k)[1]}\n{k}\n{k}" for k in range(40))
