@@ -50,6 +50,29 @@ def prefix_size(n: int) -> int:
     return n - -(-SHARE * n // PARTS) + 1
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Bits, a power of two and as many as shingles or up to twice so many: which residues an odd number of them has."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int) -> bool:
+    """Whether parities allow that two sets of ``n`` shingles together link.
+
+    A shingle of one set alone flips one bit, and linked sets have at most ``(1 - share) / (1 + share)`` of
+    their shingles for themselves. Longer parities fold to shorter ones.
+    """
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for _ in range(len(x).bit_length() - len(y).bit_length()):
+        x = x[: len(x) // 2]
+        a = (a >> 8 * len(x)) ^ (a & ((1 << 8 * len(x)) - 1))
+    for _ in range(len(y).bit_length() - len(x).bit_length()):
+        y = y[: len(y) // 2]
+        b = (b >> 8 * len(y)) ^ (b & ((1 << 8 * len(y)) - 1))
+    return (PARTS + SHARE) * (a ^ b).bit_count() <= (PARTS - SHARE) * n
+
+
 def first_pass(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, t, n, s, bands)`` per row, and rows with negative ``n``: ``-n`` sets of a block hold ``s``."""
     def common(block: list[np.ndarray]) -> pd.DataFrame:
@@ -98,7 +121,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """``(s, n, ph, prefix, items)`` per set: rare shingles by hash first, then the ``common`` ones by hash.
+    """``(s, n, ph, prefix, bits, items)`` per set: rare shingles by hash first, then the ``common`` ones by hash.
 
     ``items`` is the whole set of texts in the bitmap ``wanted``.
     """
@@ -122,10 +145,11 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray
                 often &= at < len(common)
                 first = np.concatenate([shingles[~often], shingles[often]])[: prefix_size(n)]
                 ph = xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63)
-                rows.append((s, n, ph, first.view(np.int64), packed(shingles) if chosen else None))
-            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "items"])
+                rows.append((s, n, ph, first.view(np.int64), parities(shingles), packed(shingles) if chosen else None))
+            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "bits", "items"])
 
-    return docs.select("text", "t").mapInPandas(run, "s bigint, n bigint, ph bigint, prefix array<bigint>, items binary")
+    kind = "s bigint, n bigint, ph bigint, prefix array<bigint>, bits binary, items binary"
+    return docs.select("text", "t").mapInPandas(run, kind)
 
 
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
@@ -177,23 +201,20 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
     This need not find every link, only hold large clusters together cheaply.
     """
-    # Dealt out once for both sides of the join.
-    rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band")).repartition("no", "band")
-    centre = rows.groupBy("no", "band").agg(F.min(F.struct("s", "n")).alias("c"), F.count(F.lit(1)).alias("k"))
-    pairs = rows.join(centre.where("k > 1"), ["no", "band"]).where(F.col("s") != F.col("c.s"))
+    rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band"))
+    # A window deals the rows out once, a join with the least would do it twice.
+    rows = rows.withColumn("c", F.min(F.struct("s", "n")).over(Window.partitionBy("no", "band")))
+    pairs = rows.where(F.col("s") != F.col("c.s"))
     pairs = pairs.where(near_sizes(F.col("n"), F.col("c.n")))
     return written_once(pairs.groupBy(F.col("s").alias("b")).agg(F.min("c.s").alias("a")), "star-pairs")
 
 
-def least_common(n1: Column, n2: Column) -> Column:
-    """How many shingles the prefixes of two sets that link share at least.
+def in_reach(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
+    """Whether a shingle can be the first that two sets which link share, by its places in them from 0.
 
-    Linked sets share ``q = ceil(share * (n1 + n2) / (1 + share))``; so prefixes of ``n - q + k`` shingles
-    share ``k``.
+    Linked sets share ``share * (n1 + n2) / (1 + share)`` or more, none of them before the first.
     """
-    q = F.ceil(SHARE * (n1 + n2) / F.lit(SHARE + PARTS))
-    spare = [q - F.ceil(SHARE * n / F.lit(PARTS)) + 1 for n in (n1, n2)]
-    return F.greatest(F.least(*spare), F.lit(1))
+    return SHARE * (n1 + n2) <= (SHARE + PARTS) * F.least(n1 - at1, n2 - at2)
 
 
 def group_pairs(
@@ -205,7 +226,8 @@ def group_pairs(
     are now. A group is named by the least of its sets.
 
     Sets with one prefix, size and component are one group. Groups of near sizes are paired if their
-    prefixes share as many shingles as those of linked sets must; of a shingle's groups only those
+    prefixes share a shingle that can be the first of linked sets, and if their parities allow a link (those
+    of groups of one set); of a shingle's groups only those
     outside its largest component are paired with the rest, so a cluster that is already known to hang
     together costs nothing however large it is. A shingle that more than ``8 * most`` groups hold goes
     behind the rare ones, and prefixes are made anew.
@@ -216,19 +238,23 @@ def group_pairs(
         bound = max(8 * most, total // 500_000)
         members = sets.select("s", "n", "ph").distinct().join(known, F.col("s") == F.col("node"), "left")
         members = members.select("s", "n", "ph", F.coalesce("component", "s").alias("comp"))
-        units = members.groupBy("n", "ph", "comp").agg(F.min("s").alias("g"))
+        units = members.groupBy("n", "ph", "comp").agg(F.min("s").alias("g"), F.count(F.lit(1)).alias("several"))
         members = written_once(members.join(units, ["n", "ph", "comp"]), "members")
         groups = sets.groupBy("n", "ph").agg(F.first("prefix").alias("prefix"))
         groups = groups.join(members.select("n", "ph", "comp", "g").distinct(), ["n", "ph"])
         # A set without links is its own group and component: a null then costs no bytes in the shuffle.
         own = F.when(F.col("comp") != F.col("g"), F.col("comp")).alias("comp")
-        posted = groups.select("g", "n", own, F.explode("prefix").alias("token")).repartition("token")
+        posted = groups.select("g", "n", own, F.posexplode("prefix").alias("at", "token")).repartition("token")
         posted = posted.withColumn("comp", F.coalesce("comp", "g"))
-        spread = posted.groupBy("token").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("k")
+        # Windows on the rows as they are dealt: nothing is shuffled again.
+        posted = posted.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token", "comp")))
+        same = Window.partitionBy("token")
+        posted = posted.select(
+            "*", F.count(F.lit(1)).over(same).alias("k"), F.max(F.struct("held", "comp")).over(same)["comp"].alias("main")
         )
-        spread = spread.where("low < high").select("token", "k")
-        posted = written_once(posted.join(spread, "token"), "postings")
+        # Of one component's shingles all hang together.
+        posted = posted.where("held < k").drop("held")
+        posted = written_once(posted, "postings")
         heavy = posted.where(F.col("k") > bound).select("token").distinct()
         heavy = np.array([r["token"] for r in heavy.toLocalIterator()], np.int64).view(np.uint64)
         new = np.setdiff1d(heavy, common)
@@ -237,16 +263,29 @@ def group_pairs(
         common = np.union1d(common, new)
         nothing = np.packbits(np.zeros(BITS, bool))
         sets = written_once(prefixes(docs, width, common, nothing), "prefixes")
-    largest = posted.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("main"))
-    left = posted.join(largest, "token").where("comp <> main")
-    left = left.select("token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("comp").alias("c1"), "main")
-    pairs = left.join(posted, "token").where("c1 <> comp and (comp = main or g1 < g)")
+    left = posted.where("comp <> main").select(
+        "token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("comp").alias("c1"), "main"
+    )
+    pairs = left.join(posted.drop("k", "main"), "token").where("c1 <> comp and (comp = main or g1 < g)")
     pairs = pairs.where(near_sizes(F.col("n1"), F.col("n")))
-    order = [F.struct("g1", "n1"), F.struct(F.col("g").alias("g1"), F.col("n").alias("n1"))]
-    pairs = pairs.select(F.least(*order).alias("p"), F.greatest(*order).alias("q"))
-    pairs = pairs.groupBy("p", "q").agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.where(F.col("k") >= least_common(F.col("p.n1"), F.col("q.n1")))
-    pairs = pairs.select(F.col("p.g1").alias("g1"), F.col("q.g1").alias("g2"))
+    pairs = pairs.where(in_reach(F.col("n1"), F.col("at1"), F.col("n"), F.col("at")))
+    pairs = pairs.select(F.least("g1", "g").alias("g1"), F.greatest("g1", "g").alias("g2")).distinct()
+    alone = members.where("several = 1").select(F.col("s").alias("one"))
+    bits = sets.select("s", F.col("n"), "bits").join(alone, F.col("s") == F.col("one")).groupBy("s")
+    bits = bits.agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    for k in ("1", "2"):
+        own = bits.select(F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+        pairs = pairs.join(own, F.col(f"g{k}") == F.col(f"s{k}"), "left")
+    pairs = pairs.select("g1", "g2", (F.col("n1") + F.col("n2")).alias("n"), "bits1", "bits2")
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = zip(batch["bits1"], batch["bits2"], batch["n"])
+            good = [x is None or y is None or may_link(x, y, int(n)) for x, y, n in both]
+            yield batch.loc[good, ["g1", "g2"]]
+
+    # Groups of several sets have no parities of their own: their pairs all stay.
+    pairs = pairs.mapInPandas(possible, "g1 bigint, g2 bigint")
     return written_once(pairs, "group-pairs"), members, sets, common
 
 

@@ -90,3 +90,49 @@ def test_candidates_of_a_cluster_do_not_grow_with_its_square(spark, monkeypatch)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
     assert len(asked) > 2 and sum(asked) < 20 * len(rows)
+
+
+def test_near_copies_that_do_not_link_are_hardly_compared(spark, monkeypatch):
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base = draw.choices(words, k=200)
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for at in draw.sample(range(200), 9):
+            copy[at] = draw.choice(words)
+        rows.append((k, " ".join(copy)))
+    asked, dealt = [], []
+    verified, written_once = ngrams.verified, ngrams.written_once
+
+    def traced(df, purpose):
+        if purpose == "postings":
+            dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token"))
+        return written_once(df, purpose)
+
+    monkeypatch.setattr(ngrams, "verified", lambda pairs, sets: asked.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(ngrams, "written_once", traced)
+    monkeypatch.setattr(ngrams, "star_pairs", lambda classes: classes.selectExpr("s AS a", "s AS b").limit(0))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), most=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    assert sum(asked) < 5 * len(rows)
+    # The large table is dealt out once.
+    assert dealt and set(dealt) == {1}
+
+
+def test_parities_and_places_allow_every_link():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 40, 63, 64, 65, 500):
+        for _ in range(60):
+            # As many of their own as two sets that link can have, on one side or on both.
+            own = int(n * 2 * 20 / 160 * draw.random() + 0.5)
+            one = draw.integers(0, own + 1)
+            items = draw.integers(0, 1 << 63, n + own).astype(np.uint64)
+            x, y = np.unique(items[: n + one]), np.unique(np.concatenate([items[:n], items[n + one :]]))
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                assert ngrams.may_link(ngrams.parities(x), ngrams.parities(y), len(x) + len(y))
+    x, y = (draw.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
+    assert not ngrams.may_link(ngrams.parities(x), ngrams.parities(y), 800)
