@@ -121,7 +121,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """``(s, n, ph, prefix, bits, items)`` per set: rare shingles by hash first, then the ``common`` ones by hash.
+    """``(s, n, ph, prefix, rare, bits, items)`` per set: ``rare`` shingles by hash first, then the ``common`` ones by hash.
 
     ``items`` is the whole set of texts in the bitmap ``wanted``.
     """
@@ -145,10 +145,11 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray
                 often &= at < len(common)
                 first = np.concatenate([shingles[~often], shingles[often]])[: prefix_size(n)]
                 ph = xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63)
-                rows.append((s, n, ph, first.view(np.int64), parities(shingles), packed(shingles) if chosen else None))
-            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "bits", "items"])
+                rare = min(len(first), n - int(often.sum()))
+                rows.append((s, n, ph, first.view(np.int64), rare, parities(shingles), packed(shingles) if chosen else None))
+            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "rare", "bits", "items"])
 
-    kind = "s bigint, n bigint, ph bigint, prefix array<bigint>, bits binary, items binary"
+    kind = "s bigint, n bigint, ph bigint, prefix array<bigint>, rare int, bits binary, items binary"
     return docs.select("text", "t").mapInPandas(run, kind)
 
 
@@ -240,11 +241,14 @@ def group_pairs(
         members = members.select("s", "n", "ph", F.coalesce("component", "s").alias("comp"))
         units = members.groupBy("n", "ph", "comp").agg(F.min("s").alias("g"), F.count(F.lit(1)).alias("several"))
         members = written_once(members.join(units, ["n", "ph", "comp"]), "members")
-        groups = sets.groupBy("n", "ph").agg(F.first("prefix").alias("prefix"))
+        groups = sets.groupBy("n", "ph").agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
         groups = groups.join(members.select("n", "ph", "comp", "g").distinct(), ["n", "ph"])
         # A set without links is its own group and component: a null then costs no bytes in the shuffle.
         own = F.when(F.col("comp") != F.col("g"), F.col("comp")).alias("comp")
-        posted = groups.select("g", "n", own, F.posexplode("prefix").alias("at", "token")).repartition("token")
+        posted = groups.select("g", "n", own, "prefix", "rare", F.posexplode("prefix").alias("at", "token"))
+        # The common shingle before a common one: a pair that shares both is paired there.
+        before = F.when(F.col("at") > F.col("rare"), F.element_at("prefix", F.col("at"))).alias("before")
+        posted = posted.select("g", "n", "comp", "at", before, "token").repartition("token")
         posted = posted.withColumn("comp", F.coalesce("comp", "g"))
         # Windows on the rows as they are dealt: nothing is shuffled again.
         posted = posted.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token", "comp")))
@@ -264,10 +268,11 @@ def group_pairs(
         nothing = np.packbits(np.zeros(BITS, bool))
         sets = written_once(prefixes(docs, width, common, nothing), "prefixes")
     left = posted.where("comp <> main").select(
-        "token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("comp").alias("c1"), "main"
-    )
+        "token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("comp").alias("c1"), "main",
+        F.col("before").alias("before1"),
+    )
     pairs = left.join(posted.drop("k", "main"), "token").where("c1 <> comp and (comp = main or g1 < g)")
-    pairs = pairs.where(near_sizes(F.col("n1"), F.col("n")))
+    pairs = pairs.where(near_sizes(F.col("n1"), F.col("n"))).where("before1 is null or before is null or before1 <> before")
     pairs = pairs.where(in_reach(F.col("n1"), F.col("at1"), F.col("n"), F.col("at")))
     pairs = pairs.select(F.least("g1", "g").alias("g1"), F.greatest("g1", "g").alias("g2")).distinct()
     alone = members.where("several = 1").select(F.col("s").alias("one"))
