@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import BITS, WordHashes, bitmap, components, in_bitmap, per_process, picked, window_hashes
+from parley.llm.common import WordHashes, bitmap, components, in_bitmap, per_process, picked, window_hashes
 from parley.session import written_once
 
 WIDTH = 5
@@ -19,6 +19,8 @@ SHARE, PARTS = 80, 100
 BANDS, ROWS = 8, 3
 # Of more candidate pairs than groups, first so many of each group are verified; this at most so often.
 EACH, ROUNDS = 8, 2
+# Of shingles that more groups hold, candidates are first estimated from those of so many neighbours of each.
+CROWD, NEXT = 128, 8
 # Shingles of about so many in one worker are counted together.
 BLOCK = 3_000_000
 
@@ -74,22 +76,20 @@ def may_link(x: bytes, y: bytes, n: int) -> bool:
 
 
 def first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, t, n, s, bands)`` per row, and rows with negative ``n``: ``-n`` sets of a block hold ``s``."""
+    """``(doc_id, t, n, s)`` per row, and rows with negative ``n``: ``-n`` sets of a block hold ``s``."""
     def common(block: list[np.ndarray]) -> pd.DataFrame:
         tokens, counts = np.unique(np.concatenate(block), return_counts=True)
         often = counts >= 4
-        rows = {"doc_id": None, "t": None, "n": -counts[often], "s": tokens[often].view(np.int64), "bands": None}
-        return pd.DataFrame(rows)
+        return pd.DataFrame({"doc_id": None, "t": None, "n": -counts[often], "s": tokens[often].view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, size, seen = [], 0, set()
         for batch in batches:
-            n, s, b = [], [], []
+            n, s = [], []
             for text in batch["text"]:
                 shingles = shingle_set(text, width)
                 n.append(len(shingles))
                 s.append(signature(shingles))
-                b.append(bands(shingles))
                 if len(shingles) and s[-1] not in seen:
                     seen.add(s[-1])
                     block.append(shingles)
@@ -97,13 +97,13 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
                 if size >= BLOCK:
                     yield common(block)
                     block, size, seen = [], 0, set()
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "t": batch["t"].array, "n": n, "s": s, "bands": b})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "t": batch["t"].array, "n": n, "s": s})
         if block:
             yield common(block)
 
     kind = docs.schema["doc_id"].dataType
     found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        run, "doc_id string, t bigint, n bigint, s bigint, bands array<bigint>"
+        run, "doc_id string, t bigint, n bigint, s bigint"
     )
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
@@ -120,19 +120,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """``(s, n, ph, prefix, rare, bits, items)`` per set: ``rare`` shingles by hash first, then the ``common`` ones by hash.
-
-    ``items`` is the whole set of texts in the bitmap ``wanted``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
+def prefixes(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
+    """``(s, n, ph, prefix, rare, bits, bands)`` per set: ``rare`` shingles by hash first, then the ``common`` ones by hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, seen = shared.value[0], set()
-        bits = np.unpackbits(shared.value[1]).astype(bool)
+        common, seen = shared.value, set()
         for batch in batches:
             rows = []
-            for text, chosen in zip(batch["text"], in_bitmap(bits, batch["t"].to_numpy(np.int64))):
+            for text in batch["text"]:
                 shingles = shingle_set(text, width)
                 s, n = signature(shingles), len(shingles)
                 if not n or s in seen:
@@ -146,11 +142,11 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray, wanted: np.ndarray
                 first = np.concatenate([shingles[~often], shingles[often]])[: prefix_size(n)]
                 ph = xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63)
                 rare = min(len(first), n - int(often.sum()))
-                rows.append((s, n, ph, first.view(np.int64), rare, parities(shingles), packed(shingles) if chosen else None))
-            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "rare", "bits", "items"])
+                rows.append((s, n, ph, first.view(np.int64), rare, parities(shingles), bands(shingles)))
+            yield pd.DataFrame(rows, columns=["s", "n", "ph", "prefix", "rare", "bits", "bands"])
 
-    kind = "s bigint, n bigint, ph bigint, prefix array<bigint>, rare int, bits binary, items binary"
-    return docs.select("text", "t").mapInPandas(run, kind)
+    kind = "s bigint, n bigint, ph bigint, prefix array<bigint>, rare int, bits binary, bands array<bigint>"
+    return docs.select("text").mapInPandas(run, kind)
 
 
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
@@ -197,17 +193,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written_once(both.mapInPandas(run, "a bigint, b bigint"), "links")
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """For each set one other: the smallest of all that share a band with it and have a near size.
+def hashes(found: DataFrame, column: str) -> np.ndarray:
+    """A column of 64-bit hashes, sorted. Few partitions, whatever those of shuffles: each is a job of its own."""
+    rows = found.select(column).repartition(8).toLocalIterator()
+    return np.sort(np.fromiter((r[0] for r in rows), np.int64).view(np.uint64))
 
-    This need not find every link, only hold large clusters together cheaply.
+
+def star_pairs(sets: DataFrame) -> DataFrame:
+    """For each set one other of near size: of all that share a band with it, that with the least share of rare shingles.
+
+    In a cluster so large that its shingles are common, rare ones are a copy's own changes: the star's middle is
+    the text that was copied, or a copy with few changes. In others it is the smallest. This need not find every
+    link, only hold large clusters together cheaply.
     """
-    rows = classes.select("s", "n", F.posexplode("bands").alias("no", "band"))
+    rows = sets.select("s", "n", (F.col("rare") / F.size("prefix")).alias("own"), F.posexplode("bands").alias("no", "band"))
     # A window deals the rows out once, a join with the least would do it twice.
-    rows = rows.withColumn("c", F.min(F.struct("s", "n")).over(Window.partitionBy("no", "band")))
+    rows = rows.withColumn("c", F.min(F.struct("own", "s", "n")).over(Window.partitionBy("no", "band")))
     pairs = rows.where(F.col("s") != F.col("c.s"))
     pairs = pairs.where(near_sizes(F.col("n"), F.col("c.n")))
-    return written_once(pairs.groupBy(F.col("s").alias("b")).agg(F.min("c.s").alias("a")), "star-pairs")
+    pairs = pairs.groupBy(F.col("s").alias("b")).agg(F.min("c")["s"].alias("a"))
+    return written_once(pairs.select("b", "a"), "star-pairs")
 
 
 def in_reach(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
@@ -218,20 +223,17 @@ def in_reach(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
     return SHARE * (n1 + n2) <= (SHARE + PARTS) * F.least(n1 - at1, n2 - at2)
 
 
-def group_pairs(
+def postings(
     docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int
 ) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
-    """Candidate pairs ``(g1, g2)`` of groups of sets that are not in one component yet.
+    """``(g, n, comp, at, before, token, k, main)``: groups of sets by the shingles of their prefixes.
 
     Beside them come the ``members`` of the groups, ``g, s``, and the ``sets`` and ``common`` shingles as they
     are now. A group is named by the least of its sets.
 
-    Sets with one prefix, size and component are one group. Groups of near sizes are paired if their
-    prefixes share a shingle that can be the first of linked sets, and if their parities allow a link (those
-    of groups of one set); of a shingle's groups only those
-    outside its largest component are paired with the rest, so a cluster that is already known to hang
-    together costs nothing however large it is. A shingle that more than ``8 * most`` groups hold goes
-    behind the rare ones, and prefixes are made anew.
+    Sets with one prefix, size and component are one group. ``k`` groups hold a shingle, most of them in the
+    component ``main``; shingles of one component alone are left out. A shingle that more than ``8 * most``
+    groups hold goes behind the rare ones, and prefixes are made anew.
     """
     while True:
         total = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("k")).first()["k"]
@@ -259,22 +261,61 @@ def group_pairs(
         # Of one component's shingles all hang together.
         posted = posted.where("held < k").drop("held")
         posted = written_once(posted, "postings")
-        heavy = posted.where(F.col("k") > bound).select("token").distinct()
-        heavy = np.array([r["token"] for r in heavy.toLocalIterator()], np.int64).view(np.uint64)
-        new = np.setdiff1d(heavy, common)
+        new = np.setdiff1d(hashes(posted.where(F.col("k") > bound).select("token").distinct(), "token"), common)
         if not len(new):
-            break
+            return posted, members, sets, common
         common = np.union1d(common, new)
-        nothing = np.packbits(np.zeros(BITS, bool))
-        sets = written_once(prefixes(docs, width, common, nothing), "prefixes")
+        sets = written_once(prefixes(docs, width, common), "prefixes")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """The pairs of postings of one shingle that may link and need it for that.
+
+    Their groups are of near sizes and in two components, and the shingle can be the first that linked sets share.
+    """
+    rows = rows.where("c1 <> comp").where(near_sizes(F.col("n1"), F.col("n")))
+    rows = rows.where("before1 is null or before is null or before1 <> before")
+    return rows.where(in_reach(F.col("n1"), F.col("at1"), F.col("n"), F.col("at")))
+
+
+def few_of_tokens(posted: DataFrame, turn: int) -> DataFrame:
+    """``(g1, g2, weight)``: pairs of each group with its next :data:`NEXT` under crowded shingles, as a hash orders them.
+
+    So many pairs as a pair's weight are like it: the sum of weights estimates all pairs of crowded shingles.
+    Orders are others each ``turn``.
+    """
+    order = Window.partitionBy("token").orderBy(F.xxhash64("g", "token", F.lit(turn)), "g")
+    after = F.collect_list(F.struct("g", "n", "at", "comp", "before")).over(order.rowsBetween(1, NEXT))
+    rows = posted.where(F.col("k") > CROWD).select(
+        F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("comp").alias("c1"),
+        F.col("before").alias("before1"), "k", after.alias("after"),
+    )
+    rows = rows.select("*", F.inline("after")).drop("after")
+    weight = (F.col("k") - 1) / (2 * NEXT)
+    return written_once(paired(rows).select(*ordered("g1", "g"), weight.alias("weight")), "drawn-pairs")
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("g1"), F.greatest(a, b).alias("g2")]
+
+
+def group_pairs(posted: DataFrame) -> DataFrame:
+    """All pairs ``(g1, g2)`` of groups that may link and are not in one component yet.
+
+    Of a shingle's groups only those outside its largest component are paired with the rest, so a cluster
+    that is already known to hang together costs nothing however large it is.
+    """
     left = posted.where("comp <> main").select(
         "token", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("comp").alias("c1"), "main",
         F.col("before").alias("before1"),
     )
-    pairs = left.join(posted.drop("k", "main"), "token").where("c1 <> comp and (comp = main or g1 < g)")
-    pairs = pairs.where(near_sizes(F.col("n1"), F.col("n"))).where("before1 is null or before is null or before1 <> before")
-    pairs = pairs.where(in_reach(F.col("n1"), F.col("at1"), F.col("n"), F.col("at")))
-    pairs = pairs.select(F.least("g1", "g").alias("g1"), F.greatest("g1", "g").alias("g2")).distinct()
+    pairs = left.join(posted.drop("k", "main"), "token").where("comp = main or g1 < g")
+    return paired(pairs).select(*ordered("g1", "g"))
+
+
+def allowed(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs ``(g1, g2)`` whose parities allow a link; groups of several sets have none, their pairs all stay."""
+    pairs = pairs.select("g1", "g2").distinct()
     alone = members.where("several = 1").select(F.col("s").alias("one"))
     bits = sets.select("s", F.col("n"), "bits").join(alone, F.col("s") == F.col("one")).groupBy("s")
     bits = bits.agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -289,9 +330,7 @@ def group_pairs(
             good = [x is None or y is None or may_link(x, y, int(n)) for x, y, n in both]
             yield batch.loc[good, ["g1", "g2"]]
 
-    # Groups of several sets have no parities of their own: their pairs all stay.
-    pairs = pairs.mapInPandas(possible, "g1 bigint, g2 bigint")
-    return written_once(pairs, "group-pairs"), members, sets, common
+    return written_once(pairs.mapInPandas(possible, "g1 bigint, g2 bigint"), "group-pairs")
 
 
 def few_of_each(pairs: DataFrame, turn: int) -> DataFrame:
@@ -320,12 +359,21 @@ def prefix_links(
 
     Where candidates outnumber the groups, near copies come in clusters that the stars have missed. Then a
     few candidates of each group are verified first, and candidates are made anew without those that hang
-    together now; the last round verifies all that are left, so no component is missed.
+    together now; the last round verifies all that are left, so no component is missed. Where an estimate
+    says that crowded shingles alone give far more, the few are drawn without making all.
     """
     for turn in range(ROUNDS + 1):
         known = written_once(components(links), "first-components")
-        pairs, members, sets, common = group_pairs(docs, sets, known, common, width, most)
-        last = turn == ROUNDS or pairs.count() <= members.count()
+        posted, members, sets, common = postings(docs, sets, known, common, width, most)
+        groups, last = members.count(), turn == ROUNDS
+        if not last:
+            drawn = few_of_tokens(posted, turn)
+            guess = drawn.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("k")).first()["k"]
+        if not last and guess > EACH * groups:
+            pairs = allowed(drawn, members, sets)
+        else:
+            pairs = allowed(group_pairs(posted), members, sets)
+            last = last or pairs.count() <= groups
         found = all_of_each(pairs, members) if last else few_of_each(pairs, turn)
         links = links.union(verified(found, whole_sets(docs, width, texts_of(found, classes))))
         if last:
@@ -345,11 +393,11 @@ def near_duplicates(
     the row of a component that stays when duplicates go (the smallest id; of equal ids the smallest
     ``text_hash``, the text's xxhash64); rows without shingles are all kept.
 
-    1. One pass over the texts: sizes, class names, band hashes, and counts of frequent shingles.
-    2. Sets that share a band are compared with the smallest of them: this finds large clusters by
+    1. Two passes over the texts: sizes, class names and counts of frequent shingles; then prefixes and band hashes.
+    2. Sets that share a band are compared with that of the least share of rare shingles: this finds large clusters by
        stars instead of by all pairs. Their links give first components.
     3. The grouped prefix join finds every pair that links and is not in one component yet (see
-       :func:`group_pairs`). No partner is dropped: a prefix holds more shingles than two linked sets
+       :func:`postings` and :func:`group_pairs`). No partner is dropped: a prefix holds more shingles than two linked sets
        can both miss. Clusters of very many candidates are joined by a few of them first (see
        :func:`prefix_links`).
     4. Components of all links.
@@ -358,17 +406,16 @@ def near_duplicates(
     docs = docs.withColumn("t", F.xxhash64("text"))
     scan = written_once(first_pass(docs, width), "shingle-scan")
     rows = scan.where("n >= 0").select("doc_id", "t", "n", "s")
-    classes = scan.where("n > 0").groupBy("s", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("bands").alias("bands"))
-    classes = written_once(classes.select("s", "n", "row.doc_id", "row.t", "bands"), "classes")
+    classes = scan.where("n > 0").groupBy("s").agg(F.min(F.struct("doc_id", "t")).alias("row"))
+    classes = written_once(classes.select("s", "row.t"), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).first()["k"]
     # At most a million shingles, by the bound on their count.
     often = scan.where("n < 0").groupBy("s").agg((-F.sum("n")).alias("k")).where(F.col("k") >= max(most, total // 1_000_000))
-    common = np.array(sorted(r["s"] for r in often.select("s").toLocalIterator()), np.int64).view(np.uint64)
-    common.sort()
+    common = hashes(often, "s")
 
-    pairs = star_pairs(classes)
-    sets = written_once(prefixes(docs, width, common, texts_of(pairs, classes)), "prefixes")
-    stars = verified(pairs, sets.where("items is not null").select("s", "items"))
+    sets = written_once(prefixes(docs, width, common), "prefixes")
+    pairs = star_pairs(sets)
+    stars = verified(pairs, whole_sets(docs, width, texts_of(pairs, classes)))
     found = components(prefix_links(docs, classes, sets, stars, common, width, most))
     named = rows.join(found, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s"))
     named = written_once(named.select("doc_id", "t", "n", "c"), "named")

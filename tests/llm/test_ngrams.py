@@ -136,3 +136,53 @@ def test_parities_and_places_allow_every_link():
                 assert ngrams.may_link(ngrams.parities(x), ngrams.parities(y), len(x) + len(y))
     x, y = (draw.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
     assert not ngrams.may_link(ngrams.parities(x), ngrams.parities(y), 800)
+
+
+def test_a_text_is_the_star_of_its_copies(spark, monkeypatch):
+    draw = random.Random(7)
+    words = [f"w{k}" for k in range(9000)]
+    base = draw.choices(words, k=200)
+    rows = [(500, " ".join(base))]
+    for k in range(140):
+        # Each copy links with the text, and with hardly any other copy.
+        copy = list(base)
+        for at in draw.sample(range(5, 195), 4):
+            copy[at] = draw.choice(words)
+        rows.append((k, " ".join(copy)))
+    links = []
+    verified = ngrams.verified
+
+    def counted(pairs, sets):
+        links.append(verified(pairs, sets))
+        return links[-1]
+
+    monkeypatch.setattr(ngrams, "verified", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    assert links[0].count() > 0.9 * len(rows)
+
+
+def test_a_cluster_that_stars_have_missed_is_not_paired_whole(spark, monkeypatch):
+    draw = random.Random(13)
+    words = [f"w{k}" for k in range(3000)]
+    base = draw.choices(words, k=60)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 200):
+        copy = list(base)
+        copy[draw.randrange(60)] = draw.choice(words)
+        rows.append((k, " ".join(copy)))
+    made = []
+    written_once = ngrams.written_once
+
+    def traced(df, purpose):
+        out = written_once(df, purpose)
+        if purpose in ("drawn-pairs", "group-pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngrams, "written_once", traced)
+    monkeypatch.setattr(ngrams, "star_pairs", lambda sets: sets.selectExpr("s AS a", "s AS b").limit(0))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    # All pairs are 100 times so many as rows.
+    assert max(made) < 40 * len(rows)
