@@ -23,6 +23,7 @@ def byte_letters() -> list[str]:
 
 
 COPIES = 50_000  # digests of whole texts, by a 128-bit hash, that a task remembers
+PART = 10_000  # pieces of a text that are put together at a time
 # What may be tried where no longer token ends: one of two symbols.
 PAIR = (2,)
 
@@ -39,17 +40,22 @@ class TrieEncoder:
     first, and what two neighbours share is the path that stays on the stack. A word's last symbol
     carries the end-of-word suffix, so words end in leaves of their own. Pieces, words and answers about pairs
     are remembered in two generations of at most ``most``; the older one goes when the younger is
-    full, which changes no result.
+    full, which changes no result. What is remembered of a word is one string, its ids and its tokens with a
+    tab between: no token has one, since bytes stand for themselves only where they are printable.
     """
 
-    def __init__(self, path: str, most: int = 400_000, together: int = 2_000_000):
+    def __init__(self, path: str, most: int = 400_000, together: int = 250_000):
         self.together = together
         self.words = Words(path)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        # Tables share the strings of the vocabulary and the pairs of the ranks.
+        own = {t: t for t in self.ids}
+        pairs = [tuple([own.get(x, x) for x in (m if isinstance(m, list) else m.split(" "))]) for m in model["merges"]]
+        del model
+        self.ranks = {pair: k for k, pair in enumerate(pairs)}
         self.letters = dict(enumerate(byte_letters()))
         # Only tokens that merging produces from their own symbols can be last tokens.
         self.size: dict[str, int] = {}
@@ -60,7 +66,7 @@ class TrieEncoder:
             if len(parts) - len(steps) == 1:
                 self.size[token] = len(parts)
                 if steps:
-                    self.made_of[token] = steps[-1]
+                    self.made_of[token] = pairs[self.ranks[steps[-1]]]
         # How long tokens of three symbols and more are, by the last three, the longest first; apart those that
         # end words.
         self.inner, self.final = self.lengths(False), self.lengths(True)
@@ -71,10 +77,10 @@ class TrieEncoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         # One entry for each token at most.
         self.left_edges, self.right_edges = {}, {}
-        # Of words and pieces: their ids and their tokens, each joined by a space.
+        # Of words and pieces: their ids and their tokens, each joined by a space, and a tab between.
         self.spelled, self.older_spelled = {}, {}
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def lengths(self, final: bool) -> dict[str, tuple[int, ...]]:
         found: dict[str, set[int]] = {}
@@ -153,7 +159,7 @@ class TrieEncoder:
         leaves, stands_for = [], {}
         for word in words:
             if isinstance(word, tuple):
-                spelled[word] = (id_text[word[0]], word[0])
+                spelled[word] = f"{id_text[word[0]]}\t{word[0]}"
             elif word.isascii() and word.isprintable():
                 leaves.append(word)  # each byte stands for itself
             else:
@@ -206,9 +212,9 @@ class TrieEncoder:
                     tokens.append(token)
                     n -= size[token]
                 tokens.reverse()
-                told = (" ".join([id_text[t] for t in tokens]), " ".join(tokens))
+                told = f"{' '.join([id_text[t] for t in tokens])}\t{' '.join(tokens)}"
             else:
-                told = (id_text[token], token)
+                told = f"{id_text[token]}\t{token}"
             spelled[stands_for.get(path, path)] = told
             before = path
 
@@ -217,13 +223,13 @@ class TrieEncoder:
         known, older = self.known, self.older
         for piece in pieces & older.keys():
             known[piece] = older[piece]
-        if len(self.spelled) > self.most:
+        if len(self.spelled) > self.most // 2:
             self.older_spelled, self.spelled = self.spelled, {}
         # Most pieces are one word of plain letters.
         single, several = {}, {}
         for piece in pieces - older.keys():
             if piece.isascii() and piece.isalpha():
-                single[piece] = piece.lower()
+                single[piece] = piece if piece.islower() else piece.lower()
             else:
                 several[piece] = self.words(piece)
         wanted = set(single.values()).union(*several.values())
@@ -235,8 +241,12 @@ class TrieEncoder:
         for piece, word in single.items():
             known[piece] = spelled[word]
         for piece, words in several.items():
-            parts = [spelled[w] for w in words]
-            known[piece] = (" ".join([ids for ids, _ in parts]), " ".join([tokens for _, tokens in parts]))
+            known[piece] = "\t".join(self.joined([spelled[w] for w in words]))
+
+    def joined(self, found: list[str]) -> tuple[str, str]:
+        """The ids and the tokens of what is remembered of words or pieces; a piece may have no token at all."""
+        parts = "\t".join(found).split("\t")
+        return " ".join(filter(None, parts[::2])), " ".join(filter(None, parts[1::2]))
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """For each text its ids joined by a space, their number, and the decoded text."""
@@ -253,9 +263,9 @@ class TrieEncoder:
             self.learn(set().union(*group).difference(self.known))
             known = self.known
             for pieces in group:
-                found, tokens = zip(*map(known.__getitem__, pieces)) if pieces else ((), ())
-                # A piece may have no token at all.
-                ids, decoded = (" ".join(filter(None, x) if "" in found else x) for x in (found, tokens))
+                # A long text in parts: the strings that are joined are there for one part at a time.
+                parts = [self.joined([known[p] for p in pieces[k : k + PART]]) for k in range(0, len(pieces), PART)]
+                ids, decoded = (" ".join(filter(None, x)) for x in zip(*parts)) if parts else ("", "")
                 yield ids, ids.count(" ") + 1 if ids else 0, decoded
 
 

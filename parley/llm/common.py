@@ -7,6 +7,7 @@ import gc
 import sys
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = small
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_process(key: tuple, make):
     """``make()``, shared by the tasks that a worker process runs one after the other.
 
@@ -120,10 +130,8 @@ def per_process(key: tuple, make):
     kept = sys.__dict__.setdefault("_parley_kept", {})
     if key not in kept:
         kept.clear()
-        gc.collect()
-        # What the former operator freed goes back to the system, where the C library can do that.
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        # First what the former operator leaves, then what making this one's thing took on the way.
+        give_back()
         kept[key] = make()
+        give_back()
     return kept[key]

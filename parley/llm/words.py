@@ -44,10 +44,10 @@ class Words:
     """Splits texts into words; strings of special tokens stay whole, as the library finds them."""
 
     def __init__(self, tokenizer_path: str):
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # The library's own tables are large and not kept: only its normalizer is asked again.
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.normalizer = tokenizer.normalizer
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         found = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split_special = re.compile(f"({'|'.join(found)})") if found else None
 
@@ -59,7 +59,7 @@ class Words:
             if head.isalpha() and "!" <= sign <= "~" and not sign.isalnum():
                 return [head.lower(), sign]
         if FAR.search(text):
-            return ANY_WORD.findall(self.tokenizer.normalizer.normalize_str(text))
+            return ANY_WORD.findall(self.normalizer.normalize_str(text))
         return LOW_WORD.findall(text.lower())
 
     def __call__(self, text: str) -> list[str]:

@@ -1,9 +1,11 @@
 import random
+import sys
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from parley.llm import bpe
 from parley.llm.bpe import TrieEncoder, bpe_roundtrip
 from parley.llm.tokens import token_counts
 from parley.llm.words import Words
@@ -60,6 +62,38 @@ def test_small_memory_changes_nothing(library, texts):
     assert list(small.encode_texts(kept)) == list(whole.encode_texts(kept))
 
 
+def bytes_held(things, seen):
+    total = 0
+    for x in things:
+        if id(x) not in seen:
+            seen.add(id(x))
+            inside = [*x, *x.values()] if isinstance(x, dict) else x if isinstance(x, (list, tuple, set)) else []
+            total += sys.getsizeof(x) + bytes_held(inside, seen)
+    return total
+
+
+def test_an_encoder_holds_little():
+    encoder, seen = TrieEncoder(PATH), set()
+    # The library's tables are not kept beside the encoder's own.
+    assert not any(isinstance(x, Tokenizer) for x in vars(encoder.words).values())
+    assert bytes_held([x for x in vars(encoder).values() if isinstance(x, dict)], seen) < 28e6
+    draw = random.Random(4)
+    words = {"".join(draw.choice("abdegilmnorstu") for _ in range(9)) for _ in range(30_000)}
+    list(encoder.encode_texts([" ".join(sorted(words))]))
+    assert len(encoder.known) == len(words)
+    memories = [encoder.known, encoder.spelled]
+    assert bytes_held(memories, seen.difference(map(id, memories))) < 260 * len(words)
+
+
+def test_texts_put_together_in_parts_equal_the_library(library, texts, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 7)
+    kept = [t or "" for t in texts]
+    for text, (ids, n, decoded) in zip(kept, TrieEncoder(PATH).encode_texts(kept), strict=True):
+        found = library.encode(text, add_special_tokens=False).ids
+        assert (ids, n) == (" ".join(map(str, found)), len(found))
+        assert decoded == library.decode(found, skip_special_tokens=False)
+
+
 def test_border_rule_equals_plain_merging():
     encoder = TrieEncoder(PATH)
     draw = random.Random(2)
