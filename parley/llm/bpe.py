@@ -44,7 +44,7 @@ class TrieEncoder:
     tab between: no token has one, since bytes stand for themselves only where they are printable.
     """
 
-    def __init__(self, path: str, most: int = 400_000, together: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000, together: int = 2_000_000):
         self.together = together
         self.words = Words(path)
         with open(path, encoding="utf-8") as file:
@@ -276,11 +276,13 @@ def bpe_roundtrip(
     text_col: str = "text",
     digest: bool = False,
     most: int = 400_000,
+    together: int = 2_000_000,
 ) -> DataFrame:
     """Encode and decode every text: ``doc_id, n_tokens, ids, decoded``.
 
     With ``digest`` the SHA-256 of ``ids`` and ``decoded`` come in their place, so that the long
-    strings never leave the Python worker. ``most`` bounds what a worker remembers (about 0.7 KB each).
+    strings never leave the Python worker. ``most`` bounds what a worker remembers (about 0.2 KB each);
+    texts share a trie up to ``together`` characters: fewer take less memory and more time.
 
     A projection: no shuffle, so a hot key or group of copies costs nothing extra and a lost task is
     simply run again. A null text is an empty one (0 tokens, empty strings); repeated rows give
@@ -291,7 +293,7 @@ def bpe_roundtrip(
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(("trie", tokenizer_path, most), lambda: TrieEncoder(tokenizer_path, most))
+        encoder = per_process(("trie", tokenizer_path, most, together), lambda: TrieEncoder(tokenizer_path, most, together))
         told: dict[bytes, tuple] = {}
         for batch in batches:
             # Of a batch in Arrow, so many texts at a time become Python strings.
