@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ EACH, ROUNDS = 8, 2
 CROWD, NEXT = 128, 8
 # Shingles of about so many in one worker are counted together.
 BLOCK = 3_000_000
+# Shingles that make up one part in RARELY of all are demoted at once, but never more than MOST of them.
+RARELY, MOST = 5_000_000, 1_000_000
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -79,7 +82,8 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, t, n, s)`` per row, and rows with negative ``n``: ``-n`` sets of a block hold ``s``."""
     def common(block: list[np.ndarray]) -> pd.DataFrame:
         tokens, counts = np.unique(np.concatenate(block), return_counts=True)
-        often = counts >= 4
+        # Twice is enough: of shingles that are one part in 2.5 million, a block of three million tells over half.
+        often = counts >= 2
         return pd.DataFrame({"doc_id": None, "t": None, "n": -counts[often], "s": tokens[often].view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,6 +153,35 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
     return docs.select("text").mapInPandas(run, kind)
 
 
+def frequent(scan: DataFrame, most: int) -> np.ndarray:
+    """The shingles that blocks of :func:`first_pass` together hold so often that they go behind the rare ones."""
+    total = scan.where("n >= 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).first()["k"]
+    bound = max(most, total // RARELY)
+    often = scan.where("n < 0").groupBy("s").agg((-F.sum("n")).alias("k")).where(F.col("k") >= bound)
+    often = written_once(often, "frequent")
+    while often.where(F.col("k") >= bound).count() > MOST:
+        bound *= 2
+    return hashes(often.where(F.col("k") >= bound), "s")
+
+
+def remade(docs: DataFrame, classes: DataFrame, sets: DataFrame, width: int, common: np.ndarray, new: np.ndarray) -> DataFrame:
+    """``sets`` after the ``new`` ones of the ``common`` shingles went behind: only prefixes that hold one change."""
+    gone = sets.sparkSession.createDataFrame(pa.table({"token": new.view(np.int64)}))
+    held = sets.select("s", F.explode("prefix").alias("token")).join(F.broadcast(gone), "token", "left_semi")
+    held = written_once(held.select("s").distinct(), "changed")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(classes.join(held, "s", "left_semi"), "t"))
+
+    def changed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            yield batch[in_bitmap(bits, batch["t"].to_numpy(np.int64))]
+
+    texts = docs.select("text", "t").mapInPandas(changed, "text string, t bigint")
+    # Others that the bitmap lets through come out as they were.
+    made = prefixes(texts, width, common).join(held, "s", "left_semi")
+    return written_once(sets.join(held, "s", "left_anti").union(made), "prefixes")
+
+
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     """``(s, items)`` of the texts in the bitmap ``wanted``."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -224,7 +257,7 @@ def in_reach(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
 
 
 def postings(
-    docs: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int
+    docs: DataFrame, classes: DataFrame, sets: DataFrame, known: DataFrame, common: np.ndarray, width: int, most: int
 ) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     """``(g, n, comp, at, before, token, k, main)``: groups of sets by the shingles of their prefixes.
 
@@ -232,8 +265,9 @@ def postings(
     are now. A group is named by the least of its sets.
 
     Sets with one prefix, size and component are one group. ``k`` groups hold a shingle, most of them in the
-    component ``main``; shingles of one component alone are left out. A shingle that more than ``8 * most``
-    groups hold goes behind the rare ones, and prefixes are made anew.
+    component ``main``; shingles of one component alone are left out. Shingles that more than ``8 * most``
+    groups hold go behind the rare ones where their pairs outnumber all shingles of prefixes, and the prefixes
+    that hold one are made anew. Pairs fewer than that cost less than another round.
     """
     while True:
         total = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("k")).first()["k"]
@@ -261,11 +295,13 @@ def postings(
         # Of one component's shingles all hang together.
         posted = posted.where("held < k").drop("held")
         posted = written_once(posted, "postings")
-        new = np.setdiff1d(hashes(posted.where(F.col("k") > bound).select("token").distinct(), "token"), common)
-        if not len(new):
+        crowded = posted.where(F.col("k") > bound).groupBy("token").agg(F.first("k").alias("k"))
+        held = dict(written_once(crowded, "crowded").repartition(8).toLocalIterator())
+        new = np.setdiff1d(np.fromiter(held, np.int64, len(held)).view(np.uint64), common)
+        if sum(held[int(x)] ** 2 for x in new.view(np.int64)) <= 2 * total:
             return posted, members, sets, common
         common = np.union1d(common, new)
-        sets = written_once(prefixes(docs, width, common), "prefixes")
+        sets = remade(docs, classes, sets, width, common, new)
 
 
 def paired(rows: DataFrame) -> DataFrame:
@@ -364,7 +400,7 @@ def prefix_links(
     """
     for turn in range(ROUNDS + 1):
         known = written_once(components(links), "first-components")
-        posted, members, sets, common = postings(docs, sets, known, common, width, most)
+        posted, members, sets, common = postings(docs, classes, sets, known, common, width, most)
         groups, last = members.count(), turn == ROUNDS
         if not last:
             drawn = few_of_tokens(posted, turn)
@@ -408,11 +444,7 @@ def near_duplicates(
     rows = scan.where("n >= 0").select("doc_id", "t", "n", "s")
     classes = scan.where("n > 0").groupBy("s").agg(F.min(F.struct("doc_id", "t")).alias("row"))
     classes = written_once(classes.select("s", "row.t"), "classes")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).first()["k"]
-    # At most a million shingles, by the bound on their count.
-    often = scan.where("n < 0").groupBy("s").agg((-F.sum("n")).alias("k")).where(F.col("k") >= max(most, total // 1_000_000))
-    common = hashes(often, "s")
-
+    common = frequent(scan, most)
     sets = written_once(prefixes(docs, width, common), "prefixes")
     pairs = star_pairs(sets)
     stars = verified(pairs, whole_sets(docs, width, texts_of(pairs, classes)))

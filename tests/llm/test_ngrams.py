@@ -186,3 +186,54 @@ def test_a_cluster_that_stars_have_missed_is_not_paired_whole(spark, monkeypatch
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
     # All pairs are 100 times so many as rows.
     assert max(made) < 40 * len(rows)
+
+
+def shared_passage(spark, copies, each):
+    """``copies`` texts that do not link and hold one passage, ``each`` in a task, and as many others."""
+    draw = random.Random(17)
+    words = [f"w{k}" for k in range(20000)]
+    passage = draw.choices(words, k=60)
+    rows = [(k, " ".join(draw.choices(words, k=15) + passage + draw.choices(words, k=15))) for k in range(copies)]
+    # Some that do link.
+    rows += [(copies, rows[0][1] + " more"), (copies + 1, rows[1][1] + " more")]
+    rows += [(1000 + k, " ".join(draw.choices(words, k=90))) for k in range(copies)]
+    rows += [(2000, rows[-1][1] + " more")]
+    parts = spark.sparkContext.parallelize(rows, -(-len(rows) // each))
+    return rows, spark.createDataFrame(parts, "doc_id bigint, text string")
+
+
+def made_anew(monkeypatch):
+    made = []
+    prefixes = ngrams.prefixes
+    monkeypatch.setattr(ngrams, "prefixes", lambda docs, *rest: made.append(docs.count()) or prefixes(docs, *rest))
+    return made
+
+
+def test_passages_of_few_copies_a_task_are_demoted_at_once(spark, monkeypatch):
+    rows, docs = shared_passage(spark, 24, 3)
+    made = made_anew(monkeypatch)
+    got = near_duplicates(docs, most=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    # No second pass over the texts.
+    assert made == [len(rows)]
+
+
+def test_later_demotions_make_only_prefixes_anew_that_change(spark, monkeypatch):
+    rows, docs = shared_passage(spark, 20, 1)
+    made = made_anew(monkeypatch)
+    got = near_duplicates(docs, most=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    assert len(made) > 1 and made[0] == len(rows) and max(made[1:]) <= 22
+
+
+def test_few_pairs_of_crowded_shingles_demote_none(spark, monkeypatch):
+    rows, docs = shared_passage(spark, 20, 1)
+    # So many other texts that the passage's pairs are few beside their shingles.
+    draw = random.Random(19)
+    words = [f"v{k}" for k in range(20000)]
+    rows += [(3000 + k, " ".join(draw.choices(words, k=3000))) for k in range(20)]
+    parts = spark.sparkContext.parallelize(rows, len(rows))
+    made = made_anew(monkeypatch)
+    got = near_duplicates(spark.createDataFrame(parts, "doc_id bigint, text string"), most=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
+    assert made == [len(rows)]
