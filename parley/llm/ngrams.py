@@ -24,8 +24,9 @@ EACH, ROUNDS = 8, 2
 CROWD, NEXT = 128, 8
 # Shingles of about so many in one worker are counted together.
 BLOCK = 3_000_000
-# Shingles that make up one part in RARELY of all are demoted at once, but never more than MOST of them.
-RARELY, MOST = 5_000_000, 1_000_000
+# Shingles of which blocks tell one part in RARELY of all are demoted at once, but never more than MOST. Blocks tell
+# about a tenth of a shingle that is one part in 2.5 million: such a one may be crowded in postings.
+RARELY, MOST = 25_000_000, 1_000_000
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -82,8 +83,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, t, n, s)`` per row, and rows with negative ``n``: ``-n`` sets of a block hold ``s``."""
     def common(block: list[np.ndarray]) -> pd.DataFrame:
         tokens, counts = np.unique(np.concatenate(block), return_counts=True)
-        # Twice is enough: of shingles that are one part in 2.5 million, a block of three million tells over half.
-        often = counts >= 2
+        often = counts >= 4
         return pd.DataFrame({"doc_id": None, "t": None, "n": -counts[often], "s": tokens[often].view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -209,13 +209,13 @@ def made_anew(monkeypatch):
     return made
 
 
-def test_passages_of_few_copies_a_task_are_demoted_at_once(spark, monkeypatch):
-    rows, docs = shared_passage(spark, 24, 3)
-    made = made_anew(monkeypatch)
-    got = near_duplicates(docs, most=2).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_hand(rows)
-    # No second pass over the texts.
-    assert made == [len(rows)]
+def test_shingles_that_blocks_tell_rarely_are_demoted_at_once(spark, monkeypatch):
+    # A gigabyte or six: a shingle of a thousand texts, of which blocks tell a hundred.
+    rows = [(1_500_000_000, 0), (-50, 7), (-50, 7), (-80, 8), (-10, 9), (-400, 10)]
+    scan = spark.createDataFrame(rows, "n bigint, s bigint")
+    assert ngrams.frequent(scan, 64).tolist() == [7, 8, 10]
+    monkeypatch.setattr(ngrams, "MOST", 2)
+    assert ngrams.frequent(scan, 64).tolist() == [10]
 
 
 def test_later_demotions_make_only_prefixes_anew_that_change(spark, monkeypatch):
